@@ -118,7 +118,8 @@ def smote(df: DataFrame, vec: str, target: str, key: str, minority=1, ratio: flo
     floor(need / n_min) points, plus one for the first (need mod n_min) rows
     in hash order.  A point is x + u * (nn - x) with nn one of the k exact
     nearest minority neighbours and u in [0, 1), both from hashes.
-    Returns the original rows plus the synthetic ones (``synthetic`` flag).
+    Returns the original rows plus the synthetic ones (``synthetic`` flag,
+    ``source_key`` = the minority row a point was made from, key NULL).
     """
     from quarry.operators.joins import knn_join
 
@@ -128,7 +129,7 @@ def smote(df: DataFrame, vec: str, target: str, key: str, minority=1, ratio: flo
     need = max(int(round(ratio * n_maj)) - n_min, 0)
     base = df.withColumn("synthetic", F.lit(False))
     if need == 0 or n_min < 2:
-        return base
+        return base.withColumn("source_key", F.lit(None).cast(dict(df.dtypes)[key]))
     per, extra = divmod(need, n_min)
     nn = knn_join(mino, mino, vec, k, key, key, exclude_self=True)
     ranked = hash_rank(mino.select(key, vec), key, seed)
@@ -145,5 +146,7 @@ def smote(df: DataFrame, vec: str, target: str, key: str, minority=1, ratio: flo
     gen = gen.withColumn("__u", u)
     newv = F.zip_with(F.col(vec).cast("array<double>"), F.col("__nv").cast("array<double>"),
                       lambda a, b: a + F.col("__u") * (b - a))
-    synth = gen.select(F.col(key).alias("source_key"), F.col("__j").alias("copy"), newv.alias(vec))
-    return base, synth
+    synth = gen.select(F.col(key).alias("source_key"), newv.alias(vec),
+                       F.lit(minority).cast(dict(df.dtypes)[target]).alias(target), F.lit(True).alias("synthetic"))
+    return base.withColumn("source_key", F.lit(None).cast(dict(df.dtypes)[key])) \
+        .unionByName(synth, allowMissingColumns=True)

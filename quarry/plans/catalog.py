@@ -1,6 +1,7 @@
 """All registered queries (import order = registration order)."""
 
 from quarry.plans import q_relational  # noqa: F401
+from quarry.plans import q_analytics  # noqa: F401
 from quarry.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
