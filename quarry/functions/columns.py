@@ -124,7 +124,7 @@ def parse_labels(c, labels: list[str], k: int = 3) -> Column:
     cleaned = F.filter(F.transform(parsed, lambda x: F.upper(F.trim(x))),
                        lambda x: F.array_contains(valid, x))
     upper = F.upper(F.trim(C(c)))
-    found = F.filter(valid, lambda x: F.locate(x, upper) > 0)
+    found = F.filter(valid, lambda x: F.contains(upper, x))
     json_pick = F.when(F.size(cleaned) > 0, F.slice(cleaned, 1, k))
     text_pick = F.when(F.size(found) > 0, F.slice(found, 1, k))
     return F.coalesce(json_pick, text_pick, F.array().cast("array<string>"))

@@ -77,7 +77,7 @@ def rank_metrics(df: DataFrame, true_col: str, preds_col: str, k: int = 3) -> Da
     preds = F.slice(q(preds_col), 1, k)
     pos = F.array_position(preds, q(true_col))
     return df.agg(F.avg((pos > 0).cast("double")).alias("hit_at_k"),
-                  F.avg((F.element_at(q(preds_col), 1) == q(true_col)).cast("double")).alias("top1"),
+                  F.avg(F.coalesce((F.try_element_at(q(preds_col), F.lit(1)) == q(true_col)).cast("double"), F.lit(0.0))).alias("top1"),
                   F.avg(F.when(pos > 0, 1.0 / pos).otherwise(0.0)).alias("mrr_at_k"),
                   F.avg((F.size(q(preds_col)) == 0).cast("double")).alias("empty_rate"),
                   F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,9 @@
 
 from quarry.plans import q_relational  # noqa: F401
 from quarry.plans import q_analytics  # noqa: F401
+from quarry.plans import q_segment  # noqa: F401
 from quarry.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["a24_seller_revenue"](spark, sf_dir)
+    return QUERIES["c01_rfm_segments"](spark, sf_dir)
