@@ -105,8 +105,8 @@ def truncate(c, n: int) -> Column:
 
 
 def tokens(c) -> Column:
-    """Lower-case tokens of two or more word characters."""
-    return F.regexp_extract_all(F.lower(C(c)), F.lit(r"\b\w\w+\b"), 0)
+    """Lower-case tokens: maximal runs of two or more Unicode word characters (letters, digits, '_')."""
+    return F.regexp_extract_all(F.lower(C(c)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
 
 
 def parse_labels(c, labels: list[str], k: int = 3) -> Column:

@@ -251,7 +251,7 @@ def ascii_docs(spark, d):
 
 
 _TERMS_SQL = f"""
-WITH dt AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower({ASCII_SQL}), '\\b\\w\\w+\\b')) AS term FROM documents),
+WITH dt AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]{{2,}}')) AS term FROM documents),
 tf AS (SELECT doc, term, count(*) AS tf FROM dt GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 """
@@ -262,8 +262,8 @@ SELECT tf.doc, tf.term, CAST(1 AS BIGINT) AS value FROM tf JOIN df ON tf.term =
 WHERE df.df <= (SELECT count(*) FROM documents) * 0.95
 """)
 def q01_term_features(spark, d):
-    """Binary term features, terms in more than 95 % of documents dropped."""
-    return textclf.term_features(ascii_docs(spark, d), "doc_id", "text", "binary", 0.95)
+    """Binary term features over whole texts, terms in more than 95 % of documents dropped."""
+    return textclf.term_features(t(spark, d, "documents"), "doc_id", "text", "binary", 0.95)
 
 
 @register("q02_tfidf", _TERMS_SQL + """,
@@ -273,8 +273,8 @@ nrm AS (SELECT doc, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc)
 SELECT w.doc, w.term, ROUND(w.w / nrm.nrm, 6) AS weight FROM w JOIN nrm ON w.doc = nrm.doc
 """)
 def q02_tfidf(spark, d):
-    """TF-IDF with smoothed idf and L2 rows (Q2)."""
-    return rounded(textclf.tfidf(ascii_docs(spark, d), "doc_id", "text"))
+    """TF-IDF with smoothed idf and L2 rows over whole texts (Q2)."""
+    return rounded(textclf.tfidf(t(spark, d, "documents"), "doc_id", "text"))
 
 
 LANGS = ["de", "en", "es", "fr"]
