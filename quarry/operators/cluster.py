@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import frac_days, sq_dist
 from quarry.operators.rank import cut, qcut
 from quarry.operators.shape import q
+from quarry.session import cut_lineage
 
 # RFM score -> segment rule of the reference (labels as written there).
 SEGMENT_RULES = [
@@ -214,7 +215,8 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict[st
     g = g.filter(end_of(F.col("step")) <= F.lit(max_date))
     feats = names + [recency_name]
     z = F.array(*[(F.col(f) - F.lit(scaler[f][0])) / F.lit(scaler[f][1] or 1.0) for f in feats])
-    g = g.withColumn("cluster", nearest_centroid(z, centroids))
+    g = g.withColumn("cluster", nearest_centroid(z, centroids)).select(id_col, "step", "cluster")
+    g = cut_lineage(g)  # (client, window) labels are read by several aggregates below
     base = g.filter("step = 0").select(id_col, F.col("cluster").alias("cluster_base"))
     pairs = g.filter("step > 0").join(base, id_col)
     ari = adjusted_rand(pairs, "cluster_base", "cluster", by="step")

@@ -185,7 +185,8 @@ def c09_cluster_stability(spark, d):
     the four features and, as given centroids, the scaled features of the
     first six base customers by key.
     """
-    facts = order_facts(spark, d)
+    from quarry.session import cut_lineage
+    facts = cut_lineage(order_facts(spark, d))  # read by the scaler fit and the stability plan
     feats = {"review_score_mean": F.col("review_score"), "order_total_sum": F.col("o_totalprice"),
              "delay_days_mean": F.col("delay_days")}
     start, base_days, step = "1995-01-01", 365, 30
