@@ -26,7 +26,11 @@ SEGMENT_OTHER = "Inactifs"
 
 
 def segment(score: Column) -> Column:
-    """RFM total -> segment label."""
+    """RFM total -> segment label.
+
+    The reference applies a Python row lambda; here it is a native CASE
+    expression (V2), evaluated inside generated code.
+    """
     e = None
     for lo, hi, label in SEGMENT_RULES:
         cond = (score >= lo) if hi is None else score.between(lo, hi)
