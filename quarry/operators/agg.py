@@ -187,9 +187,8 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
     min/max are scalar subqueries; every bin appears, empty ones with 0.
     """
     x = q(col).cast("double")
-    mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    lo = mm.select("lo").scalar()
-    hi = mm.select("hi").scalar()
+    mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()  # one row, used as literals
+    lo, hi = F.lit(mm["lo"]).cast("double"), F.lit(mm["hi"]).cast("double")
     width = F.when(hi > lo, (hi - lo) / bins).otherwise(F.lit(1.0))
     b = F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("int")
     keys = [q(by)] if by else []
@@ -212,9 +211,8 @@ def binned_mean(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     and is dropped, as with a right-closed cut.
     """
     xc = q(x).cast("double")
-    mm = df.agg(F.min(xc).alias("lo"), F.max(xc).alias("hi"))
-    lo = mm.select("lo").scalar()
-    hi = mm.select("hi").scalar()
+    mm = df.agg(F.min(xc).alias("lo"), F.max(xc).alias("hi")).first()  # one row, used as literals
+    lo, hi = F.lit(mm["lo"]).cast("double"), F.lit(mm["hi"]).cast("double")
     width = (hi - lo) / bins
     b = (F.ceil((xc - lo) / width) - 1).cast("int")
     d = df.filter(xc > lo).select(F.least(b, F.lit(bins - 1)).alias("bin"), q(y).alias("__y"))
@@ -226,12 +224,12 @@ def binned_mean(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 def minmax_profile(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
     """Group means rescaled to [0, 1] across groups (A29, radar data)."""
     m = group_means(df, group, cols)
+    ext = m.agg(*[F.min(f"{c}_mean").alias(f"lo{i}") for i, c in enumerate(cols)],
+                *[F.max(f"{c}_mean").alias(f"hi{i}") for i, c in enumerate(cols)]).first()  # one row
     out = m
-    for c in cols:
-        mc = f"{c}_mean"
-        lo = m.select(F.min(mc)).scalar()
-        hi = m.select(F.max(mc)).scalar()
-        out = out.withColumn(f"{c}_scaled", F.try_divide(F.col(mc) - lo, hi - lo))
+    for i, c in enumerate(cols):
+        lo, hi = F.lit(ext[f"lo{i}"]), F.lit(ext[f"hi{i}"])
+        out = out.withColumn(f"{c}_scaled", F.try_divide(F.col(f"{c}_mean") - lo, hi - lo))
     return out
 
 
@@ -243,8 +241,8 @@ def monthly_counts(df: DataFrame, ts: str, drop_last: bool = True) -> DataFrame:
     """
     m = F.date_trunc("month", q(ts)).cast("date")
     counts = df.groupBy(m.alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    lo = df.select(F.min(m)).scalar()
-    hi = df.select(F.max(m)).scalar()
+    mm = df.agg(F.min(m).alias("lo"), F.max(m).alias("hi")).first()  # one row
+    lo, hi = F.lit(mm["lo"]), F.lit(mm["hi"])
     grid = df.sparkSession.range(1).select(F.explode(F.sequence(lo, hi, F.expr("interval 1 month"))).alias("month"))
     out = grid.join(counts, "month", "left").fillna(0, subset=["n"])
     if drop_last:

@@ -51,8 +51,10 @@ def rfm(df: DataFrame, id_col: str, ts: str, amount: str, f_edges: list, r_label
                                   F.sum(q(amount)).alias("Monetary"), *[v.alias(k) for k, v in (extra or {}).items()])
     g = g.withColumn("Recency", F.floor(frac_days(today, "last_order_date")).cast("long"))
     g = cut(g, "Frequency", f_edges, list(range(1, len(f_edges))), out="F_score")
-    g = qcut(g, "Recency", 5, list(r_labels), out="R_score")
-    g = qcut(g, "Monetary", 5, list(m_labels), out="M_score")
+    fr = F.array(*[F.lit(i / 5) for i in range(6)])
+    e = g.agg(F.percentile("Recency", fr).alias("r"), F.percentile("Monetary", fr).alias("m")).first()  # 12 numbers
+    g = qcut(g, "Recency", 5, list(r_labels), out="R_score", edges=e["r"])
+    g = qcut(g, "Monetary", 5, list(m_labels), out="M_score", edges=e["m"])
     g = g.withColumn("RFM_Score", F.col("R_score") + F.col("F_score") + F.col("M_score"))
     return g.withColumn("Segment", segment(F.col("RFM_Score")))
 
@@ -135,24 +137,28 @@ def silhouette_sq(df: DataFrame, vec: str, cluster: str) -> DataFrame:
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
-    """Adjusted Rand index of two labelings from contingency counts."""
+    """Adjusted Rand index of two labelings from contingency counts.
+
+    Cell, row and column pair counts are stacked into one long table and
+    summed in a single aggregate, so the input is scanned once.
+    """
     keys = [by] if by else []
-    cells = df.groupBy(*keys, q(a).alias("__a"), q(b).alias("__b")).agg(F.count(F.lit(1)).alias("nij"))
-    c2 = lambda x: x * (x - 1) / 2.0
-    sij = cells.groupBy(*keys).agg(F.sum(c2(F.col("nij"))).alias("sij"), F.sum("nij").alias("n"))
-    ai = cells.groupBy(*keys, "__a").agg(F.sum("nij").alias("ai")).groupBy(*keys).agg(F.sum(c2(F.col("ai"))).alias("sa"))
-    bj = cells.groupBy(*keys, "__b").agg(F.sum("nij").alias("bj")).groupBy(*keys).agg(F.sum(c2(F.col("bj"))).alias("sb"))
-    if keys:
-        j = sij.join(ai, keys).join(bj, keys)
-        expected = F.col("sa") * F.col("sb") / c2(F.col("n"))
-        mx = 0.5 * (F.col("sa") + F.col("sb"))
-        return j.select(*keys, F.coalesce(F.try_divide(F.col("sij") - expected, mx - expected), F.lit(1.0)).alias("ari"),
-                        F.col("n").alias("n"))
-    sa = ai.select("sa").scalar()
-    sb = bj.select("sb").scalar()
-    expected = sa * sb / c2(F.col("n"))
-    mx = 0.5 * (sa + sb)
-    return sij.select(F.coalesce(F.try_divide(F.col("sij") - expected, mx - expected), F.lit(1.0)).alias("ari"), "n")
+    cells = df.groupBy(*keys, q(a).alias("__a"), q(b).alias("__b")).agg(F.count(F.lit(1)).alias("m"))
+    ai = cells.groupBy(*keys, "__a").agg(F.sum("m").alias("m"))
+    bj = cells.groupBy(*keys, "__b").agg(F.sum("m").alias("m"))
+    long = (cells.select(*keys, F.lit("ij").alias("kind"), "m")
+            .unionByName(ai.select(*keys, F.lit("a").alias("kind"), "m"))
+            .unionByName(bj.select(*keys, F.lit("b").alias("kind"), "m")))
+    c2 = (F.col("m") * (F.col("m") - 1) / 2.0)
+    g = long.groupBy(*keys) if keys else long
+    s = g.agg(F.sum(F.when(F.col("kind") == "ij", c2)).alias("sij"), F.sum(F.when(F.col("kind") == "a", c2)).alias("sa"),
+              F.sum(F.when(F.col("kind") == "b", c2)).alias("sb"),
+              F.sum(F.when(F.col("kind") == "ij", F.col("m"))).alias("n"))
+    n = F.col("n").cast("double")
+    expected = F.col("sa") * F.col("sb") / (n * (n - 1) / 2.0)
+    mx = 0.5 * (F.col("sa") + F.col("sb"))
+    return s.select(*keys, F.coalesce(F.try_divide(F.col("sij") - expected, mx - expected), F.lit(1.0)).alias("ari"),
+                    F.col("n"))
 
 
 def cluster_profile(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
@@ -195,7 +201,7 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict[st
 
     st = F.lit(start).cast("timestamp_ntz")
     d = orders.filter(q(ts) >= st)
-    max_date = d.select(F.max(q(ts))).scalar()
+    max_date = d.select(F.max(q(ts))).first()[0]  # one value
     age = frac_days(q(ts), st)
     first = F.greatest(F.lit(0), F.ceil((age - F.lit(float(base_days))) / F.lit(float(step_days)))).cast("int")
     end_of = lambda s: st + F.make_dt_interval(days=F.lit(base_days) + s * F.lit(step_days))
@@ -216,7 +222,7 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict[st
     cols["__last"] = F.max("__last").over(w)
     g = g.withColumns(cols)
     g = g.withColumn(recency_name, F.floor(frac_days(end_of(F.col("step")), "__last")).cast("double"))
-    g = g.filter(end_of(F.col("step")) <= F.lit(max_date))
+    g = g.filter(end_of(F.col("step")) <= F.lit(max_date).cast("timestamp_ntz"))
     feats = names + [recency_name]
     z = F.array(*[(F.col(f) - F.lit(scaler[f][0])) / F.lit(scaler[f][1] or 1.0) for f in feats])
     g = g.withColumn("cluster", nearest_centroid(z, centroids)).select(id_col, "step", "cluster")

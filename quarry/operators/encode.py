@@ -93,7 +93,7 @@ def fit_target_encoder(df: DataFrame, cols: list[str], target: str, min_samples_
     enc = prior * (1 - s) + mean * s with s = 1 / (1 + exp(-(n - min_samples_leaf) / smoothing));
     a level seen once gets the prior.  Unseen or missing levels get the prior.
     """
-    prior = df.select(F.avg(q(target))).scalar()
+    prior = F.lit(df.select(F.avg(q(target))).first()[0])  # one value
     parts = []
     for c in cols:
         g = df.filter(q(c).isNotNull()).groupBy(q(c).cast("string").alias("level")).agg(

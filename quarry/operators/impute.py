@@ -35,15 +35,14 @@ def fill_cascade(df: DataFrame, col: str, groups: list[str]) -> DataFrame:
 def fill_mean(df: DataFrame, cols: list[str], strategy: str = "mean") -> DataFrame:
     """Mean or (exact) median fill."""
     fn = (lambda c: F.avg(q(c))) if strategy == "mean" else (lambda c: F.median(q(c)))
-    stats = df.agg(*[fn(c).alias(c) for c in cols])
-    return df.withColumns({c: F.coalesce(q(c), stats.select(q(c)).scalar()) for c in cols})
+    stats = df.agg(*[fn(c).alias(c) for c in cols]).first()  # one row
+    return df.withColumns({c: F.coalesce(q(c), F.lit(stats[c])) for c in cols})
 
 
 def fill_regression(df: DataFrame, y: str, x: str) -> DataFrame:
     """Fill y from a least-squares line on x where y is NULL (I4)."""
-    fit = df.agg(F.regr_slope(q(y), q(x)).alias("b"), F.regr_intercept(q(y), q(x)).alias("a"))
-    a, b = fit.select("a").scalar(), fit.select("b").scalar()
-    return df.withColumn(y, F.coalesce(q(y), a + b * q(x)))
+    fit = df.agg(F.regr_slope(q(y), q(x)).alias("b"), F.regr_intercept(q(y), q(x)).alias("a")).first()
+    return df.withColumn(y, F.coalesce(q(y), F.lit(fit["a"]) + F.lit(fit["b"]) * q(x)))
 
 
 def fill_knn(df: DataFrame, col: str, vec: str, key: str, k: int = 5) -> DataFrame:
@@ -130,11 +129,10 @@ def fill_iterative(df: DataFrame, cols: list[str], rounds: int = 10, ridge: floa
 # ---------------------------------------------------------------- outliers
 
 def _iqr_bounds_row(df: DataFrame, cols: list[str], factor: float):
-    b = df.agg(*[F.percentile(q(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in cols])
+    b = df.agg(*[F.percentile(q(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in cols]).first()
     out = {}
     for c in cols:
-        arr = b.select(q(c)).scalar()
-        q1, q3 = arr[0], arr[1]
+        q1, q3 = b[c][0], b[c][1]
         out[c] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return out
 
@@ -161,9 +159,8 @@ def iqr_filter_sequential(df: DataFrame, cols: list[str], factor: float = 1.5) -
 
 def quantile_filter(df: DataFrame, col: str, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
     """Keep rows between two quantiles of a column, inclusive (O3)."""
-    b = df.select(F.percentile(q(col), F.array(F.lit(lo), F.lit(hi))).alias("b"))
-    arr = b.select("b").scalar()
-    return df.filter(q(col).between(arr[0], arr[1]))
+    arr = df.select(F.percentile(q(col), F.array(F.lit(lo), F.lit(hi)))).first()[0]  # two values
+    return df.filter(q(col).between(F.lit(arr[0]), F.lit(arr[1])))
 
 
 def outlier_counts(df: DataFrame, cols: list[str], factor: float = 1.5) -> DataFrame:

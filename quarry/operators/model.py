@@ -105,10 +105,11 @@ def threshold_sweep(df: DataFrame, y: str, p: str, n: int = 200, lo: float = 0.0
     c = grid.join(counts, "b", "left").fillna(0, subset=["pos", "neg"])
     w = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)  # <= n+1 rows
     c = c.withColumn("pos_ge", F.sum("pos").over(w)).withColumn("neg_ge", F.sum("neg").over(w))
-    P = c.select(F.sum("pos")).scalar()
-    Nn = c.select(F.sum("neg")).scalar()
+    everything = Window.partitionBy()  # over the <= n+1 bucket rows only
+    c = c.withColumn("__P", F.sum("pos").over(everything)).withColumn("__N", F.sum("neg").over(everything))
+    P, Nn = F.col("__P"), F.col("__N")
     out = c.filter(F.col("b") >= 1).select(
-        (F.col("b") - 1).alias("idx"), F.col("pos_ge").alias("tp"), F.col("neg_ge").alias("fp"))
+        (F.col("b") - 1).alias("idx"), F.col("pos_ge").alias("tp"), F.col("neg_ge").alias("fp"), "__P", "__N")
     out = out.withColumn("fn", P - F.col("tp")).withColumn("tn", Nn - F.col("fp"))
     out = out.withColumn("threshold", arr[F.col("idx")])
     cost = (F.col("fn") * cost_fn + F.col("fp") * cost_fp) - (F.col("tp") * reward_tp + F.col("tn") * reward_tn)
@@ -139,8 +140,8 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
 def class_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
     """Balanced class weights n / (k * n_c) as a column (M7)."""
     counts = df.groupBy(q(y).alias("__c")).agg(F.count(F.lit(1)).alias("__nc"))
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = counts.select(F.count(F.lit(1))).scalar()
+    everything = Window.partitionBy()  # one row per class
+    n, k = F.sum("__nc").over(everything), F.count(F.lit(1)).over(everything)
     w = counts.select("__c", (n / (k * F.col("__nc"))).alias(out))
     return df.join(w, q(y) == F.col("__c"), "left").drop("__c")
 

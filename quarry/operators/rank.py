@@ -62,22 +62,28 @@ def avg_rank(df: DataFrame, col: str, by=None, out: str | None = None,
     return df.join(rt, [*keys, col], "left")
 
 
-def qcut(df: DataFrame, col: str, q_: int, labels: list | None = None, out: str | None = None) -> DataFrame:
+def qcut(df: DataFrame, col: str, q_: int, labels: list | None = None, out: str | None = None,
+         edges: list | None = None) -> DataFrame:
     """Quantile binning with exact (interpolated) edges, ties share a bin.
 
     Bins are right-closed, the first includes the minimum; duplicate edges
-    raise, as ``pd.qcut`` does.
+    raise, as ``pd.qcut`` does.  The q+1 edges are computed in one pass
+    (or passed in) and inlined as literals.
     """
     labels = labels if labels is not None else list(range(q_))
-    fr = F.array(*[F.lit(i / q_) for i in range(q_ + 1)])
-    edges = df.select(F.percentile(q(col), fr)).scalar()
+    if edges is None:
+        fr = F.array(*[F.lit(i / q_) for i in range(q_ + 1)])
+        edges = df.select(F.percentile(q(col), fr)).first()[0]
+    if edges is None:
+        return df.withColumn(out or f"{col}_bin", F.lit(None))
+    if len(set(edges)) != q_ + 1:
+        raise ValueError(f"duplicate bin edges: {edges}")
     x = q(col)
     expr = None
     for i in range(q_):
-        cond = x <= edges[i + 1]
+        cond = x <= F.lit(float(edges[i + 1]))
         expr = F.when(cond, F.lit(labels[i])) if expr is None else expr.when(cond, F.lit(labels[i]))
-    check = F.assert_true(F.size(F.array_distinct(edges)) == q_ + 1, F.lit("duplicate bin edges"))
-    return df.withColumn(out or f"{col}_bin", F.when(check.isNull() & x.isNotNull(), expr))
+    return df.withColumn(out or f"{col}_bin", F.when(x.isNotNull(), expr))
 
 
 def cut(df: DataFrame, col: str, edges: list, labels: list | None = None, out: str | None = None) -> DataFrame:

@@ -84,7 +84,7 @@ def chi2(df: DataFrame, a: str, b: str) -> dict:
         .agg(F.count(F.lit(1)).alias("o"))
     ra = cells.groupBy("__a").agg(F.sum("o").alias("ra"))
     cb = cells.groupBy("__b").agg(F.sum("o").alias("cb"))
-    n = cells.select(F.sum("o")).scalar()
+    n = F.lit(cells.select(F.sum("o")).first()[0])  # one value
     j = cells.join(ra, "__a").join(cb, "__b")
     e = F.col("ra") * F.col("cb") / n
     row = j.agg((F.sum(F.col("o") * F.col("o") / e) - n).alias("statistic"), n.alias("n"),
@@ -111,12 +111,19 @@ def kruskal_stats(df: DataFrame, col: str, group: str, n_buckets: int = 200) ->
     vg = d.groupBy("__v", "__g").agg(F.count(F.lit(1)).alias("m"))
     rs = vg.join(rt.select("__v", "rank"), "__v").groupBy("__g").agg(
         F.sum(F.col("m") * F.col("rank")).alias("R"), F.sum("m").alias("ng"))
-    N = rt.select(F.sum("cnt")).scalar()
-    ties = rt.select(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt"))).scalar()
-    Nd = N.cast("double")
-    h = (12.0 / (Nd * (Nd + 1))) * F.sum(F.col("R") * F.col("R") / F.col("ng")) - 3 * (Nd + 1)
-    corr = 1 - ties / (Nd * Nd * Nd - Nd)
-    return rs.agg(F.try_divide(h, corr).alias("H"), F.count(F.lit(1)).alias("k"), N.alias("n"))
+    # one aggregate over stacked contributions: rank-sum terms per group, tie terms per value
+    cnt = F.col("cnt").cast("double")
+    long = (rs.select(F.lit("g").alias("kind"), (F.col("R") * F.col("R") / F.col("ng")).alias("x"))
+            .unionByName(rt.select(F.lit("t").alias("kind"), (cnt * cnt * cnt - cnt).alias("x")))
+            .unionByName(rt.select(F.lit("n").alias("kind"), cnt.alias("x"))))
+    s = long.agg(F.sum(F.when(F.col("kind") == "g", F.col("x"))).alias("rsum"),
+                 F.count(F.when(F.col("kind") == "g", 1)).alias("k"),
+                 F.sum(F.when(F.col("kind") == "t", F.col("x"))).alias("ties"),
+                 F.sum(F.when(F.col("kind") == "n", F.col("x"))).alias("N"))
+    Nd = F.col("N")
+    h = (12.0 / (Nd * (Nd + 1))) * F.col("rsum") - 3 * (Nd + 1)
+    corr = 1 - F.col("ties") / (Nd * Nd * Nd - Nd)
+    return s.select(F.try_divide(h, corr).alias("H"), F.col("k"), Nd.cast("long").alias("n"))
 
 
 def kruskal(df: DataFrame, cols: list[str], group: str) -> DataFrame:

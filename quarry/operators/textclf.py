@@ -27,7 +27,7 @@ def term_features(df: DataFrame, id_col: str, text: str, kind: str = "binary", m
                   min_df: int = 1) -> DataFrame:
     """Binary or count term features in long form, dropping terms in more than max_df of docs (Q1)."""
     tf = doc_terms(df, id_col, text)
-    n_docs = df.select(F.count(F.lit(1))).scalar()
+    n_docs = F.lit(df.select(F.count(F.lit(1))).first()[0])  # one value
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     keep = dfreq.filter((F.col("df") <= n_docs * max_df) & (F.col("df") >= min_df)).select("term")
     out = tf.join(keep, "term")
@@ -38,7 +38,7 @@ def term_features(df: DataFrame, id_col: str, text: str, kind: str = "binary", m
 def tfidf(df: DataFrame, id_col: str, text: str, max_df: float = 1.0) -> DataFrame:
     """TF-IDF with smoothed idf ln((1+n)/(1+df)) + 1 and L2-normalised rows (Q2)."""
     tf = doc_terms(df, id_col, text)
-    n_docs = df.select(F.count(F.lit(1))).scalar()
+    n_docs = F.lit(df.select(F.count(F.lit(1))).first()[0])  # one value
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     dfreq = dfreq.filter(F.col("df") <= n_docs * max_df)
     idf = F.ln((1 + n_docs) / (1 + F.col("df"))) + 1
