@@ -201,12 +201,12 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict[st
 
     st = F.lit(start).cast("timestamp_ntz")
     d = orders.filter(q(ts) >= st)
-    max_date = d.select(F.max(q(ts))).first()[0]  # one value
+    span = d.select(F.max(q(ts)).alias("mx"), F.floor((frac_days(F.max(q(ts)), st) - F.lit(float(base_days)))
+                                                     / F.lit(float(step_days))).alias("steps")).first()  # one row
+    max_date, n_steps = span["mx"], int(max(span["steps"] or 0, 0))
     age = frac_days(q(ts), st)
     first = F.greatest(F.lit(0), F.ceil((age - F.lit(float(base_days))) / F.lit(float(step_days)))).cast("int")
     end_of = lambda s: st + F.make_dt_interval(days=F.lit(base_days) + s * F.lit(step_days))
-    n_steps = d.select(F.floor((frac_days(F.max(q(ts)), st) - F.lit(float(base_days))) / F.lit(float(step_days)))).first()[0]
-    n_steps = int(max(n_steps or 0, 0))
     names = list(features)
     aggs = []
     for nm, c in features.items():

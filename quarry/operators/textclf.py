@@ -15,36 +15,48 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import tokens
 from quarry.operators.shape import q
+from quarry.session import cut_lineage, spread
 
 
 def doc_terms(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, term, tf) for every token of two or more word characters."""
-    e = df.select(q(id_col).alias("doc"), F.explode(tokens(q(text))).alias("term"))
+    """(doc, term, tf) for every token of two or more word characters, whole texts."""
+    src = spread(df.select(q(id_col).alias("doc"), q(text).alias("__t")))
+    e = src.select("doc", F.explode(tokens(F.col("__t"))).alias("term"))
     return e.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _doc_freq(tf: DataFrame) -> DataFrame:
+    """Documents per term.  Counting rows with tf > 0 keeps the tf column in the
+    plan, so this branch and the main one share one (doc, term) shuffle and the
+    texts are tokenised once."""
+    return tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
+
+
 def term_features(df: DataFrame, id_col: str, text: str, kind: str = "binary", max_df: float = 0.95,
                   min_df: int = 1) -> DataFrame:
     """Binary or count term features in long form, dropping terms in more than max_df of docs (Q1)."""
-    tf = doc_terms(df, id_col, text)
+    tf = cut_lineage(doc_terms(df, id_col, text))  # read by two branches; tokenise once
     n_docs = F.lit(df.select(F.count(F.lit(1))).first()[0])  # one value
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    keep = dfreq.filter((F.col("df") <= n_docs * max_df) & (F.col("df") >= min_df)).select("term")
+    keep = _doc_freq(tf).filter((F.col("df") <= n_docs * max_df) & (F.col("df") >= min_df)).select("term")
     out = tf.join(keep, "term")
     val = F.lit(1).cast("long") if kind == "binary" else F.col("tf")
     return out.select("doc", "term", val.alias("value"))
 
 
 def tfidf(df: DataFrame, id_col: str, text: str, max_df: float = 1.0) -> DataFrame:
-    """TF-IDF with smoothed idf ln((1+n)/(1+df)) + 1 and L2-normalised rows (Q2)."""
-    tf = doc_terms(df, id_col, text)
+    """TF-IDF with smoothed idf ln((1+n)/(1+df)) + 1 and L2-normalised rows (Q2).
+
+    Document frequencies join back on the term (AQE splits the partitions of
+    very common terms); the row norm is a window over one document's terms.
+    """
+    from pyspark.sql import Window
+    tf = cut_lineage(doc_terms(df, id_col, text))  # read by two branches; tokenise once
     n_docs = F.lit(df.select(F.count(F.lit(1))).first()[0])  # one value
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    dfreq = dfreq.filter(F.col("df") <= n_docs * max_df)
+    dfreq = _doc_freq(tf).filter(F.col("df") <= n_docs * max_df)
     idf = F.ln((1 + n_docs) / (1 + F.col("df"))) + 1
     w = tf.join(dfreq.select("term", idf.alias("idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
 def text_classifier(text: str, label: str, binary: bool = True, max_df: float = 0.95, max_iter: int = 50,

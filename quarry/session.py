@@ -63,10 +63,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a table in the shared checkpoint folder and continue from it.
+
+    Written as Parquet (columnar, compressed) under ``spark.checkpoint.dir``
+    and read back, so the plan after this point no longer depends on the
+    lineage before it and survives the loss of any executor.
+    """
+    import uuid
+
+    base = checkpoint_dir(df.sparkSession)
+    path = os.path.join(base, "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin rows over the cluster when a scan yields fewer partitions than cores.
+
+    Used before CPU-heavy row work (regex tokenisation of whole texts, model
+    calls): a single large row group otherwise lands in one task.  A scan
+    that already has enough splits is returned unchanged, so at scale this
+    adds no shuffle.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
