@@ -182,7 +182,7 @@ def bag_of_words_hist(desc: DataFrame, item: str, vec: str, centroids: list[list
     return cnt.join(tot, item).select(q(item), F.col("__w").alias("word"), (F.col("n") / F.col("tot")).alias("share"))
 
 
-def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict[str, Column], start: str,
+def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict, start: str,
                       base_days: int, step_days: int, scaler: dict[str, tuple[float, float]],
                       centroids: list[list[float]], recency_name: str = "recency") -> DataFrame:
     """ARI between the base clustering and each expanding window, as one plan.
@@ -193,7 +193,7 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict[st
     gives every window's features without re-reading the data per step.
     Only clients of the base window are followed; windows whose end passes
     the last order date are not produced.  ``features`` maps output names to
-    row-level columns averaged per client; ``scaler`` holds (mean, std) per
+    (row-level column, "mean" | "sum"); ``scaler`` holds (mean, std) per
     feature in the order of ``centroids``' coordinates, which is
     list(features) + [recency_name].
     """
@@ -209,7 +209,7 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict[st
     end_of = lambda s: st + F.make_dt_interval(days=F.lit(base_days) + s * F.lit(step_days))
     names = list(features)
     aggs = []
-    for nm, c in features.items():
+    for nm, (c, _) in features.items():
         aggs += [F.sum(c).alias(f"__s_{nm}"), F.count(c).alias(f"__n_{nm}")]
     part = d.groupBy(q(id_col), first.alias("__first")).agg(*aggs, F.max(q(ts)).alias("__last"))
     base_clients = part.filter(F.col("__first") == 0).select(id_col)
@@ -218,7 +218,12 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict[st
     w = Window.partitionBy(id_col).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     cols = {}
     for nm in names:
-        cols[nm] = F.try_divide(F.sum(f"__s_{nm}").over(w), F.sum(f"__n_{nm}").over(w).cast("double"))
+        total = F.sum(f"__s_{nm}").over(w)
+        cnt = F.sum(f"__n_{nm}").over(w)
+        if features[nm][1] == "sum":
+            cols[nm] = F.when(cnt > 0, total)
+        else:
+            cols[nm] = F.try_divide(total, cnt.cast("double"))
     cols["__last"] = F.max("__last").over(w)
     g = g.withColumns(cols)
     g = g.withColumn(recency_name, F.floor(frac_days(end_of(F.col("step")), "__last")).cast("double"))

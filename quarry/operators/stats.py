@@ -67,7 +67,6 @@ def pairwise_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str, n_buckets: int = 200) -> DataFrame:
     """Spearman correlation: Pearson r of average-tie ranks on complete pairs (H4)."""
     d = df.filter(q(a).isNotNull() & q(b).isNotNull()).select(q(a).alias("__a"), q(b).alias("__b"))
-    d = d.withColumn("__id", F.monotonically_increasing_id())
     ra = rank_table(d, "__a", n_buckets=n_buckets).select("__a", F.col("rank").alias("__ra"))
     rb = rank_table(d, "__b", n_buckets=n_buckets).select("__b", F.col("rank").alias("__rb"))
     j = d.join(ra, "__a").join(rb, "__b")

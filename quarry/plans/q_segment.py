@@ -168,16 +168,73 @@ def c08_adjusted_rand(spark, d):
 
 
 def order_facts(spark, d):
-    """One row per order: customer, date, total, mean quantity (score) and delay in days."""
+    """One row per order: customer, date, total, mean quantity (score) and delay in days.
+
+    Orders without items have no score or delay and are dropped, as the
+    reference drops incomplete rows before segmenting.
+    """
     o, li = t(spark, d, "orders"), t(spark, d, "lineitem")
     per = li.groupBy("l_orderkey").agg(F.avg("l_quantity").alias("review_score"),
                                        F.max("l_shipdate").alias("delivered"))
-    j = o.join(per, o.o_orderkey == per.l_orderkey, "left")
+    j = o.join(per, o.o_orderkey == per.l_orderkey, "inner")
     return j.select("o_custkey", "o_orderdate", "o_totalprice", "review_score",
                     fc.frac_days("delivered", "o_orderdate").alias("delay_days"))
 
 
-@register("c09_cluster_stability")
+STABILITY_START, STABILITY_BASE, STABILITY_STEP, STABILITY_K = "1995-01-01", 365, 30, 6
+
+C09_SQL = f"""
+WITH per AS (SELECT l_orderkey, avg(l_quantity) AS review_score, max(l_shipdate) AS delivered FROM lineitem GROUP BY 1),
+facts AS (SELECT o_custkey, o_orderdate, o_totalprice, review_score,
+                 (epoch_us(delivered) - epoch_us(o_orderdate)) / 86400e6 AS delay_days
+          FROM orders JOIN per ON o_orderkey = l_orderkey),
+d AS (SELECT *, (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '{STABILITY_START}')) / 86400e6 AS age
+      FROM facts WHERE o_orderdate >= TIMESTAMP '{STABILITY_START}'),
+span AS (SELECT max(o_orderdate) AS mx, floor((max(age) - {STABILITY_BASE}) / {STABILITY_STEP}) AS steps FROM d),
+part AS (SELECT o_custkey, CAST(greatest(0, ceil((age - {STABILITY_BASE}) / {STABILITY_STEP})) AS INTEGER) AS step,
+                sum(review_score) AS s_r, count(review_score) AS n_r, sum(o_totalprice) AS s_t, count(o_totalprice) AS n_t,
+                sum(delay_days) AS s_d, count(delay_days) AS n_d, max(o_orderdate) AS last
+         FROM d GROUP BY 1, 2),
+base_clients AS (SELECT o_custkey FROM part WHERE step = 0),
+grid AS (SELECT b.o_custkey, CAST(s.range AS INTEGER) AS step FROM base_clients b, span, range(CAST(span.steps AS BIGINT) + 1) s),
+g0 AS (SELECT g.o_custkey, g.step,
+         sum(s_r) OVER w AS s_r, sum(n_r) OVER w AS n_r, sum(s_t) OVER w AS s_t, sum(n_t) OVER w AS n_t,
+         sum(s_d) OVER w AS s_d, sum(n_d) OVER w AS n_d, max(last) OVER w AS last
+       FROM grid g LEFT JOIN part p ON g.o_custkey = p.o_custkey AND g.step = p.step
+       WINDOW w AS (PARTITION BY g.o_custkey ORDER BY g.step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g1 AS (SELECT o_custkey, step, TIMESTAMP '{STABILITY_START}' + to_days(CAST({STABILITY_BASE} + {STABILITY_STEP} * step AS INTEGER)) AS end_date,
+         s_r / n_r AS review_score_mean, CASE WHEN n_t > 0 THEN s_t END AS order_total_sum, s_d / n_d AS delay_days_mean, last
+       FROM g0),
+g AS (SELECT g1.*, CAST(floor((epoch_us(end_date) - epoch_us(last)) / 86400e6) AS DOUBLE) AS recency FROM g1, span
+      WHERE end_date <= span.mx),
+base AS (SELECT * FROM g WHERE step = 0),
+sc AS (SELECT avg(review_score_mean) m1, coalesce(nullif(stddev_pop(review_score_mean), 0), 1) s1,
+              avg(order_total_sum) m2, coalesce(nullif(stddev_pop(order_total_sum), 0), 1) s2,
+              avg(delay_days_mean) m3, coalesce(nullif(stddev_pop(delay_days_mean), 0), 1) s3,
+              avg(recency) m4, coalesce(nullif(stddev_pop(recency), 0), 1) s4 FROM base),
+z AS (SELECT o_custkey, step, end_date, (review_score_mean - m1) / s1 AS z1, (order_total_sum - m2) / s2 AS z2,
+             (delay_days_mean - m3) / s3 AS z3, (recency - m4) / s4 AS z4 FROM g, sc),
+cent AS (SELECT CAST(row_number() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS ci, z1, z2, z3, z4 FROM z
+         WHERE step = 0 ORDER BY o_custkey LIMIT {STABILITY_K}),
+lab AS (SELECT z.o_custkey, z.step, z.end_date,
+          arg_min(cent.ci, struct_pack(d := (z.z1 - cent.z1) * (z.z1 - cent.z1) + (z.z2 - cent.z2) * (z.z2 - cent.z2)
+                                         + (z.z3 - cent.z3) * (z.z3 - cent.z3) + (z.z4 - cent.z4) * (z.z4 - cent.z4),
+                                         ci := cent.ci)) AS cluster
+        FROM z, cent GROUP BY z.o_custkey, z.step, z.end_date),
+pairs AS (SELECT l.step, l.end_date, b.cluster AS a, l.cluster AS b FROM lab l JOIN lab b ON l.o_custkey = b.o_custkey
+          AND b.step = 0 WHERE l.step > 0),
+cells AS (SELECT step, end_date, a, b, count(*) AS m FROM pairs GROUP BY ALL),
+sums AS (SELECT step, end_date, sum(m * (m - 1) / 2.0) AS sij, sum(m) AS n FROM cells GROUP BY ALL),
+sa AS (SELECT step, sum(x * (x - 1) / 2.0) AS sa FROM (SELECT step, a, sum(m) AS x FROM cells GROUP BY ALL) GROUP BY step),
+sb AS (SELECT step, sum(x * (x - 1) / 2.0) AS sb FROM (SELECT step, b, sum(m) AS x FROM cells GROUP BY ALL) GROUP BY step)
+SELECT CAST(sums.step AS INTEGER) AS step, sums.end_date,
+       ROUND(coalesce((sij - sa * sb / (n * (n - 1) / 2.0)) / nullif(0.5 * (sa + sb) - sa * sb / (n * (n - 1) / 2.0), 0), 1.0), 6) AS ari,
+       CAST(n AS BIGINT) AS n
+FROM sums JOIN sa ON sums.step = sa.step JOIN sb ON sums.step = sb.step
+"""
+
+
+@register("c09_cluster_stability", C09_SQL)
 def c09_cluster_stability(spark, d):
     """ARI of the base segmentation against expanding windows, +30 days per step.
 
@@ -187,23 +244,25 @@ def c09_cluster_stability(spark, d):
     """
     from quarry.session import cut_lineage
     facts = cut_lineage(order_facts(spark, d))  # read by the scaler fit and the stability plan
-    feats = {"review_score_mean": F.col("review_score"), "order_total_sum": F.col("o_totalprice"),
-             "delay_days_mean": F.col("delay_days")}
-    start, base_days, step = "1995-01-01", 365, 30
+    feats = {"review_score_mean": (F.col("review_score"), "mean"), "order_total_sum": (F.col("o_totalprice"), "sum"),
+             "delay_days_mean": (F.col("delay_days"), "mean")}
+    start, base_days, step = STABILITY_START, STABILITY_BASE, STABILITY_STEP
     stt = F.lit(start).cast("timestamp_ntz")
     base = facts.filter((F.col("o_orderdate") >= stt) & (fc.frac_days("o_orderdate", stt) <= base_days))
-    end = F.lit(start).cast("timestamp_ntz") + F.expr(f"INTERVAL {base_days} DAYS")
+    end = stt + F.expr(f"INTERVAL {base_days} DAYS")
     g = base.groupBy("o_custkey").agg(F.avg("review_score").alias("review_score_mean"),
-                                      F.avg("o_totalprice").alias("order_total_sum"),
+                                      F.sum("o_totalprice").alias("order_total_sum"),
                                       F.avg("delay_days").alias("delay_days_mean"),
                                       F.max("o_orderdate").alias("last"))
     g = g.withColumn("recency", F.floor(fc.frac_days(end, "last")).cast("double"))
     names = ["review_score_mean", "order_total_sum", "delay_days_mean", "recency"]
     st = g.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).first()
     scaler = {n: (st[f"m_{n}"], st[f"s_{n}"]) for n in names}
-    firsts = g.orderBy("o_custkey").limit(6).collect()  # six rows: the given centroids
+    firsts = g.orderBy("o_custkey").limit(STABILITY_K).collect()  # the given centroids: k rows
     cents = [[(r[n] - scaler[n][0]) / (scaler[n][1] or 1.0) for n in names] for r in firsts]
-    return cluster.cluster_stability(facts, "o_custkey", "o_orderdate", feats, start, base_days, step, scaler, cents)
+    out = cluster.cluster_stability(facts, "o_custkey", "o_orderdate", feats, start, base_days, step, scaler, cents)
+    return rounded(out.withColumn("step", F.col("step").cast("int")).withColumn("n", F.col("n").cast("bigint")),
+                   6, ["ari"])
 
 
 _DESC_SQL = """

@@ -15,7 +15,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SUBSET = ["a24_seller_revenue", "a28_order_extract", "c01_rfm_segments", "f11_dedup_first", "a14_quantiles",
           "w03_avg_rank", "m11_auc", "m14_threshold_sweep", "h02_kruskal_h", "e04_target_encode",
           "q02_tfidf", "x06_parse_labels", "c05_silhouette", "c08_adjusted_rand", "r01_score", "j08_knn_join",
-          "g02_periodic_counts", "p07_stratified_kfold_counts", "i02_cascade_fill", "o02_iqr_sequential"]
+          "g02_periodic_counts", "p07_stratified_kfold_counts", "i02_cascade_fill", "o02_iqr_sequential",
+          "c09_cluster_stability", "h04_spearman"]
 
 
 def norm(v):
