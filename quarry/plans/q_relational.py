@@ -1074,12 +1074,12 @@ def x03_url_words(spark, d):
 
 
 @register("x04_x05_concat_truncate", """
-SELECT conv_id, turn, left(concat_ws('. ', coalesce(role, ''), coalesce(text, '')), 80) AS snippet FROM conversations
+SELECT conv_id, turn, left(concat_ws('. ', coalesce(role, ''), coalesce(text, '')), 200) AS snippet FROM conversations
 """)
 def x04_x05_concat_truncate(spark, d):
     """Concatenate text fields null-safe (X4) and truncate."""
     c = t(spark, d, "conversations")
-    return c.select("conv_id", "turn", fc.truncate(fc.concat_text(["role", "text"]), 80).alias("snippet"))
+    return c.select("conv_id", "turn", fc.truncate(fc.concat_text(["role", "text"]), 200).alias("snippet"))
 
 
 @register("x08_x09_impact_labels", """

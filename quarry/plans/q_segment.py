@@ -353,6 +353,7 @@ def q03_top_k_classes(spark, d):
 
 
 VALID_ROLES = ["USER", "ASSISTANT", "SYSTEM"]
+EXAMPLE_CHARS = 200  # few-shot example length of the reference
 
 
 def responses(spark, d):
@@ -430,24 +431,25 @@ def _zero_shot_sql() -> str:
     cats = ", ".join(VALID_ROLES)
     head = head.replace("{cats}", cats).replace("{k}", "3")
     tail = tail.replace("{k}", "3")
-    return f"SELECT conv_id, turn, {_sql_lit(head)} || coalesce(left(text, 300), '') || {_sql_lit(tail)} AS prompt FROM conversations"
+    return f"SELECT conv_id, turn, {_sql_lit(head)} || coalesce(text, '') || {_sql_lit(tail)} AS prompt FROM conversations"
 
 
 @register("q06_zero_shot_prompt", _zero_shot_sql())
 def q06_zero_shot_prompt(spark, d):
-    """Zero-shot prompt per text (Q6)."""
-    c = t(spark, d, "conversations").select("conv_id", "turn", fc.truncate("text", 300).alias("text"))
+    """Zero-shot prompt per whole text (Q6)."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", "text")
     return textclf.build_prompt(c, "text", VALID_ROLES, 3).select("conv_id", "turn", "prompt")
 
 
 @register("q06_few_shot_prompt")
 def q06_few_shot_prompt(spark, d):
-    """Few-shot prompt with one seeded example per category."""
+    """Few-shot prompt: one seeded example per category, example texts cut to 200 characters
+    as the reference does; the text to label is whole (Q6, W4, X5)."""
     from quarry.operators.rank import one_per_category
-    c = t(spark, d, "conversations").select("conv_id", "turn", F.upper("role").alias("category"),
-                                            fc.truncate("text", 120).alias("text"))
-    ex = textclf.examples_block(one_per_category(c, "category", "conv_id"), "text", "category")
-    return textclf.build_prompt(c, "text", VALID_ROLES, 3, examples=ex).select("conv_id", "turn", "prompt")
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.upper("role").alias("category"), "text")
+    ex = one_per_category(c, "category", "conv_id").withColumn("text", fc.truncate("text", EXAMPLE_CHARS))
+    block = textclf.examples_block(ex, "text", "category")
+    return textclf.build_prompt(c, "text", VALID_ROLES, 3, examples=block).select("conv_id", "turn", "prompt")
 
 
 def _stub_model(text: str) -> str:
@@ -753,3 +755,15 @@ def s13_partitioned_layout(spark, d):
     io.write_parquet(t(spark, d, "documents"), path, partition_by=["lang"])
     back = spark.read.parquet(path)
     return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("g02_periodic_counts_append")
+def g02_periodic_counts_append(spark, d):
+    """Daily counts in append mode: a day is written once the watermark passes it (G2, unbounded form)."""
+    out, ck = stream.scratch(spark, "g02a-out"), stream.scratch(spark, "g02a-ckpt")
+    stream.periodic_counts(spark, d, EVENT_SCHEMA, "ts", "1 day", "1 hour", out, ck, by=["event_type"],
+                           glob="events.parquet", mode="append")
+    try:
+        return spark.read.parquet(out)
+    except Exception:  # noqa: BLE001  no period closed yet: empty result with the same schema
+        return spark.createDataFrame([], "period_start timestamp_ntz, event_type string, n bigint")

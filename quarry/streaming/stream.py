@@ -56,21 +56,30 @@ def windowed_counts(src: DataFrame, ts: str, window: str, watermark: str, by: li
 
 
 def periodic_counts(spark: SparkSession, in_dir: str, schema, ts: str, window: str, watermark: str,
-                    out_dir: str, ckpt: str, by: list[str] | None = None, glob: str | None = None):
+                    out_dir: str, ckpt: str, by: list[str] | None = None, glob: str | None = None,
+                    mode: str = "complete"):
     """Keep period counts up to date.
 
-    Complete mode re-emits the whole (small, one row per period and key)
-    result each batch; foreachBatch overwrites a Parquet table with it.
+    ``complete``: the whole result (one row per period and key) is re-emitted
+    each batch and overwrites a Parquet table, equal to the batch answer at
+    any time; state grows with the number of periods.  ``append``: a period
+    is written once the watermark passes its end and its state is dropped,
+    the form for unbounded streams.
     """
     src = file_stream(spark, in_dir, schema, glob, 1)
     agg = windowed_counts(src, ts, window, watermark, by)
+    shaped = agg.select(F.col("w.start").cast("timestamp_ntz").alias("period_start"),
+                        *[F.col(b) for b in (by or [])], "n")
+    if mode == "append":
+        q = (shaped.writeStream.outputMode("append").format("parquet").option("path", out_dir)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return q
 
     def sink(batch_df: DataFrame, epoch: int):
-        out = batch_df.select(F.col("w.start").cast("timestamp_ntz").alias("period_start"),
-                              *[F.col(b) for b in (by or [])], "n")
-        out.write.mode("overwrite").parquet(out_dir)
+        batch_df.write.mode("overwrite").parquet(out_dir)
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", ckpt)
+    q = (shaped.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
