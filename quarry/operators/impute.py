@@ -45,19 +45,25 @@ def fill_regression(df: DataFrame, y: str, x: str) -> DataFrame:
     return df.withColumn(y, F.coalesce(q(y), F.lit(fit["a"]) + F.lit(fit["b"]) * q(x)))
 
 
-def fill_knn(df: DataFrame, col: str, vec: str, key: str, k: int = 5) -> DataFrame:
+def fill_knn(df: DataFrame, col: str, vec: str, key: str, k: int = 5, nan_aware: bool = False) -> DataFrame:
     """Fill NULLs of ``col`` with the plain mean of the k nearest donors.
 
     Donors are rows with a value; distances on the feature vector are exact
-    (see ``knn_join``).
+    (see ``knn_join``).  With ``nan_aware`` the vector may hold NULLs and the
+    NaN-aware Euclidean distance of the reference imputer is used; a receiver
+    without any donor at a defined distance falls back to the column mean.
     """
     from quarry.operators.joins import knn_join
     donors = df.filter(q(col).isNotNull())
     recv = df.filter(q(col).isNull())
-    nn = knn_join(recv, donors, vec, k, key, key)
+    nn = knn_join(recv, donors, vec, k, key, key, metric="nan_euclidean" if nan_aware else "euclidean")
     dv = donors.select(F.col(key).alias("nn_key"), q(col).alias("__y"))
     fill = nn.join(dv, "nn_key").groupBy(key).agg(F.avg("__y").alias("__fill"))
-    return df.join(fill, key, "left").withColumn(col, F.coalesce(q(col), F.col("__fill"))).drop("__fill")
+    out = df.join(fill, key, "left")
+    if nan_aware:
+        mean = df.select(F.avg(q(col))).first()[0]  # one value
+        out = out.withColumn("__fill", F.coalesce("__fill", F.lit(mean)))
+    return out.withColumn(col, F.coalesce(q(col), F.col("__fill"))).drop("__fill")
 
 
 def knn_rmse_curve(train: DataFrame, test: DataFrame, col: str, vec: str, key: str,

@@ -106,6 +106,31 @@ def i05_knn_fill(spark, d):
     return rounded(impute.fill_knn(e, "y", "embedding", "vec_id", k=5).select("vec_id", "y"))
 
 
+_NAN_DIST = """
+  sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce((z[1] - z[2]) * (z[1] - z[2]), 0.0)))
+       * len(a.v) / nullif(list_sum(list_transform(list_zip(a.v, b.v), lambda z: CASE WHEN z[1] IS NULL OR z[2] IS NULL THEN 0 ELSE 1 END)), 0))
+"""
+
+
+@register("i05_knn_fill_nan_aware", f"""
+WITH b AS (SELECT vec_id,
+             list_transform(generate_series(1, len(embedding)),
+               lambda i: CASE WHEN (vec_id + i) % 9 = 0 THEN NULL ELSE CAST(embedding[i] AS DOUBLE) END) AS v,
+             CASE WHEN vec_id % 5 = 0 THEN NULL ELSE CAST(label AS DOUBLE) END AS y FROM embeddings),
+pairs AS (SELECT a.vec_id, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY {{_NAN_DIST}}, b.vec_id) AS rk
+          FROM b a JOIN b b ON a.y IS NULL AND b.y IS NOT NULL),
+f AS (SELECT vec_id, avg(y) AS fill FROM pairs WHERE rk <= 5 GROUP BY vec_id)
+SELECT b.vec_id, ROUND(coalesce(b.y, f.fill), 6) AS y FROM b LEFT JOIN f ON b.vec_id = f.vec_id
+""".replace("{_NAN_DIST}", _NAN_DIST))
+def i05_knn_fill_nan_aware(spark, d):
+    """k-NN fill with partly missing features and the NaN-aware distance."""
+    e = t(spark, d, "embeddings")
+    v = F.transform(F.col("embedding").cast("array<double>"),
+                    lambda x, i: F.when(F.pmod(F.col("vec_id") + i + 1, F.lit(9)) == 0, F.lit(None)).otherwise(x))
+    b = e.select("vec_id", v.alias("v"), null_when("vec_id", 5, F.col("label").cast("double")).alias("y"))
+    return rounded(impute.fill_knn(b, "y", "v", "vec_id", k=5, nan_aware=True).select("vec_id", "y"))
+
+
 @register("j08_knn_join", f"""
 WITH pairs AS (SELECT a.vec_id, b.vec_id AS nn_key, {_KNN_DIST} AS dist,
                       row_number() OVER (PARTITION BY a.vec_id ORDER BY {_KNN_DIST}, b.vec_id) AS rank

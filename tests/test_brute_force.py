@@ -71,3 +71,26 @@ def test_avg_rank_by_group_many_buckets(spark):
     import pandas as pd
     want = pd.DataFrame({"g": g, "x": x}).groupby("g")["x"].rank(method="average")
     assert np.allclose(got["x_rank"].to_numpy(), want.to_numpy())
+
+
+def test_knn_nan_euclidean_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(120, 5))
+    X[rng.random(X.shape) < 0.2] = np.nan
+    rows = [(i, [None if np.isnan(v) else float(v) for v in x]) for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = knn_join(df, df, "v", 3, "id", "id", exclude_self=True, metric="nan_euclidean", block=40).toPandas()
+    got = got.sort_values(["id", "rank"]).groupby("id")["nn_key"].apply(list).to_dict()
+    want = {}
+    for i in range(len(X)):
+        cand = []
+        for j in range(len(X)):
+            if i == j:
+                continue
+            m = ~np.isnan(X[i]) & ~np.isnan(X[j])
+            if m.sum() == 0:
+                continue
+            d = np.sqrt(((X[i][m] - X[j][m]) ** 2).sum() * X.shape[1] / m.sum())
+            cand.append((d, j))
+        want[i] = [j for _, j in sorted(cand)[:3]]
+    assert got == want
