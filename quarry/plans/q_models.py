@@ -199,3 +199,12 @@ def o05_cleaning_pipeline(spark, d):
                                           .otherwise(F.col("size")))
     x = impute.fill_knn(x, "size2", "v", "p_partkey", k=5)
     return x.drop("v")
+
+
+@register("r02_explain_trees")
+def r02_explain_trees(spark, d):
+    """Path attributions of a boosted-tree model for every line item, top 3 features (R2, trees)."""
+    from quarry.operators import score
+    df = regression_frame(spark, d)
+    m = model.fit_regressor(df, "features", "y", kind="gbt", maxIter=10, maxDepth=3)
+    return score.explain_trees(df, m, FEATS, "rid", combine="sum", n_top=3)

@@ -94,3 +94,25 @@ def test_knn_nan_euclidean_matches_brute_force(spark):
             cand.append((d, j))
         want[i] = [j for _, j in sorted(cand)[:3]]
     assert got == want
+
+
+def test_tree_attributions_add_up_to_prediction(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import model, score
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(300, 3))
+    y = 2 * X[:, 0] - X[:, 1] + 0.1 * rng.normal(size=300)
+    df = spark.createDataFrame([(i, *map(float, x), float(v)) for i, (x, v) in enumerate(zip(X, y))],
+                               ["id", "a", "b", "c", "y"])
+    df = model.assemble(df, ["a", "b", "c"])
+    for kind, combine in (("gbt", "sum"), ("rf", "mean")):
+        m = model.fit_regressor(df, "features", "y", kind=kind, maxDepth=3, **({"maxIter": 5} if kind == "gbt" else {"numTrees": 5}))
+        att = score.explain_trees(df, m, ["a", "b", "c"], "id", combine=combine)
+        pred = m.transform(df).select("id", "prediction")
+        j = att.join(pred, "id").withColumn(
+            "recon", F.col("bias") + sum(F.col(c) for c in att.columns if c.startswith("shap_")))
+        worst = j.select(F.max(F.abs(F.col("recon") - F.col("prediction")))).first()[0]
+        assert worst < 1e-9
+        top = [c for c in att.columns if c.startswith("shap_")]
+        assert top[0] == "shap_a"
