@@ -19,11 +19,12 @@ def _keys(by) -> list[str]:
 
 
 def rank_table(df: DataFrame, col: str, by=None, weights: dict[str, Column] | None = None,
-               n_buckets: int = 200) -> DataFrame:
+               n_buckets: int = 200, cumulative: bool = False) -> DataFrame:
     """Distinct (by, value) rows with count, summed weights and average-tie rank.
 
     ``rank`` is 1-based within ``by`` and averages tied positions.  Only
-    non-null values are ranked.
+    non-null values are ranked.  With ``cumulative``, ``cum_<weight>`` holds
+    the running sum of each weight over all values <= this one.
     """
     keys = _keys(by)
     weights = weights or {}
@@ -44,14 +45,21 @@ def rank_table(df: DataFrame, col: str, by=None, weights: dict[str, Column] | No
     cnt = cnt.withColumn("__b", F.size(F.filter(e, lambda x: x < F.col("__v"))))
     if keys:
         cnt = cnt.drop("__e")
-    btot = cnt.groupBy(*keys, "__b").agg(F.sum("cnt").alias("__bt"))
+    btot = cnt.groupBy(*keys, "__b").agg(F.sum("cnt").alias("__bt"), *[F.sum(n).alias(n) for n in weights])
+    btot_w = btot
     wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    btot = btot.withColumn("__off", F.coalesce(F.sum("__bt").over(wb), F.lit(0))).drop("__bt")
+    btot = btot.withColumn("__off", F.coalesce(F.sum("__bt").over(wb), F.lit(0))).drop("__bt", *weights)
     wi = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     r = cnt.join(btot, [*keys, "__b"]).withColumn("__cum", F.sum("cnt").over(wi))
     rank = F.col("__off") + F.col("__cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0
+    extra = []
+    if cumulative:
+        # running sums of each weight up to and including the value, across buckets
+        wsum = btot_w.withColumn("__bw", F.struct(*[F.coalesce(F.sum(n).over(wb), F.lit(0)).alias(n) for n in weights]))
+        r = r.join(wsum.select(*keys, "__b", "__bw"), [*keys, "__b"])
+        extra = [(F.col("__bw")[n] + F.sum(n).over(wi)).alias(f"cum_{n}") for n in weights]
     return r.select(*[q(k) for k in keys], F.col("__v").alias(col), "cnt", *weights.keys(),
-                    rank.cast("double").alias("rank"))
+                    rank.cast("double").alias("rank"), *extra)
 
 
 def avg_rank(df: DataFrame, col: str, by=None, out: str | None = None,

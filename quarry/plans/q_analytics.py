@@ -535,6 +535,23 @@ def h07_drift(spark, d):
     return rounded(stats.drift(ref, cur, ["o_totalprice"], ["o_orderpriority"]), 6, ["score"])
 
 
+@register("h07_ks_two_sample", """
+WITH ref AS (SELECT o_totalprice AS x FROM orders WHERE year(o_orderdate) <= 1997),
+cur AS (SELECT o_totalprice AS x FROM orders WHERE year(o_orderdate) >= 1999),
+v AS (SELECT x, count(*) FILTER (WHERE s = 1) AS r, count(*) FILTER (WHERE s = 2) AS c
+      FROM (SELECT x, 1 AS s FROM ref UNION ALL SELECT x, 2 FROM cur) GROUP BY x),
+cum AS (SELECT sum(r) OVER (ORDER BY x) AS cr, sum(c) OVER (ORDER BY x) AS cc FROM v)
+SELECT 'o_totalprice' AS column_name,
+       ROUND(max(abs(cr / (SELECT count(*) FROM ref) - cc / (SELECT count(*) FROM cur))), 9) AS score FROM cum
+""")
+def h07_ks_two_sample(spark, d):
+    """Two-sample KS statistic between an early and a late period (H7)."""
+    o = t(spark, d, "orders")
+    ref = o.filter(F.year("o_orderdate") <= 1997)
+    cur = o.filter(F.year("o_orderdate") >= 1999)
+    return rounded(stats.ks_two_sample(ref, cur, "o_totalprice"), 9)
+
+
 # ------------------------------------------------------------------ metrics
 
 @register("m09_regression_metrics", """

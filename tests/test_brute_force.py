@@ -116,3 +116,17 @@ def test_tree_attributions_add_up_to_prediction(spark):
         assert worst < 1e-9
         top = [c for c in att.columns if c.startswith("shap_")]
         assert top[0] == "shap_a"
+
+
+def test_ks_two_sample_matches_numpy(spark):
+    from quarry.operators import stats
+    rng = np.random.default_rng(7)
+    a = np.round(rng.normal(size=400), 1)
+    b = np.round(rng.normal(0.3, 1.2, size=300), 1)
+    A = spark.createDataFrame([(float(x),) for x in a], ["x"])
+    B = spark.createDataFrame([(float(x),) for x in b], ["x"])
+    got = stats.ks_two_sample(A, B, "x", n_buckets=5).first()["score"]
+    grid = np.union1d(a, b)
+    want = np.max(np.abs(np.searchsorted(np.sort(a), grid, "right") / len(a)
+                         - np.searchsorted(np.sort(b), grid, "right") / len(b)))
+    assert abs(got - want) < 1e-12
