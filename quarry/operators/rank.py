@@ -120,13 +120,15 @@ def one_per_category(df: DataFrame, category: str, key: str, seed: int = 42) ->
 def cumulative_share(df: DataFrame, order_col: str, value_col: str, threshold: float | None = None) -> DataFrame:
     """Cumulative share of a value along an order on a small (k-row) table.
 
-    With a threshold, flags the first row whose cumulative share reaches it.
+    With a threshold, flags the first row whose cumulative share reaches it
+    (NULL everywhere if none does). Lazy: the total and the first index are
+    whole-table windows, so the source plan runs once.
     """
-    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    total = df.select(F.sum(value_col)).scalar()
-    out = df.withColumn("cum_share", F.sum(value_col).over(w) / total)
+    run = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy()
+    out = df.withColumn("cum_share", F.sum(value_col).over(run) / F.sum(value_col).over(whole))
     if threshold is not None:
-        first = out.filter(F.col("cum_share") >= threshold).select(F.min(order_col)).scalar()
+        first = F.min(F.when(F.col("cum_share") >= threshold, F.col(order_col))).over(whole)
         out = out.withColumn("reaches", F.col(order_col) == first)
     return out
 

@@ -67,7 +67,7 @@ def text_classifier(text: str, label: str, binary: bool = True, max_df: float =
     from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StringIndexer
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc"),
-        RegexTokenizer(inputCol=text, outputCol="__tok", pattern=r"\b\w\w+\b", gaps=False, toLowercase=True),
+        RegexTokenizer(inputCol=text, outputCol="__tok", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
         CountVectorizer(inputCol="__tok", outputCol="__tf", binary=binary, maxDF=max_df),
         LogisticRegression(featuresCol="__tf", labelCol="__y", family="multinomial", maxIter=max_iter,
                            regParam=reg),

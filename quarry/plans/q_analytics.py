@@ -305,8 +305,8 @@ def e06_minmax(spark, d):
 def e08_preprocessing_pipeline(spark, d):
     """Ordinal + standardised + pass-through pipeline fitted on one split, applied to the other."""
     p = t(spark, d, "part")
-    train = p.filter(F.pmod("p_partkey", F.lit(5)) != 0)
-    test = p.filter(F.pmod("p_partkey", F.lit(5)) == 0)
+    split = sample.random_split(p, "p_partkey", [0.8, 0.2])  # seeded hash split
+    train, test = split.filter("split = 0").drop("split"), split.filter("split = 1").drop("split")
     pipe = encode.preprocessing_pipeline(["p_type", "p_brand"], ["p_retailprice"], ["p_size"])
     from pyspark.ml.functions import vector_to_array
     return pipe.fit(train).transform(test).select("p_partkey", vector_to_array("features").alias("features"))

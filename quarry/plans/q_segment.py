@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as fc
-from quarry.operators import cluster, score, textclf
+from quarry.operators import cluster, sample, score, textclf
 from quarry.plans.registry import register, rnd, rounded, t
 from quarry.sources import io
 from quarry.streaming import stream
@@ -305,9 +305,9 @@ def c10_bag_of_words(spark, d):
 ASCII_SQL = "regexp_replace(text, '[^a-zA-Z0-9_ ]', ' ', 'g')"
 
 
-def ascii_docs(spark, d):
-    docs = t(spark, d, "documents")
-    return docs.select("doc_id", "lang", F.regexp_replace("text", "[^a-zA-Z0-9_ ]", " ").alias("text"))
+def lang_docs(spark, d):
+    """Whole documents with their language label (classifier input)."""
+    return t(spark, d, "documents").select("doc_id", "lang", "text")
 
 
 _TERMS_SQL = f"""
@@ -343,9 +343,9 @@ LANGS = ["de", "en", "es", "fr"]
 @register("q03_top_k_classes")
 def q03_top_k_classes(spark, d):
     """Logistic regression on terms, top-3 languages per document (M8, Q3)."""
-    docs = ascii_docs(spark, d)
-    train = docs.filter(F.pmod("doc_id", F.lit(4)) != 0)
-    test = docs.filter(F.pmod("doc_id", F.lit(4)) == 0)
+    docs = lang_docs(spark, d)
+    split = sample.random_split(docs, "doc_id", [0.75, 0.25])  # seeded hash split
+    train, test = split.filter("split = 0").drop("split"), split.filter("split = 1").drop("split")
     m = textclf.text_classifier("text", "lang", max_iter=20).fit(train)
     labels = m.stages[0].labels
     pred = m.transform(test)
@@ -472,9 +472,9 @@ def q07_call_model(spark, d):
 @register("q08_comparison_grid")
 def q08_comparison_grid(spark, d):
     """Representation x k comparison grid into a runs table."""
-    docs = ascii_docs(spark, d)
-    train = docs.filter(F.pmod("doc_id", F.lit(4)) != 0)
-    test = docs.filter(F.pmod("doc_id", F.lit(4)) == 0)
+    docs = lang_docs(spark, d)
+    split = sample.random_split(docs, "doc_id", [0.75, 0.25])  # seeded hash split
+    train, test = split.filter("split = 0").drop("split"), split.filter("split = 1").drop("split")
     rows = []
     for binary in (True, False):
         m = textclf.text_classifier("text", "lang", binary=binary, max_iter=10).fit(train)
@@ -738,7 +738,7 @@ def s11_metrics_report(spark, d):
 def s12_model_roundtrip(spark, d):
     """Save and reload a fitted pipeline; predictions must match."""
     from pyspark.ml import PipelineModel
-    docs = ascii_docs(spark, d)
+    docs = lang_docs(spark, d)
     m = textclf.text_classifier("text", "lang", max_iter=5).fit(docs)
     path = stream.scratch(spark, "s12")
     m.write().overwrite().save(path)
