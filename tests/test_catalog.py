@@ -16,7 +16,8 @@ SUBSET = ["a24_seller_revenue", "a28_order_extract", "c01_rfm_segments", "f11_de
           "w03_avg_rank", "m11_auc", "m14_threshold_sweep", "h02_kruskal_h", "e04_target_encode",
           "q02_tfidf", "x06_parse_labels", "c05_silhouette", "c08_adjusted_rand", "r01_score", "j08_knn_join",
           "g02_periodic_counts", "p07_stratified_kfold_counts", "i02_cascade_fill", "o02_iqr_sequential",
-          "c09_cluster_stability", "h04_spearman"]
+          "c09_cluster_stability", "h04_spearman", "w06_cumulative_share", "w07_running_best",
+          "j02_chained_left_joins", "x10_tokenise", "s09_sql_over_views", "a18_group_centroid", "t02_top_bottom_n"]
 
 
 def norm(v):

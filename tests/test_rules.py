@@ -137,3 +137,19 @@ def test_parse_labels_reference_examples(spark):
 def test_reciprocal_rank(spark):
     df = spark.createDataFrame([("a", ["b", "a"]), ("c", ["a"]), ("a", ["a"])], "t string, p array<string>")
     assert [r[0] for r in df.select(fc.reciprocal_rank("t", "p")).collect()] == [0.5, 0.0, 1.0]
+
+
+def test_cumulative_share_first_reaching_and_never_reached(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 3.0), (3, 2.0)], "pos int, v double")
+    out = {r["pos"]: r for r in rank.cumulative_share(df, "pos", "v", threshold=0.8).collect()}
+    assert [round(out[i]["cum_share"], 9) for i in (1, 2, 3)] == [0.5, 0.8, 1.0]
+    assert [out[i]["reaches"] for i in (1, 2, 3)] == [False, True, False]
+    none = rank.cumulative_share(df, "pos", "v", threshold=1.5).collect()
+    assert all(r["reaches"] is None for r in none)
+
+
+def test_running_best_marks_only_strict_improvements(spark):
+    df = spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 2.0), (4, 1.0)], "trial int, cost double")
+    out = rank.running_best(df, "trial", "cost", higher_is_better=False).orderBy("trial").collect()
+    assert [r["prev_best"] for r in out] == [None, 3.0, 2.0, 2.0]
+    assert [r["is_new_best"] for r in out] == [True, True, False, True]
