@@ -23,16 +23,19 @@ def test_knn_exact_clustered_and_uniform(spark):
     X[10] = X[11]  # exact tie
     keys = list(range(300))
     df = spark.createDataFrame([(k, [float(v) for v in x]) for k, x in zip(keys, X)], "id bigint, v array<double>")
-    got = knn_join(df, df, "v", 4, "id", "id", exclude_self=True, block=50).toPandas()
-    got = got.sort_values(["id", "rank"]).groupby("id")["nn_key"].apply(list).to_dict()
-    assert got == brute_knn(X, keys, X, keys, 4, True)
+    want = brute_knn(X, keys, X, keys, 4, True)
+    for brute_pairs in (0, 10**9):  # region search, then the size-checked all-blocks path
+        got = knn_join(df, df, "v", 4, "id", "id", exclude_self=True, block=50, brute_pairs=brute_pairs).toPandas()
+        got = got.sort_values(["id", "rank"]).groupby("id")["nn_key"].apply(list).to_dict()
+        assert got == want
 
 
 def test_knn_fewer_right_rows_than_k(spark):
     left = spark.createDataFrame([(1, [0.0, 0.0]), (2, [5.0, 5.0])], "id bigint, v array<double>")
     right = spark.createDataFrame([(7, [1.0, 0.0]), (8, [4.0, 4.0])], "id bigint, v array<double>")
-    got = knn_join(left, right, "v", 3, "id", "id").orderBy("id", "rank").collect()
-    assert [(r["id"], r["nn_key"]) for r in got] == [(1, 7), (1, 8), (2, 8), (2, 7)]
+    for brute_pairs in (0, 10**9):
+        got = knn_join(left, right, "v", 3, "id", "id", brute_pairs=brute_pairs).orderBy("id", "rank").collect()
+        assert [(r["id"], r["nn_key"]) for r in got] == [(1, 7), (1, 8), (2, 8), (2, 7)]
 
 
 def test_auc_with_ties_matches_pairwise(spark):
