@@ -113,16 +113,73 @@ def hierarchy_counts(df: DataFrame, parent: str, child: str) -> DataFrame:
                                                F.grouping_id().alias("level")))
 
 
+def exact_percentiles(df: DataFrame, col: str, qs: list[float], by=None) -> DataFrame:
+    """Exact percentiles with linear interpolation, long form (keys, pos, value).
+
+    Same values as ``percentile`` (position (n-1)q, interpolated between the
+    values at its floor and ceiling), but no task holds a group's distinct
+    values: per-value counts are split into approximate-quantile buckets
+    that sort in their own tasks (``rank_table``), which gives each distinct
+    value its position range.  The 2 x len(qs) target positions per group are
+    then looked up with a range join; without keys that side is a proven
+    2 x len(qs) rows and is broadcast.  Groups without values give NULL.
+    """
+    from pyspark.sql.functions import broadcast
+
+    from quarry.operators.rank import rank_table
+    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    rt = rank_table(df, col, keys or None)
+    first = (F.col("rank") - (F.col("cnt") + 1) / 2.0).cast("long")
+    rt = rt.select(*[q(k) for k in keys], F.col(f"`{col}`").cast("double").alias("__x"),
+                   first.alias("__p0"), (first + F.col("cnt") - 1).alias("__p1"))
+    n = (df.groupBy(*[q(k) for k in keys]) if keys else df).agg(F.count(q(col)).alias("__n"))
+    pos = (F.col("__n") - 1) * F.col("__q")
+    tg = n.select(*[q(k) for k in keys], "__n", F.posexplode(F.array(*[F.lit(float(x)) for x in qs])).alias("pos", "__q"))
+    tg = tg.select(*[q(k) for k in keys], "pos", pos.alias("__h"),
+                   F.posexplode(F.array(F.floor(pos).cast("long"), F.ceil(pos).cast("long"))).alias("__w", "__t"))
+    tg = tg.withColumn("__hi", F.col("__w") == 1).drop("__w")
+    hit = (F.col("__t") >= F.col("__p0")) & (F.col("__t") <= F.col("__p1"))
+    if keys:
+        cond = [tg[k] == rt[k] for k in keys] + [hit]
+        j = tg.join(rt, cond, "left").select(*[tg[k] for k in keys], "pos", "__h", "__t", "__hi", "__x")
+    else:
+        j = broadcast(tg).join(rt, hit, "left")
+    g = j.groupBy(*[q(k) for k in keys], "pos", "__h").agg(
+        F.max(F.when(~F.col("__hi"), F.col("__x"))).alias("__lo"),
+        F.max(F.when(F.col("__hi"), F.col("__x"))).alias("__up"))
+    lo, up = F.floor("__h"), F.ceil("__h")
+    val = F.when(lo == up, F.col("__lo")).otherwise((up - F.col("__h")) * F.col("__lo") + (F.col("__h") - lo) * F.col("__up"))
+    return g.select(*[q(k) for k in keys], F.col("pos").cast("int").alias("pos"), val.alias("value"))
+
+
+def exact_percentile_values(df: DataFrame, col: str, qs: list[float]) -> list:
+    """Global exact percentiles as a Python list (len(qs) numbers reach the driver)."""
+    rows = exact_percentiles(df, col, qs).collect()
+    out = [None] * len(qs)
+    for r in rows:
+        out[r["pos"]] = r["value"]
+    return out
+
+
 def quantiles(df: DataFrame, cols: list[str], qs: list[float], by=None,
               approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """Exact (linear interpolation) or approximate quantiles, long form.
 
-    Exact mode keeps a value -> count map per group; use ``approx`` for
-    high-cardinality continuous columns at scale.
+    Exact mode is ``exact_percentiles`` (bucketed, no group's distinct values
+    in one task); ``approx`` gives the one-pass sketch.
     """
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    arr = F.array(*[F.lit(x) for x in qs])
-    fn = (lambda c: F.percentile_approx(q(c), arr, accuracy)) if approx else (lambda c: F.percentile(q(c), arr))
+    qarr = F.array(*[F.lit(x) for x in qs])
+    if not approx:
+        parts = [exact_percentiles(df, c, qs, keys or None).select(
+            *[q(k) for k in keys], F.lit(c).alias("column_name"), qarr[F.col("pos")].alias("quantile"),
+            F.col("value").cast("double").alias("value")) for c in cols]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    arr = qarr
+    fn = lambda c: F.percentile_approx(q(c), arr, accuracy)
     g = df.groupBy(*[q(k) for k in keys]) if keys else df
     one = g.agg(*[fn(c).alias(f"q{i}") for i, c in enumerate(cols)])
     parts = []
@@ -138,14 +195,14 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by=None,
 
 
 def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5, by=None) -> DataFrame:
-    """q1, q3, IQR and the factor*IQR fences per column (A14) in one pass."""
+    """q1, q3, IQR and the factor*IQR fences per column (A14), exact and distributed."""
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    g = df.groupBy(*[q(k) for k in keys]) if keys else df
-    one = g.agg(*[F.percentile(q(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"b{i}")
-                  for i, c in enumerate(cols)])
-    parts = [one.select(*[q(k) for k in keys], F.lit(c).alias("column_name"),
-                        F.col(f"b{i}")[0].alias("q1"), F.col(f"b{i}")[1].alias("q3"))
-             for i, c in enumerate(cols)]
+    parts = []
+    for c in cols:
+        pc = exact_percentiles(df, c, [0.25, 0.75], keys or None)
+        pc = pc.groupBy(*[q(k) for k in keys]).agg(F.max(F.when(F.col("pos") == 0, F.col("value"))).alias("q1"),
+                                                   F.max(F.when(F.col("pos") == 1, F.col("value"))).alias("q3"))
+        parts.append(pc.select(*[q(k) for k in keys], F.lit(c).alias("column_name"), "q1", "q3"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -135,10 +135,10 @@ def fill_iterative(df: DataFrame, cols: list[str], rounds: int = 10, ridge: floa
 # ---------------------------------------------------------------- outliers
 
 def _iqr_bounds_row(df: DataFrame, cols: list[str], factor: float):
-    b = df.agg(*[F.percentile(q(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in cols]).first()
+    from quarry.operators.agg import exact_percentile_values
     out = {}
     for c in cols:
-        q1, q3 = b[c][0], b[c][1]
+        q1, q3 = exact_percentile_values(df, c, [0.25, 0.75])  # two numbers per column
         out[c] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return out
 
@@ -165,7 +165,8 @@ def iqr_filter_sequential(df: DataFrame, cols: list[str], factor: float = 1.5) -
 
 def quantile_filter(df: DataFrame, col: str, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
     """Keep rows between two quantiles of a column, inclusive (O3)."""
-    arr = df.select(F.percentile(q(col), F.array(F.lit(lo), F.lit(hi)))).first()[0]  # two values
+    from quarry.operators.agg import exact_percentile_values
+    arr = exact_percentile_values(df, col, [lo, hi])  # two values
     return df.filter(q(col).between(F.lit(arr[0]), F.lit(arr[1])))
 
 

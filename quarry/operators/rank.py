@@ -80,8 +80,9 @@ def qcut(df: DataFrame, col: str, q_: int, labels: list | None = None, out: str
     """
     labels = labels if labels is not None else list(range(q_))
     if edges is None:
-        fr = F.array(*[F.lit(i / q_) for i in range(q_ + 1)])
-        edges = df.select(F.percentile(q(col), fr)).first()[0]
+        from quarry.operators.agg import exact_percentile_values
+        vals = exact_percentile_values(df, col, [i / q_ for i in range(q_ + 1)])  # q_ + 1 numbers
+        edges = None if vals[0] is None else vals
     if edges is None:
         return df.withColumn(out or f"{col}_bin", F.lit(None))
     if len(set(edges)) != q_ + 1:

@@ -184,9 +184,9 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
 
 def psi_numeric(ref: DataFrame, cur: DataFrame, col: str, bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """Population stability index of one numeric column over reference quantile bins (H7)."""
-    fr = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    from quarry.operators.agg import exact_percentile_values
     # bins - 1 edge values (bounded) come back as a literal array
-    edges = ref.select(F.percentile(q(col), fr)).first()[0]
+    edges = exact_percentile_values(ref, col, [i / bins for i in range(1, bins)])
     b = F.size(F.filter(F.array(*[F.lit(float(x)) for x in edges]), lambda e: e < q(col)))
     pr = ref.filter(q(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("nr"))
     pc = cur.filter(q(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("nc"))
