@@ -113,7 +113,8 @@ def hierarchy_counts(df: DataFrame, parent: str, child: str) -> DataFrame:
                                                F.grouping_id().alias("level")))
 
 
-def exact_percentiles(df: DataFrame, col: str, qs: list[float], by=None) -> DataFrame:
+def exact_percentiles(df: DataFrame, col: str, qs: list[float], by=None,
+                      max_map: int = 1_000_000) -> DataFrame:
     """Exact percentiles with linear interpolation, long form (keys, pos, value).
 
     Same values as ``percentile`` (position (n-1)q, interpolated between the
@@ -123,11 +124,27 @@ def exact_percentiles(df: DataFrame, col: str, qs: list[float], by=None) -> Data
     value its position range.  The 2 x len(qs) target positions per group are
     then looked up with a range join; without keys that side is a proven
     2 x len(qs) rows and is broadcast.  Groups without values give NULL.
+
+    Size check: if an HLL estimate (plus 10 %) of the distinct values of the
+    largest group is at most ``max_map``, the one-pass ``percentile``
+    aggregate is used instead; its per-task value -> count map is then
+    bounded by that size.  Both paths give the same exact values.
     """
     from pyspark.sql.functions import broadcast
 
     from quarry.operators.rank import rank_table
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    ndv = F.approx_count_distinct(q(col), 0.05)
+    est = (df.groupBy(*[q(k) for k in keys]).agg(ndv.alias("__d")).select(F.max("__d")) if keys
+           else df.select(ndv)).first()[0] or 0  # one number
+    if est * 1.1 <= max_map:
+        arr = F.array(*[F.lit(float(x)) for x in qs])
+        g = (df.groupBy(*[q(k) for k in keys]) if keys else df).agg(F.percentile(q(col), arr).alias("__p"))
+        # a group without values: one NULL per quantile, as the bucketed path gives
+        nulls = F.array_repeat(F.lit(None).cast("double"), len(qs))
+        g = g.select(*[q(k) for k in keys], F.posexplode(F.coalesce(F.col("__p"), nulls)).alias("pos", "value"))
+        return g.select(*[q(k) for k in keys], F.col("pos").cast("int").alias("pos"),
+                        F.col("value").cast("double").alias("value"))
     rt = rank_table(df, col, keys or None)
     first = (F.col("rank") - (F.col("cnt") + 1) / 2.0).cast("long")
     rt = rt.select(*[q(k) for k in keys], F.col(f"`{col}`").cast("double").alias("__x"),

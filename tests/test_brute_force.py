@@ -142,8 +142,9 @@ def test_exact_percentiles_match_numpy_with_ties_and_groups(spark):
     rows = [(int(i % 3), float(v) if i % 17 else None) for i, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "g int, x double").repartition(5)
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {(r["g"], r["pos"]): r["value"] for r in exact_percentiles(df, "x", qs, by="g").collect()}
-    for g in range(3):
-        xs = np.array([x for k, x in rows if k == g and x is not None])
-        want = np.quantile(xs, qs)
-        assert all(abs(got[(g, i)] - w) < 1e-9 for i, w in enumerate(want))
+    for max_map in (0, 10**6):  # bucketed path, then the size-checked one-pass path
+        got = {(r["g"], r["pos"]): r["value"] for r in exact_percentiles(df, "x", qs, "g", max_map).collect()}
+        for g in range(3):
+            xs = np.array([x for k, x in rows if k == g and x is not None])
+            want = np.quantile(xs, qs)
+            assert all(abs(got[(g, i)] - w) < 1e-9 for i, w in enumerate(want))
