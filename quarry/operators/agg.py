@@ -134,17 +134,8 @@ def exact_percentiles(df: DataFrame, col: str, qs: list[float], by=None,
 
     from quarry.operators.rank import rank_table
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    ndv = F.approx_count_distinct(q(col), 0.05)
-    est = (df.groupBy(*[q(k) for k in keys]).agg(ndv.alias("__d")).select(F.max("__d")) if keys
-           else df.select(ndv)).first()[0] or 0  # one number
-    if est * 1.1 <= max_map:
-        arr = F.array(*[F.lit(float(x)) for x in qs])
-        g = (df.groupBy(*[q(k) for k in keys]) if keys else df).agg(F.percentile(q(col), arr).alias("__p"))
-        # a group without values: one NULL per quantile, as the bucketed path gives
-        nulls = F.array_repeat(F.lit(None).cast("double"), len(qs))
-        g = g.select(*[q(k) for k in keys], F.posexplode(F.coalesce(F.col("__p"), nulls)).alias("pos", "value"))
-        return g.select(*[q(k) for k in keys], F.col("pos").cast("int").alias("pos"),
-                        F.col("value").cast("double").alias("value"))
+    if max_map > 0:
+        return percentiles_long(df, [col], qs, keys or None, max_map).drop("column_name")
     rt = rank_table(df, col, keys or None)
     first = (F.col("rank") - (F.col("cnt") + 1) / 2.0).cast("long")
     rt = rt.select(*[q(k) for k in keys], F.col(f"`{col}`").cast("double").alias("__x"),
@@ -169,6 +160,42 @@ def exact_percentiles(df: DataFrame, col: str, qs: list[float], by=None,
     return g.select(*[q(k) for k in keys], F.col("pos").cast("int").alias("pos"), val.alias("value"))
 
 
+def percentiles_long(df: DataFrame, cols: list[str], qs: list[float], by=None,
+                     max_map: int = 1_000_000) -> DataFrame:
+    """Exact percentiles of several columns, long form (keys, column_name, pos, value).
+
+    One HLL job estimates every column's distinct values in its largest
+    group; the columns within ``max_map`` share one ``percentile`` aggregate
+    pass (bounded value maps), the others take the bucketed path of
+    ``exact_percentiles``.
+    """
+    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    gk = [q(k) for k in keys]
+    ndvs = [F.approx_count_distinct(q(c), 0.05).alias(f"__d{i}") for i, c in enumerate(cols)]
+    if keys:
+        est = df.groupBy(*gk).agg(*ndvs).agg(*[F.max(f"__d{i}").alias(f"__d{i}") for i in range(len(cols))]).first()
+    else:
+        est = df.agg(*ndvs).first()  # len(cols) numbers
+    small = [c for i, c in enumerate(cols) if (est[f"__d{i}"] or 0) * 1.1 <= max_map]
+    parts = []
+    if small:
+        arr = F.array(*[F.lit(float(x)) for x in qs])
+        nulls = F.array_repeat(F.lit(None).cast("double"), len(qs))  # a group without values
+        g = (df.groupBy(*gk) if keys else df).agg(*[F.percentile(q(c), arr).alias(f"__p{i}")
+                                                    for i, c in enumerate(small)])
+        parts += [g.select(*gk, F.lit(c).alias("column_name"),
+                           F.posexplode(F.coalesce(F.col(f"__p{i}"), nulls)).alias("pos", "value"))
+                  for i, c in enumerate(small)]
+    parts += [exact_percentiles(df, c, qs, keys or None, max_map=0).select(*gk, F.lit(c).alias("column_name"),
+                                                                          "pos", "value")
+              for c in cols if c not in small]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*gk, "column_name", F.col("pos").cast("int").alias("pos"),
+                      F.col("value").cast("double").alias("value"))
+
+
 def exact_percentile_values(df: DataFrame, col: str, qs: list[float]) -> list:
     """Global exact percentiles as a Python list (len(qs) numbers reach the driver)."""
     rows = exact_percentiles(df, col, qs).collect()
@@ -188,13 +215,8 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by=None,
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
     qarr = F.array(*[F.lit(x) for x in qs])
     if not approx:
-        parts = [exact_percentiles(df, c, qs, keys or None).select(
-            *[q(k) for k in keys], F.lit(c).alias("column_name"), qarr[F.col("pos")].alias("quantile"),
-            F.col("value").cast("double").alias("value")) for c in cols]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return percentiles_long(df, cols, qs, keys or None).select(
+            *[q(k) for k in keys], "column_name", qarr[F.col("pos")].alias("quantile"), "value")
     arr = qarr
     fn = lambda c: F.percentile_approx(q(c), arr, accuracy)
     g = df.groupBy(*[q(k) for k in keys]) if keys else df
@@ -214,12 +236,11 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by=None,
 def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5, by=None) -> DataFrame:
     """q1, q3, IQR and the factor*IQR fences per column (A14), exact and distributed."""
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    parts = []
-    for c in cols:
-        pc = exact_percentiles(df, c, [0.25, 0.75], keys or None)
-        pc = pc.groupBy(*[q(k) for k in keys]).agg(F.max(F.when(F.col("pos") == 0, F.col("value"))).alias("q1"),
-                                                   F.max(F.when(F.col("pos") == 1, F.col("value"))).alias("q3"))
-        parts.append(pc.select(*[q(k) for k in keys], F.lit(c).alias("column_name"), "q1", "q3"))
+    pc = percentiles_long(df, cols, [0.25, 0.75], keys or None)
+    out = pc.groupBy(*[q(k) for k in keys], "column_name").agg(
+        F.max(F.when(F.col("pos") == 0, F.col("value"))).alias("q1"),
+        F.max(F.when(F.col("pos") == 1, F.col("value"))).alias("q3"))
+    parts = [out.select(*[q(k) for k in keys], "column_name", "q1", "q3")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -135,10 +135,12 @@ def fill_iterative(df: DataFrame, cols: list[str], rounds: int = 10, ridge: floa
 # ---------------------------------------------------------------- outliers
 
 def _iqr_bounds_row(df: DataFrame, cols: list[str], factor: float):
-    from quarry.operators.agg import exact_percentile_values
+    from quarry.operators.agg import percentiles_long
+    got = {(r["column_name"], r["pos"]): r["value"]
+           for r in percentiles_long(df, cols, [0.25, 0.75]).collect()}  # two numbers per column
     out = {}
     for c in cols:
-        q1, q3 = exact_percentile_values(df, c, [0.25, 0.75])  # two numbers per column
+        q1, q3 = got[(c, 0)], got[(c, 1)]
         out[c] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return out
 
