@@ -255,11 +255,10 @@ def box_stats(df: DataFrame, group: str, col: str, factor: float = 1.5) -> DataF
     Quartiles per group (aggregate), joined back on the group to find the
     whisker ends (extreme values inside the fences) and the outlier count.
     """
-    qs = df.groupBy(q(group)).agg(
-        F.percentile(q(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__p"),
-        F.count(q(col)).alias("n"))
-    qs = qs.select(q(group), "n", F.col("__p")[0].alias("q1"), F.col("__p")[1].alias("median"),
-                   F.col("__p")[2].alias("q3"))
+    pc = percentiles_long(df, [col], [0.25, 0.5, 0.75], group)
+    qs = pc.groupBy(q(group)).agg(*[F.max(F.when(F.col("pos") == i, F.col("value"))).alias(n)
+                                    for i, n in enumerate(["q1", "median", "q3"])])
+    qs = qs.join(df.groupBy(q(group)).agg(F.count(q(col)).alias("n")), group)
     iqr = F.col("q3") - F.col("q1")
     qs = qs.withColumn("lo_fence", F.col("q1") - factor * iqr).withColumn("hi_fence", F.col("q3") + factor * iqr)
     x = q(col)

@@ -51,10 +51,13 @@ def rfm(df: DataFrame, id_col: str, ts: str, amount: str, f_edges: list, r_label
                                   F.sum(q(amount)).alias("Monetary"), *[v.alias(k) for k, v in (extra or {}).items()])
     g = g.withColumn("Recency", F.floor(frac_days(today, "last_order_date")).cast("long"))
     g = cut(g, "Frequency", f_edges, list(range(1, len(f_edges))), out="F_score")
-    fr = F.array(*[F.lit(i / 5) for i in range(6)])
-    e = g.agg(F.percentile("Recency", fr).alias("r"), F.percentile("Monetary", fr).alias("m")).first()  # 12 numbers
-    g = qcut(g, "Recency", 5, list(r_labels), out="R_score", edges=e["r"])
-    g = qcut(g, "Monetary", 5, list(m_labels), out="M_score", edges=e["m"])
+    from quarry.operators.agg import percentiles_long
+    e = {"Recency": [None] * 6, "Monetary": [None] * 6}
+    for r in percentiles_long(g, ["Recency", "Monetary"], [i / 5 for i in range(6)]).collect():  # 12 numbers
+        e[r["column_name"]][r["pos"]] = r["value"]
+    edges = {c: (v if v[0] is not None else None) for c, v in e.items()}  # no rows: qcut gives NULL bins
+    g = qcut(g, "Recency", 5, list(r_labels), out="R_score", edges=edges["Recency"])
+    g = qcut(g, "Monetary", 5, list(m_labels), out="M_score", edges=edges["Monetary"])
     g = g.withColumn("RFM_Score", F.col("R_score") + F.col("F_score") + F.col("M_score"))
     return g.withColumn("Segment", segment(F.col("RFM_Score")))
 
