@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import columns as fc
 from quarry.operators import rank, sample, score, shape, textclf
-from quarry.plans.registry import register, rnd, rounded, t
+from quarry.plans.registry import register, rnd, t
 from quarry.sources import io
 
 
