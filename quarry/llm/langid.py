@@ -55,7 +55,7 @@ def trigrams(buf: np.ndarray, off: np.ndarray):
 
 def _has_letter(buf, off) -> np.ndarray:
     raw, edges = buf.tobytes(), off.tolist()
-    return np.array([_LETTER.search(raw[a:b].decode()) is not None for a, b in zip(edges, edges[1:])], bool)
+    return np.array([any(m[0].isalpha() for m in _LETTER.finditer(raw[a:b].decode())) for a, b in zip(edges, edges[1:])], bool)
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -151,14 +151,14 @@ def infer(buf, off, table: np.ndarray, span: int, penalty: float, rounds: int):
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, span: int = 6, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
-    """doc_id, key-free prediction columns lang_pred, score, languages (array), proportions (array, same order) for every row, other columns kept.
+    """``docs`` with lang_pred, score, languages and proportions (arrays, largest first) in place of text.
 
     score is the share of the document's words that fall to the predicted
     language when every language takes part.
     """
     keep = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in keep]
-    out = [free for free in ("lang_pred", "score", "languages", "proportions")]
+    out = ["lang_pred", "score", "languages", "proportions"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep),
                         "lang_pred string, score double, languages array<string>, proportions array<double>"])
     model = docs.sparkSession.sparkContext.broadcast(table)
