@@ -2,15 +2,16 @@
 
 All grouped statistics are single ``groupBy().agg`` passes (partial
 aggregation map-side, so a hot key is combined before the shuffle).  Totals
-and global bounds are scalar subqueries, never driver round trips.
+used inside a plan are scalar subqueries; bin edges and month grids take one
+row of bounds to the driver while the plan is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.shape import q
+from quarry.operators.shape import buckets_for, join_keys, q
 
 # pandas-style aggregate names -> Spark aggregate builders (D2 sum of nothing
 # is 0 when the group has rows; D7 variance is the sample variance).
@@ -113,87 +114,53 @@ def hierarchy_counts(df: DataFrame, parent: str, child: str) -> DataFrame:
                                                F.grouping_id().alias("level")))
 
 
-def exact_percentiles(df: DataFrame, col: str, qs: list[float], by=None,
-                      max_map: int = 1_000_000) -> DataFrame:
-    """Exact percentiles with linear interpolation, long form (keys, pos, value).
+def exact_percentiles(df: DataFrame, col: str, qs: list[float], by=None, n_buckets: int | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation, long form (keys, pos, value)."""
+    return percentiles_long(df, [col], qs, by, n_buckets).drop("column_name")
 
-    Same values as ``percentile`` (position (n-1)q, interpolated between the
-    values at its floor and ceiling), but no task holds a group's distinct
-    values: per-value counts are split into approximate-quantile buckets
-    that sort in their own tasks (``rank_table``), which gives each distinct
-    value its position range.  The 2 x len(qs) target positions per group are
-    then looked up with a range join; without keys that side is a proven
-    2 x len(qs) rows and is broadcast.  Groups without values give NULL.
-
-    Size check: if an HLL estimate (plus 10 %) of the distinct values of the
-    largest group is at most ``max_map``, the one-pass ``percentile``
-    aggregate is used instead; its per-task value -> count map is then
-    bounded by that size.  Both paths give the same exact values.
-    """
-    from pyspark.sql.functions import broadcast
 
-    from quarry.operators.rank import rank_table
-    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    if max_map > 0:
-        return percentiles_long(df, [col], qs, keys or None, max_map).drop("column_name")
-    rt = rank_table(df, col, keys or None)
-    first = (F.col("rank") - (F.col("cnt") + 1) / 2.0).cast("long")
-    rt = rt.select(*[q(k) for k in keys], F.col(f"`{col}`").cast("double").alias("__x"),
-                   first.alias("__p0"), (first + F.col("cnt") - 1).alias("__p1"))
-    n = (df.groupBy(*[q(k) for k in keys]) if keys else df).agg(F.count(q(col)).alias("__n"))
-    pos = (F.col("__n") - 1) * F.col("__q")
-    tg = n.select(*[q(k) for k in keys], "__n", F.posexplode(F.array(*[F.lit(float(x)) for x in qs])).alias("pos", "__q"))
-    tg = tg.select(*[q(k) for k in keys], "pos", pos.alias("__h"),
-                   F.posexplode(F.array(F.floor(pos).cast("long"), F.ceil(pos).cast("long"))).alias("__w", "__t"))
-    tg = tg.withColumn("__hi", F.col("__w") == 1).drop("__w")
-    hit = (F.col("__t") >= F.col("__p0")) & (F.col("__t") <= F.col("__p1"))
-    if keys:
-        cond = [tg[k] == rt[k] for k in keys] + [hit]
-        j = tg.join(rt, cond, "left").select(*[tg[k] for k in keys], "pos", "__h", "__t", "__hi", "__x")
-    else:
-        j = broadcast(tg).join(rt, hit, "left")
-    g = j.groupBy(*[q(k) for k in keys], "pos", "__h").agg(
-        F.max(F.when(~F.col("__hi"), F.col("__x"))).alias("__lo"),
-        F.max(F.when(F.col("__hi"), F.col("__x"))).alias("__up"))
-    lo, up = F.floor("__h"), F.ceil("__h")
-    val = F.when(lo == up, F.col("__lo")).otherwise((up - F.col("__h")) * F.col("__lo") + (F.col("__h") - lo) * F.col("__up"))
-    return g.select(*[q(k) for k in keys], F.col("pos").cast("int").alias("pos"), val.alias("value"))
-
-
-def percentiles_long(df: DataFrame, cols: list[str], qs: list[float], by=None,
-                     max_map: int = 1_000_000) -> DataFrame:
+def percentiles_long(df: DataFrame, cols: list[str], qs: list[float], by=None, n_buckets: int | None = None) -> DataFrame:
     """Exact percentiles of several columns, long form (keys, column_name, pos, value).
 
-    One HLL job estimates every column's distinct values in its largest
-    group; the columns within ``max_map`` share one ``percentile`` aggregate
-    pass (bounded value maps), the others take the bucketed path of
-    ``exact_percentiles``.
+    The values of ``percentile`` (position (n-1)q, interpolated between the
+    values at its floor and ceiling), but no task holds a group's distinct
+    values.  Per-value counts of every (group, column) are split into
+    approximate-quantile buckets; the cumulative bucket counts (at most
+    ``n_buckets`` entries a group) tell which bucket holds a target position;
+    an equi-join on (group, column, bucket) brings only those buckets'
+    values, ranked inside their bucket.  NULL and NaN are missing, a NULL key
+    is a group, and a group without values gives NULL.
     """
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    gk = [q(k) for k in keys]
-    ndvs = [F.approx_count_distinct(q(c), 0.05).alias(f"__d{i}") for i, c in enumerate(cols)]
-    if keys:
-        est = df.groupBy(*gk).agg(*ndvs).agg(*[F.max(f"__d{i}").alias(f"__d{i}") for i in range(len(cols))]).first()
-    else:
-        est = df.agg(*ndvs).first()  # len(cols) numbers
-    small = [c for i, c in enumerate(cols) if (est[f"__d{i}"] or 0) * 1.1 <= max_map]
-    parts = []
-    if small:
-        arr = F.array(*[F.lit(float(x)) for x in qs])
-        nulls = F.array_repeat(F.lit(None).cast("double"), len(qs))  # a group without values
-        g = (df.groupBy(*gk) if keys else df).agg(*[F.percentile(q(c), arr).alias(f"__p{i}")
-                                                    for i, c in enumerate(small)])
-        parts += [g.select(*gk, F.lit(c).alias("column_name"),
-                           F.posexplode(F.coalesce(F.col(f"__p{i}"), nulls)).alias("pos", "value"))
-                  for i, c in enumerate(small)]
-    parts += [exact_percentiles(df, c, qs, keys or None, max_map=0).select(*gk, F.lit(c).alias("column_name"),
-                                                                          "pos", "value")
-              for c in cols if c not in small]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*gk, "column_name", F.col("pos").cast("int").alias("pos"),
-                      F.col("value").cast("double").alias("value"))
+    n_buckets = n_buckets or buckets_for(df)
+    gk = [*keys, "column_name"]
+    g = [q(k) for k in gk]
+    item = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.nullif(q(c).cast("double"), F.lit(float("nan"))).alias("v")) for c in cols]))
+    long = df.select(*[q(k) for k in keys], item.alias("__i")).select(
+        *[q(k) for k in keys], F.col("__i.c").alias("column_name"), F.col("__i.v").alias("__v"))
+    counts = long.groupBy(*g, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    cnt = counts.filter(F.col("__v").isNotNull())
+    n = counts.groupBy(*g).agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(0)).alias("__n"))
+    fracs = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
+    edges = cnt.groupBy(*g).agg(F.percentile_approx("__v", fracs, 10000).alias("__e"))
+    cnt = join_keys(cnt, edges, gk).withColumn("__b", F.size(F.filter("__e", lambda x: x < F.col("__v")))).drop("__e")
+    before = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (cnt.groupBy(*g, "__b").agg(F.sum("__c").alias("__bt"))
+            .withColumn("__off", F.coalesce(F.sum("__bt").over(before), F.lit(0)))
+            .groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("__off", "__b"))).alias("__offs")))
+    h = (F.col("__n") - 1) * F.col("__q")
+    tg = join_keys(n, offs, gk, "left").select(*g, "__n", "__offs", F.posexplode(F.array(*[F.lit(float(x)) for x in qs])).alias("pos", "__q"))
+    tg = tg.select(*g, "pos", "__offs", h.alias("__h"), F.explode(F.array(F.floor(h), F.ceil(h))).alias("__t"))
+    at = F.try_element_at(F.filter("__offs", lambda o: o["__off"] <= F.col("__t")), F.lit(-1))
+    tg = tg.select(*g, "pos", "__h", "__t", at["__b"].alias("__b"), (F.col("__t") - at["__off"]).alias("__r"))
+    inside = Window.partitionBy(*g, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    held = join_keys(cnt, tg.select(*g, "__b").distinct(), [*gk, "__b"], "left_semi").withColumn("__cum", F.sum("__c").over(inside))
+    j = join_keys(tg, held, [*gk, "__b"], "left").filter(
+        F.col("__v").isNull() | ((F.col("__r") < F.col("__cum")) & (F.col("__r") >= F.col("__cum") - F.col("__c"))))
+    out = j.groupBy(*g, "pos", "__h").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__up"))
+    lo, up = F.floor("__h"), F.ceil("__h")
+    val = F.when(lo == up, F.col("__lo")).otherwise((up - F.col("__h")) * F.col("__lo") + (F.col("__h") - lo) * F.col("__up"))
+    return out.select(*g, F.col("pos").cast("int").alias("pos"), val.alias("value"))
 
 
 def exact_percentile_values(df: DataFrame, col: str, qs: list[float]) -> list:
@@ -209,7 +176,7 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by=None,
               approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """Exact (linear interpolation) or approximate quantiles, long form.
 
-    Exact mode is ``exact_percentiles`` (bucketed, no group's distinct values
+    Exact mode is ``percentiles_long`` (bucketed, no group's distinct values
     in one task); ``approx`` gives the one-pass sketch.
     """
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
@@ -240,10 +207,6 @@ def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5, by=None) ->
     out = pc.groupBy(*[q(k) for k in keys], "column_name").agg(
         F.max(F.when(F.col("pos") == 0, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("pos") == 1, F.col("value"))).alias("q3"))
-    parts = [out.select(*[q(k) for k in keys], "column_name", "q1", "q3")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     iqr = F.col("q3") - F.col("q1")
     return out.select("*", iqr.alias("iqr"), (F.col("q1") - factor * iqr).alias("lower"),
                       (F.col("q3") + factor * iqr).alias("upper"))
@@ -258,11 +221,11 @@ def box_stats(df: DataFrame, group: str, col: str, factor: float = 1.5) -> DataF
     pc = percentiles_long(df, [col], [0.25, 0.5, 0.75], group)
     qs = pc.groupBy(q(group)).agg(*[F.max(F.when(F.col("pos") == i, F.col("value"))).alias(n)
                                     for i, n in enumerate(["q1", "median", "q3"])])
-    qs = qs.join(df.groupBy(q(group)).agg(F.count(q(col)).alias("n")), group)
+    qs = join_keys(qs, df.groupBy(q(group)).agg(F.count(q(col)).alias("n")), [group])
     iqr = F.col("q3") - F.col("q1")
     qs = qs.withColumn("lo_fence", F.col("q1") - factor * iqr).withColumn("hi_fence", F.col("q3") + factor * iqr)
     x = q(col)
-    j = df.select(q(group), x.alias("__x")).filter(F.col("__x").isNotNull()).join(qs, group)
+    j = join_keys(df.select(q(group), x.alias("__x")).filter(F.col("__x").isNotNull()), qs, [group])
     inside = (F.col("__x") >= F.col("lo_fence")) & (F.col("__x") <= F.col("hi_fence"))
     return j.groupBy(q(group), "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_lo"),
@@ -278,7 +241,8 @@ def sturges_bins(n: int) -> int:
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
     """Equal-width histogram over [min, max], last bin closed.
 
-    min/max are scalar subqueries; every bin appears, empty ones with 0.
+    The bounds (one row) are read first; every bin appears for every label,
+    NULL included, empty ones with 0.
     """
     x = q(col).cast("double")
     mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()  # one row, used as literals
@@ -292,7 +256,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
         grid = (df.select(q(by)).distinct()
                 .withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
                 .select(q(by), F.col("__g").cast("int").alias("bin")))
-    out = grid.join(counts, [by, "bin"] if by else ["bin"], "left").fillna(0, subset=["n"])
+    out = join_keys(grid, counts, [by, "bin"] if by else ["bin"], "left").fillna(0, subset=["n"])
     return out.select(*keys, "bin", (lo + F.col("bin") * width).alias("bin_lo"),
                       (lo + (F.col("bin") + 1) * width).alias("bin_hi"), F.col("n"))
 
@@ -330,8 +294,8 @@ def minmax_profile(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
 def monthly_counts(df: DataFrame, ts: str, drop_last: bool = True) -> DataFrame:
     """Counts per calendar month with empty months as 0.
 
-    The month grid is generated between the first and last month (scalar
-    subqueries); the last, incomplete month is dropped when asked.
+    The month grid is generated between the first and last month (one row,
+    read first); the last, incomplete month is dropped when asked.
     """
     m = F.date_trunc("month", q(ts)).cast("date")
     counts = df.groupBy(m.alias("month")).agg(F.count(F.lit(1)).alias("n"))

@@ -35,7 +35,7 @@ def segment(score: Column) -> Column:
     for lo, hi, label in SEGMENT_RULES:
         cond = (score >= lo) if hi is None else score.between(lo, hi)
         e = F.when(cond, F.lit(label)) if e is None else e.when(cond, F.lit(label))
-    return e.otherwise(F.lit(SEGMENT_OTHER))
+    return F.when(score.isNotNull(), e.otherwise(F.lit(SEGMENT_OTHER)))
 
 
 def rfm(df: DataFrame, id_col: str, ts: str, amount: str, f_edges: list, r_labels=(5, 4, 3, 2, 1),
@@ -152,7 +152,8 @@ def adjusted_rand(df: DataFrame, a: str, b: str, by: str | None = None) -> DataF
     long = (cells.select(*keys, F.lit("ij").alias("kind"), "m")
             .unionByName(ai.select(*keys, F.lit("a").alias("kind"), "m"))
             .unionByName(bj.select(*keys, F.lit("b").alias("kind"), "m")))
-    c2 = (F.col("m") * (F.col("m") - 1) / 2.0)
+    m = F.col("m").cast("double")  # products of counts leave the range of a long
+    c2 = m * (m - 1) / 2.0
     g = long.groupBy(*keys) if keys else long
     s = g.agg(F.sum(F.when(F.col("kind") == "ij", c2)).alias("sij"), F.sum(F.when(F.col("kind") == "a", c2)).alias("sa"),
               F.sum(F.when(F.col("kind") == "b", c2)).alias("sb"),

@@ -1,9 +1,10 @@
 """Encoding and scaling fitted on one table and applied to another (E*).
 
-A fit returns a small DataFrame of statistics or levels; applying it turns
-those into literal expressions (maps, arithmetic), so the large table is
-transformed in one narrow projection without a join.  Level sets are
-categorical and checked against ``max_levels`` before they reach the driver.
+A fit returns a DataFrame of statistics or levels.  Level codes and encodings
+are applied by a join on the level, which the runtime broadcasts when the
+levels measure small and shuffles otherwise; there is no cap on levels.  Only
+one-hot encoding takes its levels to the driver, since they become columns,
+and limits them to ``max_levels``.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.shape import q
+from quarry.session import cut_lineage
 
 NAN_LEVEL = "NaN"
 
@@ -27,8 +29,23 @@ def _levels_long(df: DataFrame, cols: list[str], missing_as: str | None) -> Data
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.partitionBy("column_name").orderBy("level")
-    return out.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    return _codes(out)
+
+
+def _codes(levels: DataFrame) -> DataFrame:
+    """Append ``code``, the position of each distinct level among its column's levels by code point.
+
+    A range-partitioned sort numbers the rows of each partition; the offsets
+    come from one count per partition and column, so no task sorts a whole
+    column.
+    """
+    rows = cut_lineage(levels.orderBy("column_name", "level").withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.select("column_name", "level", part.alias("__p"), place.alias("__i"))
+    size = rows.groupBy("column_name", "__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    before = Window.partitionBy("column_name").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    size = size.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).drop("__n", "__first")
+    return rows.join(size, ["column_name", "__p"]).select("column_name", "level", (F.col("__off") + F.col("__i")).cast("int").alias("code"))
 
 
 def fit_label_encoder(df: DataFrame, cols: list[str], nan_as_category: bool = True) -> DataFrame:
@@ -54,18 +71,22 @@ def _collect_levels(levels: DataFrame, max_levels: int) -> dict[str, list[tuple[
     return out
 
 
-def apply_codes(df: DataFrame, levels: DataFrame, missing_as: str | None = NAN_LEVEL,
-                max_levels: int = 100000) -> DataFrame:
+def _columns(levels: DataFrame) -> list[str]:
+    """The encoded columns (their names are bounded by the table's width)."""
+    return sorted(r[0] for r in levels.select("column_name").distinct().collect())
+
+
+def apply_codes(df: DataFrame, levels: DataFrame, missing_as: str | None = NAN_LEVEL) -> DataFrame:
     """Replace each encoded column by its integer code; unseen levels -> NULL."""
-    lv = _collect_levels(levels, max_levels)
-    repl = {}
-    for c, pairs in lv.items():
-        m = F.create_map(*[x for lvl, code in pairs for x in (F.lit(lvl), F.lit(code))])
+    order = df.columns
+    for c in _columns(levels):
         v = q(c).cast("string")
         if missing_as is not None:
             v = F.coalesce(v, F.lit(missing_as))
-        repl[c] = m[v]
-    return df.withColumns(repl)
+        lv = levels.filter(F.col("column_name") == c).select(F.col("level").alias("__level"), F.col("code").alias("__code"))
+        df = df.withColumn("__v", v).join(lv, F.col("__v") == F.col("__level"), "left").withColumn(c, F.col("__code"))
+        df = df.drop("__v", "__level", "__code")
+    return df.select(*[q(c) for c in order])
 
 
 def fit_one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -107,21 +128,14 @@ def fit_target_encoder(df: DataFrame, cols: list[str], target: str, min_samples_
     return out.select("column_name", "level", "n", enc.alias("encoding"), prior.alias("prior"))
 
 
-def apply_target_encoder(df: DataFrame, stats: DataFrame, max_levels: int = 100000) -> DataFrame:
-    n = stats.count()
-    if n > max_levels:
-        raise ValueError(f"{n} levels exceed max_levels={max_levels}")
-    rows = stats.collect()
-    by: dict[str, list] = {}
-    prior = None
-    for r in rows:
-        by.setdefault(r["column_name"], []).append((r["level"], r["encoding"]))
-        prior = r["prior"]
-    repl = {}
-    for c, pairs in by.items():
-        m = F.create_map(*[x for lvl, e in pairs for x in (F.lit(lvl), F.lit(e))])
-        repl[c] = F.coalesce(m[q(c).cast("string")], F.lit(prior))
-    return df.withColumns(repl)
+def apply_target_encoder(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Replace each encoded column by its level's encoding; unseen or missing levels get the prior."""
+    order, first = df.columns, stats.select("prior").first()  # one value
+    for c in _columns(stats):
+        lv = stats.filter(F.col("column_name") == c).select(F.col("level").alias("__level"), F.col("encoding").alias("__enc"))
+        df = df.withColumn("__v", q(c).cast("string")).join(lv, F.col("__v") == F.col("__level"), "left")
+        df = df.withColumn(c, F.coalesce("__enc", F.lit(first["prior"]))).drop("__v", "__level", "__enc")
+    return df.select(*[q(c) for c in order])
 
 
 def fit_standard(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -156,20 +170,35 @@ def apply_minmax(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns(repl)
 
 
-def preprocessing_pipeline(ordinal: list[str], scaled: list[str], passthrough: list[str],
-                           out: str = "features"):
-    """Column-wise pyspark.ml pipeline: ordinal codes + standardised numbers + pass-through."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-
-    stages = []
-    idx_out = [f"{c}__idx" for c in ordinal]
-    if ordinal:
-        stages.append(StringIndexer(inputCols=ordinal, outputCols=idx_out, stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
-    if scaled:
-        stages.append(VectorAssembler(inputCols=scaled, outputCol="__num", handleInvalid="keep"))
-        stages.append(StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True))
-    inputs = idx_out + (["__num_s"] if scaled else []) + passthrough
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep"))
-    return Pipeline(stages=stages)
+class Preprocessor:
+    """Column-wise preprocessing fitted on one table, applied to another.
+
+    Ordinal columns become codes (unseen or missing: -1), target-encoded ones
+    their smoothed target mean, scaled ones (x - mean) / population std; the
+    rest passes through.  ``transform`` appends them as one array, in that
+    order.
+    """
+
+    def __init__(self, ordinal=(), target_encoded=(), scaled=(), passthrough=(), out: str = "features"):
+        self.ordinal, self.target_encoded, self.scaled = list(ordinal), list(target_encoded), list(scaled)
+        self.passthrough, self.out = list(passthrough), out
+
+    def fit(self, df: DataFrame, target: str | None = None) -> "Preprocessor":
+        self.levels = fit_ordinal_encoder(df, self.ordinal) if self.ordinal else None
+        self.means = cut_lineage(fit_target_encoder(df, self.target_encoded, target)) if self.target_encoded else None
+        self.stats = cut_lineage(fit_standard(df, self.scaled)) if self.scaled else None
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        parts = [*self.ordinal, *self.target_encoded, *self.scaled, *self.passthrough]
+        x = df.select(*[q(c) for c in df.columns], *[q(c).alias(f"__f_{c}") for c in parts])
+        name = {c: f"__f_{c}" for c in parts}
+        rename = lambda t: t.withColumn("column_name", F.concat(F.lit("__f_"), "column_name"))
+        if self.levels is not None:
+            x = apply_codes(x, rename(self.levels), None)
+        if self.means is not None:
+            x = apply_target_encoder(x, rename(self.means))
+        if self.stats is not None:
+            x = apply_standard(x, self.stats.toDF(*[f"__f_{c}" for c in self.stats.columns]), [name[c] for c in self.scaled])
+        vals = [F.coalesce(q(name[c]).cast("double"), F.lit(-1.0)) if c in self.ordinal else q(name[c]).cast("double") for c in parts]
+        return x.withColumn(self.out, F.array(*vals)).drop(*name.values())

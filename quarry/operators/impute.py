@@ -7,10 +7,10 @@ into one task.  Global statistics are scalar subqueries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.shape import q
+from quarry.operators.shape import join_keys, q
 from quarry.session import cut_lineage
 
 
@@ -27,15 +27,32 @@ def fill_cascade(df: DataFrame, col: str, groups: list[str]) -> DataFrame:
     Each level's means are computed on the column as filled by the previous
     levels.
     """
-    for g in groups:
-        df = fill_group_mean(df, col, g)
-    return df
+    cell = [f"__g{i}" for i in range(len(groups))]
+    cells = df.groupBy(*[q(g).alias(c) for g, c in zip(groups, cell)]).agg(
+        F.coalesce(F.sum(q(col)), F.lit(0)).cast("double").alias("__s"), F.count(q(col)).alias("__n"),
+        F.count(F.when(q(col).isNull(), 1)).alias("__miss")).withColumn("__fill", F.lit(None).cast("double"))
+    # The cells (distinct group combinations) stand for the rows: a level's mean over the
+    # column as filled so far is a sum over cells, so the table itself is read twice in all.
+    for c in cell:
+        level = Window.partitionBy(c)
+        mean = F.when(F.col(c).isNotNull(), F.try_divide(F.sum("__s").over(level), F.sum("__n").over(level)))
+        cells = cells.withColumn("__m", mean)
+        fills = F.col("__fill").isNull() & F.col("__m").isNotNull()
+        cells = (cells.withColumn("__s", F.when(fills, F.col("__s") + F.col("__miss") * F.col("__m")).otherwise(F.col("__s")))
+                 .withColumn("__n", F.when(fills, F.col("__n") + F.col("__miss")).otherwise(F.col("__n")))
+                 .withColumn("__fill", F.coalesce("__fill", "__m")))
+    keyed = df.select(*[q(c) for c in df.columns], *[q(g).alias(c) for g, c in zip(groups, cell)])
+    j = join_keys(keyed, cells.select(*cell, "__fill"), cell, "left")
+    return j.withColumn(col, F.coalesce(q(col), F.col("__fill"))).drop("__fill", *cell)
 
 
 def fill_mean(df: DataFrame, cols: list[str], strategy: str = "mean") -> DataFrame:
-    """Mean or (exact) median fill."""
-    fn = (lambda c: F.avg(q(c))) if strategy == "mean" else (lambda c: F.median(q(c)))
-    stats = df.agg(*[fn(c).alias(c) for c in cols]).first()  # one row
+    """Mean or (exact) median fill (I3); the median is the bucketed percentile, no task holds a column's values."""
+    if strategy == "mean":
+        stats = df.agg(*[F.avg(q(c)).alias(c) for c in cols]).first().asDict()  # one row
+    else:
+        from quarry.operators.agg import percentiles_long
+        stats = {r["column_name"]: r["value"] for r in percentiles_long(df, cols, [0.5]).collect()}  # one number a column
     return df.withColumns({c: F.coalesce(q(c), F.lit(stats[c])) for c in cols})
 
 
@@ -90,19 +107,20 @@ def fill_iterative(df: DataFrame, cols: list[str], rounds: int = 10, ridge: floa
     Start from column means; each round regresses every column with NULLs
     on the others over rows where it was observed (one Gram-matrix aggregate
     pass, a d x d solve on the driver) and refreshes the filled values.
-    Lineage is cut with a reliable checkpoint after each round.
+    Lineage is cut by a table in the shared folder after each round.
     """
     import numpy as np
 
     miss = {c: f"__m_{c}" for c in cols}
     cur = df.withColumns({m: q(c).isNull() for c, m in miss.items()})
-    means = cur.agg(*[F.avg(q(c)).alias(c) for c in cols]).first()
+    means = cur.agg(*[F.avg(q(c)).alias(c) for c in cols], *[F.count(F.when(F.col(m), 1)).alias(m) for m in miss.values()]).first()
     cur = cur.withColumns({c: F.coalesce(q(c), F.lit(means[c])) for c in cols})
+    todo = [c for c in cols if means[miss[c]]]  # only columns with missing values are regressed
     cur = cut_lineage(cur)
     prev_beta: dict = {}
     for _ in range(rounds):
         change = 0.0
-        for c in cols:
+        for c in todo:
             others = [o for o in cols if o != c]
             if not others:
                 continue
@@ -141,6 +159,9 @@ def _iqr_bounds_row(df: DataFrame, cols: list[str], factor: float):
     out = {}
     for c in cols:
         q1, q3 = got[(c, 0)], got[(c, 1)]
+        if q1 is None:  # no values: nothing lies outside
+            out[c] = (None, None)
+            continue
         out[c] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return out
 

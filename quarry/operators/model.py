@@ -53,7 +53,7 @@ def binary_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5, beta:
                     _zdiv((1 + b2) * prec * rec, b2 * prec + rec).alias("fbeta"))
 
 
-def auc(df: DataFrame, y: str, p: str, n_buckets: int = 200) -> DataFrame:
+def auc(df: DataFrame, y: str, p: str, n_buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC with tied scores counted one half.
 
     Mann-Whitney form: (sum of positive ranks - P(P+1)/2) / (P N) with
@@ -93,13 +93,14 @@ def threshold_sweep(df: DataFrame, y: str, p: str, n: int = 200, lo: float = 0.0
     """Confusion counts and net cost at each of n thresholds, in one pass.
 
     Each row's bucket = number of thresholds <= its probability, so it is
-    predicted positive exactly for the thresholds below that index.
+    predicted positive exactly for the thresholds below that index.  Rows
+    without a probability count nowhere, as in the confusion counts.
     """
     ts = thresholds(n, lo, hi)
     arr = F.array(*[F.lit(t) for t in ts])
     b = F.size(F.filter(arr, lambda t: t <= q(p)))
     pos = (q(y) == 1)
-    counts = df.groupBy(b.alias("b")).agg(F.count(F.when(pos, 1)).alias("pos"),
+    counts = df.filter(q(p).isNotNull()).groupBy(b.alias("b")).agg(F.count(F.when(pos, 1)).alias("pos"),
                                           F.count(F.when(~pos, 1)).alias("neg"))
     grid = df.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("b"))
     c = grid.join(counts, "b", "left").fillna(0, subset=["pos", "neg"])
@@ -296,13 +297,14 @@ def pca(df: DataFrame, vec: str, k: int):
     return PCA(k=k, inputCol=vec, outputCol="pca").fit(df)
 
 
-def pca_for_variance(df: DataFrame, vec: str, share: float, max_k: int):
-    """Smallest k whose cumulative explained variance reaches ``share``."""
-    m = pca(df, vec, max_k)
+def pca_for_variance(df: DataFrame, vec: str, share: float):
+    """(smallest k whose cumulative explained variance reaches ``share``, model with all components)."""
+    m = pca(df, vec, len(df.select(vec).first()[0]))
     cum = np.cumsum(m.explainedVariance.toArray())
-    hit = np.nonzero(cum >= share - 1e-12)[0]
-    k = int(hit[0]) + 1 if len(hit) else max_k
-    return k, m
+    hit = np.nonzero(cum >= share - 1e-9)[0]
+    if not len(hit):
+        raise ValueError(f"all components explain {cum[-1]:.4f}, less than {share}")
+    return int(hit[0]) + 1, m
 
 
 def pca_loadings(model, names: list[str], spark) -> DataFrame:

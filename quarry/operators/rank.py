@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.shape import q
+from quarry.operators.shape import buckets_for, join_keys, q
 
 
 def _keys(by) -> list[str]:
@@ -19,24 +19,28 @@ def _keys(by) -> list[str]:
 
 
 def rank_table(df: DataFrame, col: str, by=None, weights: dict[str, Column] | None = None,
-               n_buckets: int = 200, cumulative: bool = False) -> DataFrame:
+               n_buckets: int | None = None, cumulative: bool = False) -> DataFrame:
     """Distinct (by, value) rows with count, summed weights and average-tie rank.
 
-    ``rank`` is 1-based within ``by`` and averages tied positions.  Only
-    non-null values are ranked.  With ``cumulative``, ``cum_<weight>`` holds
-    the running sum of each weight over all values <= this one.
+    ``rank`` is 1-based within ``by`` (NULL is a group like any other) and
+    averages tied positions.  Only values that are neither NULL nor NaN are
+    ranked.  With ``cumulative``, ``cum_<weight>`` holds the running sum of
+    each weight over all values <= this one.  ``n_buckets`` defaults to the
+    number of shuffle partitions.
     """
     keys = _keys(by)
     weights = weights or {}
+    n_buckets = n_buckets or buckets_for(df)
     v = q(col)
-    base = df.filter(v.isNotNull()).select(*[q(k) for k in keys], v.alias("__v"),
-                                           *[w.alias(n) for n, w in weights.items()])
-    cnt = base.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("cnt"),
-                                         *[F.sum(n).alias(n) for n in weights])
+    present = v.isNotNull()
+    if dict(df.dtypes).get(col) in ("double", "float"):
+        present = present & ~F.isnan(v)
+    base = df.filter(present).select(*[q(k) for k in keys], v.alias("__v"), *[w.alias(n) for n, w in weights.items()])
+    cnt = base.groupBy(*[q(k) for k in keys], "__v").agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(n).alias(n) for n in weights])
     fracs = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
     if keys:
-        edges = cnt.groupBy(*keys).agg(F.percentile_approx("__v", fracs, 10000).alias("__e"))
-        cnt = cnt.join(edges, keys)
+        edges = cnt.groupBy(*[q(k) for k in keys]).agg(F.percentile_approx("__v", fracs, 10000).alias("__e"))
+        cnt = join_keys(cnt, edges, keys)
         e = F.col("__e")
     else:
         # bounded: n_buckets - 1 edge values reach the driver as a literal
@@ -45,29 +49,24 @@ def rank_table(df: DataFrame, col: str, by=None, weights: dict[str, Column] | No
     cnt = cnt.withColumn("__b", F.size(F.filter(e, lambda x: x < F.col("__v"))))
     if keys:
         cnt = cnt.drop("__e")
-    btot = cnt.groupBy(*keys, "__b").agg(F.sum("cnt").alias("__bt"), *[F.sum(n).alias(n) for n in weights])
-    btot_w = btot
-    wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    btot = btot.withColumn("__off", F.coalesce(F.sum("__bt").over(wb), F.lit(0))).drop("__bt", *weights)
-    wi = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    r = cnt.join(btot, [*keys, "__b"]).withColumn("__cum", F.sum("cnt").over(wi))
+    gk = [q(k) for k in keys]
+    btot = cnt.groupBy(*gk, "__b").agg(F.sum("cnt").alias("__bt"), *[F.sum(n).alias(n) for n in weights])
+    wb = Window.partitionBy(*gk).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    wi = Window.partitionBy(*gk, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    before = [F.coalesce(F.sum(n).over(wb), F.lit(0)).alias(f"__w{i}") for i, n in enumerate(weights)] if cumulative else []
+    off = btot.select(*gk, "__b", F.coalesce(F.sum("__bt").over(wb), F.lit(0)).alias("__off"), *before)
+    r = join_keys(cnt, off, [*keys, "__b"]).withColumn("__cum", F.sum("cnt").over(wi))
     rank = F.col("__off") + F.col("__cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0
-    extra = []
-    if cumulative:
-        # running sums of each weight up to and including the value, across buckets
-        wsum = btot_w.withColumn("__bw", F.struct(*[F.coalesce(F.sum(n).over(wb), F.lit(0)).alias(n) for n in weights]))
-        r = r.join(wsum.select(*keys, "__b", "__bw"), [*keys, "__b"])
-        extra = [(F.col("__bw")[n] + F.sum(n).over(wi)).alias(f"cum_{n}") for n in weights]
-    return r.select(*[q(k) for k in keys], F.col("__v").alias(col), "cnt", *weights.keys(),
-                    rank.cast("double").alias("rank"), *extra)
+    extra = [(F.col(f"__w{i}") + F.sum(n).over(wi)).alias(f"cum_{n}") for i, n in enumerate(weights)] if cumulative else []
+    return r.select(*gk, F.col("__v").alias(col), "cnt", *weights.keys(), rank.cast("double").alias("rank"), *extra)
 
 
 def avg_rank(df: DataFrame, col: str, by=None, out: str | None = None,
-             n_buckets: int = 200) -> DataFrame:
-    """Append the average-tie rank of ``col`` (within ``by``) to every row."""
+             n_buckets: int | None = None) -> DataFrame:
+    """Append the average-tie rank of ``col`` (within ``by``) to every row (W3); missing values get NULL."""
     keys = _keys(by)
-    rt = rank_table(df, col, by, n_buckets=n_buckets).select(*keys, col, F.col("rank").alias(out or f"{col}_rank"))
-    return df.join(rt, [*keys, col], "left")
+    rt = rank_table(df, col, by, n_buckets=n_buckets).select(*[q(k) for k in keys], q(col), F.col("rank").alias(out or f"{col}_rank"))
+    return join_keys(df, rt, [*keys, col], "left")
 
 
 def qcut(df: DataFrame, col: str, q_: int, labels: list | None = None, out: str | None = None,
@@ -111,10 +110,14 @@ def seeded_hash(key_cols, seed: int) -> Column:
     return F.xxhash64(*cols, F.lit(seed))
 
 
-def one_per_category(df: DataFrame, category: str, key: str, seed: int = 42) -> DataFrame:
-    """One seeded row per category (W4), as an aggregate (hot categories combine map-side)."""
+def one_per_category(df: DataFrame, category: str, key, seed: int = 42) -> DataFrame:
+    """One seeded row per category (W4), as an aggregate (hot categories combine map-side).
+
+    ``key`` names the columns that tell rows apart; all columns break what ties remain.
+    """
     packed = F.struct(*[q(c) for c in df.columns])
-    order = F.struct(seeded_hash(key, seed), q(key))
+    keys = [key] if isinstance(key, str) else list(key)
+    order = F.struct(seeded_hash(keys, seed), *[q(k) for k in keys], F.xxhash64(*[q(c) for c in df.columns]))
     return df.groupBy(q(category)).agg(F.min_by(packed, order).alias("__r")).select("__r.*")
 
 

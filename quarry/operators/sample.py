@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.shape import q
+from quarry.operators.shape import buckets_for, join_keys, q
 from quarry.operators.rank import seeded_hash
 
 _TWO64 = 18446744073709551616.0
@@ -22,10 +22,11 @@ def unit_hash(key, seed: int) -> Column:
     return seeded_hash(key, seed).cast("double") / F.lit(_TWO64) + F.lit(0.5)
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, by=None, n_buckets: int = 64,
+def hash_rank(df: DataFrame, key: str, seed: int, by=None, n_buckets: int | None = None,
               out: str = "hash_rank") -> DataFrame:
-    """1-based rank of each row within ``by`` in seeded-hash order, exact."""
+    """1-based rank of each row within ``by`` (NULL is a class) in seeded-hash order, exact."""
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    n_buckets = n_buckets or buckets_for(df)
     h = seeded_hash(key, seed)
     d = df.withColumn("__h", h).withColumn(
         "__b", F.least(F.floor(unit_hash(key, seed) * n_buckets), F.lit(n_buckets - 1)).cast("int"))
@@ -33,15 +34,16 @@ def hash_rank(df: DataFrame, key: str, seed: int, by=None, n_buckets: int = 64,
     wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("__off", F.coalesce(F.sum("__n").over(wb), F.lit(0))).drop("__n")
     wi = Window.partitionBy(*keys, "__b").orderBy("__h", q(key))
-    return (d.join(bt, [*keys, "__b"]).withColumn(out, F.col("__off") + F.row_number().over(wi))
+    return (join_keys(d, bt, [*keys, "__b"]).withColumn(out, F.col("__off") + F.row_number().over(wi))
             .drop("__h", "__b", "__off"))
 
 
-def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 42,
+def sample_fraction(df: DataFrame, fraction: float, key, seed: int = 42,
                     cap: int | None = None) -> DataFrame:
     """Bernoulli sample by hash threshold, optional row cap in hash order."""
-    out = df.filter(unit_hash(key, seed) < fraction)
-    return out.orderBy(seeded_hash(key, seed), q(key)).limit(cap) if cap else out
+    keys = [key] if isinstance(key, str) else list(key)
+    out = df.filter(unit_hash(keys, seed) < fraction)
+    return out.orderBy(seeded_hash(keys, seed), *[q(k) for k in keys]).limit(cap) if cap else out
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -49,33 +51,27 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_hash(key, seed), q(key)).limit(n)
 
 
-def sample_per_class(df: DataFrame, target: str, n: int, key: str, seed: int = 42,
-                     salt: int = 64) -> DataFrame:
-    """n rows per class.
+def sample_per_class(df: DataFrame, target: str, n: int, key: str, seed: int = 42) -> DataFrame:
+    """The n rows of smallest seeded hash per class, NULL class included.
 
-    Each class is split into ``salt`` hash sub-groups; each keeps its n
-    smallest hashes, then the at most n*salt survivors per class are ranked.
-    Exact, and no class is sorted whole in one task.
+    Exact ranks come from ``hash_rank``, whose hash ranges split a hot class
+    over many tasks.
     """
-    h = seeded_hash(key, seed)
-    d = df.withColumn("__h", h).withColumn("__s", F.pmod(F.col("__h"), F.lit(salt)))
-    w1 = Window.partitionBy(q(target), "__s").orderBy("__h", q(key))
-    c = d.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= n)
-    w2 = Window.partitionBy(q(target)).orderBy("__h", q(key))
-    return c.withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") <= n).drop("__h", "__s", "__r")
+    return hash_rank(df, key, seed, by=target, out="__r").filter(F.col("__r") <= n).drop("__r")
 
 
 def undersample(df: DataFrame, target: str, key: str, ratio: float = 2.0, minority=1,
                 seed: int = 42) -> DataFrame:
     """Keep every minority row and round(ratio * n_minority) majority rows.
 
-    ``ratio`` is majority:minority (2 -> 2:1).
+    ``ratio`` is majority:minority (2 -> 2:1).  Rows without a target belong
+    to neither side and stay.
     """
     n_min = df.filter(q(target) == F.lit(minority)).select(F.count(F.lit(1))).scalar()
     keep_n = F.round(n_min * F.lit(float(ratio)))
     maj = hash_rank(df.filter(q(target) != F.lit(minority)), key, seed)
     maj = maj.filter(F.col("hash_rank") <= keep_n).drop("hash_rank")
-    return df.filter(q(target) == F.lit(minority)).unionByName(maj)
+    return df.filter((q(target) == F.lit(minority)) | q(target).isNull()).unionByName(maj)
 
 
 def random_split(df: DataFrame, key: str, fracs: list[float], seed: int = 42,
@@ -96,7 +92,7 @@ def stratified_split(df: DataFrame, target: str, key: str, train_frac: float = 0
                      seed: int = 42, out: str = "is_train") -> DataFrame:
     """Per class, the first round(train_frac * n_class) rows in hash order are train."""
     counts = df.groupBy(q(target)).agg(F.count(F.lit(1)).alias("__nc"))
-    r = hash_rank(df, key, seed, by=target).join(counts, target)
+    r = join_keys(hash_rank(df, key, seed, by=target), counts, [target])
     r = r.withColumn(out, F.col("hash_rank") <= F.round(F.col("__nc") * F.lit(train_frac)))
     return r.drop("hash_rank", "__nc")
 

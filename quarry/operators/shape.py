@@ -257,3 +257,18 @@ def melt(df: DataFrame, ids: list[str], values: list[str], var: str = "variable"
 def id_first(df: DataFrame, id_col: str) -> DataFrame:
     """Move the id column to the front."""
     return df.select(q(id_col), *[q(c) for c in df.columns if c != id_col])
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL; the keys of ``left`` stay."""
+    r = right.select(*[q(c).alias(f"__k{keys.index(c)}") if c in keys else q(c) for c in right.columns])
+    cond = None
+    for i, k in enumerate(keys):
+        one = q(k).eqNullSafe(F.col(f"__k{i}"))
+        cond = one if cond is None else cond & one
+    return left.join(r, cond, how).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Number of sort buckets: one per shuffle partition, which is sized to the data on a cluster."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)

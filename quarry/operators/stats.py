@@ -64,7 +64,7 @@ def pairwise_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "a string, b string, r double, n bigint, p double")
 
 
-def spearman(df: DataFrame, a: str, b: str, n_buckets: int = 200) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, n_buckets: int | None = None) -> DataFrame:
     """Spearman correlation: Pearson r of average-tie ranks on complete pairs (H4)."""
     d = df.filter(q(a).isNotNull() & q(b).isNotNull()).select(q(a).alias("__a"), q(b).alias("__b"))
     ra = rank_table(d, "__a", n_buckets=n_buckets).select("__a", F.col("rank").alias("__ra"))
@@ -85,8 +85,9 @@ def chi2(df: DataFrame, a: str, b: str) -> dict:
     cb = cells.groupBy("__b").agg(F.sum("o").alias("cb"))
     n = F.lit(cells.select(F.sum("o")).first()[0])  # one value
     j = cells.join(ra, "__a").join(cb, "__b")
-    e = F.col("ra") * F.col("cb") / n
-    row = j.agg((F.sum(F.col("o") * F.col("o") / e) - n).alias("statistic"), n.alias("n"),
+    o = F.col("o").cast("double")  # products of counts leave the range of a long
+    e = F.col("ra").cast("double") * F.col("cb").cast("double") / n
+    row = j.agg((F.sum(o * o / e) - n).alias("statistic"), n.alias("n"),
                 F.count_distinct("__a").alias("r"), F.count_distinct("__b").alias("c")).first()
     dof = (row["r"] - 1) * (row["c"] - 1)
     return {"statistic": row["statistic"], "dof": dof, "n": row["n"],
@@ -99,7 +100,7 @@ def chi2_frame(df: DataFrame, a: str, b: str) -> DataFrame:
                                            "statistic double, dof bigint, n bigint, p_value double")
 
 
-def kruskal_stats(df: DataFrame, col: str, group: str, n_buckets: int = 200) -> DataFrame:
+def kruskal_stats(df: DataFrame, col: str, group: str, n_buckets: int | None = None) -> DataFrame:
     """Kruskal-Wallis H with tie correction for one variable (H2), as a one-row frame.
 
     Ranks are pooled over groups (average ties); rank sums per group come
@@ -198,7 +199,7 @@ def psi_numeric(ref: DataFrame, cur: DataFrame, col: str, bins: int = 10, eps: f
     return j.agg(F.sum((p_c - p_r) * F.ln(p_c / p_r)).alias("score")).select(F.lit(col).alias("column_name"), "score")
 
 
-def ks_two_sample(ref: DataFrame, cur: DataFrame, col: str, n_buckets: int = 200) -> DataFrame:
+def ks_two_sample(ref: DataFrame, cur: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic max |F_ref - F_cur| (H7).
 
     Exact: the two samples are stacked, per-value counts of each side are

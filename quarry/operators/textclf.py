@@ -12,10 +12,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.functions.columns import tokens
 from quarry.operators.shape import q
-from quarry.session import cut_lineage, spread
+from quarry.session import spread
 
 
 def doc_terms(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -26,16 +27,14 @@ def doc_terms(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _doc_freq(tf: DataFrame) -> DataFrame:
-    """Documents per term.  Counting rows with tf > 0 keeps the tf column in the
-    plan, so this branch and the main one share one (doc, term) shuffle and the
-    texts are tokenised once."""
-    return tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
+    """Documents per term."""
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def term_features(df: DataFrame, id_col: str, text: str, kind: str = "binary", max_df: float = 0.95,
                   min_df: int = 1) -> DataFrame:
     """Binary or count term features in long form, dropping terms in more than max_df of docs (Q1)."""
-    tf = cut_lineage(doc_terms(df, id_col, text))  # read by two branches; tokenise once
+    tf = doc_terms(df, id_col, text)
     n_docs = F.lit(df.select(F.count(F.lit(1))).first()[0])  # one value
     keep = _doc_freq(tf).filter((F.col("df") <= n_docs * max_df) & (F.col("df") >= min_df)).select("term")
     out = tf.join(keep, "term")
@@ -50,7 +49,7 @@ def tfidf(df: DataFrame, id_col: str, text: str, max_df: float = 1.0) -> DataFra
     very common terms); the row norm is a window over one document's terms.
     """
     from pyspark.sql import Window
-    tf = cut_lineage(doc_terms(df, id_col, text))  # read by two branches; tokenise once
+    tf = doc_terms(df, id_col, text)
     n_docs = F.lit(df.select(F.count(F.lit(1))).first()[0])  # one value
     dfreq = _doc_freq(tf).filter(F.col("df") <= n_docs * max_df)
     idf = F.ln((1 + n_docs) / (1 + F.col("df"))) + 1
@@ -59,19 +58,39 @@ def tfidf(df: DataFrame, id_col: str, text: str, max_df: float = 1.0) -> DataFra
     return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
-def text_classifier(text: str, label: str, binary: bool = True, max_df: float = 0.95, max_iter: int = 50,
-                    reg: float = 0.0):
-    """Tokenise -> term counts -> multinomial logistic regression (M8, Q3) as a pyspark.ml pipeline."""
+def common_terms(df: DataFrame, text: str, max_df: float) -> list[str]:
+    """Terms in more than ``max_df`` of the documents.
+
+    Bounded: the documents hold (mean distinct terms) x n pairs, so at most
+    (mean distinct terms) / ``max_df`` terms can be that common.
+    """
+    d = spread(df.select(q(text).alias("__t"))).select(F.explode(F.array_distinct(tokens(F.col("__t")))).alias("term"))
+    n = df.select(F.count(F.lit(1))).first()[0]  # one value
+    return sorted(r["term"] for r in d.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > n * max_df).collect())
+
+
+def text_classifier(df: DataFrame, text: str, label: str, kind: str = "binary", max_df: float = 0.95, max_iter: int = 50,
+                    reg: float = 0.0, n_features: int = 1 << 18):
+    """Fitted pipeline tokenise -> hashed term features -> multinomial logistic regression (M8, Q3, Q8).
+
+    ``kind``: binary, count or tfidf.  Terms are hashed into ``n_features``
+    columns, so every term counts however many there are and no vocabulary
+    is held; terms in more than ``max_df`` of the documents are removed.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StringIndexer
-    return Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc"),
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover, StringIndexer
+    stages = [
+        StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip"),
         RegexTokenizer(inputCol=text, outputCol="__tok", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
-        CountVectorizer(inputCol="__tok", outputCol="__tf", binary=binary, maxDF=max_df),
-        LogisticRegression(featuresCol="__tf", labelCol="__y", family="multinomial", maxIter=max_iter,
-                           regParam=reg),
-    ])
+        StopWordsRemover(inputCol="__tok", outputCol="__kept", stopWords=common_terms(df, text, max_df), caseSensitive=True, locale="en_US"),
+        HashingTF(inputCol="__kept", outputCol="__tf", numFeatures=n_features, binary=kind == "binary"),
+    ]
+    if kind == "tfidf":
+        stages.append(IDF(inputCol="__tf", outputCol="__x"))
+    stages.append(LogisticRegression(featuresCol="__x" if kind == "tfidf" else "__tf", labelCol="__y", family="multinomial",
+                                     maxIter=max_iter, regParam=reg))
+    return Pipeline(stages=stages).fit(df)
 
 
 def top_k_classes(pred: DataFrame, labels: list[str], k: int = 3, prob_col: str = "probability",
@@ -137,7 +156,9 @@ def _fill(template: str, cats: str, k: int, examples=None):
 
 def examples_block(examples: DataFrame, text: str, category: str) -> DataFrame:
     """Few-shot block from example rows (one per category), ordered by category; one row."""
-    item = F.concat(F.lit('Article: "'), q(text), F.lit('"\nCategory: '), q(category), F.lit("\n\n"))
+    pre, rest = EXAMPLE_TEMPLATE.split("{text}")
+    mid, post = rest.split("{category}")
+    item = F.concat(F.lit(pre), q(text), F.lit(mid), q(category), F.lit(post))
     packed = F.sort_array(F.collect_list(F.struct(q(category).alias("c"), item.alias("s"))))
     return examples.agg(F.array_join(F.transform(packed, lambda x: x["s"]), "").alias("block"))
 
@@ -162,7 +183,7 @@ def call_model(df: DataFrame, col: str, fn: Callable[[str], str], out: str = "re
     shipped to the executors once per task.  ``partitions`` spreads slow
     calls over more tasks.
     """
-    schema = df.schema.add(out, "string")
+    schema = StructType([*df.schema.fields, StructField(out, StringType())])  # a new type: df.schema itself is shared
 
     def run(batches):
         for pdf in batches:

@@ -5,6 +5,7 @@ from quarry.plans import q_analytics  # noqa: F401
 from quarry.plans import q_segment  # noqa: F401
 from quarry.plans import q_models  # noqa: F401
 from quarry.plans import q_items  # noqa: F401
+from quarry.plans import q_hard  # noqa: F401
 from quarry.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

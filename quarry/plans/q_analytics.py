@@ -303,13 +303,12 @@ def e06_minmax(spark, d):
 
 @register("e08_preprocessing_pipeline")
 def e08_preprocessing_pipeline(spark, d):
-    """Ordinal + standardised + pass-through pipeline fitted on one split, applied to the other."""
+    """Ordinal, target-encoded, standardised and pass-through columns fitted on one split, applied to the other."""
     p = t(spark, d, "part")
     split = sample.random_split(p, "p_partkey", [0.8, 0.2])  # seeded hash split
     train, test = split.filter("split = 0").drop("split"), split.filter("split = 1").drop("split")
-    pipe = encode.preprocessing_pipeline(["p_type", "p_brand"], ["p_retailprice"], ["p_size"])
-    from pyspark.ml.functions import vector_to_array
-    return pipe.fit(train).transform(test).select("p_partkey", vector_to_array("features").alias("features"))
+    pipe = encode.Preprocessor(ordinal=["p_type"], target_encoded=["p_brand"], scaled=["p_retailprice"], passthrough=["p_size"])
+    return pipe.fit(train, "p_retailprice").transform(test).select("p_partkey", "features")
 
 
 # ------------------------------------------------------------------ sampling
@@ -317,7 +316,7 @@ def e08_preprocessing_pipeline(spark, d):
 @register("p01_fraction_sample")
 def p01_fraction_sample(spark, d):
     """10 % hash sample with a row cap."""
-    return sample.sample_fraction(t(spark, d, "lineitem"), 0.1, "l_orderkey", cap=1000)
+    return sample.sample_fraction(t(spark, d, "lineitem"), 0.1, ["l_orderkey", "l_linenumber"], cap=1000)
 
 
 @register("p02_sample_n")
@@ -513,7 +512,7 @@ def h06_ols_multi(spark, d):
 
 
 @register("h07_drift", """
-WITH ref AS (SELECT * FROM orders WHERE year(o_orderdate) <= 1997), cur AS (SELECT * FROM orders WHERE year(o_orderdate) >= 1999),
+WITH ref AS (SELECT * FROM orders WHERE year(o_orderdate) <= 1997), cur AS (SELECT * FROM orders WHERE year(o_orderdate) > 1997),
 e AS (SELECT quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS q FROM ref),
 br AS (SELECT len(list_filter(q, lambda x: x < o_totalprice)) AS bin, count(*) AS nr FROM ref, e GROUP BY 1),
 bc AS (SELECT len(list_filter(q, lambda x: x < o_totalprice)) AS bin, count(*) AS nc FROM cur, e GROUP BY 1),
@@ -531,13 +530,13 @@ def h07_drift(spark, d):
     """Drift report: PSI on reference-quantile bins and TVD on categories (H7)."""
     o = t(spark, d, "orders")
     ref = o.filter(F.year("o_orderdate") <= 1997)
-    cur = o.filter(F.year("o_orderdate") >= 1999)
+    cur = o.filter(F.year("o_orderdate") > 1997)
     return rounded(stats.drift(ref, cur, ["o_totalprice"], ["o_orderpriority"]), 6, ["score"])
 
 
 @register("h07_ks_two_sample", """
 WITH ref AS (SELECT o_totalprice AS x FROM orders WHERE year(o_orderdate) <= 1997),
-cur AS (SELECT o_totalprice AS x FROM orders WHERE year(o_orderdate) >= 1999),
+cur AS (SELECT o_totalprice AS x FROM orders WHERE year(o_orderdate) > 1997),
 v AS (SELECT x, count(*) FILTER (WHERE s = 1) AS r, count(*) FILTER (WHERE s = 2) AS c
       FROM (SELECT x, 1 AS s FROM ref UNION ALL SELECT x, 2 FROM cur) GROUP BY x),
 cum AS (SELECT sum(r) OVER (ORDER BY x) AS cr, sum(c) OVER (ORDER BY x) AS cc FROM v)
@@ -548,7 +547,7 @@ def h07_ks_two_sample(spark, d):
     """Two-sample KS statistic between an early and a late period (H7)."""
     o = t(spark, d, "orders")
     ref = o.filter(F.year("o_orderdate") <= 1997)
-    cur = o.filter(F.year("o_orderdate") >= 1999)
+    cur = o.filter(F.year("o_orderdate") > 1997)
     return rounded(stats.ks_two_sample(ref, cur, "o_totalprice"), 9)
 
 

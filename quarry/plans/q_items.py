@@ -313,7 +313,7 @@ def m08_multinomial_text(spark, d):
     """
     docs = sample.random_split(t(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", [0.75, 0.25])
     train, test = docs.filter("split = 0"), docs.filter("split = 1")
-    m = textclf.text_classifier("text", "lang", max_iter=20).fit(train)
+    m = textclf.text_classifier(train, "text", "lang", max_iter=20)
     labels = m.stages[0].labels
     pred = m.transform(test)
     return pred.select("doc_id", "lang",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import impute, model, rank, sample, shape
 from quarry.plans.registry import null_when, register, t
+from quarry.session import cut_lineage
 
 FEATS = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 
@@ -68,13 +69,14 @@ def classification_frame(spark, d):
 
 @register("m06_gbt_classifier")
 def m06_gbt_classifier(spark, d):
-    """Two boosted-tree configurations compared by AUC and business cost, with class weights."""
+    """Two boosted-tree configurations fitted on one split, compared on the other by AUC and business cost."""
     from pyspark.ml.functions import vector_to_array
-    df = model.class_weights(classification_frame(spark, d), "quality")
+    both = sample.random_split(classification_frame(spark, d), "doc_id", [0.75, 0.25])
+    df, held = model.class_weights(both.filter("split = 0"), "quality"), both.filter("split = 1")
     rows = []
     for name, params in [("shallow", {"maxIter": 10, "maxDepth": 2}), ("deep", {"maxIter": 10, "maxDepth": 4})]:
         m = model.fit_classifier(df, "features", "quality", kind="gbt", weight="weight", **params)
-        pred = m.transform(df).withColumn("p1", vector_to_array("probability")[1])
+        pred = m.transform(held).withColumn("p1", vector_to_array("probability")[1])
         a = model.auc(pred, "quality", "p1").first()["auc"]
         c = model.business_cost(pred, "quality", "p1", 0.434).first()["cost"]
         rows.append((name, float(a), float(c)))
@@ -85,7 +87,7 @@ def m06_gbt_classifier(spark, d):
 @register("m17_out_of_fold")
 def m17_out_of_fold(spark, d):
     """Out-of-fold predictions from 3 folds."""
-    df = sample.kfold(regression_frame(spark, d), 3, "rid")
+    df = cut_lineage(sample.kfold(regression_frame(spark, d), 3, "rid"))  # read by every fit and scoring
 
     def fit(part):
         return model.fit_regressor(part, "features", "y", kind="linear", regParam=0.0)
@@ -95,8 +97,8 @@ def m17_out_of_fold(spark, d):
 
 @register("n01_select_by_corr")
 def n01_select_by_corr(spark, d):
-    """Greedy correlation-based selection with a collinearity bound."""
-    df = regression_frame(spark, d).withColumn("qty2", F.col("l_quantity") * 2 + 1)
+    """Greedy correlation-based selection with a collinearity bound, on the training split."""
+    df = regression_frame(spark, d).filter("split = 0").withColumn("qty2", F.col("l_quantity") * 2 + 1)
     kept, removed = model.select_by_corr(df, "y", FEATS + ["qty2"], n=4, tau=0.9)
     rows = [(c, True) for c in kept] + [(c, False) for c in removed]
     return spark.createDataFrame(rows, "feature string, kept boolean")
@@ -111,22 +113,27 @@ def n02_rfe(spark, d):
 
 @register("n03_rfe_cv")
 def n03_rfe_cv(spark, d):
-    """RFE with the number of features chosen by 3-fold CV RMSE."""
-    df = sample.kfold(regression_frame(spark, d), 3, "rid")
-    ranking = model.rfe(df, FEATS, "y", 1, kind="rf", numTrees=10, maxDepth=4).collect()
-    order = [r["feature"] for r in sorted(ranking, key=lambda r: (r["ranking"], r["feature"]))]
-    rows = []
-    for n in range(1, len(order) + 1):
-        cols = order[:n]
-        errs = []
-        for f in range(3):
-            tr = model.assemble(df.filter(F.col("fold") != f), cols, "__f")
-            te = model.assemble(df.filter(F.col("fold") == f), cols, "__f")
-            m = model.fit_regressor(tr, "__f", "y", kind="rf", numTrees=10, maxDepth=4)
-            errs.append(model.regression_metrics(m.transform(te), "y", "prediction").first()["rmse"])
-        rows.append((n, ",".join(cols), float(sum(errs) / len(errs))))
-    out = spark.createDataFrame(rows, "n_features int, features string, cv_rmse double")
-    return out.withColumn("chosen", F.col("n_features") == out.agg(F.min_by("n_features", "cv_rmse")).scalar())
+    """RFE with the number of features chosen by 3-fold CV.
+
+    The elimination runs inside each fold on its training rows; the chosen
+    number is then eliminated to on all rows.
+    """
+    df = cut_lineage(sample.kfold(regression_frame(spark, d), 3, "rid"))
+    scores = {n: [] for n in range(1, len(FEATS) + 1)}
+    for f in range(3):
+        tr, te = df.filter(F.col("fold") != f), df.filter(F.col("fold") == f)
+        ranking = model.rfe(tr, FEATS, "y", 1, kind="rf", numTrees=10, maxDepth=4).collect()
+        order = [r["feature"] for r in sorted(ranking, key=lambda r: (r["ranking"], r["feature"]))]
+        for n in scores:
+            m = model.fit_regressor(model.assemble(tr, order[:n], "__f"), "__f", "y", kind="rf", numTrees=10, maxDepth=4)
+            r = model.regression_metrics(m.transform(model.assemble(te, order[:n], "__f")), "y", "prediction").first()
+            scores[n].append((r["r2"], r["rmse"]))
+    mean = {n: tuple(sum(x) / len(x) for x in zip(*v)) for n, v in scores.items()}
+    best = max(mean, key=lambda n: (mean[n][0], -n))
+    kept = model.rfe(df, FEATS, "y", best, kind="rf", numTrees=10, maxDepth=4).filter("ranking = 1")
+    names = ",".join(sorted(r["feature"] for r in kept.collect()))
+    rows = [(n, float(r2), float(rmse), n == best, names if n == best else None) for n, (r2, rmse) in mean.items()]
+    return spark.createDataFrame(rows, "n_features int, cv_r2 double, cv_rmse double, chosen boolean, features string")
 
 
 @register("n04_feature_importance")
@@ -154,7 +161,7 @@ def n05_pca_transform(spark, d):
 def n06_pca_variance(spark, d):
     """Smallest k reaching 90 % explained variance, with the cumulative share table."""
     e = emb_vectors(spark, d)
-    k, m = model.pca_for_variance(e, "v", 0.9, 40)
+    k, m = model.pca_for_variance(e, "v", 0.9)
     ev = [(i + 1, float(x)) for i, x in enumerate(m.explainedVariance.toArray())]
     tab = spark.createDataFrame(ev, "component int, explained double")
     return rank.cumulative_share(tab, "component", "explained", threshold=0.9).withColumn("k_for_90", F.lit(k))

@@ -13,7 +13,7 @@ from quarry.streaming import stream
 
 # ------------------------------------------------------------------ RFM (flagship)
 
-F_EDGES = [0, 5, 8, 11, 14, 1000]
+F_EDGES = [0, 5, 8, 11, 14, float("inf")]  # the last class is open: the busiest customers belong to it
 
 
 def rfm_table(spark, d):
@@ -232,19 +232,14 @@ FROM sums JOIN sa ON sums.step = sa.step JOIN sb ON sums.step = sb.step
 """
 
 
-@register("c09_cluster_stability", C09_SQL)
-def c09_cluster_stability(spark, d):
-    """ARI of the base segmentation against expanding windows, +30 days per step.
-
-    Scaler and centroids come from the base window: population mean/std of
-    the four features and, as given centroids, the scaled features of the
-    first six base customers by key.
-    """
+def _stability(spark, d, step, fitted):
+    """Stability of a segmentation whose scaler, and centroids if ``fitted``, come from the base window."""
+    from quarry.operators import model
     from quarry.session import cut_lineage
     facts = cut_lineage(order_facts(spark, d))  # read by the scaler fit and the stability plan
     feats = {"review_score_mean": (F.col("review_score"), "mean"), "order_total_sum": (F.col("o_totalprice"), "sum"),
              "delay_days_mean": (F.col("delay_days"), "mean")}
-    start, base_days, step = STABILITY_START, STABILITY_BASE, STABILITY_STEP
+    start, base_days = STABILITY_START, STABILITY_BASE
     stt = F.lit(start).cast("timestamp_ntz")
     base = facts.filter((F.col("o_orderdate") >= stt) & (fc.frac_days("o_orderdate", stt) <= base_days))
     end = stt + F.expr(f"INTERVAL {base_days} DAYS")
@@ -256,13 +251,40 @@ def c09_cluster_stability(spark, d):
     names = ["review_score_mean", "order_total_sum", "delay_days_mean", "recency"]
     st = g.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).first()
     scaler = {n: (st[f"m_{n}"], st[f"s_{n}"]) for n in names}
-    firsts = g.orderBy("o_custkey").limit(STABILITY_K).collect()  # the given centroids: k rows
-    cents = [[(r[n] - scaler[n][0]) / (scaler[n][1] or 1.0) for n in names] for r in firsts]
+    scaled = g.select("o_custkey", *[((F.col(n) - F.lit(scaler[n][0])) / F.lit(scaler[n][1] or 1.0)).alias(n) for n in names])
+    if fitted:
+        from pyspark.ml.clustering import KMeans
+        fit = KMeans(k=STABILITY_K, seed=42, featuresCol="z").fit(model.assemble(scaled.dropna(), names, "z"))
+        cents = [[float(x) for x in c] for c in fit.clusterCenters()]  # k rows
+    else:
+        cents = [[r[n] for n in names] for r in scaled.orderBy("o_custkey").limit(STABILITY_K).collect()]  # k rows
     out = cluster.cluster_stability(facts, "o_custkey", "o_orderdate", feats, start, base_days, step, scaler, cents)
     return rounded(out.withColumn("step", F.col("step").cast("int")).withColumn("n", F.col("n").cast("bigint")),
                    6, ["ari"])
 
 
+@register("c09_cluster_stability", C09_SQL)
+def c09_cluster_stability(spark, d):
+    """ARI of the base segmentation against expanding windows, +30 days per step, with given centroids.
+
+    The given centroids, which a SQL twin can follow, are the scaled features
+    of the first six base customers by key.
+    """
+    return _stability(spark, d, STABILITY_STEP, fitted=False)
+
+
+@register("c09_stability_kmeans_30")
+def c09_stability_kmeans_30(spark, d):
+    """The same with a k-means fitted on the base window and frozen, +30 days per step."""
+    return _stability(spark, d, 30, fitted=True)
+
+
+@register("c09_stability_kmeans_7")
+def c09_stability_kmeans_7(spark, d):
+    """The same, +7 days per step."""
+    return _stability(spark, d, 7, fitted=True)
+
+
 _DESC_SQL = """
 WITH x AS (SELECT vec_id, CAST(c AS INTEGER) AS chunk,
                   list_transform(list_slice(embedding, c * 8 + 1, c * 8 + 8), lambda z: CAST(z AS DOUBLE)) AS v
@@ -344,7 +366,7 @@ def q03_top_k_classes(spark, d):
     docs = lang_docs(spark, d)
     split = sample.random_split(docs, "doc_id", [0.75, 0.25])  # seeded hash split
     train, test = split.filter("split = 0").drop("split"), split.filter("split = 1").drop("split")
-    m = textclf.text_classifier("text", "lang", max_iter=20).fit(train)
+    m = textclf.text_classifier(train, "text", "lang", max_iter=20)
     labels = m.stages[0].labels
     pred = m.transform(test)
     return textclf.top_k_classes(pred, labels, 3).select("doc_id", "lang", "top_k")
@@ -445,7 +467,7 @@ def q06_few_shot_prompt(spark, d):
     as the reference does; the text to label is whole (Q6, W4, X5)."""
     from quarry.operators.rank import one_per_category
     c = t(spark, d, "conversations").select("conv_id", "turn", F.upper("role").alias("category"), "text")
-    ex = one_per_category(c, "category", "conv_id").withColumn("text", fc.truncate("text", EXAMPLE_CHARS))
+    ex = one_per_category(c, "category", ["conv_id", "turn"]).withColumn("text", fc.truncate("text", EXAMPLE_CHARS))
     block = textclf.examples_block(ex, "text", "category")
     return textclf.build_prompt(c, "text", VALID_ROLES, 3, examples=block).select("conv_id", "turn", "prompt")
 
@@ -464,23 +486,28 @@ FROM conversations
 def q07_call_model(spark, d):
     """External model called per row in Arrow batches; failures give '' (Q7)."""
     c = t(spark, d, "conversations").select("conv_id", "turn", "role")
-    return textclf.call_model(c, "role", _stub_model, partitions=4)
+    return textclf.call_model(c, "role", _stub_model)
 
 
 @register("q08_comparison_grid")
 def q08_comparison_grid(spark, d):
-    """Representation x k comparison grid into a runs table."""
+    """Text field x representation x k comparison grid into a runs table.
+
+    The fields are the first line, the rest, and both.
+    """
     docs = lang_docs(spark, d)
+    docs = docs.withColumn("head", F.substring_index("text", "\n", 1)).withColumn("rest", F.expr("substr(text, length(head) + 2)"))
     split = sample.random_split(docs, "doc_id", [0.75, 0.25])  # seeded hash split
     train, test = split.filter("split = 0").drop("split"), split.filter("split = 1").drop("split")
     rows = []
-    for binary in (True, False):
-        m = textclf.text_classifier("text", "lang", binary=binary, max_iter=10).fit(train)
-        pred = textclf.top_k_classes(m.transform(test), m.stages[0].labels, 3)
-        for k in (1, 3):
-            r = textclf.rank_metrics(pred, "lang", "top_k", k).first()
-            rows.append(("binary" if binary else "count", k, float(r["hit_at_k"]), float(r["mrr_at_k"])))
-    return spark.createDataFrame(rows, "representation string, k int, hit_at_k double, mrr_at_k double")
+    for field in ("head", "rest", "text"):
+        for kind in ("binary", "count", "tfidf"):
+            m = textclf.text_classifier(train, field, "lang", kind=kind, max_iter=10)
+            pred = textclf.top_k_classes(m.transform(test), m.stages[0].labels, 3)
+            for k in (1, 3):
+                r = textclf.rank_metrics(pred, "lang", "top_k", k).first()
+                rows.append((field, kind, k, float(r["hit_at_k"]), float(r["mrr_at_k"])))
+    return spark.createDataFrame(rows, "field string, representation string, k int, hit_at_k double, mrr_at_k double")
 
 
 # ------------------------------------------------------------------ scoring
@@ -601,7 +628,7 @@ FROM x, range(4) r(j) GROUP BY vec_id, j
 def v01_projection_udf(spark, d):
     """Iterator pandas UDF applying broadcast weights once per task (V1, V3)."""
     e = t(spark, d, "embeddings").select("vec_id", "embedding")
-    p = score.project_vectors(e, "embedding", projection_matrix(), batch_size=256, partitions=4)
+    p = score.project_vectors(e, "embedding", projection_matrix(), batch_size=256)
     return rounded(p.select("vec_id", F.posexplode("projection").alias("j", "value"))
                    .withColumn("j", F.col("j").cast("int")))
 
@@ -611,19 +638,31 @@ def v01_projection_udf(spark, d):
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def _scored_stream(spark, d):
+    out, ck = stream.scratch(spark, "g01-out"), stream.scratch(spark, "g01-ckpt")
+    scorer = stream.linear_scorer({"v": 0.05 * F.col("value")}, -0.5, 0.5)
+    total = t(spark, d, "events").count()
+    _, progress = stream.score_stream(spark, d, EVENT_SCHEMA, scorer, out, ck, glob="events.parquet", total=total)
+    return spark.read.parquet(out), progress
+
+
 @register("g01_score_stream", """
 SELECT event_id, user_id, ROUND(1 / (1 + exp(-(0.05 * value - 0.5))), 6) AS proba,
        CAST(1 / (1 + exp(-(0.05 * value - 0.5))) >= 0.5 AS INTEGER) AS predicted_label FROM events
 """)
 def g01_score_stream(spark, d):
     """Progressive scoring of the events stream into a Parquet sink (G1)."""
-    out, ck = stream.scratch(spark, "g01-out"), stream.scratch(spark, "g01-ckpt")
-    scorer = stream.linear_scorer({"v": 0.05 * F.col("value")}, -0.5, 0.5)
-    stream.score_stream(spark, d, EVENT_SCHEMA, scorer, out, ck, glob="events.parquet")
-    r = spark.read.parquet(out)
+    r, _ = _scored_stream(spark, d)
     return r.select("event_id", "user_id", rnd("proba").alias("proba"), "predicted_label")
 
 
+@register("g01_progress", "SELECT count(*) AS processed, count(*) AS total, 100.0::DOUBLE AS percent FROM events")
+def g01_progress(spark, d):
+    """Progress of the scoring stream after its last batch: rows, total and percent from the sink (G1)."""
+    _, p = _scored_stream(spark, d)
+    return p.agg(F.max("processed").alias("processed"), F.max("total").alias("total"), F.max("percent").alias("percent"))
+
+
 @register("g02_periodic_counts", """
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period_start, event_type, count(*) AS n FROM events GROUP BY 1, 2
 """)
@@ -737,7 +776,7 @@ def s12_model_roundtrip(spark, d):
     """Save and reload a fitted pipeline; predictions must match."""
     from pyspark.ml import PipelineModel
     docs = lang_docs(spark, d)
-    m = textclf.text_classifier("text", "lang", max_iter=5).fit(docs)
+    m = textclf.text_classifier(docs, "text", "lang", max_iter=5)
     path = stream.scratch(spark, "s12")
     m.write().overwrite().save(path)
     again = PipelineModel.load(path)
@@ -755,13 +794,19 @@ def s13_partitioned_layout(spark, d):
     return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("g02_periodic_counts_append")
+@register("g02_periodic_counts_append", """
+WITH n AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period_start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT period_start, event_type, n FROM n
+WHERE period_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+""")
 def g02_periodic_counts_append(spark, d):
-    """Daily counts in append mode: a day is written once the watermark passes it (G2, unbounded form)."""
+    """Daily counts in append mode: a day is written once the watermark passes it (G2, unbounded form).
+
+    The days that the watermark (latest time less one hour) has not passed stay
+    in the state, as append mode promises, and are not in the sink.
+    """
     out, ck = stream.scratch(spark, "g02a-out"), stream.scratch(spark, "g02a-ckpt")
+    schema = "period_start timestamp_ntz, event_type string, n bigint"
     stream.periodic_counts(spark, d, EVENT_SCHEMA, "ts", "1 day", "1 hour", out, ck, by=["event_type"],
                            glob="events.parquet", mode="append")
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001  no period closed yet: empty result with the same schema
-        return spark.createDataFrame([], "period_start timestamp_ntz, event_type string, n bigint")
+    return spark.read.schema(schema).parquet(out)

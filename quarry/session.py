@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -67,16 +68,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Written as Parquet (columnar, compressed) under ``spark.checkpoint.dir``
     and read back, so the plan after this point no longer depends on the
-    lineage before it and survives the loss of any executor.
+    lineage before it and survives the loss of any executor.  The table must
+    live as long as a plan reads it; ``release_tables`` deletes all of them,
+    and runs by itself when the driver ends.
     """
     import uuid
 
     base = checkpoint_dir(df.sparkSession)
     path = os.path.join(base, "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
+    if not _TABLES:
+        atexit.register(release_tables)
+    _TABLES.append((df.sparkSession, path))
     return df.sparkSession.read.parquet(path)
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def release_tables() -> None:
+    """Delete the tables that ``cut_lineage`` has written so far; plans that read them end here."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended before us
+            return
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -90,6 +110,6 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     adds no shuffle.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if df.rdd.getNumPartitions() >= want:  # read off the plan, no job runs
         return df
     return df.repartition(want)

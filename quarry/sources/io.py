@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN is missing: every double or float column with NaN turned into NULL (scans apply it)."""
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None)) for c, t in df.dtypes if t in ("double", "float")})
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
              header: bool = True, line_sep: str | None = None,
              encoding: str = "UTF-8") -> DataFrame:
@@ -17,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str
          .option("encoding", encoding).option("mode", "PERMISSIVE"))
     if line_sep:
         r = r.option("lineSep", line_sep)
-    return r.csv(path)
+    return nan_as_null(r.csv(path))
 
 
 def read_first_rows(df: DataFrame, n: int, key) -> DataFrame:
@@ -28,7 +31,7 @@ def read_first_rows(df: DataFrame, n: int, key) -> DataFrame:
 
 def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(*paths)
-    return df.select(*columns) if columns else df
+    return nan_as_null(df.select(*columns) if columns else df)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -42,7 +45,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON-lines scan."""
-    return spark.read.schema(schema).json(path)
+    return nan_as_null(spark.read.schema(schema).json(path))
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -109,6 +112,3 @@ def metrics_report(spark: SparkSession, metrics: dict) -> DataFrame:
 def write_report(spark: SparkSession, metrics: dict, path: str) -> None:
     metrics_report(spark, metrics).coalesce(1).write.mode("overwrite").json(path)
 
-
-def dumps(obj) -> str:
-    return json.dumps(obj, sort_keys=True, default=str)

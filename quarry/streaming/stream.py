@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,25 +25,25 @@ def file_stream(spark: SparkSession, in_dir: str, schema: StructType | str, glob
 
 
 def score_stream(spark: SparkSession, in_dir: str, schema, scorer, out_dir: str, ckpt: str,
-                 glob: str | None = None, max_files: int | None = 1):
-    """Progressive scoring: stream rows, score, append to Parquet; returns (query, progress) (G1).
+                 glob: str | None = None, max_files: int | None = None, total: int | None = None):
+    """Progressive scoring: stream rows, score, write each batch to Parquet; returns (query, progress) (G1).
 
-    ``scorer`` maps a DataFrame to the scored DataFrame (row-wise only).
-    Progress rows hold batch id, rows processed in the batch and cumulative
-    rows, the streaming analogue of the reference's per-batch percent.
+    ``scorer`` maps a DataFrame to the scored DataFrame (row-wise only).  A
+    batch overwrites its own folder ``batch=<id>``, so a repeated batch is
+    written once.  Progress comes from the sink, one row per batch: rows,
+    cumulative rows, and with ``total`` (rows to expect) the total and percent.
     """
     src = file_stream(spark, in_dir, schema, glob, max_files)
-    q = (scorer(src).writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+
+    def sink(batch: DataFrame, epoch: int):
+        scorer(batch).write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={epoch}"))
+
+    q = src.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    done = 0
-    progress = []
-    for p in q.recentProgress:
-        n = int(p.get("numInputRows", 0)) if isinstance(p, dict) else int(p.numInputRows)
-        b = int(p.get("batchId", 0)) if isinstance(p, dict) else int(p.batchId)
-        done += n
-        progress.append((b, n, done))
-    return q, progress
+    per = spark.read.parquet(out_dir).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"))
+    done = F.sum("rows").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))  # one row a batch
+    progress = per.withColumn("processed", done).withColumn("total", F.lit(total).cast("long"))
+    return q, progress.withColumn("percent", F.col("processed") * 100.0 / F.col("total"))
 
 
 def windowed_counts(src: DataFrame, ts: str, window: str, watermark: str, by: list[str] | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def windowed_counts(src: DataFrame, ts: str, window: str, watermark: str, by: li
 
 def periodic_counts(spark: SparkSession, in_dir: str, schema, ts: str, window: str, watermark: str,
                     out_dir: str, ckpt: str, by: list[str] | None = None, glob: str | None = None,
-                    mode: str = "complete"):
+                    mode: str = "complete", max_files: int | None = None):
     """Keep period counts up to date.
 
     ``complete``: the whole result (one row per period and key) is re-emitted
@@ -66,7 +66,7 @@ def periodic_counts(spark: SparkSession, in_dir: str, schema, ts: str, window: s
     is written once the watermark passes its end and its state is dropped,
     the form for unbounded streams.
     """
-    src = file_stream(spark, in_dir, schema, glob, 1)
+    src = file_stream(spark, in_dir, schema, glob, max_files)
     agg = windowed_counts(src, ts, window, watermark, by)
     shaped = agg.select(F.col("w.start").cast("timestamp_ntz").alias("period_start"),
                         *[F.col(b) for b in (by or [])], "n")

@@ -24,8 +24,8 @@ def test_knn_exact_clustered_and_uniform(spark):
     keys = list(range(300))
     df = spark.createDataFrame([(k, [float(v) for v in x]) for k, x in zip(keys, X)], "id bigint, v array<double>")
     want = brute_knn(X, keys, X, keys, 4, True)
-    for brute_pairs in (0, 10**9):  # region search, then the size-checked all-blocks path
-        got = knn_join(df, df, "v", 4, "id", "id", exclude_self=True, block=50, brute_pairs=brute_pairs).toPandas()
+    for n_regions in (None, 1, 40):
+        got = knn_join(df, df, "v", 4, "id", "id", exclude_self=True, block=50, n_regions=n_regions).toPandas()
         got = got.sort_values(["id", "rank"]).groupby("id")["nn_key"].apply(list).to_dict()
         assert got == want
 
@@ -33,8 +33,8 @@ def test_knn_exact_clustered_and_uniform(spark):
 def test_knn_fewer_right_rows_than_k(spark):
     left = spark.createDataFrame([(1, [0.0, 0.0]), (2, [5.0, 5.0])], "id bigint, v array<double>")
     right = spark.createDataFrame([(7, [1.0, 0.0]), (8, [4.0, 4.0])], "id bigint, v array<double>")
-    for brute_pairs in (0, 10**9):
-        got = knn_join(left, right, "v", 3, "id", "id", brute_pairs=brute_pairs).orderBy("id", "rank").collect()
+    for n_regions in (None, 1, 9):
+        got = knn_join(left, right, "v", 3, "id", "id", n_regions=n_regions).orderBy("id", "rank").collect()
         assert [(r["id"], r["nn_key"]) for r in got] == [(1, 7), (1, 8), (2, 8), (2, 7)]
 
 
@@ -142,8 +142,8 @@ def test_exact_percentiles_match_numpy_with_ties_and_groups(spark):
     rows = [(int(i % 3), float(v) if i % 17 else None) for i, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "g int, x double").repartition(5)
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    for max_map in (0, 10**6):  # bucketed path, then the size-checked one-pass path
-        got = {(r["g"], r["pos"]): r["value"] for r in exact_percentiles(df, "x", qs, "g", max_map).collect()}
+    for n_buckets in (3, None):
+        got = {(r["g"], r["pos"]): r["value"] for r in exact_percentiles(df, "x", qs, "g", n_buckets).collect()}
         for g in range(3):
             xs = np.array([x for k, x in rows if k == g and x is not None])
             want = np.quantile(xs, qs)
