@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import crc_fold, needed
+from .common import content_key, crc_fold, needed
 
 BUCKETS = 1 << 16
-MAX_LANGS = 1000                         # learned languages; more is an error, never a cut
+MAX_LANGS = 250                          # learned languages; more is an error, never a cut
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.full(256, 32, np.uint8)
@@ -165,9 +165,10 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, span: int = 6,
 
     def run(batches):
         t = model.value
+        limit = flat.RUN_BYTES * 8 // max(8, t.shape[1])         # spans x languages stay within one size
         for b in batches:
             buf, off = flat.texts_of(b.column("text"))
-            for i, j in flat.spans(off):
+            for i, j in flat.spans(off, limit):
                 rb, ro = buf[off[i]:off[j]], off[i:j + 1] - off[i]
                 pi, share, size, words = infer(rb, ro, t, span, penalty, rounds)
                 ok = words & _has_letter(rb, ro) if langs else np.zeros(j - i, bool)
@@ -189,10 +190,13 @@ def learned_fold(docs: DataFrame) -> DataFrame:
 
 
 def confident(docs: DataFrame, min_score: float = 0.5, **kw) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or has less than ``min_score`` of the words; columns as they are."""
-    from .common import content_key
+    """``docs`` without the rows whose language is undetermined or has less than ``min_score`` of the words; columns as they are.
 
+    Where no row has a language to learn from, nothing can be told and all rows stay.
+    """
     langs, table = fit(learned_fold(needed(docs, "doc_id", "text", "lang")))
+    if not langs:
+        return docs
     slim = needed(docs, "doc_id", "text", "source").select("doc_id", content_key().alias("key"), "text")
     good = predict(slim, langs, table, **kw).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
     good = good.select(F.col("doc_id").alias("__llm_id"), F.col("key").alias("__llm_k")).distinct()

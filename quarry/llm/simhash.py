@@ -258,14 +258,13 @@ def _shards(fp: np.ndarray, start: int, width: int, radius: int):
 # ---- components ------------------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge: large-star and small-star rounds until nothing moves.
+    """(node, root) for every node of an edge but the roots: large-star and small-star rounds until all edges lead to roots.
 
     Every round is written to the shared folder, which cuts the lineage and
     gives the joins two shuffled sides, so that a node with very many
     neighbours is split by the skew join.
     """
     e = cut_lineage(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct())
-    before = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("k"), F.least("u", "w").alias("m")))
@@ -275,10 +274,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
         e = cut_lineage(small)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if now[0] == now[2] and before == now:       # every node points to one other and nothing moved
+        size = e.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        roots = e.select(F.col("v").alias("r")).distinct()
+        if size[0] == size[1] and e.join(roots, F.col("u") == F.col("r"), "left_semi").isEmpty():   # every edge leads to a root
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, shard_rows: int = 20_000) -> DataFrame:
