@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import agg, encode, impute, model, sample, stats
-from quarry.plans.registry import null_when, register, rnd, rounded, t
+from quarry.plans.registry import null_when, register, rounded, t
 
 # Fixed linear score standing in for a model probability (documents.n_chars).
 PROBA_SQL = "least(d.n_chars / 8000.0, 1.0)"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import agg, encode, rank, sample
-from quarry.plans.registry import register, rnd, rounded, t
+from quarry.plans.registry import register, rounded, t
 
 # Nine orders in ten are in one group, every twentieth has none.
 GROUP_SQL = "CASE WHEN o_orderkey % 20 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN o_orderpriority ELSE 'hot' END"

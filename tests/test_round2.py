@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import columns as fc
 from quarry.operators import agg, cluster, encode, impute, joins, model, rank, sample, score, stats, textclf
 from quarry.sources import io
 
