@@ -229,7 +229,7 @@ def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 20_000) -> Dat
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     work = work.withColumn("g", F.when(F.col("small"), F.pmod(F.xxhash64("t", "v"), F.lit(4 * n))).otherwise(F.xxhash64("t", "v", "c", "e")))
 
-    def join_group(key, df: pd.DataFrame) -> pd.DataFrame:
+    def join_group(key, df):
         start, width = blocks[int(df["t"].iloc[0])]
         fp, side = df["fp"].to_numpy().view(np.uint64), df["side"].to_numpy()
         if df["small"].iloc[0]:
