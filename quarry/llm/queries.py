@@ -79,10 +79,11 @@ def op7_simhash_components(spark, sf_dir):
 def op8_fingerprints(spark, sf_dir):
     """The fingerprints, and for every document whose id is divisible by 100 how many documents lie within 3 bits (n_near)."""
     t = cut_lineage(fingerprint.edited_fingerprints(table(spark, sf_dir, "documents")))
-    near = fingerprint.search(t.where("doc_id % 100 = 0"), t, 3).withColumnRenamed("fingerprint", "f")
-    asked = F.when(F.col("doc_id") % 100 == 0, F.col("fingerprint"))
-    return t.withColumn("asked", asked).join(near, F.col("asked") == F.col("f"), "left").select(
-        "doc_id", "n_chars", F.col("edited_sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
+    asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    near = fingerprint.search(t.where(asked), t, 3)
+    cols = ["doc_id", "n_chars", F.col("edited_sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    rest = t.where(~asked).select(*cols, F.lit(None).cast("bigint").alias("n_near"))
+    return t.where(asked).join(near, "fingerprint").select(*cols, "n_near").unionByName(rest)
 
 
 @query
