@@ -5,10 +5,9 @@ arrays over its distinct lines; ``remove_hashed`` rewrites the texts that lose
 lines.  Both the quality rules and the template dedup work on that table,
 which holds 64-bit hashes and never the texts.
 
-A line's documents are counted by *context*: the smallest other line hash of
-the document.  Copies of one document share their lines' contexts and so
-count as one document, while a notice pasted into unrelated documents has as
-many contexts as carriers.
+A line's documents are counted by a hash of their whole text: exact copies
+count as one document, all other carriers count each, however many lines they
+share and also if they have no other line.
 """
 
 from __future__ import annotations
@@ -46,18 +45,6 @@ def distinct_in_doc(doc: np.ndarray, h: np.ndarray):
     return pick, number
 
 
-def contexts(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
-    """For distinct lines of documents: the smallest hash among the document's other lines (0 if none)."""
-    top = np.uint64(2**64 - 1)
-    least = np.full(n_docs, top, np.uint64)
-    np.minimum.at(least, doc, h)
-    rest = np.where(h == least[doc], top, h)
-    second = np.full(n_docs, top, np.uint64)
-    np.minimum.at(second, doc, rest)
-    out = np.where(h == least[doc], second[doc], least[doc])
-    return np.where(out == top, np.uint64(0), out)
-
-
 def map_documents(docs: DataFrame, schema: str, per_run: Callable) -> DataFrame:
     """``per_run(buf, off, batch, i, j)`` -> Arrow columns for documents i..j of a batch; text is dropped, other columns stay."""
     keep = [c for c in docs.columns if c != "text"]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quarry.session import cut_lineage
 
 from . import flat
-from .lines import contexts, distinct_in_doc, keyed, map_documents, normal_lines, remove_hashed
+from .lines import distinct_in_doc, keyed, map_documents, normal_lines, remove_hashed
 
 WINDOW = 8                                   # words of a repeated window
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30           # base rules
@@ -71,15 +71,14 @@ def _per_run(buf, off):
     order = np.argsort(doc[pick], kind="stable")
     pick = pick[order]
     total = np.bincount(which, weights=words, minlength=len(pick)).astype(np.int64)[order]
-    ctx = contexts(doc[pick], h[pick], n)
     l_off = np.searchsorted(doc[pick], np.arange(n + 1))
     cols = [pa.array(x.astype(np.int64)) for x in base]
-    item = pa.StructArray.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(total)], names=["h", "ctx", "words"])
+    item = pa.StructArray.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(total)], names=["h", "words"])
     return [*cols, flat.list_array(item, l_off)]
 
 
 LINE_SCHEMA = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-               "`lines` array<struct<h:bigint,ctx:bigint,words:bigint>>")
+               "`lines` array<struct<h:bigint,words:bigint>>")
 
 
 def line_rules(docs: DataFrame, max_docs: int = 100, min_left: float = 0.3) -> DataFrame:
@@ -89,8 +88,8 @@ def line_rules(docs: DataFrame, max_docs: int = 100, min_left: float = 0.3) -> D
     limit of its host (null: none).
     """
     t = cut_lineage(map_documents(keyed(docs), LINE_SCHEMA, _per_run))
-    lines = t.select("row", "source", F.explode("lines").alias("l")).select("row", "source", "l.h", "l.ctx", "l.words")
-    frequent = (lines.groupBy("source", "h", "ctx").agg(F.lit(1).alias("one"))        # copies of a document count once
+    lines = t.select("row", "source", "key", F.explode("lines").alias("l")).select("row", "source", "key", "l.h", "l.words")
+    frequent = (lines.groupBy("source", "h", "key").agg(F.lit(1).alias("one"))        # copies of a document count once
                 .groupBy("source", "h").agg(F.count("one").alias("n")).where(F.col("n") > max_docs)
                 .select(F.col("source").alias("host"), F.col("h").alias("hot")))
     frequent = cut_lineage(frequent)

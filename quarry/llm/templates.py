@@ -13,7 +13,7 @@ keeps its text, for the near-duplicate stage.
 Paths are 64-bit hashes built by prefix sums over the token hashes, so the
 tree is never held in one place; counting is a grouped aggregate that combines
 before the shuffle, and no template's lines are gathered.  Copies of a document
-count as one document (see ``lines``).
+count as one document, whatever their hosts (see ``lines``).
 
 Defined cases: a null text stays null; lines of fewer than ``MIN_TOKENS`` words
 stay; repeated rows each keep a row and are treated alike; an empty table
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.session import cut_lineage
 
 from . import flat
-from .lines import contexts, distinct_in_doc, keyed, map_documents, normal_lines, remove_hashed
+from .lines import distinct_in_doc, keyed, map_documents, normal_lines, remove_hashed
 
 LEAD, FIELDS, FIELDS_FROM, MIN_TOKENS = 2, 4, 8, 3
 _DIGIT = np.zeros(256, bool)
@@ -71,25 +71,24 @@ def _per_run(buf, off):
     order = np.argsort(doc[pick], kind="stable")
     pick = pick[order]
     total = np.bincount(which, weights=words, minlength=len(pick)).astype(np.int64)[order]
-    ctx = contexts(doc[pick], h[pick], n)
     l_off = np.searchsorted(doc[pick], np.arange(n + 1))
     keys = tree[pick]
     keep = keys != 0
     k_off = np.append(0, np.cumsum(keep.sum(axis=1)))
     item = pa.StructArray.from_arrays(
-        [pa.array(h[pick].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(total),
-         flat.list_array(pa.array(keys[keep].view(np.int64)), k_off)], names=["h", "ctx", "words", "paths"])
+        [pa.array(h[pick].view(np.int64)), pa.array(total),
+         flat.list_array(pa.array(keys[keep].view(np.int64)), k_off)], names=["h", "words", "paths"])
     return [pa.array(np.diff(woff)), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), flat.list_array(item, l_off)]
 
 
-SCHEMA = "n_words bigint, n_lines bigint, `lines` array<struct<h:bigint,ctx:bigint,words:bigint,paths:array<bigint>>>"
+SCHEMA = "n_words bigint, n_lines bigint, `lines` array<struct<h:bigint,words:bigint,paths:array<bigint>>>"
 
 
 def line_verdicts(docs: DataFrame, min_docs: int = 5, max_loss: float = 0.5) -> DataFrame:
     """doc_id, key, n_lines (with a word), n_dropped (distinct ones), common (hashes of the lines to drop; null: none) of every row."""
-    t = cut_lineage(map_documents(keyed(docs), SCHEMA, _per_run))
-    lines = (t.select("row", F.explode("lines").alias("l")).select("row", "l.h", "l.ctx", "l.words", F.explode("l.paths").alias("path")))
-    hot = cut_lineage(lines.groupBy("path", "ctx").agg(F.lit(1).alias("one")).groupBy("path").agg(F.count("one").alias("n"))
+    t = cut_lineage(map_documents(keyed(docs).withColumn("body", F.xxhash64("text")), SCHEMA, _per_run))
+    lines = (t.select("row", "body", F.explode("lines").alias("l")).select("row", "body", "l.h", "l.words", F.explode("l.paths").alias("path")))
+    hot = cut_lineage(lines.groupBy("path", "body").agg(F.lit(1).alias("one")).groupBy("path").agg(F.count("one").alias("n"))
                       .where(F.col("n") >= min_docs).select(F.col("path").alias("hot")))
     gone = (lines.join(hot, F.col("path") == F.col("hot"), "left_semi").groupBy("row", "h").agg(F.max("words").alias("words"))
             .groupBy("row").agg(F.sum("words").alias("lost"), F.collect_list("h").alias("common")))

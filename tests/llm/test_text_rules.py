@@ -56,6 +56,24 @@ def test_recurring_templates_go_from_all_documents(make):
     assert all(r.n_chars == len(r.text) for r in out.values())
 
 
+def test_every_carrier_of_shared_lines_counts(make):
+    """Carriers share several lines, or have no other line; all of them count, exact copies once."""
+    frame = [prose(5, 4000 + i) + f" frame{chr(97 + i)}" for i in range(10)]
+    rows = [(i, "\n".join(frame[:5] + [prose(40, 3000 + i)] + frame[5:]), "en", "host") for i in range(30)]
+    rows += [(100 + i, "\n".join(frame + [prose(60, 8000)]), "en", "copies") for i in range(30)]
+    docs = make(rows)
+    v = {r.doc_id: r for r in quality.line_rules(docs, max_docs=20).collect()}
+    assert all(v[i].words_left == 40 and len(v[i].common) == 10 for i in range(30))
+    assert all(v[100 + i].common is None for i in range(30))
+    passage = [prose(8, 5000 + i) + f" passage{chr(97 + i)}" for i in range(3)]
+    rows = [(i, "\n".join([prose(20, 6000 + 2 * i), *passage, prose(20, 6001 + 2 * i)]), "en", f"s{i}") for i in range(5)]
+    logs = [(100 + i, f"request {i} served by the north gate of the mill", "en", "log") for i in range(30)]
+    lost = {r.doc_id: r.n_dropped for r in templates.line_verdicts(make(rows + logs), max_loss=1.0).collect()}
+    assert all(lost[i] == 3 for i in range(5)) and all(lost[100 + i] == 1 for i in range(30))
+    copies = make([(i, "\n".join(frame), "en", f"s{i}") for i in range(9)])             # exact copies on many hosts
+    assert all(r.n_dropped == 0 for r in templates.line_verdicts(copies).collect())
+
+
 def test_line_operators_on_odd_rows(make, odd_rows, spark):
     docs = make(odd_rows).withColumn("row", F.lit(1)).withColumn("key", F.lit("k")).withColumn("lines", F.array(F.lit(2)))
     out = templates.dedup_lines(docs)
