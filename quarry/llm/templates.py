@@ -6,14 +6,19 @@ this full path a line of at least ``FIELDS_FROM`` tokens has paths on which
 one quarter of the tokens after the lead is a variable field, so lines that
 differ only there meet in one template.  A template that recurs in at least
 ``min_docs`` documents is dropped from all of them: every line that has it as a
-path goes.  A document that would lose more than ``max_loss`` of its words is
-a copy of other documents rather than a carrier of their boilerplate; it
-keeps its text, for the near-duplicate stage.
+path goes, whatever share of its document it is.  A line of more than ``LONG``
+tokens recurs from two documents on, by its full path.
+
+Copies and near copies of a document count as one document: the documents of a
+path are counted by component of their SimHash (4-word windows, ``RADIUS``
+differing bits).  So lines that only such copies share stay, for the
+near-duplicate stage, and boilerplate goes from the copies as from any other
+document.
 
 Paths are 64-bit hashes built by prefix sums over the token hashes, so the
 tree is never held in one place; counting is a grouped aggregate that combines
-before the shuffle, and no template's lines are gathered.  Copies of a document
-count as one document, whatever their hosts (see ``lines``).
+before the shuffle, and no template's lines are gathered.  Only paths that
+enough different fingerprints carry are counted again by component.
 
 Defined cases: a null text stays null; lines of fewer than ``MIN_TOKENS`` words
 stay; repeated rows each keep a row and are treated alike; an empty table
@@ -29,10 +34,11 @@ from pyspark.sql import functions as F
 
 from quarry.session import cut_lineage
 
-from . import flat
+from . import flat, simhash
 from .lines import distinct_in_doc, keyed, map_documents, normal_lines, remove_hashed
 
-LEAD, FIELDS, FIELDS_FROM, MIN_TOKENS = 2, 4, 8, 3
+LEAD, FIELDS, FIELDS_FROM, MIN_TOKENS, LONG = 2, 4, 8, 3, 50
+WINDOW, RADIUS = 4, 4                        # of the SimHash
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _WILD = np.uint64(0x57494C44)
@@ -63,42 +69,57 @@ def paths(buf: np.ndarray, first: np.ndarray, words: np.ndarray, wh: np.ndarray,
     return out
 
 
+def fingerprints(buf: np.ndarray, ws: np.ndarray, we: np.ndarray, woff: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of every document; one of fewer words than a window has the hash of them all."""
+    wh = flat.hash_pieces(buf, ws, we, flat.BYTE_HASH[flat.LOWER])
+    win, at = flat.window_hash(wh, woff, WINDOW)
+    w_off = np.searchsorted(at, woff)
+    fp = np.packbits(2 * flat.bit_votes(win, w_off) > np.diff(w_off)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.where(np.diff(woff) < WINDOW, flat.run_hash(wh, woff[:-1], woff[1:]), fp)
+
+
 def _per_run(buf, off):
     n = len(off) - 1
     doc, number, h, words, first, wh, (ws, we, woff), _ = normal_lines(buf, off)
     tree = paths(buf, first, words, wh, ws, we)
-    pick, which = distinct_in_doc(doc, h)
-    order = np.argsort(doc[pick], kind="stable")
-    pick = pick[order]
-    total = np.bincount(which, weights=words, minlength=len(pick)).astype(np.int64)[order]
+    pick, _ = distinct_in_doc(doc, h)
+    pick = pick[np.argsort(doc[pick], kind="stable")]
     l_off = np.searchsorted(doc[pick], np.arange(n + 1))
     keys = tree[pick]
     keep = keys != 0
     k_off = np.append(0, np.cumsum(keep.sum(axis=1)))
     item = pa.StructArray.from_arrays(
-        [pa.array(h[pick].view(np.int64)), pa.array(total),
-         flat.list_array(pa.array(keys[keep].view(np.int64)), k_off)], names=["h", "words", "paths"])
-    return [pa.array(np.diff(woff)), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), flat.list_array(item, l_off)]
+        [pa.array(h[pick].view(np.int64)), pa.array(words[pick] > LONG),
+         flat.list_array(pa.array(keys[keep].view(np.int64)), k_off)], names=["h", "long", "paths"])
+    fp = fingerprints(buf, ws, we, woff)
+    return [pa.array(fp.view(np.int64)), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), flat.list_array(item, l_off)]
 
 
-SCHEMA = "n_words bigint, n_lines bigint, `lines` array<struct<h:bigint,words:bigint,paths:array<bigint>>>"
+SCHEMA = "fp bigint, n_lines bigint, `lines` array<struct<h:bigint,long:boolean,paths:array<bigint>>>"
 
 
-def line_verdicts(docs: DataFrame, min_docs: int = 5, max_loss: float = 0.5) -> DataFrame:
+def line_verdicts(docs: DataFrame, min_docs: int = 5) -> DataFrame:
     """doc_id, key, n_lines (with a word), n_dropped (distinct ones), common (hashes of the lines to drop; null: none) of every row."""
-    t = cut_lineage(map_documents(keyed(docs).withColumn("body", F.xxhash64("text")), SCHEMA, _per_run))
-    lines = (t.select("row", "body", F.explode("lines").alias("l")).select("row", "body", "l.h", "l.words", F.explode("l.paths").alias("path")))
-    hot = cut_lineage(lines.groupBy("path", "body").agg(F.lit(1).alias("one")).groupBy("path").agg(F.count("one").alias("n"))
-                      .where(F.col("n") >= min_docs).select(F.col("path").alias("hot")))
-    gone = (lines.join(hot, F.col("path") == F.col("hot"), "left_semi").groupBy("row", "h").agg(F.max("words").alias("words"))
-            .groupBy("row").agg(F.sum("words").alias("lost"), F.collect_list("h").alias("common")))
-    copy = F.col("lost") > F.lit(max_loss) * F.col("n_words")
-    return (t.drop("lines").join(gone, "row", "left")
-            .withColumn("common", F.when(~copy, F.col("common")))
+    t = cut_lineage(map_documents(keyed(docs), SCHEMA, _per_run))
+    lines = (t.select("row", "fp", F.explode("lines").alias("l")).select("row", "fp", "l.h", "l.long", F.posexplode("l.paths").alias("pos", "path"))
+             .select("row", "fp", "h", "path", (F.col("long") & (F.col("pos") == 0)).alias("long")))
+
+    def recurring(carriers: DataFrame, by: str) -> DataFrame:
+        """The paths that enough different ``by`` carry."""
+        per = carriers.groupBy("path", by).agg(F.max("long").alias("long")).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("long").alias("long"))
+        return cut_lineage(per.where(F.col("n") >= F.when(F.col("long"), 2).otherwise(min_docs)).select(F.col("path").alias("hot")))
+
+    often = cut_lineage(lines.join(recurring(lines, "fp"), F.col("path") == F.col("hot"), "left_semi"))
+    near = simhash.components(simhash.links(t.select("fp").distinct(), RADIUS))
+    carriers = often.groupBy("path", "fp").agg(F.max("long").alias("long")).join(near, F.col("fp") == F.col("node"), "left")
+    hot = recurring(carriers.select("path", "long", F.coalesce("root", "fp").alias("one")), "one")
+    gone = (often.join(hot, F.col("path") == F.col("hot"), "left_semi").select("row", "h").distinct()
+            .groupBy("row").agg(F.collect_list("h").alias("common")))
+    return (t.select("row", "doc_id", "key", "n_lines").join(gone, "row", "left")
             .select("doc_id", "key", "n_lines", F.coalesce(F.size("common"), F.lit(0)).alias("n_dropped"), "common"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 5, max_loss: float = 0.5) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 5) -> DataFrame:
     """``docs`` without the lines of recurring templates."""
-    v = cut_lineage(line_verdicts(docs, min_docs, max_loss).where("common is not null").select("doc_id", "key", "common"))
+    v = cut_lineage(line_verdicts(docs, min_docs).where("common is not null").select("doc_id", "key", "common"))
     return remove_hashed(docs, v.groupBy("doc_id", "key").agg(F.first("common").alias("common")), "left")

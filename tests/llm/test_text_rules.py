@@ -68,12 +68,32 @@ def test_every_carrier_of_shared_lines_counts(make):
     passage = [prose(8, 5000 + i) + f" passage{chr(97 + i)}" for i in range(3)]
     rows = [(i, "\n".join([prose(20, 6000 + 2 * i), *passage, prose(20, 6001 + 2 * i)]), "en", f"s{i}") for i in range(5)]
     logs = [(100 + i, f"request {i} served by the north gate of the mill", "en", "log") for i in range(30)]
-    lost = {r.doc_id: r.n_dropped for r in templates.line_verdicts(make(rows + logs), max_loss=1.0).collect()}
+    lost = {r.doc_id: r.n_dropped for r in templates.line_verdicts(make(rows + logs)).collect()}
     assert all(lost[i] == 3 for i in range(5)) and all(lost[100 + i] == 1 for i in range(30))
     copies = make([(i, "\n".join(frame), "en", f"s{i}") for i in range(9)])             # exact copies on many hosts
     assert all(r.n_dropped == 0 for r in templates.line_verdicts(copies).collect())
 
 
+def test_recurring_lines_go_whatever_their_share_but_near_copies_stay(make):
+    passage, frame, short = prose(55, 70), [f"{prose(6, 80 + i)} frame{chr(97 + i)}" for i in range(4)], prose(40, 90)
+    rows = [(i, "\n".join([prose(15, 7000 + i), passage]), "en", f"s{i}") for i in range(6)]          # shorter than what they share
+    rows += [(50 + i, "\n".join([*frame, prose(8, 7100 + i)]), "en", f"s{i}") for i in range(6)]      # pages that are mostly frame
+    rows += [(60, "\n".join(frame), "en", "s")]                                                       # ... or nothing else
+    long = prose(60, 91)
+    rows += [(70 + i, "\n".join([prose(30, 7200 + i), long, short]), "en", f"s{i}") for i in range(2)]
+    base = prose(1200, 92).split()
+    for i in range(8):                                                                                # near copies, one word edited
+        w = list(base)
+        w[150 * i + 7] = "edited"
+        rows.append((100 + i, "\n".join(" ".join(w[k:k + 60]) for k in range(0, 1200, 60)) + "\n" + frame[0], "en", "s"))
+    out = {r.doc_id: r.text for r in templates.dedup_lines(make(rows)).collect()}
+    text = {r[0]: r[1] for r in rows}
+    assert all(out[i] == text[i].split("\n")[0] for i in range(6))
+    assert all(out[50 + i] == text[50 + i].split("\n")[-1] for i in range(6)) and out[60] == ""
+    assert all(out[70 + i] == text[70 + i].replace("\n" + long, "") for i in range(2))                 # 60 words go, 40 words stay
+    assert all(out[100 + i] == text[100 + i].rsplit("\n", 1)[0] for i in range(8))                    # only the frame's line goes
+
+
 def test_line_operators_on_odd_rows(make, odd_rows, spark):
     docs = make(odd_rows).withColumn("row", F.lit(1)).withColumn("key", F.lit("k")).withColumn("lines", F.array(F.lit(2)))
     out = templates.dedup_lines(docs)
