@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; text that has none, or no leading one, goes."""
+    """Documents in one or more known languages; text that they do not explain goes."""
     return langid.confident(docs, 0.4)
 
 

@@ -112,13 +112,17 @@ def mixture(like: np.ndarray, doc: np.ndarray, weight: np.ndarray, pi: np.ndarra
 
 
 def infer(buf, off, table: np.ndarray, span: int, penalty: float, rounds: int):
-    """(proportions over the selected set, share of every language, number of languages chosen, has words) per document."""
+    """(proportions over the selected set, share of every language, number of languages chosen, explained, has words) per document.
+
+    explained: the share of words that fall to the selected languages together,
+    in spans that these make likelier than evenly spread trigrams are.
+    """
     n, k = len(off) - 1, table.shape[1]
     bucket, start, doc_word = trigrams(buf, off)
     words = np.diff(doc_word)
     share, chosen = np.zeros((n, k)), np.zeros(n, np.int64)
     if not len(start) or not k:
-        return share, share, chosen, words > 0
+        return share, share, chosen, np.zeros(n), words > 0
     doc = flat.doc_of(doc_word)
     head = np.flatnonzero((np.arange(len(start)) - doc_word[:-1][doc]) % span == 0)      # first word of every span
     first = start[head]
@@ -145,22 +149,27 @@ def infer(buf, off, table: np.ndarray, span: int, penalty: float, rounds: int):
         best = np.where(better, value, best)
         chosen = np.where(better, size, chosen)
         pick = np.where(better[:, None], pi, pick)
-        if size >= 8 and not better.any():
+        if not (base - penalty * size * np.log1p(spans) > best + 1e-9).any():     # no larger set can be better: no fit exceeds base
             break
-    return pick, share, chosen, words > 0
+    letters = np.diff(np.append(first, len(bucket)))
+    known = top[:, 0] + np.log(np.maximum((like * pick[s_doc]).sum(axis=1), 1e-300)) > -letters * np.log(BUCKETS)
+    chosen_part = (part * (pick > 0)[s_doc]).sum(axis=1)
+    explained = np.bincount(s_doc, weights=known * chosen_part * weight, minlength=n) / np.maximum(words, 1)
+    return pick, share, chosen, explained, words > 0
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, span: int = 6, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
-    """``docs`` with lang_pred, score, languages and proportions (arrays, largest first) in place of text.
+    """``docs`` with lang_pred, score, languages and proportions (arrays, largest first) and explained in place of text.
 
     score is the share of the document's words that fall to the predicted
-    language when every language takes part.
+    language when every language takes part; explained the share that the
+    selected languages together account for, 0 for ``und`` (see ``infer``).
     """
     keep = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in keep]
-    out = ["lang_pred", "score", "languages", "proportions"]
+    out = ["lang_pred", "score", "languages", "proportions", "explained"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep),
-                        "lang_pred string, score double, languages array<string>, proportions array<double>"])
+                        "lang_pred string, score double, languages array<string>, proportions array<double>, explained double"])
     model = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -170,7 +179,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, span: int = 6,
             buf, off = flat.texts_of(b.column("text"))
             for i, j in flat.spans(off, limit):
                 rb, ro = buf[off[i]:off[j]], off[i:j + 1] - off[i]
-                pi, share, size, words = infer(rb, ro, t, span, penalty, rounds)
+                pi, share, size, known, words = infer(rb, ro, t, span, penalty, rounds)
                 ok = words & _has_letter(rb, ro) if langs else np.zeros(j - i, bool)
                 top = pi.argmax(axis=1) if langs else np.zeros(j - i, int)
                 pred = [langs[c] if g else UND for c, g in zip(top.tolist(), ok.tolist())]
@@ -179,7 +188,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, span: int = 6,
                 props = [np.sort(p)[::-1][:s].tolist() if g else [] for p, s, g in zip(pi, size.tolist(), ok.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(c).slice(i, j - i) for c in names], pa.array(pred, pa.string()), pa.array(score),
-                     pa.array(sets, pa.list_(pa.string())), pa.array(props, pa.list_(pa.float64()))], names=[*names, *out])
+                     pa.array(sets, pa.list_(pa.string())), pa.array(props, pa.list_(pa.float64())), pa.array(np.where(ok, known, 0.0))], names=[*names, *out])
 
     return docs.mapInArrow(run, schema)
 
@@ -190,15 +199,16 @@ def learned_fold(docs: DataFrame) -> DataFrame:
 
 
 def confident(docs: DataFrame, min_score: float = 0.5, **kw) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or has less than ``min_score`` of the words; columns as they are.
+    """``docs`` without the rows that are undetermined or whose languages together explain less than ``min_score`` of the words.
 
+    A document in several languages counts with all of them; columns as they are.
     Where no row has a language to learn from, nothing can be told and all rows stay.
     """
     langs, table = fit(learned_fold(needed(docs, "doc_id", "text", "lang")))
     if not langs:
         return docs
     slim = needed(docs, "doc_id", "text", "source").select("doc_id", content_key().alias("key"), "text")
-    good = predict(slim, langs, table, **kw).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    good = predict(slim, langs, table, **kw).where((F.col("lang_pred") != UND) & (F.col("explained") >= min_score))
     good = good.select(F.col("doc_id").alias("__llm_id"), F.col("key").alias("__llm_k")).distinct()
     named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], content_key().alias("__llm_key"))
     hit = named.join(good, (F.col("__llm_key") == F.col("__llm_k")) & F.col("doc_id").eqNullSafe(F.col("__llm_id")), "left_semi")

@@ -53,6 +53,30 @@ def test_mixture_likelihood_never_falls():
         last = now
 
 
+def test_clean_documents_in_several_languages_stay(spark, docs, make):
+    langs, table = langid.fit(langid.learned_fold(docs))
+    best = [docs.where((F.col("lang") == x) & (F.length("text") > 1500)).orderBy("doc_id").first().text.split()[:50 if x == "de" else 100] for x in langs[:4]]
+    rnd = np.random.default_rng(3)
+    junk = " ".join("".join(rnd.choice(list("bcdfghjklmnpqrstvwxz"), 8)) for _ in range(120))
+    rows = [(1, " ".join(w for b in best[:3] for w in b), None), (2, " ".join(w for b in best for w in b), None), (3, junk, None), (4, "12 34 !!", None)]
+    kept = langid.confident(docs.unionByName(make([(-r[0], *r[1:]) for r in rows])), 0.4)
+    assert sorted(r.doc_id for r in kept.where("doc_id < 0").collect()) == [-2, -1]
+    got = {r.doc_id: r for r in langid.predict(make(rows).select("doc_id", "text"), langs, table).collect()}
+    assert len(got[1].languages) == 3 and got[1].score < 0.4 < 0.9 < got[1].explained and got[3].explained < 0.4
+
+
+def test_language_sets_do_not_depend_on_the_run():
+    """More than eight languages: a document alone gets the set it gets among others."""
+    r = np.random.default_rng(1)
+    table = np.log(r.dirichlet(np.full(4096, 0.02), 14).T.repeat(16, axis=0) / 16 + 1e-9).astype(np.float32)
+    texts = [" ".join("".join(r.choice(list("abcdefghij"), 5)) for _ in range(n)).encode() for n in (20, 60, 100, 150, 200, 300, 40, 80, 120, 500)]
+    off = np.append(0, np.cumsum([len(t) for t in texts]))
+    whole = langid.infer(np.frombuffer(b"".join(texts), np.uint8), off, table, 6, 2.0, 8)
+    alone = [langid.infer(np.frombuffer(t, np.uint8), np.array([0, len(t)]), table, 6, 2.0, 8) for t in texts]
+    assert whole[2].tolist() == [a[2][0] for a in alone] and max(whole[2]) > 8
+    assert np.allclose(whole[0], [a[0][0] for a in alone])
+
+
 def test_language_on_odd_rows(make, odd_rows):
     docs = make(odd_rows).withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(3.0))
     langs, table = langid.fit(langid.learned_fold(docs))
