@@ -1,8 +1,8 @@
 """The operators of this subpackage bound to the test tables: one query per operator, over whole tables and whole texts.
 
-None of them has a SQL twin: their results come from 64-bit byte hashes, fitted
-models, tokenizers or a packing search; ``tests/llm`` holds them against
-brute-force versions instead.
+Phrase mining and suffix dedup have a SQL twin (``oracles``).  The results of the
+others come from 64-bit byte hashes, fitted models, tokenizers or a search;
+``tests/llm`` holds them against brute-force versions instead.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.session import cut_lineage
 
-from . import fingerprint, htmltext, langid, maxent, packing, pieces, qda, quality, simhash, templates
+from . import fingerprint, htmltext, langid, maxent, oracles, packing, phrases, pieces, qda, quality, repair, simhash, suffixes, templates
 from .common import crc_fold, needed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,28 @@ def op10_packing(spark, sf_dir):
     return pack_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=10, share=50, top=2000)
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    rows = repair.conversations(table(spark, sf_dir, "conversations"))
+    return repair.repair(rows, repair.damage(rows))
+
+
+@query
+def op13_suffix_dedup(spark, sf_dir):
+    out = suffixes.cut_repeats(table(spark, sf_dir, "documents"), 50)
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda z, a: z - a), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return out.select("doc_id", (F.octet_length("kept") + removed).cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
+                      F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES |= {"op11_phrases": oracles.PHRASES, "op13_suffix_dedup": oracles.SUFFIXES}
+
+
 def pack_digests(docs: DataFrame) -> DataFrame:
     """Places of all pieces, with the crc32 of each piece's ids instead of the ids."""
     parts = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
