@@ -1,16 +1,22 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams events; each block element's text is a
-line with its text length, tags and link text.  Menus, forms, scripts and the
-like are left out as they open.  Over the remaining lines in page order the
-text-to-tag ratios are smoothed by a Gaussian and split by threshold
-clustering (two means); the lines of the upper cluster are seeds.  The content
-region is the innermost article, main or other container that holds the seeds'
-text; its lines are the result, without those that are links only.
+line with its text length, tags and link text.  Scripts and the like never
+give text.  Elements that stand beside an article by their tag, or by a whole
+class, id or role token (menus, headers, footers, sidebars, notices, forms,
+comments), are marked as they open; at the end each marked element is left out
+unless it holds most of the page's text outside links.  Over the remaining
+lines in page order the text-to-tag ratios are smoothed by a Gaussian and split
+by threshold clustering (two means); the lines of the upper cluster are seeds.
+The content region is the smallest main element that holds nearly all of the
+seeds' text, else half of it, else such an article, else the smallest container
+with nearly all.  Its lines are the result, without those that are links only
+outside of runs of text (headings stay).
 
 Defined cases: a null or empty html gives an empty text; unclosed and stray
-tags are tolerated; a page without markup is one block; repeated rows each
-keep a row; an empty table gives no rows; further columns are ignored.
+tags are tolerated, a comment or tag that the page never closes is no text; a
+page without markup is one block; repeated rows each keep a row; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +37,26 @@ BLOCKS = frozenset((
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset((
-    "aside audio button canvas dialog footer form head iframe input menu nav noscript object script select style svg template textarea "
-    "title video").split())
+    "audio button canvas head iframe input noscript object script select style svg template textarea title video").split())
+MARKED = frozenset("aside dialog footer form header menu nav".split())
 INLINE = frozenset("a b em font i small span strong u".split())
 CONTAINERS = frozenset("article main section div td body html".split())
-# Words of class, id and role that name something beside the article.
-BESIDE = frozenset((
-    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
-    "cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay "
-    "pager pagination popup promo promoted promotion recommended related replies reply search share sharing sidebar signup skip social "
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Words of class, id and role tokens that name something beside the article, and
+# words that may stand next to them in one token (sidebar-left, nav_menu, commentList).
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+BESIDE = COMMENTS | frozenset((
+    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs complementary consent contentinfo "
+    "cookie cookies footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay "
+    "pager pagination popup promo promoted promotion recommended related search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe toc toolbar widget").split())
+NEUTRAL = frozenset((
+    "area articles bar block bottom box col column container fixed global group inner item items left links list main outer page panel posts "
+    "primary right secondary section site stories sticky text top wrap wrapper").split())
+MOST, NEARLY_ALL, HALF = 0.5, 0.9, 0.5         # shares of the text outside links
 _WORD = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_TAG = re.compile(r"<[A-Za-z/!?]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # An open element of the first kind ends when one of the second opens.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"},
@@ -52,13 +66,13 @@ _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 
 
 class Blocks(HTMLParser):
-    """Folds parser events into blocks (text, tags, link characters, containers)."""
+    """Folds parser events into blocks (text, tags, link characters, containers, marked elements, own tag)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks, self.open, self.text, self.tags, self.linked, self.links = [], [], [], 0, 0, 0
         self.dropped, self.in_article, self.n = 0, 0, 0
-        self.kind = {}
+        self.kind, self.marks = {}, {}
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -75,28 +89,34 @@ class Blocks(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        drop = tag in DROPPED or self.beside(tag, attrs)
+        drop = tag in DROPPED or hidden(attrs)
         self.n += 1
         if tag in CONTAINERS:
             self.kind[self.n] = tag
+        if not drop and (why := self.beside(tag, attrs)):
+            self.marks[self.n] = why
         self.open.append((tag, drop, self.n))
         self.dropped += drop
         self.links += tag == "a"
         self.in_article += tag in ("article", "main")
 
-    def beside(self, tag, attrs) -> bool:
+    def beside(self, tag, attrs) -> str:
+        """Why an element is marked: by its ``tag`` (a form: ``beside``), as ``comments`` or ``beside`` by a token; empty: it is not."""
         if tag in ("html", "body", "main"):
-            return False
+            return ""
+        found = "" if tag not in MARKED or tag == "header" and self.in_article else "beside" if tag == "form" else "tag"
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
             if value and name in ("class", "id", "role"):
-                words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-                if words & BESIDE or "header" in words and not self.in_article and tag != "article":
-                    return True
-            if value and name == "style" and _HIDDEN.search(value):
-                return True
-        return tag == "header" and not self.in_article
+                for token in value.split():
+                    words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+                    named = words & BESIDE
+                    if named == {"header"} and (self.in_article or tag == "article"):
+                        continue
+                    if named and words <= BESIDE | NEUTRAL | {w for w in words if w.isdigit()}:
+                        if named & COMMENTS:
+                            return "comments"
+                        found = found or "beside"
+        return found
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag not in BLOCKS:
@@ -132,9 +152,41 @@ class Blocks(HTMLParser):
     def flush(self):
         text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append((text, self.tags, self.linked, tuple(n for t, _, n in self.open if t in CONTAINERS)))
+            own = next((t for t, _, _ in reversed(self.open) if t in BLOCKS), "")
+            self.blocks.append((text, self.tags, min(self.linked, len(text)), tuple(n for t, _, n in self.open if t in CONTAINERS),
+                                tuple(n for _, _, n in self.open if n in self.marks), own))
         self.text, self.tags, self.linked = [], 0, 0
 
+    def kept(self):
+        """The blocks outside of marked elements; one that holds most of the page's text outside links counts as unmarked.
+
+        Comments, and elements whose tag says what they are, count as unmarked only if no text stands outside of them.
+        """
+        mass: dict[int, int] = {}
+        total = 0
+        for b in self.blocks:
+            own = len(b[0]) - b[2]
+            total += own
+            for n in b[4]:
+                mass[n] = mass.get(n, 0) + own
+        gone = {n for n, why in self.marks.items() if mass.get(n, 0) < (MOST if why == "beside" else 1.0) * total or not mass.get(n)}
+        return [b for b in self.blocks if not gone.intersection(b[4])]
+
+
+def hidden(attrs) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" or value and name == "style" and _HIDDEN.search(value) for name, value in attrs)
+
+
+def closed(html: str) -> str:
+    """The page without a comment or tag that is open at its end."""
+    at = html.rfind("<!--")
+    if at >= 0 and html.find("-->", at + 4) < 0:
+        html = html[:at]
+    at = html.rfind("<")
+    if at >= 0 and _TAG.match(html, at) and html.find(">", at) < 0:
+        html = html[:at]
+    return html
+
 
 def seeds(ratio: np.ndarray) -> np.ndarray:
     """Lines of the upper cluster of the smoothed text-to-tag ratios."""
@@ -157,25 +209,41 @@ def main_text(html: str) -> str:
     if not html:
         return ""
     p = Blocks()
-    p.feed(html)
+    p.feed(closed(html))
     p.close()
     p.flush()
-    if not p.blocks:
+    blocks = p.kept()
+    if not blocks:
         return ""
-    size = np.array([len(b[0]) for b in p.blocks], float)
-    linked = np.array([min(b[2], len(b[0])) for b in p.blocks], float)
-    ratio = np.log1p((size - linked) / (np.array([b[1] for b in p.blocks]) + 1.0))
-    chosen = seeds(ratio)
+    size = np.array([len(b[0]) for b in blocks], float)
+    plain = size - np.array([b[2] for b in blocks], float)
+    chosen = seeds(np.log1p(plain / (np.array([b[1] for b in blocks]) + 1.0)))
+    region = content_region(blocks, plain, chosen, p.kind)
+    inside = [k for k, b in enumerate(blocks) if not region or region in b[3]]
+    linked = [len(blocks) > 1 and size[k] - plain[k] >= 0.8 * size[k] for k in inside]
+    text_at = [i for i, only in enumerate(linked) if not only]
+    out = []
+    for i, (k, only) in enumerate(zip(inside, linked)):
+        # a block of links only stays as a heading, or alone between blocks of text
+        alone = text_at and text_at[0] < i < text_at[-1] and not linked[i - 1] and not linked[i + 1]
+        if not only or alone or blocks[k][5] in HEADINGS:
+            out.append(blocks[k][0])
+    return "\n\n".join(out)
+
+
+def content_region(blocks, plain: np.ndarray, chosen: np.ndarray, kind: dict[int, str]) -> int:
+    """Number of the container that holds the seeds' text; 0: the whole page."""
     mass: dict[int, float] = {}
-    for b, s, c in zip(p.blocks, size - linked, chosen):
+    for b, s, c in zip(blocks, plain, chosen):
         for n in b[3] if c else ():
             mass[n] = mass.get(n, 0.0) + s
-    total = float((size - linked)[chosen].sum())
-    region = max((n for n, m in mass.items() if p.kind[n] in ("article", "main") and m >= 0.5 * total), default=0)
-    region = region or max((n for n, m in mass.items() if m >= 0.9 * total and any(b[3][-1] != n for b in p.blocks if n in b[3])), default=0)
-    region = region or max((n for n, m in mass.items() if m >= 0.9 * total), default=0)
-    out = [b[0] for b, s, k in zip(p.blocks, size, linked) if (not region or region in b[3]) and not (k >= 0.8 * s and len(p.blocks) > 1)]
-    return "\n\n".join(out)
+    total = float(plain[chosen].sum())
+    for tag in ("main", "article"):
+        for share in (NEARLY_ALL, HALF):
+            if found := [n for n, m in mass.items() if kind[n] == tag and m >= share * total]:
+                return max(found)                      # the innermost: numbers rise as elements open
+    near = [n for n, m in mass.items() if m >= NEARLY_ALL * total]
+    return max((n for n in near if any(b[3][-1] != n for b in blocks if n in b[3])), default=max(near, default=0))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -115,7 +115,8 @@ def infer(buf, off, table: np.ndarray, span: int, penalty: float, rounds: int):
     """(proportions over the selected set, share of every language, number of languages chosen, explained, has words) per document.
 
     explained: the share of words that fall to the selected languages together,
-    in spans that these make likelier than evenly spread trigrams are.
+    in spans whose trigrams of three letters these make likelier than evenly
+    spread ones are; a span without such a trigram (codes, numbers) counts.
     """
     n, k = len(off) - 1, table.shape[1]
     bucket, start, doc_word = trigrams(buf, off)
@@ -151,8 +152,13 @@ def infer(buf, off, table: np.ndarray, span: int, penalty: float, rounds: int):
         pick = np.where(better[:, None], pi, pick)
         if not (base - penalty * size * np.log1p(spans) > best + 1e-9).any():     # no larger set can be better: no fit exceeds base
             break
-    letters = np.diff(np.append(first, len(bucket)))
-    known = top[:, 0] + np.log(np.maximum((like * pick[s_doc]).sum(axis=1), 1e-300)) > -letters * np.log(BUCKETS)
+    # Trigrams of three letters: only these tell a language from noise, which spreads them evenly.
+    inner = np.ones(len(bucket), bool)
+    inner[start] = inner[np.append(start[1:], len(bucket)) - 1] = False
+    inside = np.stack([np.add.reduceat(np.where(inner, np.ascontiguousarray(table[:, c])[bucket], 0.0), first) for c in range(k)], axis=1).astype(np.float64)
+    high = inside.max(axis=1, keepdims=True)
+    fit_in = high[:, 0] + np.log(np.maximum((np.exp(np.maximum(inside - high, -80.0)) * pick[s_doc]).sum(axis=1), 1e-300))
+    known = fit_in >= -np.add.reduceat(inner.astype(np.int64), first) * np.log(BUCKETS)
     chosen_part = (part * (pick > 0)[s_doc]).sum(axis=1)
     explained = np.bincount(s_doc, weights=known * chosen_part * weight, minlength=n) / np.maximum(words, 1)
     return pick, share, chosen, explained, words > 0

@@ -8,7 +8,8 @@ and then improved: taking the emptiest bin, its pieces move into gaps of other
 underfull bins, or are exchanged one for one or one for two against smaller
 pieces there, whenever that raises the sum of squared fills; a bin that becomes
 empty is gone.  The underfull bins that remain in all blocks are pooled and
-packed once more, in blocks of the same size, until the blocks are down to one.
+packed once more, in blocks of the same size, until the blocks are down to one
+(or a round fills next to no bin: ``LEAST_FILLED``).
 
 Defined cases: a null text is empty and gives one piece with the end id only;
 repeated rows are pieces of their own (same doc_id and piece); an empty table
@@ -20,6 +21,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -34,6 +36,7 @@ from . import flat
 from .common import needed
 
 SIZE, END_ID = 1024, 2
+LEAST_FILLED = 0.98                                    # a round that leaves more than this share of its pieces in underfull bins is the last
 
 
 class Tokenizer:
@@ -52,7 +55,11 @@ class Tokenizer:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        vocab = whole["model"]["vocab"]
+        self.added = {t["content"].encode(): t["id"] for t in whole.get("added_tokens") or ()}
+        longest_first = sorted(self.added, key=lambda t: (-len(t), t))
+        self.marks = re.compile(b"|".join(re.escape(t) for t in longest_first)) if self.added else None
         byte_of = _byte_letters()
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if all(c in byte_of for c in t) and not t.startswith("<|")}
         self.bpe = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -62,8 +69,26 @@ class Tokenizer:
             self.lengths[i] = len(token)
 
     def encode(self, buf: np.ndarray, off: np.ndarray):
-        """(ids, offsets) of all documents."""
+        """(ids, offsets) of all documents; a text is cut at the file's added tokens first, whose ids stand for them."""
         raw = buf.tobytes()
+        marks = [m.span() for m in self.marks.finditer(raw)] if self.marks else []
+        inside = np.searchsorted(off, [a for a, _ in marks], "right") == np.searchsorted(off, [z for _, z in marks], "left") if marks else []
+        marks = [m for m, ok in zip(marks, inside) if ok]
+        if not marks:
+            return self._plain(buf, raw, off)
+        edges = np.unique(np.concatenate([off, np.array(marks, np.int64).ravel()]))
+        own, at = self._plain(buf, raw, edges)
+        first = {a: self.added[raw[a:z]] for a, z in marks}
+        special = np.array([first.get(e, -1) for e in edges[:-1].tolist()], np.int64)
+        size = np.where(special >= 0, 1, np.diff(at))
+        source = np.where(special >= 0, np.arange(len(special)), len(special))
+        data, where = np.concatenate([np.maximum(special, 0).astype(np.int32), own]), np.where(special >= 0, source, at[:-1] + len(special))
+        out_off = np.append(0, np.cumsum(size))
+        ids = data[np.arange(out_off[-1]) + np.repeat(where - out_off[:-1], size)]
+        return ids, out_off[np.searchsorted(edges, off)]
+
+    def _plain(self, buf: np.ndarray, raw: bytes, off: np.ndarray):
+        """(ids, offsets) of texts in which no added token counts."""
         cut = np.zeros(len(buf) + 1, bool)
         if len(buf) > 1:
             cut[1:-1] = (buf[1:] == 32) & ~flat._SPACE[buf[:-1]]
@@ -151,8 +176,6 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
 class Bins:
     """Bins of whole-number items; underfull bins are found by gap, by the size of an item and by the sum of two items."""
 
-    PAIRED = 12                                        # bins of more items are left out of the index of sums
-
     def __init__(self, size: int):
         self.size, self.items, self.fill = size, [], []
         self.by_gap, self.by_item, self.by_sum = defaultdict(set), None, None
@@ -166,12 +189,18 @@ class Bins:
                 self._index(b, set.add)
 
     def _index(self, b, put):
-        sizes = [s for s, _ in self.items[b]]
+        sizes = self.sizes(b)
         for s in set(sizes):
             put(self.by_item[s], b)
-        if len(sizes) <= self.PAIRED:
-            for s in {sizes[i] + sizes[j] for i in range(len(sizes)) for j in range(i)}:
-                put(self.by_sum[s], b)
+        for s in {sizes[i] + sizes[j] for i in range(len(sizes)) for j in range(i)}:
+            put(self.by_sum[s], b)
+
+    def sizes(self, b) -> list[int]:
+        """The item sizes of a bin, each at most twice: all that single items and pairs can add up to."""
+        count: dict[int, int] = {}
+        for s, _ in self.items[b]:
+            count[s] = count.get(s, 0) + 1
+        return [s for s, c in count.items() for _ in range(min(c, 2))]
 
     def _put(self, b):
         g = self.size - self.fill[b]
@@ -210,16 +239,16 @@ class Bins:
             self.change(len(self.items) - 1, [], [item])
 
 
-def improve(bins: Bins, passes: int = 6) -> None:
+def improve(bins: Bins) -> None:
     """Empty bins by moves and exchanges of items for less between underfull bins.
 
     Every step takes weight from a bin into one at least as full, which raises
-    the sum of squared fills; so a pass ends.  A pass goes through the underfull
-    bins, emptiest first; steps among the fuller ones open new gaps for the
-    next pass, up to ``passes`` of them or until one changes nothing.
+    the sum of squared fills; so the search ends.  A pass goes through the
+    underfull bins, emptiest first; steps among the fuller ones open new gaps
+    for the next pass, until one changes nothing.
     """
     bins.index()
-    for _ in range(passes):
+    while True:
         moved = False
         order = sorted((b for b in range(len(bins.items)) if 0 < bins.fill[b] < bins.size), key=lambda b: (bins.fill[b], b))
         for a in order:
@@ -263,10 +292,18 @@ def _shift(bins: Bins, a: int, x: tuple[int, int]) -> bool:
 
 def _shift_two(bins: Bins, a: int) -> bool:
     """Two items of bin ``a`` for one smaller than their sum in a fuller bin."""
-    least, size, own = bins.fill[a], bins.size, sorted(bins.items[a])[:Bins.PAIRED]
+    least, size, own, seen = bins.fill[a], bins.size, [], {}
+    for x in sorted(bins.items[a]):                    # of equal items two are enough
+        seen[x[0]] = seen.get(x[0], 0) + 1
+        if seen[x[0]] <= 2:
+            own.append(x)
+    tried = set()
     for i in range(len(own)):
         for j in range(i):
             both = own[i][0] + own[j][0]
+            if both in tried:
+                continue
+            tried.add(both)
             for d in range(min(both - 1, size - least), 0, -1):
                 b = min((b for b in bins.by_item.get(both - d, ()) if b != a and least <= bins.fill[b] <= size - d), default=None)
                 if b is not None:
@@ -309,7 +346,6 @@ def place(parts: DataFrame, size: int = SIZE, block_rows: int = 40_000) -> DataF
     n = todo.count()
     while n:
         blocks = max(1, math.ceil(n / block_rows))
-        last = blocks == 1 or rnd == 2
         base = rnd
 
         def block(key, df):
@@ -320,14 +356,16 @@ def place(parts: DataFrame, size: int = SIZE, block_rows: int = 40_000) -> DataF
         parts = min(blocks, 4 * int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # blocks are small in bytes, heavy in work
         placed = cut_lineage(todo.withColumn("b", F.pmod(F.xxhash64("row", F.lit(base)), F.lit(blocks))).repartition(parts, "b")
                              .groupBy("b").applyInPandas(block, "row bigint, length bigint, number bigint, offset bigint, fill bigint, block bigint"))
+        left = placed.where(F.col("fill") < size).count() if blocks > 1 else 0
+        last = blocks == 1 or left > LEAST_FILLED * n
         keep = placed if last else placed.where(F.col("fill") == size)
         # odd numbers: round, block and bin of the block, apart from the even numbers of the full pieces
-        ids = (F.col("number") * blocks + F.col("block")) * 8 + 2 * rnd + 1
+        ids = (F.col("number") * blocks + F.col("block")) * 256 + 2 * rnd + 1
         done.append(keep.select("row", ids.alias("sequence_id"), "offset"))
         if last:
             break
         todo = cut_lineage(placed.where(F.col("fill") < size).select("row", "length"))
-        n, rnd = todo.count(), rnd + 1
+        n, rnd = left, rnd + 1
     seq = done[0]
     for d in done[1:]:
         seq = seq.unionByName(d)

@@ -65,6 +65,15 @@ def test_clean_documents_in_several_languages_stay(spark, docs, make):
     assert len(got[1].languages) == 3 and got[1].score < 0.4 < 0.9 < got[1].explained and got[3].explained < 0.4
 
 
+def test_codes_and_numbers_stay(spark, docs, make):
+    prose_ = docs.where((F.col("lang") == "en") & (F.length("text") > 1500)).orderBy("doc_id").first().text
+    rows = [(-1, " ".join(f"w{i} A-{i} {i * 7}" for i in range(2000)), "en", "s"), (-2, prose_ + "\n" + " ".join(f"{i} = {i:x}" for i in range(300)), None, "s"),
+            (-3, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 60, None, "s")]
+    kept = langid.confident(docs.unionByName(make(rows)), 0.4)
+    assert sorted(r.doc_id for r in kept.where("doc_id < 0").collect()) == [-2, -1]
+    assert kept.where("doc_id >= 0").count() == docs.where(F.col("text").rlike("[A-Za-z]")).count()
+
+
 def test_language_sets_do_not_depend_on_the_run():
     """More than eight languages: a document alone gets the set it gets among others."""
     r = np.random.default_rng(1)
@@ -116,24 +125,70 @@ def test_scores_of_every_token_count(make, odd_rows, monkeypatch, held):
     assert (only.n_tokens, only.n_known, only.train_tokens) == (3, 0, 0) and math.isfinite(only.score)
 
 
-def test_class_softmax_is_a_distribution_and_learns():
+def _texts(rows):
+    from quarry.llm import flat
+    import pyarrow as pa
+    return flat.texts_of(pa.array(rows, pa.string()))
+
+
+def test_model_is_a_distribution_and_its_gradient_is_right():
     r = np.random.default_rng(3)
-    w = r.normal(size=(maxent.CLASSES, maxent.BUCKETS)).astype(np.float32)
-    feats = r.integers(0, maxent.BUCKETS, (maxent.FEATURES, 200))
-    assert np.allclose(np.exp(maxent.log_classes(w, feats)).sum(axis=0), 1, atol=1e-4)
-    # a class that the previous token tells: the weights find it
-    h = np.tile(np.array([5, 9], np.uint64), 20_000)
-    cls = np.tile(np.array([20, 30]), 20_000)
-    f = maxent.features(h, cls, np.array([0, len(h)]))
-    w, seen = np.zeros((maxent.CLASSES, maxent.BUCKETS), np.float32), np.zeros(maxent.BUCKETS, np.float32)
-    for _ in range(3):
-        maxent.learn(w, seen, f, cls)
-    assert maxent.log_classes(w, f)[cls, np.arange(len(cls))].mean() > math.log(0.5)
-
-
-def test_score_beats_the_base_on_held_out_documents(spark):
-    got = queries.op2_maxent_scores(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
+    m = maxent.Model(r.random(maxent.CLASSES * maxent.LEAVES) + 0.1, np.ones(maxent.CLASSES * maxent.LEAVES), 1 << 10)
+    m.weights = tuple(r.normal(size=w.shape).astype(np.float32) for w in m.weights)
+    h = r.integers(1, 50, 300).astype(np.uint64)
+    off = np.array([0, 100, 300])
+    leaf = r.integers(0, maxent.CLASSES * maxent.LEAVES, 300)
+    every = [m.log10(h, np.where(np.arange(300) == 7, x, leaf), off)[7] for x in range(maxent.CLASSES * maxent.LEAVES)]
+    assert abs(sum(10 ** x for x in every) - 1) < 1e-4
+    sums = [np.zeros((m.rows, w.shape[1] + 1)) for w in m.weights]
+    m.gradient(h, leaf, off, sums)
+    feats = maxent.features(h, leaf // maxent.LEAVES, off, m.rows)
+    for k in range(2):
+        for u, c in ((feats[k][0, 5], leaf[5] // maxent.LEAVES if k == 0 else leaf[5] % maxent.LEAVES), (feats[k][1, 250], 3)):
+            def total(d):
+                w = [x.astype(np.float64) for x in m.weights]
+                w[k][u, c] += d
+                moved = maxent.Model.__new__(maxent.Model)
+                moved.rows, moved.bias, moved.weights = m.rows, [b.astype(np.float64) for b in m.bias], w
+                return moved.log10(h, leaf, off).sum() * np.log(10)
+            assert abs((total(1e-4) - total(-1e-4)) / 2e-4 - sums[k][u, c]) < 1e-3
+
+
+def test_score_equals_a_plain_model_and_does_not_follow_the_split(spark, make):
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(r.choice(["der", "die", "und", "haus", "baum"] if i % 2 else ["the", "a", "and", "house", "tree"], 60)) + ".", "en", "s") for i in range(120)]
+    train = [x for x in rows if crc(x[0], 7) != 2]
+    got = {}
+    for n in (1, 8, 32):
+        d = make(rows).repartition(n)
+        got[n] = {x.doc_id: (x.score, x.base_score) for x in maxent.score(d, make(train).repartition(n)).collect()}
+    for n in (8, 32):
+        assert all(abs(got[1][k][0] - got[n][k][0]) < 1e-6 * abs(got[1][k][0]) for k in got[1])
+    held = [k for k in got[1] if crc(k, 7) == 2]
+    assert all(sum(got[n][k][0] for k in held) > sum(got[n][k][1] for k in held) for n in got)
+    # the same model, token by token
+    counts, vocab, model, n_all, _ = maxent.fit(make(train))
+    for k in held[:3]:
+        h, leaf, off = maxent.tokens(*_texts([rows[k][1]]))
+        leaf, want = vocab.leaves(h, leaf), 0.0
+        one, two = maxent.features(h, leaf // maxent.LEAVES, off, model.rows)
+        for i in range(len(h)):
+            c, s = divmod(int(leaf[i]), maxent.LEAVES)
+            z = [model.bias[f][c] if f else model.bias[0] for f in (0, 1)]
+            z = [z[f] + sum(model.weights[f][u] for u in (one, two)[f][:, i]) for f in (0, 1)]
+            p = [np.exp(x) / np.exp(x).sum() for x in z]
+            want += np.log10(p[0][c] * p[1][s])
+            if leaf[i] >= maxent.SINGLES:
+                want += np.log10(int(vocab.counts(h[i:i + 1])[0][0]) + 1) - model.log_mass[leaf[i]]
+        assert abs(want - got[1][k][0]) < 1e-3
+
+
+def test_score_beats_the_base_on_held_out_documents_and_more_so_with_more(spark):
+    gain = {}
+    for sf in ("sf0.01", "sf0.1"):
+        got = queries.op2_maxent_scores(spark, f"/root/testdata/{sf}").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        gain[sf] = (got[0] - got[1]) / got[2]
+    assert 0 < gain["sf0.01"] < gain["sf0.1"]
 
 
 def test_quality_of_held_out_documents(spark):

@@ -57,8 +57,10 @@ def test_byte_ids_equal_the_library():
     import pyarrow as pa
     from quarry.llm import flat
     fast = Tokenizer.from_file(BYTES)
-    fast.encode_special_tokens = True
-    texts = _texts()
+    r = random.Random(21)
+    mark = "<|endoftext|>"
+    texts = _texts() + [mark, "ab <|endoftext|> cd", mark + mark, " " + mark + " ", "<|endoftext|", "x<|endof", "text|>", "<|<|endoftext|>|>"]
+    texts += ["".join(r.choice([mark, " ", "a", "<|", "end", " of", "|>", "\n", "é", "  "]) for _ in range(r.randint(0, 12))) for _ in range(3000)]
     ids, off = packing.tokenizer(BYTES).encode(*flat.texts_of(pa.array(texts, pa.string())))
     want = [e.ids for e in fast.encode_batch(texts, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want
@@ -67,7 +69,6 @@ def test_byte_ids_equal_the_library():
 def _check_packing(rows, placed, size=1024):
     """Every document's ids are covered once, pieces follow the rule, sequences are gapless and within size."""
     fast = Tokenizer.from_file(BYTES)
-    fast.encode_special_tokens = True
     ids = {k: fast.encode(r[1] or "", add_special_tokens=False).ids + [2] for k, r in enumerate(rows)}
     by_doc, seqs = defaultdict(list), defaultdict(list)
     for p in placed:
@@ -92,7 +93,7 @@ def _check_packing(rows, placed, size=1024):
 
 
 def test_packing_places_every_piece(make, odd_rows):
-    rows = odd_rows + [(100 + i, prose(random.Random(i).randint(1, 900), i), "en", "s") for i in range(150)]
+    rows = odd_rows + [(100 + i, prose(random.Random(i).randint(1, 900), i) + "<|endoftext|> z" * (i % 3), "en", "s") for i in range(150)]
     n, total = _check_packing(rows, queries.pack_digests(make(rows)).collect())
     assert n <= -(-total // 1024) + 3
     assert queries.pack_digests(make([])).count() == 0
@@ -158,6 +159,30 @@ def test_page_text(tag):
     assert htmltext.main_text(PAGE % (tag, tag)) == TEXT
 
 
+LONG = "Some sentence of the article that is long enough to count, with commas, and more words. "
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<body><article class='post comments-open'><p>%s</p><p>%s</p></article></body>", ["L", "L"]),
+    ("<body><div class='content has-sidebar'><p>%s</p><p>%s</p></div><footer>foot</footer></body>", ["L", "L"]),
+    ("<body><div id='page' class='menu-open'><article><p>%s</p><p>%s</p></article></div></body>", ["L", "L"]),
+    ("<body><form action=x><nav><a href=a>Home</a></nav><article><p>%s</p><p>%s</p></article><input></form></body>", ["L", "L"]),
+    ("<body><article><h1><a href=x>Linked headline</a></h1><p>%s</p><p><a href=y>A linked paragraph in it</a></p><p>%s</p></article></body>",
+     ["Linked headline", "L", "A linked paragraph in it", "L"]),
+    ("<body><main><article><p>%s</p></article><section><p>%s</p></section></main><footer>foot</footer></body>", ["L", "L"]),
+    ("<body><article><p>%s</p><p>%s</p></article><!-- oops <p>y", ["L", "L"]),
+    ("<p>%s</p><p>hello <b", ["L", "hello"]),
+    ("<body><article><p>%s</p><ul><li><a href=a>One link</a></li><li><a href=b>Other link</a></li></ul></article><p class=nav-menu>x y z</p></body>", ["L"]),
+    ("<body><article><p>%s</p></article><div id='commentList'><p>%s</p><p>Nice one, thanks a lot for this text.</p></div></body>", ["L"]),
+    ("<body><div class='sidebar-left'><p>Side text.</p></div><div class='story'><p>%s</p><p>%s</p></div></body>", ["L", "L"]),
+    ("<body><div class='newsletter box'>Sign up</div><header class='site-header'><p>Slogan</p></header><main><header><h1>Title</h1></header><p>%s</p></main></body>",
+     ["Title", "L"]),
+])
+def test_page_text_keeps_the_article_and_drops_what_stands_beside(page, want):
+    full = page % ((LONG * 3,) * page.count("%s"))
+    assert htmltext.main_text(full) == "\n\n".join((LONG * 3).strip() if w == "L" else w for w in want)
+
+
 def test_page_text_of_odd_pages(spark):
     assert htmltext.main_text("just text &lt;x&gt;") == "just text <x>"
     assert htmltext.main_text("<p>a<b>b</b> c<p>d") == "ab c\n\nd"
