@@ -63,24 +63,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Materialise a table in the shared checkpoint folder and continue from it.
 
     Written as Parquet (columnar, compressed) under ``spark.checkpoint.dir``
     and read back, so the plan after this point no longer depends on the
     lineage before it and survives the loss of any executor.  The table must
     live as long as a plan reads it; ``release_tables`` deletes all of them,
-    and runs by itself when the driver ends.
+    and runs by itself when the driver ends.  ``partition_by`` gives each value
+    of a column a folder, so a filter on it reads that folder only.
     """
     import uuid
 
     base = checkpoint_dir(df.sparkSession)
     path = os.path.join(base, "tables", uuid.uuid4().hex)
-    df.write.mode("overwrite").parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).mode("overwrite").parquet(path)
     if not _TABLES:
         atexit.register(release_tables)
     _TABLES.append((df.sparkSession, path))
-    return df.sparkSession.read.parquet(path)
+    read = df.sparkSession.read.schema(df.schema) if partition_by else df.sparkSession.read     # no folders, no files to take it from
+    return read.parquet(path)
 
 
 _TABLES: list[tuple[SparkSession, str]] = []
