@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.shape import buckets_for, join_keys, q
+from quarry.operators.ordered import part_totals, sorted_parts
+from quarry.operators.shape import join_keys, q
 
 # pandas-style aggregate names -> Spark aggregate builders (D2 sum of nothing
 # is 0 when the group has rows; D7 variance is the sample variance).
@@ -72,15 +73,44 @@ def value_counts(df: DataFrame, col, normalize: bool = False, top: int | None =
     return out.limit(top) if top else out
 
 
+def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Distinct non-null (column_name, value as text) rows of several columns, from one scan.
+
+    Each row becomes one short (column, value) pair per column, and tasks drop
+    repeated pairs before the shuffle, so no row is copied whole.  A value's
+    text names it: equal values have equal texts (0.0 and -0.0 too).
+    """
+    kinds = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        if kinds[c] in ("double", "float"):
+            return (q(c) + F.lit(0.0).cast(kinds[c])).cast("string")
+        if kinds[c] == "binary":
+            return F.hex(q(c))
+        if kinds[c].startswith(("array", "map", "struct")):
+            return F.when(q(c).isNotNull(), F.to_json(F.struct(q(c))))
+        return q(c).cast("string")
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in cols])).alias("__e")
+    return df.select(pairs).select("__e.*").filter(F.col("value").isNotNull()).distinct()
+
+
 def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False,
                     rsd: float = 0.01) -> DataFrame:
-    """Distinct values per column in one pass, long form."""
-    fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
-    one = df.agg(*[fn(q(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+    """Distinct values per column, long form (A8); exact by a two-level aggregate, or by one-pass sketches."""
+    if not approx:
+        return with_all_columns(distinct_values(df, cols).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")), df, cols)
+    one = df.agg(*[F.approx_count_distinct(q(c), rsd).alias(f"d{i}") for i, c in enumerate(cols)])
     pairs = ", ".join(f"'{c}', d{i}" for i, c in enumerate(cols))
     return one.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, n_distinct)")
 
 
+def with_all_columns(counts: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
+    """``counts``(column_name, n_distinct) with 0 for the columns that have no value."""
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column_name"))
+    return names.join(counts, "column_name", "left").select("column_name", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+
+
 def group_means(df: DataFrame, by, cols: list[str], std: bool = False) -> DataFrame:
     """Group mean (and sample std) over several columns."""
     keys = [by] if isinstance(by, str) else list(by)
@@ -124,43 +154,37 @@ def percentiles_long(df: DataFrame, cols: list[str], qs: list[float], by=None, n
 
     The values of ``percentile`` (position (n-1)q, interpolated between the
     values at its floor and ceiling), but no task holds a group's distinct
-    values.  Per-value counts of every (group, column) are split into
-    approximate-quantile buckets; the cumulative bucket counts (at most
-    ``n_buckets`` entries a group) tell which bucket holds a target position;
-    an equi-join on (group, column, bucket) brings only those buckets'
-    values, ranked inside their bucket.  NULL and NaN are missing, a NULL key
-    is a group, and a group without values gives NULL.
+    values: per-value counts are range-partitioned by (group, column, value),
+    the parts' totals tell which part holds a target position, and only those
+    parts' values are summed up inside (``ordered``).  NULL and NaN are
+    missing, a NULL key is a group, and a group without values gives NULL.
     """
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    n_buckets = n_buckets or buckets_for(df)
     gk = [*keys, "column_name"]
     g = [q(k) for k in gk]
     item = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.nullif(q(c).cast("double"), F.lit(float("nan"))).alias("v")) for c in cols]))
     long = df.select(*[q(k) for k in keys], item.alias("__i")).select(
         *[q(k) for k in keys], F.col("__i.c").alias("column_name"), F.col("__i.v").alias("__v"))
-    counts = long.groupBy(*g, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    cnt = counts.filter(F.col("__v").isNotNull())
-    n = counts.groupBy(*g).agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(0)).alias("__n"))
-    fracs = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
-    edges = cnt.groupBy(*g).agg(F.percentile_approx("__v", fracs, 10000).alias("__e"))
-    cnt = join_keys(cnt, edges, gk).withColumn("__b", F.size(F.filter("__e", lambda x: x < F.col("__v")))).drop("__e")
-    before = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (cnt.groupBy(*g, "__b").agg(F.sum("__c").alias("__bt"))
-            .withColumn("__off", F.coalesce(F.sum("__bt").over(before), F.lit(0)))
-            .groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("__off", "__b"))).alias("__offs")))
-    h = (F.col("__n") - 1) * F.col("__q")
-    tg = join_keys(n, offs, gk, "left").select(*g, "__n", "__offs", F.posexplode(F.array(*[F.lit(float(x)) for x in qs])).alias("pos", "__q"))
-    tg = tg.select(*g, "pos", "__offs", h.alias("__h"), F.explode(F.array(F.floor(h), F.ceil(h))).alias("__t"))
-    at = F.try_element_at(F.filter("__offs", lambda o: o["__off"] <= F.col("__t")), F.lit(-1))
-    tg = tg.select(*g, "pos", "__h", "__t", at["__b"].alias("__b"), (F.col("__t") - at["__off"]).alias("__r"))
-    inside = Window.partitionBy(*g, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    held = join_keys(cnt, tg.select(*g, "__b").distinct(), [*gk, "__b"], "left_semi").withColumn("__cum", F.sum("__c").over(inside))
-    j = join_keys(tg, held, [*gk, "__b"], "left").filter(
-        F.col("__v").isNull() | ((F.col("__r") < F.col("__cum")) & (F.col("__r") >= F.col("__cum") - F.col("__c"))))
+    counts = long.groupBy(*g, "__v").agg(F.count(F.lit(1)).alias("__all")).withColumn(
+        "__c", F.when(F.col("__v").isNotNull(), F.col("__all")).otherwise(0))
+    rows = sorted_parts(counts, gk, "__v", n_buckets)
+    parts = part_totals(rows, gk, {"__t": "__c"})
+    parts = parts.withColumn("__n", F.sum("__t").over(Window.partitionBy(*g)))
+    asked = F.posexplode(F.array(*[F.lit(float(x)) for x in qs])).alias("pos", "__q")
+    tg = parts.select(*g, "__p", "__t", "__t__off", "__n", asked).withColumn("__h", (F.col("__n") - 1) * F.col("__q"))
+    tg = tg.select(*g, "__p", "__t", "__t__off", "pos", "__h", F.explode(F.array(F.floor("__h"), F.ceil("__h"))).alias("__at"))
+    here = tg.filter((F.col("__at") >= F.col("__t__off")) & (F.col("__at") < F.col("__t__off") + F.col("__t")))
+    here = here.select(*g, "__p", "pos", "__h", (F.col("__at") - F.col("__t__off")).alias("__r"))
+    inside = Window.partitionBy(*g, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    held = join_keys(rows.filter(F.col("__c") > 0), here.select(*g, "__p").distinct(), [*gk, "__p"], "left_semi").withColumn("__cum", F.sum("__c").over(inside))
+    j = join_keys(here, held.select(*g, "__p", "__v", "__c", "__cum"), [*gk, "__p"]).filter(
+        (F.col("__r") < F.col("__cum")) & (F.col("__r") >= F.col("__cum") - F.col("__c")))
     out = j.groupBy(*g, "pos", "__h").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__up"))
     lo, up = F.floor("__h"), F.ceil("__h")
     val = F.when(lo == up, F.col("__lo")).otherwise((up - F.col("__h")) * F.col("__lo") + (F.col("__h") - lo) * F.col("__up"))
-    return out.select(*g, F.col("pos").cast("int").alias("pos"), val.alias("value"))
+    none = (parts.filter("__n = 0").select(*g).distinct()
+            .select(*g, F.explode(F.sequence(F.lit(0), F.lit(len(qs) - 1))).alias("pos"), F.lit(None).cast("double").alias("value")))
+    return out.select(*g, F.col("pos").cast("int").alias("pos"), val.alias("value")).unionByName(none)
 
 
 def exact_percentile_values(df: DataFrame, col: str, qs: list[float]) -> list:
@@ -176,8 +200,8 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by=None,
               approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """Exact (linear interpolation) or approximate quantiles, long form.
 
-    Exact mode is ``percentiles_long`` (bucketed, no group's distinct values
-    in one task); ``approx`` gives the one-pass sketch.
+    Exact mode is ``percentiles_long`` (range-partitioned, no group's distinct
+    values in one task); ``approx`` gives the one-pass sketch.
     """
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
     qarr = F.array(*[F.lit(x) for x in qs])
@@ -264,19 +288,23 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
 def binned_mean(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """Mean of y per equal-width bin of x, right-closed bins.
 
-    Edges are linspace(min, max, bins+1); a value is in bin i when
-    edge_i < x <= edge_{i+1}; the minimum itself falls outside every bin
-    and is dropped, as with a right-closed cut.
+    The edges are the listed values min + i * (max - min) / bins, the last one
+    being the maximum; a value is in bin i when edge_i < x <= edge_{i+1}; the
+    minimum itself falls outside every bin and is dropped, as with a
+    right-closed cut.
     """
+    import numpy as np
+
     xc = q(x).cast("double")
     mm = df.agg(F.min(xc).alias("lo"), F.max(xc).alias("hi")).first()  # one row, used as literals
-    lo, hi = F.lit(mm["lo"]).cast("double"), F.lit(mm["hi"]).cast("double")
-    width = (hi - lo) / bins
-    b = (F.ceil((xc - lo) / width) - 1).cast("int")
-    d = df.filter(xc > lo).select(F.least(b, F.lit(bins - 1)).alias("bin"), q(y).alias("__y"))
+    if mm["lo"] is None:
+        return df.sparkSession.createDataFrame([], "bin int, center double, width double, mean_y double, n bigint")
+    edges = F.array(*[F.lit(float(e)) for e in np.linspace(mm["lo"], mm["hi"], bins + 1)])
+    b = F.size(F.filter(edges, lambda e: e < F.col("__x"))) - 1        # bins + 1 edges
+    d = df.select(xc.alias("__x"), q(y).alias("__y")).filter(F.col("__x").isNotNull()).withColumn("bin", b).filter("bin >= 0")
     g = d.groupBy("bin").agg(F.avg("__y").alias("mean_y"), F.count(F.lit(1)).alias("n"))
-    return g.select("bin", (lo + (F.col("bin") + 0.5) * width).alias("center"), width.alias("width"),
-                    "mean_y", "n")
+    at = lambda i: F.element_at(edges, F.col("bin") + i)
+    return g.select("bin", ((at(1) + at(2)) / 2).alias("center"), (at(2) - at(1)).alias("width"), "mean_y", "n")
 
 
 def minmax_profile(df: DataFrame, group: str, cols: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ arrays; assigning rows to centroids is a JVM expression over k distances.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,14 +141,57 @@ def silhouette_sq(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     return d.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
-def adjusted_rand(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
-    """Adjusted Rand index of two labelings from contingency counts.
+def silhouette_sample(df: DataFrame, vec: str, cluster: str, key, fraction: float = 1.0, seed: int = 42, block: int = 1024) -> DataFrame:
+    """Mean Euclidean silhouette of a sample, and the sample's size.
+
+    ``key`` names the rows (or is a boolean column that picks the sample; then
+    ``fraction`` is not used).  Each sampled point needs the sum of its
+    distances to every cluster of the sample.  Points are dealt into blocks;
+    every block meets every other one as one group, in which numpy adds the
+    distances up per point and cluster, so what leaves a task is one row per
+    point and cluster, never a pair.  Singleton clusters score 0.
+    """
+    from quarry.operators.sample import unit_hash
+
+    chosen = df.filter(key if not isinstance(key, str) else unit_hash(key, seed) < fraction)
+    s = cut_lineage(chosen.select(q(vec).cast("array<double>").alias("v"), q(cluster).cast("string").alias("c"))
+                    .withColumn("id", F.monotonically_increasing_id()))
+    n_blocks = max(1, -(-s.count() // block))
+    dealt = s.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    points = dealt.withColumnRenamed("b", "pb").withColumn("rb", every)
+    rows = dealt.withColumnRenamed("b", "rb").withColumn("pb", every)
+
+    def add(key_, left, right):
+        x, y = (np.array(t.column("v").to_pylist(), float) for t in (left, right))
+        names, which = np.unique(np.array(right.column("c").to_pylist(), dtype=object).astype(str), return_inverse=True)
+        sums = np.zeros((len(x), len(names)))
+        for a in range(0, len(x), 64):
+            d = np.sqrt(np.square(x[a:a + 64, None, :] - y[None, :, :]).sum(axis=2))
+            for k in range(len(names)):
+                sums[a:a + 64, k] = d[:, which == k].sum(axis=1)
+        own = left.column("c").to_pylist()
+        return pa.table({"id": pa.array(np.repeat(left.column("id").to_numpy(), len(names))), "c": pa.array(np.repeat(np.array(own, object), len(names)).tolist(), pa.string()),
+                         "other": pa.array(names.tolist() * len(x), pa.string()), "total": pa.array(sums.ravel())})
+
+    sums = points.groupBy("pb", "rb").cogroup(rows.groupBy("pb", "rb")).applyInArrow(add, "id bigint, c string, other string, total double")
+    size = s.groupBy(F.col("c").alias("other")).agg(F.count(F.lit(1)).alias("m"))
+    per = sums.groupBy("id", "c", "other").agg(F.sum("total").alias("total")).join(size, "other")
+    own = F.col("c") == F.col("other")
+    ab = per.groupBy("id").agg(F.max(F.when(own, F.try_divide(F.col("total"), F.col("m") - 1))).alias("a"),
+                               F.min(F.when(~own, F.col("total") / F.col("m"))).alias("b"))
+    value = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return ab.agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
+def adjusted_rand(df: DataFrame, a: str, b: str, by: str | None = None, weight: str | None = None) -> DataFrame:
+    """Adjusted Rand index of two labelings from contingency counts (C8); ``weight`` counts each row that often.
 
     Cell, row and column pair counts are stacked into one long table and
     summed in a single aggregate, so the input is scanned once.
     """
     keys = [by] if by else []
-    cells = df.groupBy(*keys, q(a).alias("__a"), q(b).alias("__b")).agg(F.count(F.lit(1)).alias("m"))
+    cells = df.groupBy(*keys, q(a).alias("__a"), q(b).alias("__b")).agg((F.sum(q(weight)) if weight else F.count(F.lit(1))).alias("m"))
     ai = cells.groupBy(*keys, "__a").agg(F.sum("m").alias("m"))
     bj = cells.groupBy(*keys, "__b").agg(F.sum("m").alias("m"))
     long = (cells.select(*keys, F.lit("ij").alias("kind"), "m")
@@ -194,7 +239,9 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict, s
     Window s covers [start, start + base_days + s * step_days]; each order
     row is tagged with the first window containing it, rows are aggregated
     per (client, first window), and a running sum per client over windows
-    gives every window's features without re-reading the data per step.
+    gives every window's features without re-reading the data per step.  What is
+    written is the contingency table of each window, at most k x k rows, not
+    the clients' labels.
     Only clients of the base window are followed; windows whose end passes
     the last order date are not produced.  ``features`` maps output names to
     (row-level column, "mean" | "sum"); ``scaler`` holds (mean, std) per
@@ -235,8 +282,9 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict, s
     feats = names + [recency_name]
     z = F.array(*[(F.col(f) - F.lit(scaler[f][0])) / F.lit(scaler[f][1] or 1.0) for f in feats])
     g = g.withColumn("cluster", nearest_centroid(z, centroids)).select(id_col, "step", "cluster")
-    g = cut_lineage(g)  # (client, window) labels are read by several aggregates below
-    base = g.filter("step = 0").select(id_col, F.col("cluster").alias("cluster_base"))
-    pairs = g.filter("step > 0").join(base, id_col)
-    ari = adjusted_rand(pairs, "cluster_base", "cluster", by="step")
+    # every client's base label beside its later ones, counted by window and label pair before anything is written
+    base = F.max(F.when(F.col("step") == 0, F.col("cluster"))).over(Window.partitionBy(id_col))
+    pairs = g.withColumn("cluster_base", base).filter("step > 0 and cluster_base is not null")
+    cells = cut_lineage(pairs.groupBy("step", "cluster_base", "cluster").agg(F.count(F.lit(1)).alias("m")))
+    ari = adjusted_rand(cells, "cluster_base", "cluster", by="step", weight="m")
     return ari.withColumn("end_date", end_of(F.col("step"))).select("step", "end_date", "ari", "n")

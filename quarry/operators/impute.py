@@ -7,6 +7,8 @@ into one task.  Global statistics are scalar subqueries.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,54 +102,108 @@ def knn_rmse_curve(train: DataFrame, test: DataFrame, col: str, vec: str, key: s
         F.sqrt(F.avg(F.pow(F.col("__pred") - F.col("__t"), 2))).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
+MAX_PATTERN_BYTES = 64 << 20
+
+
 def fill_iterative(df: DataFrame, cols: list[str], rounds: int = 10, ridge: float = 1e-6,
                    tol: float = 1e-3) -> DataFrame:
     """Round-robin linear-regression fill, like an iterative imputer.
 
-    Start from column means; each round regresses every column with NULLs
-    on the others over rows where it was observed (one Gram-matrix aggregate
-    pass, a d x d solve on the driver) and refreshes the filled values.
-    Lineage is cut by a table in the shared folder after each round.
+    Start from column means; each round regresses every column with missing
+    values on the others over the rows where it was observed and refreshes its
+    filled values, until the coefficients change by less than ``tol``.
+
+    Two scans of the table, whatever the rounds.  Rows with the same missing
+    columns (a pattern) get fills that are one affine function of their observed
+    values, so a round needs the patterns' sums of squares and products only,
+    not the rows: the first scan adds up one (d+1) x (d+1) matrix per pattern,
+    the rounds run on these matrices, and the second scan applies each pattern's
+    function.  The matrices' size is checked.  NULL and NaN are missing.
     """
-    import numpy as np
-
-    miss = {c: f"__m_{c}" for c in cols}
-    cur = df.withColumns({m: q(c).isNull() for c, m in miss.items()})
-    means = cur.agg(*[F.avg(q(c)).alias(c) for c in cols], *[F.count(F.when(F.col(m), 1)).alias(m) for m in miss.values()]).first()
-    cur = cur.withColumns({c: F.coalesce(q(c), F.lit(means[c])) for c in cols})
-    todo = [c for c in cols if means[miss[c]]]  # only columns with missing values are regressed
-    cur = cut_lineage(cur)
-    prev_beta: dict = {}
+    d = len(cols)
+    grams = _pattern_grams(df, cols)
+    total = sum(g for g in grams.values())
+    if not len(grams):
+        return df
+    seen = {c: sum(g[0, 0] for p, g in grams.items() if not p[i]) for i, c in enumerate(cols)}
+    means = [total[0, i + 1] / seen[c] if seen[c] else 0.0 for i, c in enumerate(cols)]
+    # T[p]: the full row (1, x_1 .. x_d) from the observed one, in which missing values are 0
+    T = {}
+    for p in grams:
+        T[p] = np.eye(d + 1)
+        for i in np.flatnonzero(p):
+            T[p][i + 1] = 0.0
+            T[p][i + 1, 0] = means[i]
+    todo = [i for i, c in enumerate(cols) if seen[c] < total[0, 0] and seen[c] and d > 1]
+    before: dict = {}
     for _ in range(rounds):
         change = 0.0
-        for c in todo:
-            others = [o for o in cols if o != c]
-            if not others:
-                continue
-            feats = [F.lit(1.0)] + [q(o).cast("double") for o in others]
-            obs = ~F.col(miss[c])
-            aggs = []
-            for i in range(len(feats)):
-                for j in range(i, len(feats)):
-                    aggs.append(F.sum(F.when(obs, feats[i] * feats[j])).alias(f"g{i}_{j}"))
-                aggs.append(F.sum(F.when(obs, feats[i] * q(c))).alias(f"b{i}"))
-            row = cur.agg(*aggs).first()
-            p = len(feats)
-            G = np.zeros((p, p))
-            bv = np.zeros(p)
-            for i in range(p):
-                bv[i] = row[f"b{i}"] or 0.0
-                for j in range(i, p):
-                    G[i, j] = G[j, i] = row[f"g{i}_{j}"] or 0.0
-            beta = np.linalg.solve(G + ridge * np.eye(p), bv)
-            pred = sum((float(bk) * f for bk, f in zip(beta, feats)), F.lit(0.0))
-            change = max(change, float(np.max(np.abs(beta - prev_beta[c]))) if c in prev_beta else np.inf)
-            prev_beta[c] = beta
-            cur = cur.withColumn(c, F.when(F.col(miss[c]), pred).otherwise(q(c)))
-        cur = cut_lineage(cur)
+        for i in todo:
+            full = sum(T[p] @ g @ T[p].T for p, g in grams.items() if not p[i])          # rows where column i is observed
+            rest = [j for j in range(d + 1) if j != i + 1]
+            beta = np.linalg.solve(full[np.ix_(rest, rest)] + ridge * np.eye(d), full[rest, i + 1])
+            change = max(change, float(np.max(np.abs(beta - before[i]))) if i in before else np.inf)
+            before[i] = beta
+            for p in grams:
+                if p[i]:
+                    T[p][i + 1] = beta @ T[p][rest]
         if change < tol:
             break
-    return cur.drop(*miss.values())
+    return _apply_patterns(df, cols, [i for i, c in enumerate(cols) if seen[c] < total[0, 0] and seen[c]], T)
+
+
+def _pattern(cols: list[str]):
+    """'1' for a missing value and '0' for another, column by column."""
+    return F.concat(*[F.when(q(c).cast("double").isNull() | F.isnan(q(c).cast("double")), "1").otherwise("0") for c in cols])
+
+
+def _pattern_grams(df: DataFrame, cols: list[str]) -> dict[tuple, np.ndarray]:
+    """Per pattern of missing columns the sum of (1, x)(1, x)^T over its rows, missing values as 0."""
+    from quarry.operators.gram import matrix, numbers
+
+    d = len(cols)
+
+    def products(batches):
+        held: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            x = matrix(batch)
+            gone = np.isnan(x)
+            x = np.hstack([np.ones((len(x), 1)), np.where(gone, 0.0, x)])
+            kinds, which = np.unique(gone, axis=0, return_inverse=True)
+            for k, kind in enumerate(kinds):
+                own = x[which.ravel() == k]
+                key = kind.tobytes()
+                held[key] = held.get(key, 0.0) + own.T @ own
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([g.tobytes() for g in held.values()], pa.binary())], names=["pattern", "gram"])
+
+    def add(key, table):
+        total = sum(np.frombuffer(g, np.float64) for g in table.column("gram").to_pylist())
+        return pa.table({"pattern": pa.array([key[0].as_py()], pa.binary()), "gram": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "pattern binary, gram binary"
+    parts = numbers(df, cols).mapInArrow(products, schema)
+    salted = parts.groupBy("pattern", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).applyInArrow(add, schema)
+    sums = cut_lineage(salted.groupBy("pattern").applyInArrow(add, schema))
+    if (size := sums.count() * (d + 1) ** 2 * 8) > MAX_PATTERN_BYTES:
+        raise ValueError(f"{size} bytes of pattern sums exceed {MAX_PATTERN_BYTES}; fill fewer columns at a time")
+    return {tuple(np.frombuffer(r.pattern, bool).tolist()): np.frombuffer(r.gram, np.float64).reshape(d + 1, d + 1) for r in sums.collect()}  # size checked
+
+
+def _apply_patterns(df: DataFrame, cols: list[str], filled: list[int], T: dict[tuple, np.ndarray]) -> DataFrame:
+    """``df`` with the missing values of the ``filled`` columns from their pattern's row of ``T``."""
+    rows = [("".join("01"[m] for m in p), [[float(v) for v in m_[i + 1]] for i in filled]) for p, m_ in T.items() if any(p)]
+    if not rows or not filled:
+        return df
+    table = df.sparkSession.createDataFrame(rows, "__pattern string, __t array<array<double>>")
+    present = F.array(F.lit(1.0), *[F.coalesce(F.nanvl(q(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in cols])
+    j = df.withColumns({"__mine": _pattern(cols), "__x": present}).join(F.broadcast(table), F.col("__mine") == F.col("__pattern"), "left")  # size checked
+    new = {}
+    for k, i in enumerate(filled):
+        value = F.aggregate(F.zip_with(F.col("__t")[k], F.col("__x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        missing = F.substring("__mine", i + 1, 1) == "1"
+        new[cols[i]] = F.when(missing, value).otherwise(q(cols[i]).cast("double"))
+    return j.withColumns(new).drop("__mine", "__x", "__pattern", "__t")
 
 
 # ---------------------------------------------------------------- outliers

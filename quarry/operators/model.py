@@ -261,22 +261,15 @@ def rfe(df: DataFrame, cols: list[str], label: str, n: int, kind: str = "rf", se
 def select_by_corr(df: DataFrame, target: str, cols: list[str], n: int = 100, tau: float = 0.9):
     """Rank features by |corr with target|, greedily keep those with |corr| <= tau to every kept one.
 
-    The (d+1) x (d+1) matrix is computed in one Spark pass; the greedy loop
-    runs on that matrix.  Returns (kept, removed) name lists.
+    The (d+1) x (d+1) matrix is computed in one Spark pass (block sums); the
+    greedy loop runs on that matrix.  Returns (kept, removed) name lists.
     """
-    from quarry.operators.stats import pair_corr
+    from quarry.operators.gram import named, pair_moments, pearson
     allc = cols + [target]
-    aggs = []
-    idx = {}
-    for i, a in enumerate(allc):
-        for j in range(i + 1, len(allc)):
-            idx[(a, allc[j])] = len(aggs)
-            aggs.append(pair_corr(q(a).cast("double"), q(allc[j]).cast("double")).alias(f"c{len(aggs)}"))
-    row = df.agg(*aggs).first()
+    got = {(r.a, r.b): r.r for r in named(pair_moments(df, allc), allc).select("a", "b", pearson().alias("r")).collect()}  # one row a pair
 
     def corr(a, b):
-        k = idx.get((a, b), idx.get((b, a)))
-        v = row[k]
+        v = got.get((a, b), got.get((b, a)))
         return 0.0 if v is None else float(v)
     order = sorted(cols, key=lambda c: (-abs(corr(c, target)), c))
     kept, removed = [], []

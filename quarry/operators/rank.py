@@ -2,8 +2,8 @@
 
 No operator here orders row-level data through a single unpartitioned
 window.  Ranks are computed over per-value counts (a hot value collapses to
-one row), split into approximate-quantile buckets so each bucket is sorted
-in its own task, with bucket offsets taken from a small bucket-count table.
+one row), range-partitioned so each part is sorted in its own task, with the
+parts' starts taken from a small table of totals (``ordered``).
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.shape import buckets_for, join_keys, q
+from quarry.operators.ordered import running, sorted_parts
+from quarry.operators.shape import join_keys, q
 
 
 def _keys(by) -> list[str]:
@@ -25,40 +26,22 @@ def rank_table(df: DataFrame, col: str, by=None, weights: dict[str, Column] | No
     ``rank`` is 1-based within ``by`` (NULL is a group like any other) and
     averages tied positions.  Only values that are neither NULL nor NaN are
     ranked.  With ``cumulative``, ``cum_<weight>`` holds the running sum of
-    each weight over all values <= this one.  ``n_buckets`` defaults to the
-    number of shuffle partitions.
+    each weight over all values <= this one.  ``n_buckets`` fixes the number of
+    range partitions; the result does not depend on it.
     """
     keys = _keys(by)
     weights = weights or {}
-    n_buckets = n_buckets or buckets_for(df)
     v = q(col)
     present = v.isNotNull()
     if dict(df.dtypes).get(col) in ("double", "float"):
         present = present & ~F.isnan(v)
     base = df.filter(present).select(*[q(k) for k in keys], v.alias("__v"), *[w.alias(n) for n, w in weights.items()])
     cnt = base.groupBy(*[q(k) for k in keys], "__v").agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(n).alias(n) for n in weights])
-    fracs = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
-    if keys:
-        edges = cnt.groupBy(*[q(k) for k in keys]).agg(F.percentile_approx("__v", fracs, 10000).alias("__e"))
-        cnt = join_keys(cnt, edges, keys)
-        e = F.col("__e")
-    else:
-        # bounded: n_buckets - 1 edge values reach the driver as a literal
-        edges = cnt.select(F.percentile_approx("__v", fracs, 10000)).first()[0] or []
-        e = F.array(*[F.lit(x) for x in edges]) if edges else F.array().cast(f"array<{dict(cnt.dtypes)['__v']}>")
-    cnt = cnt.withColumn("__b", F.size(F.filter(e, lambda x: x < F.col("__v"))))
-    if keys:
-        cnt = cnt.drop("__e")
-    gk = [q(k) for k in keys]
-    btot = cnt.groupBy(*gk, "__b").agg(F.sum("cnt").alias("__bt"), *[F.sum(n).alias(n) for n in weights])
-    wb = Window.partitionBy(*gk).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    wi = Window.partitionBy(*gk, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    before = [F.coalesce(F.sum(n).over(wb), F.lit(0)).alias(f"__w{i}") for i, n in enumerate(weights)] if cumulative else []
-    off = btot.select(*gk, "__b", F.coalesce(F.sum("__bt").over(wb), F.lit(0)).alias("__off"), *before)
-    r = join_keys(cnt, off, [*keys, "__b"]).withColumn("__cum", F.sum("cnt").over(wi))
-    rank = F.col("__off") + F.col("__cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0
-    extra = [(F.col(f"__w{i}") + F.sum(n).over(wi)).alias(f"cum_{n}") for i, n in enumerate(weights)] if cumulative else []
-    return r.select(*gk, F.col("__v").alias(col), "cnt", *weights.keys(), rank.cast("double").alias("rank"), *extra)
+    sums = {"__cum": "cnt"} | ({f"cum_{n}": n for n in weights} if cumulative else {})
+    r = running(sorted_parts(cnt, keys, "__v", n_buckets), keys, "__v", sums)
+    rank = F.col("__cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0
+    return r.select(*[q(k) for k in keys], F.col("__v").alias(col), "cnt", *weights.keys(), rank.cast("double").alias("rank"),
+                    *[c for c in sums if c != "__cum"])
 
 
 def avg_rank(df: DataFrame, col: str, by=None, out: str | None = None,
@@ -165,7 +148,11 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def arg_best(df: DataFrame, metric: str, cols: list[str], minimize: bool = True) -> DataFrame:
-    """The row with the lowest (or highest) metric (T5); ties -> first by cols."""
+    """The row with the lowest (or highest) metric (T5); of ties the first by ``cols``.
+
+    A row without a metric (NULL or NaN) is never the best.
+    """
     packed = F.struct(*[q(c) for c in cols])
-    fn = F.min_by if minimize else F.max_by
-    return df.agg(fn(packed, q(metric)).alias("__r")).select("__r.*")
+    m = F.nullif(q(metric).cast("double"), F.lit(float("nan")))
+    best = df.agg((F.min if minimize else F.max)(m)).first()[0]         # one value
+    return df.filter(m == F.lit(best)).agg(F.min(packed).alias("__r")).select("__r.*")

@@ -51,13 +51,26 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_hash(key, seed), q(key)).limit(n)
 
 
+HASH_SLICES = 1 << 12
+
+
 def sample_per_class(df: DataFrame, target: str, n: int, key: str, seed: int = 42) -> DataFrame:
     """The n rows of smallest seeded hash per class, NULL class included.
 
-    Exact ranks come from ``hash_rank``, whose hash ranges split a hot class
-    over many tasks.
+    Rows are counted by class and slice of the hash range; a class's slices up
+    to the one in which it reaches n rows hold its sample.  Only rows of these
+    slices (n and part of one slice per class) are ranked, so the table itself
+    is neither ranked nor shuffled: its rows meet the classes' last slices in a
+    join whose small side has one row per class.
     """
-    return hash_rank(df, key, seed, by=target, out="__r").filter(F.col("__r") <= n).drop("__r")
+    slice_ = F.least(F.floor(unit_hash(key, seed) * HASH_SLICES), F.lit(HASH_SLICES - 1)).cast("int")
+    counts = df.groupBy(q(target).alias("__class"), slice_.alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__class").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).filter(F.col("__before") < n)
+    last = needed.groupBy("__class").agg(F.max("__s").alias("__last"))
+    near = df.withColumn("__s", slice_).join(last, q(target).eqNullSafe(F.col("__class"))).filter(F.col("__s") <= F.col("__last"))
+    rank = F.row_number().over(Window.partitionBy(q(target)).orderBy(seeded_hash(key, seed), q(key)))
+    return near.drop("__class", "__s", "__last").withColumn("__r", rank).filter(F.col("__r") <= n).drop("__r")
 
 
 def undersample(df: DataFrame, target: str, key: str, ratio: float = 2.0, minority=1,

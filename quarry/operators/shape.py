@@ -126,6 +126,9 @@ def dedup_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFram
 
 # ---------------------------------------------------------------- F12/F13
 
+# The characters a cleaned name keeps ([0-9a-zA-Z_], others become '_'),
+# and the number of missing columns a strict alignment lists in its error (10).
+
 def clean_name(name: str) -> str:
     return re.sub(r"[^0-9a-zA-Z_]", "_", name)
 
@@ -164,18 +167,15 @@ def align(df: DataFrame, expected: list[str], mode: str = "fill", id_col: str |
 def compare_tables(left: DataFrame, right: DataFrame, approx: bool = False) -> DataFrame:
     """Column presence and per-column non-null / distinct counts of two tables.
 
-    One aggregate pass per table, unpivoted and full-outer joined on the name.
+    Values are counted in one aggregate pass per table, distinct ones by
+    ``agg.distinct_counts``; both are long and full-outer joined on the name.
     """
+    from quarry.operators.agg import distinct_counts
+
     def stats(df: DataFrame, side: str) -> DataFrame:
-        distinct = F.approx_count_distinct if approx else F.count_distinct
-        aggs = []
-        for i, c in enumerate(df.columns):
-            aggs += [F.count(q(c)).alias(f"n{i}"), distinct(q(c)).alias(f"d{i}")]
-        one = df.agg(*aggs)
-        pairs = ", ".join(f"'{c}', n{i}, d{i}" for i, c in enumerate(df.columns))
-        return one.selectExpr(
-            f"stack({len(df.columns)}, {pairs}) as (column_name, {side}_non_null, {side}_distinct)"
-        ).withColumn(f"in_{side}", F.lit(True))
+        present = profile(df).select("column_name", F.col("non_null").alias(f"{side}_non_null"))
+        distinct = distinct_counts(df, df.columns, approx).select("column_name", F.col("n_distinct").alias(f"{side}_distinct"))
+        return present.join(distinct, "column_name").withColumn(f"in_{side}", F.lit(True))
 
     j = stats(left, "left").join(stats(right, "right"), "column_name", "full_outer")
     return j.select(

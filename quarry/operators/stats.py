@@ -7,12 +7,12 @@ are then evaluated on the driver from those numbers only.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import special
+from quarry.operators.gram import named, pair_moments, pearson
 from quarry.operators.rank import rank_table
 from quarry.operators.shape import q
 
@@ -25,12 +25,8 @@ def pair_corr(x: Column, y: Column) -> Column:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Lower-triangle correlation matrix as (a, b, r) in one aggregate pass."""
-    pairs = list(combinations(cols, 2))
-    one = df.agg(*[pair_corr(q(a).cast("double"), q(b).cast("double")).alias(f"r{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    stack = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
-    return one.selectExpr(f"stack({len(pairs)}, {stack}) as (a, b, r)")
+    """Lower-triangle correlation matrix as (a, b, r) in one pass over block sums."""
+    return named(pair_moments(df, cols), cols).select("a", "b", pearson().alias("r"))
 
 
 def corr_with(df: DataFrame, cols: list[str], target: str) -> DataFrame:
@@ -44,24 +40,13 @@ def corr_with(df: DataFrame, cols: list[str], target: str) -> DataFrame:
 
 def pairwise_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson r, pairwise n and two-sided p for every pair (H3)."""
-    pairs = list(combinations(cols, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = q(a).cast("double"), q(b).cast("double")
-        aggs += [pair_corr(x, y).alias(f"r{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}")]
-    row = df.agg(*aggs).first()
-    out = []
-    for i, (a, b) in enumerate(pairs):
-        r, n = row[f"r{i}"], row[f"n{i}"]
-        p = None
-        if r is not None and n > 2:
-            if abs(r) >= 1.0:
-                p = 0.0
-            else:
-                tstat = r * math.sqrt((n - 2) / (1 - r * r))
-                p = special.t_sf_two_sided(tstat, n - 2)
-        out.append((a, b, r, int(n), p))
-    return df.sparkSession.createDataFrame(out, "a string, b string, r double, n bigint, p double")
+    def p_value(r, n):
+        if r is None or n <= 2:
+            return None
+        return 0.0 if abs(r) >= 1.0 else special.t_sf_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+    rows = named(pair_moments(df, cols), cols).select("a", "b", pearson().alias("r"), "n", "i", "j").orderBy("i", "j").collect()  # one row a pair
+    return df.sparkSession.createDataFrame([(x.a, x.b, x.r, x.n, p_value(x.r, x.n)) for x in rows], "a string, b string, r double, n bigint, p double")
 
 
 def spearman(df: DataFrame, a: str, b: str, n_buckets: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.functions.columns import tokens
 from quarry.operators.shape import q
-from quarry.session import spread
+from quarry.session import cut_lineage, spread
 
 
 def doc_terms(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -58,14 +58,14 @@ def tfidf(df: DataFrame, id_col: str, text: str, max_df: float = 1.0) -> DataFra
     return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
-def common_terms(df: DataFrame, text: str, max_df: float) -> list[str]:
-    """Terms in more than ``max_df`` of the documents.
+def common_terms(words: DataFrame, col: str, max_df: float) -> list[str]:
+    """Terms of the token arrays ``col`` that lie in more than ``max_df`` of the rows.
 
-    Bounded: the documents hold (mean distinct terms) x n pairs, so at most
+    Bounded: the rows hold (mean distinct terms) x n pairs, so at most
     (mean distinct terms) / ``max_df`` terms can be that common.
     """
-    d = spread(df.select(q(text).alias("__t"))).select(F.explode(F.array_distinct(tokens(F.col("__t")))).alias("term"))
-    n = df.select(F.count(F.lit(1))).first()[0]  # one value
+    d = words.select(F.explode(F.array_distinct(q(col))).alias("term"))
+    n = words.count()
     return sorted(r["term"] for r in d.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > n * max_df).collect())
 
 
@@ -74,23 +74,32 @@ def text_classifier(df: DataFrame, text: str, label: str, kind: str = "binary",
     """Fitted pipeline tokenise -> hashed term features -> multinomial logistic regression (M8, Q3, Q8).
 
     ``kind``: binary, count or tfidf.  Terms are hashed into ``n_features``
-    columns, so every term counts however many there are and no vocabulary
-    is held; terms in more than ``max_df`` of the documents are removed.
+    columns (at most; the smallest power of two that holds twice the distinct
+    terms is enough), so every term counts however many there are and no
+    vocabulary is held; terms in more than ``max_df`` of the documents are
+    removed.  The texts are spread over the cluster and tokenised once, and the
+    hashed features are written once; the fit reads these tables.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover, StringIndexer
-    stages = [
-        StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip"),
-        RegexTokenizer(inputCol=text, outputCol="__tok", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
-        StopWordsRemover(inputCol="__tok", outputCol="__kept", stopWords=common_terms(df, text, max_df), caseSensitive=True, locale="en_US"),
-        HashingTF(inputCol="__kept", outputCol="__tf", numFeatures=n_features, binary=kind == "binary"),
-    ]
+    tokenizer = RegexTokenizer(inputCol=text, outputCol="__tok", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True)
+    source = spread(df.select(q(label), q(text)))
+    words = cut_lineage(tokenizer.transform(source.filter(q(text).isNotNull())).select(q(label), "__tok"))
+    indexer = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(words)
+    remover = StopWordsRemover(inputCol="__tok", outputCol="__kept", stopWords=common_terms(words, "__tok", max_df), caseSensitive=True, locale="en_US")
+    terms = words.select(F.explode("__tok").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+    size = min(n_features, 1 << max(4, int(2 * terms).bit_length()))
+    hashing = HashingTF(inputCol="__kept", outputCol="__tf", numFeatures=size, binary=kind == "binary")
+    stages = [indexer, tokenizer, remover, hashing]
+    feats = cut_lineage(hashing.transform(remover.transform(indexer.transform(words))).select("__y", "__tf"))
     if kind == "tfidf":
-        stages.append(IDF(inputCol="__tf", outputCol="__x"))
+        idf = IDF(inputCol="__tf", outputCol="__x").fit(feats)
+        stages.append(idf)
+        feats = idf.transform(feats)
     stages.append(LogisticRegression(featuresCol="__x" if kind == "tfidf" else "__tf", labelCol="__y", family="multinomial",
-                                     maxIter=max_iter, regParam=reg))
-    return Pipeline(stages=stages).fit(df)
+                                     maxIter=max_iter, regParam=reg).fit(feats))
+    return PipelineModel(stages)
 
 
 def top_k_classes(pred: DataFrame, labels: list[str], k: int = 3, prob_col: str = "probability",

@@ -695,3 +695,39 @@ def m16_runs_best(spark, d):
     sw = model.threshold_sweep(scored_labels(spark, d), "quality", "p")
     runs = sw.select(F.col("idx").alias("trial"), "threshold", "cost")
     return running_best(runs, "trial", "cost", higher_is_better=False)
+
+
+@register("m16_runs_store", f"""
+WITH sw AS ({_SWEEP_SQL})
+SELECT CAST(idx AS VARCHAR) AS trial, CAST(threshold AS DOUBLE) AS threshold, CAST(cost AS DOUBLE) AS cost,
+       rank() OVER (ORDER BY cost) AS place, cost = min(cost) OVER () AS is_best FROM sw
+""")
+def m16_runs_store(spark, d):
+    """Each threshold of a sweep logged as a run (parameters and metrics), some of them twice; the runs compared by cost."""
+    from quarry.operators import runs
+    from quarry.streaming.stream import scratch
+    sw = model.threshold_sweep(scored_labels(spark, d), "quality", "p")
+    logged = sw.select(F.col("idx").cast("string").alias("trial"), F.create_map(F.lit("threshold"), F.col("threshold").cast("string")).alias("params"),
+                       F.create_map(F.lit("cost"), F.col("cost").cast("double")).alias("metrics"))
+    path = scratch(spark, "m16")
+    runs.log_runs(logged, path)
+    runs.log_runs(logged.filter(F.col("trial").cast("int") < 20), path)         # a job that runs again
+    out = runs.compare_runs(runs.read_runs(spark, path), "cost", ["threshold"], higher_is_better=False)
+    return out.withColumn("threshold", F.col("threshold").cast("double"))
+
+
+@register("j08_lsh")
+def j08_lsh(spark, d):
+    """Approximate 3 nearest neighbours of every vector by bucketed random projections."""
+    from quarry.operators.joins import knn_lsh
+    e = t(spark, d, "embeddings")
+    return knn_lsh(e, e, "embedding", 3, "vec_id", "vec_id", exclude_self=True)
+
+
+@register("j08_lsh_recall")
+def j08_lsh_recall(spark, d):
+    """Share of the exact 3 nearest neighbours that the approximate search finds, over all vectors."""
+    from quarry.operators.joins import knn_join, knn_lsh, knn_recall
+    e = t(spark, d, "embeddings")
+    same = dict(vec="embedding", k=3, left_key="vec_id", right_key="vec_id", exclude_self=True)
+    return knn_recall(knn_join(e, e, **same), knn_lsh(e, e, **same), "vec_id")

@@ -198,7 +198,7 @@ def o05_cleaning_pipeline(spark, d):
     x = shape.prune_sparse(x, 0.3, strict=True)
     x = shape.dedup_first(x, ["p_partkey"], ["p_name"])
     x = shape.nullify(x, ["size_txt"], "unknown")
-    x = impute.iqr_filter(x, ["price", "size"], factor=1.5, keep_null=True)
+    x = cut_lineage(impute.iqr_filter(x, ["price", "size"], factor=1.5, keep_null=True))     # read by every fill
     x = impute.fill_cascade(x, "price", ["p_brand", "p_type"])
     x = impute.fill_regression(x, "size", "price")
     vec = F.array(F.col("price"), F.col("size"))

@@ -50,31 +50,32 @@ def a24_seller_revenue_df(spark, d):
         "s_suppkey", "s_name", "s_nationkey", "income").orderBy(F.desc("income"))
 
 
+# A late delivery took at least 30 days; recent means the last 3 calendar months.
+LATE_DAYS, RECENT_MONTHS = 30, 3
+
 A25_SQL = f"""
-SELECT o_orderkey, o_custkey, o_orderdate, delivered,
-       ROUND((epoch_us(delivered) - epoch_us(o_orderdate)) / 86400e6, 6) AS delay_days
-FROM (
-  SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, max(l.l_shipdate) AS delivered
-  FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
-  WHERE o.o_orderstatus = 'F'
-    AND o.o_orderdate >= CAST(DATE '{ANCHOR}' - INTERVAL 3 MONTH AS TIMESTAMP)
-  GROUP BY o.o_orderkey, o.o_custkey, o.o_orderdate
-) sub
-WHERE (epoch_us(delivered) - epoch_us(o_orderdate)) / 86400e6 >= 30
+WITH recent AS (
+  SELECT o_orderkey, o_custkey, o_orderdate FROM orders
+  WHERE o_orderstatus = 'F' AND o_orderdate >= CAST(DATE '{ANCHOR}' - INTERVAL {RECENT_MONTHS} MONTH AS TIMESTAMP)),
+arrival AS (SELECT l_orderkey AS o_orderkey, max(l_shipdate) AS delivered FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, o_custkey, o_orderdate, delivered, ROUND((epoch_us(delivered) - epoch_us(o_orderdate)) / 86400e6, 6) AS delay_days
+FROM recent JOIN arrival USING (o_orderkey)
+WHERE delivered >= o_orderdate + INTERVAL {LATE_DAYS} DAY
 """
 
 
 @register("a25_late_recent_orders", A25_SQL)
 def a25_late_recent_orders(spark, d):
-    """Late deliveries among orders of the last 3 calendar months."""
-    o = shape.filter_recent_months(t(spark, d, "orders").filter("o_orderstatus = 'F'"),
-                                   "o_orderdate", ANCHOR, 3)
-    li = t(spark, d, "lineitem")
-    sub = (o.join(li, li.l_orderkey == o.o_orderkey)
-           .groupBy("o_orderkey", "o_custkey", "o_orderdate").agg(F.max("l_shipdate").alias("delivered")))
-    delay = fc.frac_days("delivered", "o_orderdate")
-    return (sub.withColumn("delay_days", delay).filter("delay_days >= 30")
-            .withColumn("delay_days", rnd("delay_days")).orderBy(F.desc("o_orderdate")))
+    """Which orders of the last calendar months arrived late, latest orders first?
+
+    An order has arrived when its last item has; only items of recent orders are aggregated.
+    """
+    recent = shape.filter_recent_months(t(spark, d, "orders").filter("o_orderstatus = 'F'"), "o_orderdate", ANCHOR, RECENT_MONTHS)
+    recent = recent.select("o_orderkey", "o_custkey", "o_orderdate")
+    items = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate").join(recent, "o_orderkey", "left_semi")
+    arrival = items.groupBy("o_orderkey").agg(F.max("l_shipdate").alias("delivered"))
+    late = recent.join(arrival, "o_orderkey").filter(F.col("delivered") >= F.col("o_orderdate") + F.make_dt_interval(days=F.lit(LATE_DAYS)))
+    return late.withColumn("delay_days", rnd(fc.frac_days("delivered", "o_orderdate"))).orderBy(F.desc("o_orderdate"), "o_orderkey")
 
 
 A26_SQL = f"""
@@ -807,12 +808,12 @@ def a16_histogram_by_label(spark, d):
 
 
 @register("a17_binned_mean", """
-WITH mm AS (SELECT min(p_retailprice) lo, max(p_retailprice) hi FROM part),
-b AS (SELECT least(CAST(ceil((p_retailprice - lo) / ((hi - lo) / 20)) - 1 AS INTEGER), 19) AS bin, p_size
-      FROM part, mm WHERE p_retailprice > lo)
-SELECT bin, ROUND(lo + (bin + 0.5) * (hi - lo) / 20, 6) AS center, ROUND((hi - lo) / 20, 6) AS width,
+WITH e AS (SELECT list_transform(range(0, 21), lambda i: CASE WHEN i = 20 THEN hi ELSE i * ((hi - lo) / 20) + lo END) AS edges
+           FROM (SELECT CAST(min(p_retailprice) AS DOUBLE) AS lo, CAST(max(p_retailprice) AS DOUBLE) AS hi FROM part)),
+b AS (SELECT len(list_filter(edges, lambda x: x < p_retailprice)) - 1 AS bin, p_size, edges FROM part, e)
+SELECT CAST(bin AS INTEGER) AS bin, ROUND((edges[bin + 1] + edges[bin + 2]) / 2, 6) AS center, ROUND(edges[bin + 2] - edges[bin + 1], 6) AS width,
        ROUND(avg(p_size), 6) AS mean_y, count(*) AS n
-FROM b, mm GROUP BY bin, lo, hi
+FROM b WHERE bin >= 0 GROUP BY bin, edges
 """)
 def a17_binned_mean(spark, d):
     """Mean of y per right-closed equal-width bin of x."""

@@ -30,7 +30,7 @@ e AS (SELECT quantile_cont(Recency, [0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS qr,
 s AS (SELECT g2.*,
   CASE WHEN Frequency > 0 AND Frequency <= 5 THEN 1 WHEN Frequency > 5 AND Frequency <= 8 THEN 2
        WHEN Frequency > 8 AND Frequency <= 11 THEN 3 WHEN Frequency > 11 AND Frequency <= 14 THEN 4
-       WHEN Frequency > 14 AND Frequency <= 1000 THEN 5 END AS F_score,
+       WHEN Frequency > 14 THEN 5 END AS F_score,
   CASE WHEN Recency <= qr[1] THEN 5 WHEN Recency <= qr[2] THEN 4 WHEN Recency <= qr[3] THEN 3
        WHEN Recency <= qr[4] THEN 2 ELSE 1 END AS R_score,
   CASE WHEN Monetary <= qm[1] THEN 1 WHEN Monetary <= qm[2] THEN 2 WHEN Monetary <= qm[3] THEN 3
@@ -129,6 +129,23 @@ def c05_silhouette(spark, d):
     return rounded(cluster.silhouette_sq(t(spark, d, "embeddings"), "embedding", "label"))
 
 
+_C05_SAMPLE_SQL = """
+WITH s AS (SELECT vec_id, label AS c, embedding::DOUBLE[] AS v FROM embeddings WHERE md5(CAST(vec_id AS VARCHAR)) < '2'),
+d AS (SELECT x.vec_id, x.c, y.c AS other, sum(list_distance(x.v, y.v)) AS total FROM s x, s y GROUP BY ALL),
+m AS (SELECT c AS other, count(*) AS m FROM s GROUP BY c),
+ab AS (SELECT vec_id, max(CASE WHEN c = d.other AND m > 1 THEN total / (m - 1) END) AS a, min(CASE WHEN c <> d.other THEN total / m END) AS b
+       FROM d JOIN m ON m.other = d.other GROUP BY vec_id)
+SELECT ROUND(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette, count(*) AS n FROM ab
+"""
+
+
+@register("c05_silhouette_sample", _C05_SAMPLE_SQL)
+def c05_silhouette_sample(spark, d):
+    """Mean Euclidean silhouette over a sample picked by a hash of the key, an eighth of the rows."""
+    picked = F.md5(F.col("vec_id").cast("string").cast("binary")) < "2"
+    return rounded(cluster.silhouette_sample(t(spark, d, "embeddings"), "embedding", "label", picked))
+
+
 @register("c06_bisecting")
 def c06_bisecting(spark, d):
     """Divisive hierarchical clustering into 6 groups."""
@@ -658,7 +675,7 @@ def g01_score_stream(spark, d):
 
 @register("g01_progress", "SELECT count(*) AS processed, count(*) AS total, 100.0::DOUBLE AS percent FROM events")
 def g01_progress(spark, d):
-    """Progress of the scoring stream after its last batch: rows, total and percent from the sink (G1)."""
+    """What the scoring stream reported batch by batch while it ran, at its last batch: rows, total and percent (G1)."""
     _, p = _scored_stream(spark, d)
     return p.agg(F.max("processed").alias("processed"), F.max("total").alias("total"), F.max("percent").alias("percent"))
 
@@ -717,21 +734,21 @@ def s06_json_lines(spark, d):
 
 
 @register("s07_binary_tree", """
-SELECT regexp_extract(url, '/(en|fr|de|es)/', 1) AS label, count(*) AS n_files, CAST(sum(strlen(html)) AS BIGINT) AS total_bytes
+SELECT regexp_extract(url, '/(en|fr|de|es)/', 1) AS label, count(*) AS n_files, CAST(sum(strlen(html)) AS BIGINT) AS total_bytes,
+       CAST(sum(length(rtrim(html, chr(10)))) AS BIGINT) AS total_chars
 FROM pages GROUP BY 1
 """)
 def s07_binary_tree(spark, d):
-    """Recursive binary-file scan with a glob; label = parent folder."""
+    """Recursive scan of a tree of binary files: path, length and content; label = parent folder."""
     pages = t(spark, d, "pages").withColumn("label", F.regexp_extract("url", "/(en|fr|de|es)/", 1))
     root = stream.scratch(spark, "s07")
-    # one page per line, hex-encoded so that line breaks inside the html survive
-    pages.select("label", F.hex(F.encode("html", "UTF-8")).alias("b")).write.partitionBy("label").text(root)
-    files = io.read_binary_tree(spark, root, glob="*.txt", label_from_parent=False)
-    files = files.withColumn("label", F.regexp_extract(F.element_at(F.split("path", "/"), -2), "label=(.*)", 1))
-    lines = files.select("label", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("l")) \
-        .filter(F.col("l") != "")
-    return lines.groupBy("label").agg(F.count(F.lit(1)).alias("n_files"),
-                                      F.sum(F.octet_length(F.unhex("l"))).cast("bigint").alias("total_bytes"))
+    # the tree: one file per page (its html and a line break) in the folder of its label
+    pages.select("label", "html").write.option("maxRecordsPerFile", 1).partitionBy("label").text(root)
+    files = io.read_binary_tree(spark, root, glob="*.txt")
+    html = F.rtrim(F.decode("content", "UTF-8"), F.lit("\n"))
+    return files.groupBy(F.regexp_extract("label", "label=(.*)", 1).alias("label")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum(F.col("length") - 1).cast("bigint").alias("total_bytes"),
+        F.sum(F.char_length(html)).cast("bigint").alias("total_chars"))
 
 
 @register("s08_csv_sink", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier")
@@ -749,15 +766,17 @@ SELECT user_id, code, product_name, coalesce(CAST(json_extract(props, '$.k') AS
   SELECT user_id, CAST(event_id AS VARCHAR) AS code, event_type AS product_name, props FROM events)
 """)
 def s10_flatten_payload(spark, d):
-    """Nested payload (array of structs per user) flattened with defaults for missing keys."""
+    """Nested JSON payloads (an array of hits per document) read with a declared schema and flattened, missing keys as '' (S10)."""
     e = t(spark, d, "events")
-    props = F.from_json("props", "k int, missing string")
-    nested = e.groupBy("user_id").agg(F.collect_list(F.struct(
-        F.col("event_id").cast("string").alias("code"), F.col("event_type").alias("product_name"),
-        props["k"].alias("k"), props["missing"].alias("missing"))).alias("hits"))
-    flat = nested.select("user_id", F.explode("hits").alias("h"))
-    return flat.select("user_id", *[F.coalesce(F.col(f"h.{f}").cast("string"), F.lit("")).alias(f)
-                                    for f in ("code", "product_name", "k", "missing")])
+    # the payloads: JSON lines of at most eight hits of one user
+    hit = lambda k: F.struct(*[F.max(F.when(F.col("slot") == k, c)).alias(n) for n, c in (
+        ("code", F.col("event_id").cast("string")), ("product_name", F.col("event_type")), ("k", F.get_json_object("props", "$.k")), ("missing", F.lit(None).cast("string")))])
+    block = e.withColumns({"slot": F.pmod("event_id", F.lit(8)), "block": F.floor(F.col("event_id") / 8)}).groupBy("user_id", "block")
+    docs = block.agg(F.array(*[hit(k) for k in range(8)]).alias("hits")).select("user_id", F.filter("hits", lambda h: h["code"].isNotNull()).alias("hits"))
+    path = stream.scratch(spark, "s10")
+    io.write_json_lines(docs, path)
+    read = io.read_json_lines(spark, path, "user_id bigint, hits array<struct<code:string,product_name:string,k:string,missing:string>>")
+    return io.flatten_hits(read, "hits", ["code", "product_name", "k", "missing"], keep=["user_id"])
 
 
 @register("s11_metrics_report")

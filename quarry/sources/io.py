@@ -97,11 +97,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, props: dict | None = No
     return r.load()
 
 
-def flatten_hits(df: DataFrame, array_col: str, fields: list[str], default: str = "") -> DataFrame:
-    """Nested payload flatten (S10): one row per array element, missing keys -> default."""
-    e = df.select(F.explode(array_col).alias("_h"))
-    return e.select(*[F.coalesce(F.col("_h").getField(f).cast("string"), F.lit(default)).alias(f)
-                      for f in fields])
+def flatten_hits(df: DataFrame, array_col: str, fields: list[str], default: str = "", keep: list[str] | None = None) -> DataFrame:
+    """Nested payload flatten (S10): the ``keep`` columns and one row per array element, missing keys -> default."""
+    e = df.select(*[F.col(f"`{c}`") for c in keep or ()], F.explode(array_col).alias("_h"))
+    return e.select(*[F.col(f"`{c}`") for c in keep or ()], *[F.coalesce(F.col("_h").getField(f).cast("string"), F.lit(default)).alias(f) for f in fields])
 
 
 def metrics_report(spark: SparkSession, metrics: dict) -> DataFrame:

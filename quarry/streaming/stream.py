@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,26 +24,46 @@ def file_stream(spark: SparkSession, in_dir: str, schema: StructType | str, glob
     return r.load(in_dir)
 
 
+PROGRESS = "batch bigint, rows bigint, processed bigint, total bigint, percent double"
+
+
+def read_progress(spark: SparkSession, progress_dir: str) -> DataFrame:
+    """One row per finished batch: rows, rows so far, and with a total the total and percent; readable while the stream runs."""
+    return spark.read.schema(PROGRESS).parquet(progress_dir)
+
+
 def score_stream(spark: SparkSession, in_dir: str, schema, scorer, out_dir: str, ckpt: str,
-                 glob: str | None = None, max_files: int | None = None, total: int | None = None):
+                 glob: str | None = None, max_files: int | None = None, total: int | None = None, progress_dir: str | None = None):
     """Progressive scoring: stream rows, score, write each batch to Parquet; returns (query, progress) (G1).
 
     ``scorer`` maps a DataFrame to the scored DataFrame (row-wise only).  A
     batch overwrites its own folder ``batch=<id>``, so a repeated batch is
-    written once.  Progress comes from the sink, one row per batch: rows,
-    cumulative rows, and with ``total`` (rows to expect) the total and percent.
+    written once.  Its rows are counted as they are written (an observed
+    metric), and right after a row goes to ``progress_dir`` (default
+    ``<out_dir>.progress``): rows, rows so far, and with ``total`` (rows to
+    expect) the total and percent.  The count goes on from the last batch
+    reported there, so a restarted job carries on.
     """
     src = file_stream(spark, in_dir, schema, glob, max_files)
+    progress_dir = progress_dir or out_dir + ".progress"
+    before = {"processed": None}
 
     def sink(batch: DataFrame, epoch: int):
-        scorer(batch).write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={epoch}"))
+        seen = Observation(f"batch-{epoch}")
+        scored = scorer(batch).observe(seen, F.count(F.lit(1)).alias("rows"))
+        scored.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={epoch}"))
+        if before["processed"] is None:                              # first batch of this job: what earlier jobs reported
+            old = read_progress(spark, progress_dir).filter(F.col("batch") < epoch) if epoch else None
+            before["processed"] = int(old.agg(F.max("processed")).first()[0] or 0) if old is not None else 0
+        rows = int(seen.get["rows"])
+        before["processed"] += rows
+        percent = 100.0 * before["processed"] / total if total else None
+        row = spark.createDataFrame([(epoch, rows, before["processed"], total, percent)], PROGRESS)
+        row.coalesce(1).write.mode("overwrite").parquet(os.path.join(progress_dir, f"at={epoch}"))
 
     q = src.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    per = spark.read.parquet(out_dir).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"))
-    done = F.sum("rows").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))  # one row a batch
-    progress = per.withColumn("processed", done).withColumn("total", F.lit(total).cast("long"))
-    return q, progress.withColumn("percent", F.col("processed") * 100.0 / F.col("total"))
+    return q, read_progress(spark, progress_dir)
 
 
 def windowed_counts(src: DataFrame, ts: str, window: str, watermark: str, by: list[str] | None = None) -> DataFrame:
