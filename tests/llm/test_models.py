@@ -140,7 +140,7 @@ def test_model_is_a_distribution_and_its_gradient_is_right():
     leaf = r.integers(0, maxent.CLASSES * maxent.LEAVES, 300)
     every = [m.log10(h, np.where(np.arange(300) == 7, x, leaf), off)[7] for x in range(maxent.CLASSES * maxent.LEAVES)]
     assert abs(sum(10 ** x for x in every) - 1) < 1e-4
-    sums = [np.zeros((m.rows, w.shape[1] + 1)) for w in m.weights]
+    sums = [np.zeros((w.shape[1] + 1, m.rows)) for w in m.weights]
     m.gradient(h, leaf, off, sums)
     feats = maxent.features(h, leaf // maxent.LEAVES, off, m.rows)
     for k in range(2):
@@ -151,7 +151,7 @@ def test_model_is_a_distribution_and_its_gradient_is_right():
                 moved = maxent.Model.__new__(maxent.Model)
                 moved.rows, moved.bias, moved.weights = m.rows, [b.astype(np.float64) for b in m.bias], w
                 return moved.log10(h, leaf, off).sum() * np.log(10)
-            assert abs((total(1e-4) - total(-1e-4)) / 2e-4 - sums[k][u, c]) < 1e-3
+            assert abs((total(1e-4) - total(-1e-4)) / 2e-4 - sums[k][c, u]) < 1e-3
 
 
 def test_score_equals_a_plain_model_and_does_not_follow_the_split(spark, make):
