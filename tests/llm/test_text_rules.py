@@ -94,6 +94,66 @@ def test_recurring_lines_go_whatever_their_share_but_near_copies_stay(make):
     assert all(out[100 + i] == text[100 + i].rsplit("\n", 1)[0] for i in range(8))                    # only the frame's line goes
 
 
+def plain_templates(rows, min_docs):
+    """Lines to drop per document by the tree's definition; no two of the documents are near copies."""
+    import re
+    from collections import Counter, defaultdict
+    norm = lambda line: tuple("*" if re.search("[0-9]", w) else brute.lower(w) for w in brute.words(line))
+    lines = {k: {norm(x) for x in (r[1] or "").split("\n")} for k, r in enumerate(rows)}
+    carriers = defaultdict(list)
+    for own in lines.values():
+        for x in own:
+            if 5 <= len(x) <= 50:
+                carriers[len(x), x[:2]].append(x)
+    fixed = {}
+    for leaf, all_ in carriers.items():
+        if len(all_) >= min_docs:
+            kinds = set(all_)
+            count = Counter((p, w) for x in kinds for p, w in enumerate(x))
+            fixed[leaf] = {k for k, n in count.items() if 3 * n >= len(kinds)}
+    def keys(x):
+        out = [("full", x)] if len(x) >= 3 else []
+        const = fixed.get((len(x), x[:2])) if 5 <= len(x) <= 50 else None
+        if const is not None:
+            own = tuple((p, w) for p, w in enumerate(x) if (p, w) in const)
+            if 3 * sum(p >= 2 for p, _ in own) >= len(x) - 2:
+                out.append((len(x), x[:2], own))
+        return out
+    docs = defaultdict(set)
+    for k, own in lines.items():
+        for x in own:
+            for key in keys(x):
+                docs[key].add(k)
+    gone = lambda x: any(len(docs[key]) >= (2 if key[0] == "full" and len(x) > 50 else min_docs) for key in keys(x))
+    return {k: {x for x in own if gone(x)} for k, own in lines.items()}, norm
+
+
+@pytest.mark.parametrize("salt_lines", [100_000, 3])
+def test_template_tree_equals_its_definition(make, monkeypatch, salt_lines):
+    monkeypatch.setattr(templates, "SALT_LINES", salt_lines)
+    r = random.Random(31)
+    names, places = [f"n{chr(97 + k)}{chr(100 + k % 9)}x" for k in range(26)], [f"Pl{chr(97 + k)}q" for k in range(26)]
+    kinds = [lambda: f"Posted by {r.choice(names)} {r.choice(names)} in {r.choice(places)} | {r.randint(1, 99)} comments",
+             lambda: f"Posted by {r.choice(names)} in {r.choice(places)}", lambda: f"Copyright {r.randint(1990, 2025)} by {r.choice(names)} all rights reserved",
+             lambda: "Read more news here", lambda: prose(r.randint(3, 14), r.randint(0, 10**6))]
+    rows = [(i, "\n".join([prose(60, 9000 + i)] + [r.choice(kinds)() for _ in range(r.randint(0, 6))]), "en", "s") for i in range(70)]
+    want, norm = plain_templates(rows, 5)
+    got = {x.doc_id: x.text for x in templates.dedup_lines(make(rows)).collect()}
+    for k, row in enumerate(rows):
+        assert got[k] == "\n".join(x for x in row[1].split("\n") if norm(x) not in want[k]), k
+    assert sum(map(len, want.values())) > 100
+
+
+def test_lines_with_variable_fields_meet_in_one_template(make):
+    people, places = "Anna Bob Carl Dora Emil Fay".split(), "Cooking Travel Music Sport Garden Film".split()
+    lines = [(f"Posted by {p} Smith{chr(97 + i)} in {x} | {i + 3} comments", f"Posted by {p} in {x}") for i, (p, x) in enumerate(zip(people, places))]
+    rows = [(i, prose(80, 700 + i) + "\n" + "\n".join(x), "en", "s") for i, x in enumerate(lines)]
+    got = {x.doc_id: x.text for x in templates.dedup_lines(make(rows)).collect()}
+    assert all(got[i] == prose(80, 700 + i) for i in range(6))
+    few = {x.doc_id: x.text for x in templates.dedup_lines(make(rows[:4])).collect()}
+    assert all(few[i] == rows[i][1] for i in range(4))
+
+
 def test_line_operators_on_odd_rows(make, odd_rows, spark):
     docs = make(odd_rows).withColumn("row", F.lit(1)).withColumn("key", F.lit("k")).withColumn("lines", F.array(F.lit(2)))
     out = templates.dedup_lines(docs)
