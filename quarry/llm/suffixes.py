@@ -8,7 +8,7 @@ be sorted at all:
 1. Anchors.  Every window of ``length`` bytes is governed by its smallest
    (hashed) gram of ``GRAM`` bytes, the leftmost of equal ones.  Equal windows
    have equal anchors, at the same place.  A chunk is a run of windows with one
-   anchor, about 14 windows, and the bytes they cover.
+   anchor, about 16 windows, and the bytes they cover.
 2. Shared anchors.  Tasks send each anchor they read once; anchors that one
    document has alone cannot govern a repeat.  The shared ones go to a bit table
    of a bounded size, which may let more chunks pass and never loses one.
@@ -45,11 +45,13 @@ from quarry.session import cut_lineage
 from . import flat
 from .common import needed
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 BLOCK = 1 << 18                                      # windows handled at once
-RUN = 16_000_000                                     # bytes of the documents that share a run
+RUN = 8_000_000                                      # bytes of the documents that share a run
+HELD = 1_500_000                                     # anchors a task holds before it sends them
+PART = 25_000_000                                    # bytes of text whose anchors are decided together
 LOW = 24                                             # bits of a key kept in three bytes; eight more select a bucket
-HOT = 20_000                                         # chunks of one anchor, above which its windows are dealt one by one
+HOT = 60_000                                         # chunks of one anchor, above which its windows are dealt one by one
 MAX_BITS = 1 << 30
 NO_ID = np.iinfo(np.int64).max
 _FACTOR = 0x9E3779B97F4A7C15
@@ -120,6 +122,10 @@ class Shared:
     def __init__(self, bits: int, shared: np.ndarray, hot: np.ndarray):
         self.shift, self.shared, self.hot = np.uint64(64 - bits), shared, hot
 
+    def __reduce__(self):                            # travels compressed
+        pack = zstandard.ZstdCompressor(level=1)
+        return _unpack, (64 - int(self.shift), *[pack.compress(x.tobytes()) for x in (self.shared, self.hot)])
+
     def _has(self, table, anchors):
         at = (anchors >> self.shift).astype(np.int64)
         return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
@@ -131,10 +137,15 @@ class Shared:
         return self._has(self.hot, anchors)
 
 
+def _unpack(bits: int, shared: bytes, hot: bytes) -> Shared:
+    unpack = zstandard.ZstdDecompressor()
+    return Shared(bits, *[np.frombuffer(unpack.decompress(x), np.uint8) for x in (shared, hot)])
+
+
 def shared_anchors(docs: DataFrame, length: int, gram: int) -> tuple[Shared, int]:
     """The bit tables over all documents, and how many chunks the shared anchors have in all."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    part_bits = max(4, int(n_bytes // 100_000_000).bit_length())
+    part_bits = max(4, int(n_bytes // PART).bit_length())
     key_bits = part_bits + 8 + LOW
 
     def collect(batches):
@@ -165,7 +176,7 @@ def shared_anchors(docs: DataFrame, length: int, gram: int) -> tuple[Shared, int
                 held.append((anchor >> np.uint64(64 - key_bits), np.searchsorted(off, first, "right") + doc_no))
                 doc_no += len(off)
                 rows += len(anchor)
-                if rows > 4_000_000:
+                if rows > HELD:
                     flush()
                     held, rows = [], 0
                     yield from _packed(out)
@@ -232,17 +243,32 @@ def _packed(out):
 
 # ---- chunks of shared anchors ----------------------------------------------
 
-CHUNKS = ("run bigint, shard bigint, number binary, windows binary, least binary, most binary, text binary, "
-          "docs binary, keys binary, doc binary, start binary, string binary")
+CHUNKS = "run bigint, shard bigint, base bigint, strings binary, text binary, places binary"
+GROUPS = 16                                          # a deal is sorted in so many parts, each small enough for a processor's cache
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, compressed byte by byte of their eight."""
+    flat_ = np.stack([np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T for c in columns]) if len(columns[0]) else np.zeros((0,), np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(flat_.tobytes())
+
+
+def _unpacked(raw: bytes, k: int) -> list[np.ndarray]:
+    """The ``k`` columns of ``_pack``."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return [np.ascontiguousarray(x.T).view("<i8").ravel() for x in data.reshape(k, 8, -1)] if len(data) else [np.zeros(0, np.int64)] * k
 
 
 def shared_chunks(docs: DataFrame, shared: Shared, shards: int, length: int, gram: int) -> DataFrame:
-    """Per run of documents: its distinct chunks by shard, and a row (shard -1) with every place of a chunk."""
+    """Per run of documents: its distinct chunks by shard, and a row (shard -1) with every place of a chunk.
+
+    A run's strings are numbered by shard; a row's ``base`` is the number of its first one.
+    """
     table = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches):
         known = table.value
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             ids = b.column("doc_id").fill_null(NO_ID).to_numpy()
             keys, rows = b.column("key").to_numpy(), b.column("row").to_numpy()
@@ -256,40 +282,36 @@ def shared_chunks(docs: DataFrame, shared: Shared, shards: int, length: int, gra
                 if hot.any():                                         # one string per window
                     times = np.where(hot, n, 1)
                     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    first, anchor, n = np.repeat(first, times) + step, np.repeat(anchor, times), np.where(np.repeat(hot, times), 1, np.repeat(n, times))
+                    first, anchor, n, hot = np.repeat(first, times) + step, np.repeat(anchor, times), np.where(np.repeat(hot, times), 1, np.repeat(n, times)), np.repeat(hot, times)
                 doc = np.searchsorted(off, first, "right") - 1
                 size = n + length - 1
-                content, c_off = _slices(buf, first, size)
-                h = flat.hash_pieces(content, c_off[:-1], c_off[1:])
+                h = flat.hash_pieces(buf, first, first + size)
                 pick, number = flat.unique_pieces(h)
-                if not _equal(content, c_off, pick[number]):          # two contents with one hash: none is merged
+                if not _equal(buf, first, size, pick[number]):        # two contents with one hash: none is merged
                     pick, number = np.arange(len(first)), np.arange(len(first))
                 own = ids[i:j][doc]
                 order = np.argsort(number, kind="stable")
                 at = np.flatnonzero(np.append(True, np.diff(number[order]) != 0))
                 least, most = np.minimum.reduceat(own[order], at), np.maximum.reduceat(own[order], at)
-                deal = np.where(known.is_hot(anchor[pick]), h[pick], flat.mix(anchor[pick]))
-                shard = (deal % np.uint64(shards)).astype(np.int64)
-                by = np.argsort(shard, kind="stable")
-                edge = np.flatnonzero(np.append(True, np.diff(shard[by]) != 0))
-                cols = {c: [] for c in [x.split()[0] for x in CHUNKS.split(", ")]}
-                raw_off = np.append(0, np.cumsum(size[pick][by]))
-                raw, _ = _slices(buf, first[pick][by], size[pick][by])
+                deal = np.where(hot[pick], h[pick], flat.mix(anchor[pick]))
+                shard, group = (deal % np.uint64(shards)).astype(np.int64), (deal >> np.uint64(60)).astype(np.int64) % GROUPS
+                by = np.lexsort((group, shard))
+                place = np.empty(len(by), np.int64)
+                place[by] = np.arange(len(by))
+                pick, shard, group, least, most = pick[by], shard[by], group[by], least[by], most[by]
+                text, t_off = _slices(buf, first[pick], size[pick])
+                edge = np.flatnonzero(np.append(True, np.diff(shard) != 0))
+                out = []
                 for a, z in zip(edge.tolist(), np.append(edge[1:], len(by)).tolist()):
-                    k = by[a:z]
-                    for name, x in (("run", int(rows[i])), ("shard", int(shard[k[0]])), ("number", k.astype("<i4").tobytes()),
-                                    ("windows", n[pick][k].astype("<u4").tobytes()), ("least", least[k].tobytes()), ("most", most[k].tobytes()),
-                                    ("text", pack.compress(raw[raw_off[a]:raw_off[z]].tobytes())), ("docs", None), ("keys", None), ("doc", None),
-                                    ("start", None), ("string", None)):
-                        cols[name].append(x)
+                    out.append((int(rows[i]), int(shard[a]), a, _pack(n[pick[a:z]], group[a:z], least[a:z], most[a:z] - least[a:z]),
+                                pack.compress(text[t_off[a]:t_off[z]].tobytes()), None))
                 here = np.unique(doc)
-                for name, x in (("run", int(rows[i])), ("shard", -1), ("docs", ids[i:j][here].tobytes()), ("keys", keys[i:j][here].tobytes()),
-                                ("doc", np.searchsorted(here, doc).astype("<i4").tobytes()), ("start", (first - off[doc]).tobytes()),
-                                ("string", number.astype("<i4").tobytes())):
-                    cols[name].append(x)
-                for name in ("number", "windows", "least", "most", "text"):
-                    cols[name].append(None)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if c in ("run", "shard") else pa.binary()) for c, v in cols.items()], names=list(cols))
+                d = np.searchsorted(here, doc)
+                start = first - off[doc]
+                places = [_pack(ids[i:j][here], keys[i:j][here]), _pack(np.diff(d, prepend=0), np.diff(start, prepend=0), place[number])]
+                out.append((int(rows[i]), -1, 0, places[0], None, places[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                                                 names=[x.split()[0] for x in CHUNKS.split(", ")])
 
     return docs.select("doc_id", "key", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, CHUNKS)
 
@@ -300,26 +322,32 @@ def _slices(buf, start, size):
     return buf[np.arange(off[-1]) + np.repeat(start - off[:-1], size)], off
 
 
-def _equal(content, off, other) -> bool:
+def _equal(buf, start, size, other) -> bool:
     """Whether every slice has the bytes of the slice ``other`` names for it."""
-    size = np.diff(off)
     if (size != size[other]).any():
         return False
     diff = np.flatnonzero(other != np.arange(len(other)))
-    mine, _ = _slices(content, off[:-1][diff], size[diff])
-    theirs, _ = _slices(content, off[:-1][other[diff]], size[diff])
+    mine, _ = _slices(buf, start[diff], size[diff])
+    theirs, _ = _slices(buf, start[other[diff]], size[diff])
     return bool((mine == theirs).all())
 
 
 # ---- difference-cover suffix sorting ---------------------------------------
 
-def _join(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, int]:
-    """Order-preserving code of the pairs (a, b), b < size, and a bound for it; small enough to be joined once more."""
-    top = (int(a.max(initial=0)) + 1) * size
-    if top >= 1 << 62:
+def _join(a: np.ndarray, a_bound: int, b: np.ndarray, b_bound: int) -> tuple[np.ndarray, int]:
+    """Order-preserving code of the pairs (a, b) below its bound; 0 <= a < a_bound, 0 <= b < b_bound."""
+    if a_bound * b_bound >= 1 << 62:
         a = np.unique(a, return_inverse=True)[1]
-        top = (int(a.max(initial=0)) + 1) * size
-    return a * size + b, top
+        a_bound = int(a.max(initial=0)) + 1
+    return a * b_bound + b, a_bound * b_bound
+
+
+def _sorted(key: np.ndarray, bound: int) -> np.ndarray:
+    """Positions of the keys in their order."""
+    bits = max(1, (len(key) - 1).bit_length())
+    if bound < 1 << (63 - bits):                                     # key and position fit one number, which sorts faster
+        return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+    return np.argsort(key)
 
 
 def suffix_order(t: np.ndarray, need: int, cover: int = 1) -> np.ndarray:
@@ -332,34 +360,43 @@ def suffix_order(t: np.ndarray, need: int, cover: int = 1) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
     sigma = int(t.max()) + 1
-    s = np.append(t, (0, 0, 0)).astype(np.int64)
-    one, two = np.arange(1, n, 3), np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    pair, bound = _join(s[:-1], s[1:], sigma)                        # symbols i and i + 1 of every position
-    triple, bound = _join(pair[sample], s[sample + 2], sigma)
-    if bound <= 1 << 22:                                             # names of sorted triples: by table, else by sorting
-        mark = np.zeros(bound + 1, np.int64)
-        mark[triple + 1] = 1
-        names = np.cumsum(mark)[triple + 1]
+    s = np.append(t, (0, 0, 0))
+    n_one = (n + 1) // 3
+    sample = np.concatenate([np.arange(1, n, 3), np.arange(2, n, 3)])
+    pair, bound = _join(s[:-1], sigma, s[1:], sigma)                 # symbols i and i + 1 of every position
+    triple, t_bound = _join(pair[sample], bound, s[sample + 2], sigma)
+    order = None
+    if t_bound <= 1 << 22:                                           # names of the sorted triples: by table, else by sorting
+        mark = np.zeros(t_bound, np.int64)
+        mark[triple] = 1
+        names = np.cumsum(mark)[triple]
         n_names = int(mark.sum())
     else:
-        u, names = np.unique(triple, return_inverse=True)
-        names, n_names = names + 1, len(u)
+        by = _sorted(triple, t_bound)
+        own = triple[by]
+        new = np.empty(len(by), np.int64)
+        new[0], new[1:] = 1, own[1:] != own[:-1]
+        names = np.empty(len(by), np.int64)
+        names[by] = np.cumsum(new)
+        n_names, order = int(new.sum()), sample[by]
     if n_names == len(sample) or 3 * cover >= need:
-        order = sample[np.argsort(names, kind="stable")]
+        if order is None:
+            order = sample[_sorted(names, n_names + 1)]
     else:
-        sub = suffix_order(np.concatenate([names[:len(one)], [0], names[len(one):]]), need, 3 * cover)
-        sub = sub[sub != len(one)]
-        order = sample[sub - (sub > len(one))]
+        sub = suffix_order(np.concatenate([names[:n_one], [0], names[n_one:]]), need, 3 * cover)
+        sub = sub[sub != n_one]
+        order = sample[sub - (sub > n_one)]
     rank = np.zeros(n + 3, np.int64)
     rank[order] = np.arange(1, len(order) + 1)
-    zero = np.arange(0, n, 3)
     size = len(order) + 1
-    short, _ = _join(s[:n], rank[1:n + 1], size)                     # a suffix by its first symbol and the next sampled suffix
-    long, _ = _join(pair[:n], rank[2:n + 2], size)                   # by two symbols and the one after
-    zero = zero[np.argsort(short[zero], kind="stable")]
-    first, second = order[order % 3 == 1], order[order % 3 == 2]
-    before = np.searchsorted(short[first], short[zero]) + np.searchsorted(np.maximum.accumulate(long[second]) if len(second) else long[second], long[zero])
+    zero = np.arange(0, n, 3)
+    short, s_bound = _join(s[zero], sigma, rank[zero + 1], size)     # a suffix by its first symbol and the next sampled suffix
+    by = _sorted(short, s_bound)
+    zero, short = zero[by], short[by]
+    at = order % 3
+    first, second = order[at == 1], order[at == 2]
+    both, _ = _join(pair[np.concatenate([zero, second])], bound, rank[np.concatenate([zero, second]) + 2], size)   # by two symbols and the one after
+    before = np.searchsorted(s[first] * size + rank[first + 1], short) + np.searchsorted(np.maximum.accumulate(both[len(zero):]), both[:len(zero)])
     place = np.arange(len(zero)) + np.maximum.accumulate(before)
     out = np.full(n, -1, np.int64)
     out[place] = zero
@@ -368,7 +405,7 @@ def suffix_order(t: np.ndarray, need: int, cover: int = 1) -> np.ndarray:
 
 
 def window_classes(content: np.ndarray, off: np.ndarray, windows: np.ndarray, least: np.ndarray, length: int):
-    """(window offsets of the strings, smallest document of every window's class) for strings with their smallest documents."""
+    """The smallest document of every window's class, for strings with their smallest documents."""
     n = len(windows)
     w_off = np.append(0, np.cumsum(windows))
     used = np.bincount(content, minlength=256) > 0
@@ -401,29 +438,40 @@ def window_classes(content: np.ndarray, off: np.ndarray, windows: np.ndarray, le
     smallest = np.minimum.reduceat(own, np.flatnonzero(head))
     out = np.empty(len(order), np.int64)
     out[number[order]] = smallest[which]
-    return w_off, out
+    return out
 
 
-FOUND = "run bigint, number binary, first binary, windows binary, least binary"
+FOUND = "run bigint, lost binary"
 
 
 def sort_shards(sent: DataFrame, length: int) -> DataFrame:
     """Per run and shard: string number, first window, windows and smallest document of every run of windows that some place of the string loses."""
     def shard(key, table):
         unpack = zstandard.ZstdDecompressor()
-        rows = list(zip(*[table.column(c).to_pylist() for c in ("run", "number", "windows", "least", "most", "text")]))
-        runs = np.concatenate([np.full(len(r[1]) // 4, k) for k, r in enumerate(rows)])
-        number, windows, least, most = (np.concatenate([np.frombuffer(r[k], kind).astype(np.int64) for r in rows]) for k, kind in ((1, "<i4"), (2, "<u4"), (3, "<i8"), (4, "<i8")))
-        content = np.frombuffer(b"".join([unpack.decompress(r[5]) for r in rows]), np.uint8)
+        rows = list(zip(*[table.column(c).to_pylist() for c in ("run", "base", "strings", "text")]))
+        cols = [_unpacked(r[2], 4) for r in rows]
+        windows, group, least, more = (np.concatenate([c[k] for c in cols]) for k in range(4))
+        from_ = np.repeat(np.arange(len(rows)), [len(c[0]) for c in cols])
+        number = np.concatenate([r[1] + np.arange(len(c[0])) for r, c in zip(rows, cols)])
+        content = np.frombuffer(b"".join([unpack.decompress(r[3]) for r in rows]), np.uint8)
         size = windows + length - 1
         off = np.append(0, np.cumsum(size))
         pick, which = flat.unique_pieces(flat.hash_pieces(content, off[:-1], off[1:]))
-        if not _equal(content, off, pick[which]):
+        if not _equal(content, off[:-1], size, pick[which]):
             pick, which = np.arange(len(size)), np.arange(len(size))
+        by = np.argsort(group[pick], kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        pick, which = pick[by], place[which]
         low = np.full(len(pick), NO_ID)
         np.minimum.at(low, which, least)
-        own, own_off = _slices(content, off[:-1][pick], size[pick])
-        w_off, smallest = window_classes(own, own_off, windows[pick], low, length)
+        w_off = np.append(0, np.cumsum(windows[pick]))
+        edge = np.searchsorted(group[pick], np.arange(GROUPS + 1))
+        smallest = np.empty(w_off[-1], np.int64)
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if z > a:
+                own, own_off = _slices(content, off[:-1][pick[a:z]], size[pick[a:z]])
+                smallest[w_off[a]:w_off[z]] = window_classes(own, own_off, windows[pick[a:z]], low[a:z], length)
         # runs of windows with one smallest document, per distinct string
         new = np.append(True, smallest[1:] != smallest[:-1])
         new[w_off[:-1]] = True
@@ -433,49 +481,42 @@ def sort_shards(sent: DataFrame, length: int) -> DataFrame:
         seg_off = np.searchsorted(seg_string, np.arange(len(pick) + 1))
         # to every sent string its segments, as far as one of its documents is larger
         times = np.diff(seg_off)[which]
-        sent_at = np.repeat(np.arange(len(which)), times)
-        seg = np.arange(len(sent_at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(seg_off[which], times)
-        hit = seg_least[seg] < most[sent_at]
-        sent_at, seg = sent_at[hit], seg[hit]
-        edge = np.searchsorted(runs[sent_at], np.arange(len(rows) + 1))
-        out = [(rows[k][0], number[sent_at[a:z]].astype("<i4").tobytes(), seg_first[seg[a:z]].astype("<i4").tobytes(),
-                seg_n[seg[a:z]].astype("<i4").tobytes(), seg_least[seg[a:z]].tobytes())
+        at = np.repeat(np.arange(len(which)), times)
+        seg = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(seg_off[which], times)
+        hit = seg_least[seg] < (least + more)[at]
+        at, seg = at[hit], seg[hit]
+        edge = np.searchsorted(from_[at], np.arange(len(rows) + 1))
+        out = [(rows[k][0], _pack(number[at[a:z]], seg_first[seg[a:z]], seg_n[seg[a:z]], seg_least[seg[a:z]]))
                for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if z > a]
-        cols = list(zip(*out)) if out else [[]] * 5
-        return pa.table({n.split()[0]: pa.array(c, pa.int64() if n.startswith("run") else pa.binary()) for n, c in zip(FOUND.split(", "), cols)})
+        return pa.table({"run": pa.array([r for r, _ in out], pa.int64()), "lost": pa.array([x for _, x in out], pa.binary())})
 
     return sent.groupBy("shard").applyInArrow(shard, FOUND)
 
 
 def document_spans(places: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """doc_id, key, spans (binary: starts and ends of the removed runs, in order) of every document that loses bytes."""
-    cols = [*FOUND.split(", ")[1:], "docs binary", "keys binary", "doc binary", "start binary", "string binary"]
-    names = [c.split()[0] for c in cols]
-    def wide(df):
-        return df.select("run", *[(F.col(n) if n in df.columns else F.lit(None).cast("binary")).alias(n) for n in names])
-
     def run(key, table):
-        rows = table.select(names).to_pylist()
-        here = next(r for r in rows if r["docs"] is not None)
-        got = [r for r in rows if r["docs"] is None]
+        rows = table.to_pylist()
+        here = next(r for r in rows if r["places"] is not None)
+        got = [_unpacked(r["lost"], 4) for r in rows if r["lost"] is not None]
         empty = pa.table({"doc_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
         if not got:
             return empty
-        ids, keys = np.frombuffer(here["docs"], "<i8"), np.frombuffer(here["keys"], "<i8")
-        doc, start, string = np.frombuffer(here["doc"], "<i4").astype(np.int64), np.frombuffer(here["start"], "<i8"), np.frombuffer(here["string"], "<i4").astype(np.int64)
-        number, first, n = (np.concatenate([np.frombuffer(r[c], "<i4") for r in got]).astype(np.int64) for c in ("number", "first", "windows"))
-        least = np.concatenate([np.frombuffer(r["least"], "<i8") for r in got])
+        ids, keys = _unpacked(here["strings"], 2)
+        d, start, string = _unpacked(here["places"], 3)
+        d, start = np.cumsum(d), np.cumsum(start)
+        number, first, n, least = (np.concatenate([g[k] for g in got]) for k in range(4))
         order = np.argsort(number, kind="stable")
         number, first, n, least = number[order], first[order], n[order], least[order]
         lo, hi = np.searchsorted(number, string), np.searchsorted(number, string, "right")
         times = hi - lo
         at = np.repeat(np.arange(len(string)), times)
         seg = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
-        hit = least[seg] < ids[doc[at]]
+        hit = least[seg] < ids[d[at]]
         at, seg = at[hit], seg[hit]
         if not len(at):
             return empty
-        d, a = doc[at], start[at] + first[seg]
+        d, a = d[at], start[at] + first[seg]
         z = a + n[seg] + length - 1
         order = np.lexsort((a, d))
         d, a, z = d[order], a[order], z[order]
@@ -490,16 +531,18 @@ def document_spans(places: DataFrame, found: DataFrame, length: int) -> DataFram
         ids_out = pa.array(ids[some], mask=ids[some] == NO_ID)
         return pa.table({"doc_id": ids_out, "key": pa.array(keys[some]), "spans": pa.array([spans[edge[k]:edge[k + 1]].astype("<i8").tobytes() for k in some.tolist()], pa.binary())})
 
-    return wide(places).unionByName(wide(found)).groupBy("run").applyInArrow(run, "doc_id bigint, key bigint, spans binary")
+    none = F.lit(None).cast("binary")
+    both = places.select("run", "strings", "places", none.alias("lost")).unionByName(found.select("run", none.alias("strings"), none.alias("places"), "lost"))
+    return both.groupBy("run").applyInArrow(run, "doc_id bigint, key bigint, spans binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None, shard_chunks: int = 24_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None, shard_chunks: int = 40_000) -> DataFrame:
     """doc_id, key (xxhash64 of the text), spans of every distinct (id, text) of ``docs`` that loses bytes."""
     gram = gram or max(1, length * GRAM // LENGTH)
     d = needed(docs, "doc_id", "text").withColumn("key", F.xxhash64("text"))
     shared, n_chunks = shared_anchors(d, length, gram)
     sent = cut_lineage(shared_chunks(d, shared, max(1, n_chunks // shard_chunks), length, gram))
-    found = sort_shards(sent.where("shard >= 0").select("shard", "run", "number", "windows", "least", "most", "text"), length)
+    found = sort_shards(sent.where("shard >= 0").select("shard", "run", "base", "strings", "text"), length)
     return document_spans(sent.where("shard = -1"), found, length).dropDuplicates(["doc_id", "key"])
 
 
