@@ -29,7 +29,8 @@ def crc_fold(col: Column, n: int) -> Column:
 
 
 def needed(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, as the operator types them; a missing one is null."""
+    """Only the named columns, as the operator types them; a missing one is null, and case does not count (as in Spark)."""
     types = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint",
              "page_id": "bigint", "url": "string", "html": "string", "quality": "int"}
-    return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in names])
+    have = {c.lower(): c for c in df.columns}
+    return df.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast(types[c]).alias(c) for c in names])

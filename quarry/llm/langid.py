@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import content_key, crc_fold, needed
+from .common import content_key, crc_fold, free_name, needed
 
 BUCKETS = 1 << 16
 MAX_LANGS = 250                          # learned languages; more is an error, never a cut
@@ -215,7 +215,8 @@ def confident(docs: DataFrame, min_score: float = 0.5, **kw) -> DataFrame:
         return docs
     slim = needed(docs, "doc_id", "text", "source").select("doc_id", content_key().alias("key"), "text")
     good = predict(slim, langs, table, **kw).where((F.col("lang_pred") != UND) & (F.col("explained") >= min_score))
-    good = good.select(F.col("doc_id").alias("__llm_id"), F.col("key").alias("__llm_k")).distinct()
-    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], content_key().alias("__llm_key"))
-    hit = named.join(good, (F.col("__llm_key") == F.col("__llm_k")) & F.col("doc_id").eqNullSafe(F.col("__llm_id")), "left_semi")
+    mine, key, of = (free_name(docs, x) for x in ("__key", "__k", "__id"))
+    good = good.select(F.col("doc_id").alias(of), F.col("key").alias(key)).distinct()
+    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], content_key().alias(mine))
+    hit = named.join(good, (F.col(mine) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(of)), "left_semi")
     return hit.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import content_key, needed
+from .common import content_key, free_name, needed
 
 # Digits count as one symbol and A-Z as a-z when lines are compared.
 NORMAL = flat.BYTE_HASH[flat.LOWER].copy()
@@ -75,14 +75,15 @@ def remove_hashed(docs: DataFrame, verdicts: DataFrame, how: str = "inner") -> D
     verdict without ``common`` leaves the text as it is, null included; n_chars
     follows a changed text; all columns stay.  Equal rows share one verdict.
     """
-    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns], content_key().alias("__llm_key"))
-    v = verdicts.select(F.col("doc_id").alias("__llm_id"), F.col("key").alias("__llm_k"), F.col("common").alias("__llm_common"))
-    j = d.join(v, (F.col("__llm_key") == F.col("__llm_k")) & F.col("doc_id").eqNullSafe(F.col("__llm_id")), how).drop("__llm_key", "__llm_id", "__llm_k")
+    mine, key, of, mark = (free_name(docs, x) for x in ("__key", "__k", "__id", "__common"))
+    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns], content_key().alias(mine))
+    v = verdicts.select(F.col("doc_id").alias(of), F.col("key").alias(key), F.col("common").alias(mark))
+    j = d.join(v, (F.col(mine) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(of)), how).drop(mine, of, key)
 
     def run(batches):
         for b in batches:
             at, counts = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
-            common, cols = b.column(b.schema.get_field_index("__llm_common")), list(b.columns)
+            common, cols = b.column(b.schema.get_field_index(mark)), list(b.columns)
             new, chars = cols[at].to_pylist(), cols[counts].to_pylist() if counts >= 0 else None
             for r in np.flatnonzero(common.is_valid()):
                 bad = np.array(common[int(r)].as_py(), np.int64).view(np.uint64)
@@ -96,7 +97,7 @@ def remove_hashed(docs: DataFrame, verdicts: DataFrame, how: str = "inner") -> D
             if chars is not None:
                 cols[counts] = pa.array(chars, cols[counts].type)
             names = [f.name for f in b.schema]
-            keep = [k for k, x in enumerate(names) if x != "__llm_common"]
+            keep = [k for k, x in enumerate(names) if x != mark]
             yield pa.RecordBatch.from_arrays([cols[k] for k in keep], names=[names[k] for k in keep])
 
     return j.mapInArrow(run, docs.schema)

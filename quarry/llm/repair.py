@@ -267,6 +267,7 @@ def repair(original: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def conversations(df: DataFrame) -> DataFrame:
-    """conv_id and turn as whole numbers, role and text; a missing column is null."""
+    """conv_id and turn as whole numbers, role and text; a missing column is null, and case does not count."""
     kinds = {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"}
-    return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    have = {c.lower(): c for c in df.columns}
+    return df.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quarry.session import cut_lineage
 
 from . import flat
-from .common import content_key, needed
+from .common import content_key, free_name, needed
 from .lines import map_documents
 
 SEED = 42
@@ -296,14 +296,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, shard_rows: in
 def one_of_each(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     """The row with the smallest doc_id of every component, with all its columns; of equal doc_ids one row stays."""
     d = near_duplicates(docs, k, radius)
+    mine, key, of, n = (free_name(docs, x) for x in ("__key", "__k", "__id", "__n"))
     best = d.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min(F.struct("doc_id", "key")).alias("b")).select(F.col("b.doc_id").alias("__llm_id"), F.col("b.key").alias("__llm_k"))
-    copies = cut_lineage(best.join(d.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("__llm_n")),
-                                   F.col("__llm_id").eqNullSafe(F.col("doc_id")) & (F.col("__llm_k") == F.col("key")))
-                         .select("__llm_id", "__llm_k", "__llm_n"))
-    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], content_key().alias("__llm_key"))
-    hit = named.join(copies, (F.col("__llm_key") == F.col("__llm_k")) & F.col("doc_id").eqNullSafe(F.col("__llm_id")))
+        F.min(F.struct("doc_id", "key")).alias("b")).select(F.col("b.doc_id").alias(of), F.col("b.key").alias(key))
+    copies = cut_lineage(best.join(d.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias(n)),
+                                   F.col(of).eqNullSafe(F.col("doc_id")) & (F.col(key) == F.col("key"))).select(of, key, n))
+    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], content_key().alias(mine))
+    hit = named.join(copies, (F.col(mine) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(of)))
     back = [F.col(f"`{c}`") for c in docs.columns]
-    single = hit.where("__llm_n = 1").select(*back)
-    repeated = hit.where("__llm_n > 1").dropDuplicates(["__llm_id", "__llm_k"]).select(*back)
+    single = hit.where(F.col(n) == 1).select(*back)
+    repeated = hit.where(F.col(n) > 1).dropDuplicates([of, key]).select(*back)
     return single.unionByName(repeated)

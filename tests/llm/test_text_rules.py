@@ -275,3 +275,18 @@ def test_hashes_follow_the_bytes():
     s, e, w = flat.words_of(buf, off)
     assert [buf[a:b].tobytes() for a, b in zip(s, e)] == [x for p in parts for x in p.split()]
     assert np.diff(w).tolist() == [len(p.split()) for p in parts]
+
+
+def test_stages_keep_columns_with_clashing_names(make, odd_rows):
+    from quarry.llm import langid
+    names = ["__key", "__k", "__id", "__common", "__n", "__llm_key", "key", "common", "row", "fp", "lines", "shard", "path"]
+    docs = make(odd_rows + [(100 + i, prose(60, i) + "\nThe same line in all of them", "en", "s") for i in range(8)])
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    for stage in (quality.clean, lambda d: langid.confident(d, 0.4), templates.dedup_lines, lambda d: simhash.one_of_each(d, 4, 4)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in names)
+    upper = make([(1, prose(30, 1), "en", "s")]).withColumnRenamed("text", "Text").withColumnRenamed("doc_id", "DOC_ID")
+    assert quality.line_rules(upper).first().n_words == 30
