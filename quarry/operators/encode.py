@@ -18,18 +18,19 @@ from quarry.session import cut_lineage
 NAN_LEVEL = "NaN"
 
 
-def _levels_long(df: DataFrame, cols: list[str], missing_as: str | None) -> DataFrame:
-    parts = []
-    for c in cols:
+def _pairs(df: DataFrame, cols: list[str], missing_as: str | None, *more):
+    """One (column_name, level, further columns) row per row and column with a level, from one scan."""
+    def level(c):
         v = q(c).cast("string")
-        if missing_as is not None:
-            v = F.coalesce(v, F.lit(missing_as))
-        parts.append(df.select(F.lit(c).alias("column_name"), v.alias("level")).filter(F.col("level").isNotNull())
-                     .distinct())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _codes(out)
+        return v if missing_as is None else F.coalesce(v, F.lit(missing_as))
+
+    item = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), level(c).alias("level")) for c in cols])).alias("__e")
+    wide = df.select(*more, item)
+    return wide.select("__e.*", *[c for c in wide.columns if c != "__e"]).filter(F.col("level").isNotNull())
+
+
+def _levels_long(df: DataFrame, cols: list[str], missing_as: str | None) -> DataFrame:
+    return _codes(_pairs(df, cols, missing_as).distinct())
 
 
 def _codes(levels: DataFrame) -> DataFrame:
@@ -115,14 +116,7 @@ def fit_target_encoder(df: DataFrame, cols: list[str], target: str, min_samples_
     a level seen once gets the prior.  Unseen or missing levels get the prior.
     """
     prior = F.lit(df.select(F.avg(q(target))).first()[0])  # one value
-    parts = []
-    for c in cols:
-        g = df.filter(q(c).isNotNull()).groupBy(q(c).cast("string").alias("level")).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(q(target)).alias("mean"))
-        parts.append(g.withColumn("column_name", F.lit(c)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = _pairs(df, cols, None, q(target).alias("__y")).groupBy("column_name", "level").agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("mean"))
     s = 1.0 / (1.0 + F.exp(-(F.col("n") - F.lit(min_samples_leaf)) / F.lit(float(smoothing))))
     enc = F.when(F.col("n") == 1, prior).otherwise(prior * (1 - s) + F.col("mean") * s)
     return out.select("column_name", "level", "n", enc.alias("encoding"), prior.alias("prior"))

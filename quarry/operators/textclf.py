@@ -59,12 +59,13 @@ def tfidf(df: DataFrame, id_col: str, text: str, max_df: float = 1.0) -> DataFra
 
 
 def common_terms(words: DataFrame, col: str, max_df: float) -> list[str]:
-    """Terms of the token arrays ``col`` that lie in more than ``max_df`` of the rows.
+    """Terms of the texts or token arrays ``col`` that lie in more than ``max_df`` of the rows.
 
     Bounded: the rows hold (mean distinct terms) x n pairs, so at most
     (mean distinct terms) / ``max_df`` terms can be that common.
     """
-    d = words.select(F.explode(F.array_distinct(q(col))).alias("term"))
+    own = q(col) if dict(words.dtypes)[col].startswith("array") else tokens(q(col))
+    d = words.select(F.explode(F.array_distinct(own)).alias("term"))
     n = words.count()
     return sorted(r["term"] for r in d.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > n * max_df).collect())
 

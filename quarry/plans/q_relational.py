@@ -1112,3 +1112,12 @@ def e07_l2_normalize(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", fc.l2_normalize(F.col("embedding").cast("array<double>")).alias("n"))
     e = e.select("vec_id", F.posexplode("n").alias("pos", "value"))
     return e.select("vec_id", F.col("pos").cast("int").alias("pos"), rnd("value").alias("value"))
+
+
+@register("a12_crosstab_wide", """
+SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O",
+       count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY o_orderpriority
+""")
+def a12_crosstab_wide(spark, d):
+    """Order priority against status, one column per status."""
+    return agg.crosstab_wide(t(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])

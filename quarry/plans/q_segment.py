@@ -458,6 +458,14 @@ def q05_accuracy_per_category(spark, d):
     return rounded(textclf.accuracy_per_category(parsed(spark, d), "truth", "preds", 3))
 
 
+@register("q05_errors", _RESP_SQL + """
+SELECT conv_id, turn, truth, len(preds) AS n_preds FROM p WHERE NOT list_contains(preds[1:3], truth)
+""")
+def q05_errors(spark, d):
+    """Rows whose true label is not among the first three predictions (Q5)."""
+    return textclf.errors(parsed(spark, d), "truth", "preds", 3).select("conv_id", "turn", "truth", F.size("preds").cast("bigint").alias("n_preds"))
+
+
 def _sql_lit(s: str) -> str:
     parts = s.replace("'", "''").split("\n")
     return " || chr(10) || ".join(f"'{p}'" for p in parts)
