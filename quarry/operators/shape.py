@@ -270,5 +270,5 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 
 def buckets_for(df: DataFrame) -> int:
-    """Number of sort buckets: one per shuffle partition, which is sized to the data on a cluster."""
+    """Number of hash buckets: one per shuffle partition of the session (at least 8)."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
