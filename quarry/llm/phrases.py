@@ -9,15 +9,16 @@ full cycle, and its count is then complete.  So lengths interleave, and
 3 * shards scans of one shard each end the count.
 
 Which subphrases have reached the threshold, and in which scan, is kept in two
-tables of ``SLOTS`` bytes (one slot per hash, a fixed size) that travel as a
-broadcast.  Two phrases in one slot can only make a phrase active although its
-parts are rare; its count is complete all the same, since every phrase is
-counted over one full cycle, and the threshold on the count decides.
+tables of ``SLOTS`` bytes (two slots per hash, a fixed size) that travel as a
+compressed broadcast.  Phrases that share slots can only make a phrase active
+although its parts are rare; its count is complete all the same, since every
+phrase is counted over one full cycle, and the threshold on the count decides.
 
-Counts are kept by 64-bit hash of language and words; a last scan brings the
-texts of the frequent ones and stops with an error if one hash stands for two
-texts.  Tasks count what they read before the shuffle, so a frequent word is
-one row per task.
+Counts are kept by 64-bit hash of language and words.  The frequent phrases'
+parts are looked up part by part until all are known, which gives the scores;
+a last scan brings the texts of the best.  Both stop with an error if one hash
+stands for two phrases.  Tasks count what they read before the shuffle, so a
+frequent word is one row per task.
 
 Defined cases: a null text is empty; a null language is ``und``; repeated rows
 all count; an empty table gives no rows; further columns are ignored.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +75,35 @@ def phrase_hashes(low, s, e, doc, follows, lang: np.ndarray):
     return out
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64)
+def _slots(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of each hash in a table of ``n`` slots: by its top and by its low bits."""
+    return (h >> np.uint64(64 - (n - 1).bit_length())).astype(np.int64), (h & np.uint64(n - 1)).astype(np.int64)
 
 
 def _slot_column() -> Column:
-    return F.shiftrightunsigned("h", 40).cast("int")
+    return F.explode(F.array(F.shiftrightunsigned("h", 64 - (SLOTS - 1).bit_length()).cast("int"), F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int")))
+
+
+def _since(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The scan in which a hash is marked as large; NEVER if one of its slots is free."""
+    a, b = _slots(h, len(table))
+    return np.maximum(table[a], table[b])
+
+
+def _wanted(rows: DataFrame) -> bytes:
+    """Compressed bit table of the hashes ``h`` of ``rows``; at most SLOTS numbers reach the driver."""
+    found = np.zeros(SLOTS, bool)
+    found[rows.select(_slot_column().alias("s")).distinct().toArrow().column("s").to_numpy()] = True
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(found).tobytes())
+
+
+def _bits(raw: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)).astype(bool)
+
+
+def _hits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    a, b = _slots(h, len(table))
+    return np.flatnonzero(table[a] & table[b])
 
 
 def _lang_hash(names: list[str]) -> np.ndarray:
@@ -98,53 +123,68 @@ def _runs(batch):
         yield buf[off[i]:off[j]], off[i:j + 1] - off[i], [names[c] for c in code[i:j]], hashes[code[i:j]]
 
 
-def _sum(held):
-    """One (lengths and scan, hash, count) triple of arrays from many, equal hashes added up."""
-    key, h, c = (np.concatenate([x[k] for x in held]) for k in range(3))
-    pick, number = flat.unique_pieces(h)
-    return key[pick], h[pick], np.bincount(number, weights=c, minlength=len(pick)).astype(np.int64)
+def _counted(h: np.ndarray):
+    """(distinct hashes, how often each occurs)."""
+    h = np.sort(h)
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.diff(np.append(first, len(h)))
+
+
+def _added(parts):
+    """One (distinct hashes, counts) pair from many."""
+    h, c = (np.concatenate([x[k] for x in parts]) for k in range(2))
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(c[order], first) if len(h) else c
+
+
+HELD, SENT = 1_500_000, 750_000                       # distinct phrases a task holds before it adds them up; and sends them
 
 
 def scan(shard: DataFrame, t: int, shards: int, large_words: np.ndarray, large_pairs: np.ndarray) -> DataFrame:
     """(n, act, h, c): what the scan ``t`` counts in this shard; act is the scan in which the phrase became active."""
-    tables = shard.sparkSession.sparkContext.broadcast((large_words, large_pairs))
-
-    def active(since, a, b):
-        act = np.maximum(since[_slot(a)], since[_slot(b)]).astype(np.int64) + 1
-        return act, np.flatnonzero((act <= t) & (t < act + shards))
+    tables = shard.sparkSession.sparkContext.broadcast([zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in (large_words, large_pairs)])
 
     def count(batches):
-        since_w, since_p = tables.value
-        held, rows = [], 0
+        since_w, since_p = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in tables.value)
+        held: dict[tuple[int, int], list] = {}
+        rows = 0
+
+        def add(n, since, a, b, h):
+            """Count the phrases ``h`` whose subphrases are ``a`` and ``b``, as far as they are active."""
+            nonlocal rows
+            last = np.maximum(_since(since, a), _since(since, b))
+            for z in range(max(0, t - shards), t):             # the scan in which the later subphrase became large
+                if len(own := h[last == z]):
+                    held.setdefault((n, z + 1), []).append(_counted(own))
+                    rows += len(held[n, z + 1][-1][0])
+
         for b in batches:
             for buf, off, _, lang in _runs(b):
-                (_, h1), (p2, h2), (p3, h3) = phrase_hashes(*words(buf, off), lang)
-                found = []
+                low, s, e, doc, follows = words(buf, off)
+                (_, h1), (p2, h2), (p3, h3) = phrase_hashes(low, s, e, doc, follows, lang)
                 if t < shards:
-                    found.append((np.full(len(h1), 1 << 8), h1))
-                act, k = active(since_w, h1[p2], h1[p2 + 1])
-                found.append(((2 << 8) + act[k], h2[k]))
+                    held.setdefault((1, 0), []).append(_counted(h1))
+                    held.setdefault((0, 0), []).append(_counted(np.repeat(lang, np.bincount(doc, minlength=len(lang)))))     # words of the language
+                    rows += len(held[1, 0][-1][0])
+                add(2, since_w, h1[p2], h1[p2 + 1], h2)
                 if t > 1 and len(p3):
                     at = np.searchsorted(p2, p3)               # a triple's two pairs
-                    act, k = active(since_p, h2[at], h2[at + 1])
-                    found.append(((3 << 8) + act[k], h3[k]))
-                key, h = (np.concatenate([x[k] for x in found]) for k in range(2))
-                held.append(_sum([(key, h, np.ones(len(h)))]))
-                rows += len(held[-1][1])
-                if rows > 3_000_000:
-                    held = [_sum(held)]
-                    rows = len(held[0][1])
-                    if rows > 1_500_000:
-                        yield _batch(*held[0])
-                        held, rows = [], 0
-        if held:
-            yield _batch(*_sum(held))
+                    add(3, since_p, h2[at], h2[at + 1], h3)
+                if rows > HELD:
+                    held = {k: [_added(x)] for k, x in held.items()}
+                    rows = sum(len(x[0][0]) for x in held.values())
+                    if rows > SENT:
+                        yield from (_batch(*k, *x[0]) for k, x in held.items())
+                        held, rows = {}, 0
+        yield from (_batch(*k, *_added(x)) for k, x in held.items())
 
     return shard.mapInArrow(count, "n tinyint, act tinyint, h bigint, c bigint")
 
 
-def _batch(key, h, c):
-    return pa.RecordBatch.from_arrays([pa.array((key >> 8).astype(np.int8)), pa.array((key & 255).astype(np.int8)), pa.array(h.view(np.int64)), pa.array(c)],
+def _batch(n, act, h, c):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int8)), pa.array(np.full(len(h), act, np.int8)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))],
                                       names=["n", "act", "h", "c"])
 
 
@@ -156,15 +196,27 @@ def _mark(since: np.ndarray, counted: DataFrame, n: int, least: int, t: int) ->
     return since
 
 
-def frequent(docs: DataFrame, least: int = 10, shards: int = 3) -> DataFrame:
-    """(n, h, c): all words and phrases of up to three words that occur at least ``least`` times in a language."""
-    dealt = docs.withColumn("shard", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(0)))
+SLICES = 4                                            # folders of a shard
+
+
+def deal(docs: DataFrame, shards: int) -> DataFrame:
+    """(text, lang, part), written with a folder per part; a shard is the parts with one remainder modulo ``shards``."""
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(shards * SLICES)), F.lit(0)).cast("int")
+    return cut_lineage(docs.select("text", "lang", part.alias("part")), partition_by="part")
+
+
+def frequent(dealt: DataFrame, least: int = 10, shards: int = 2) -> DataFrame:
+    """(n, h, c): all words and phrases of up to three words that occur at least ``least`` times in a language.
+
+    Rows with n = 0 hold the number of words of a language, by the language's hash.
+    """
     since = [np.full(SLOTS, NEVER, np.uint8), np.full(SLOTS, NEVER, np.uint8)]
     pending, done = None, None
     for t in range(LONGEST * shards):
-        raw = scan(dealt.where(F.col("shard") == t % shards).select("text", "lang"), t, shards, *since)
+        raw = scan(dealt.where(F.col("part") % shards == t % shards).select("text", "lang"), t, shards, *since)
         raw = raw if pending is None else raw.unionByName(pending)
-        sums = raw.groupBy("n", "act", "h").agg(F.sum("c").alias("c"))
+        # tasks have added up what they read, so nothing is left to combine before the shuffle
+        sums = raw.repartition("h").groupBy("n", "act", "h").agg(F.sum("c").alias("c"))
         last = F.col("act") + (shards - 1) <= t                 # a full cycle is over
         counted = cut_lineage(sums.where(~last | (F.col("c") >= least)))
         full = counted.where(last).select("n", "h", "c")
@@ -174,64 +226,94 @@ def frequent(docs: DataFrame, least: int = 10, shards: int = 3) -> DataFrame:
     return cut_lineage(done)
 
 
-def texts(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(lang, n, h, phrase, parts, seen): the texts of the counted phrases; rows with n = 0 hold the words read per language in ``seen``.
+PARTS = "n tinyint, h bigint, lh bigint, w1 bigint, w2 bigint, w3 bigint, p1 bigint, p2 bigint"
 
-    parts: hashes of the words and, of three words, of the two pairs.  Tasks
-    send phrases whose slot holds a counted one; the join keeps the counted.
+
+def parts(dealt: DataFrame, counts: DataFrame, shards: int) -> DataFrame:
+    """``counts`` of phrases with the hashes of their language, words and (of three words) pairs.
+
+    Part by part, each time for the phrases not yet known: most are found in the first.
     """
-    spark = docs.sparkSession
-    slots = counts.where("n > 1").select(_slot_column().alias("s")).distinct().toArrow().column("s").to_numpy()
-    wanted = np.zeros(SLOTS, bool)
-    wanted[slots] = True
-    table = spark.sparkContext.broadcast(np.packbits(wanted))
+    spark = dealt.sparkSession
+    left, found = counts.where("n > 1"), None
+    for t in range(shards * SLICES):
+        table = spark.sparkContext.broadcast(_wanted(left))
+
+        def run(batches, table=table):
+            want = _bits(table.value)
+            sent = np.zeros(1 << 20, np.uint64)              # phrases this task has sent, each at one place; it only saves work
+            for b in batches:
+                for buf, off, _, lang in _runs(b):
+                    low, s, e, doc, follows = words(buf, off)
+                    (_, h1), *longer = phrase_hashes(low, s, e, doc, follows, lang)
+                    pair_at, h2 = longer[0]
+                    for n, (p, h) in enumerate(longer, 2):
+                        hit = _new(_hits(want, h), h, sent)
+                        w = p[hit]
+                        none = pa.nulls(len(hit), pa.int64())
+                        cols = [h[hit], lang[doc[w]], h1[w], h1[w + 1]]
+                        if n == 3:
+                            at = np.searchsorted(pair_at, w)
+                            cols += [h1[w + 2], h2[at], h2[at + 1]]
+                        cols = [pa.array(c.view(np.int64)) for c in cols] + [none] * (7 - len(cols))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), n, np.int8)), *cols], names=[c.split()[0] for c in PARTS.split(", ")])
+
+        rows = dealt.where(F.col("part") == t).select("text", "lang").mapInArrow(run, PARTS)
+        same = (F.min("w1") == F.max("w1")) & (F.min("w2") == F.max("w2")) & (F.min("lh") == F.max("lh"))
+        one = rows.groupBy("n", "h").agg(F.min("lh").alias("lh"), *[F.min(c).alias(c) for c in ("w1", "w2", "w3", "p1", "p2")], same.alias("same"))
+        one = one.withColumn("lh", F.when(F.col("same"), F.col("lh")).otherwise(F.raise_error(F.lit("two phrases have one hash")))).drop("same")
+        got = cut_lineage(left.join(one, ["n", "h"]))
+        found = got if found is None else found.unionByName(got)
+        left = cut_lineage(left.join(got.select("n", "h"), ["n", "h"], "left_anti"))
+        if left.isEmpty():
+            break
+    return found
+
+
+def _new(hit: np.ndarray, h: np.ndarray, sent: np.ndarray) -> np.ndarray:
+    """One of each distinct hash among ``h[hit]`` that the task has not sent; it counts as sent from now on."""
+    hit = hit[sent[h[hit] & np.uint64(0xFFFFF)] != h[hit]]
+    if len(hit):
+        pick, _ = flat.unique_pieces(h[hit])
+        hit = hit[pick]
+        sent[h[hit] & np.uint64(0xFFFFF)] = h[hit]
+    return hit
+
+
+def texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen``(n, h, ...) with lang and phrase; tasks send phrases whose slots hold a chosen one, the join keeps the chosen."""
+    table = docs.sparkSession.sparkContext.broadcast(_wanted(chosen))
 
     def run(batches):
-        want = np.unpackbits(table.value).astype(bool)
-        sent = np.zeros(0, np.uint64)
+        want = _bits(table.value)
+        sent = np.zeros(1 << 20, np.uint64)
         for b in batches:
             for buf, off, names, lang in _runs(b):
                 low, s, e, doc, follows = words(buf, off)
-                hashes = phrase_hashes(low, s, e, doc, follows, lang)
-                h1, p2, h2 = hashes[0][1], *hashes[1]
-                rows = {k: [] for k in ("lang", "n", "h", "phrase", "parts", "seen")}
-                per = np.bincount(doc, minlength=len(names))
-                for name, c in zip(names, per.tolist()):
-                    if c:
-                        rows["lang"].append(name)
-                        rows["seen"].append(c)
-                k = len(rows["lang"])
-                rows |= {"n": [0] * k, "h": [None] * k, "phrase": [None] * k, "parts": [None] * k}
-                raw = low.tobytes()
-                for n, (p, h) in enumerate(hashes[1:], 2):
-                    hit = np.flatnonzero(want[_slot(h)])
-                    pick, _ = flat.unique_pieces(h[hit])
-                    hit = hit[pick]
-                    hit = hit[~np.isin(h[hit], sent)]
-                    sent = np.concatenate([sent, h[hit]]) if len(sent) < 1_000_000 else h[hit]
-                    for w, x in zip(p[hit].tolist(), h[hit].view(np.int64).tolist()):
-                        rows["lang"].append(names[doc[w]])
-                        rows["n"].append(n)
-                        rows["h"].append(x)
-                        rows["phrase"].append(b" ".join([raw[s[w + q]:e[w + q]] for q in range(n)]).decode())
-                        ids = [h1[w + q] for q in range(n)]
-                        if n == 3:
-                            at = int(np.searchsorted(p2, w))
-                            ids += [h2[at], h2[at + 1]]
-                        rows["parts"].append(np.array(ids, np.uint64).view(np.int64).tolist())
-                        rows["seen"].append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["lang"], pa.string()), pa.array(rows["n"], pa.int8()), pa.array(rows["h"], pa.int64()), pa.array(rows["phrase"], pa.string()),
-                     pa.array(rows["parts"], pa.list_(pa.int64())), pa.array(rows["seen"], pa.int64())], names=["lang", "n", "h", "phrase", "parts", "seen"])
-
-    return docs.select("text", "lang").mapInArrow(run, "lang string, n tinyint, h bigint, phrase string, parts array<bigint>, seen bigint")
+                data = np.append(low, np.uint8(32))
+                for n, (p, h) in enumerate(phrase_hashes(low, s, e, doc, follows, lang)[1:], 2):
+                    hit = _new(_hits(want, h), h, sent)
+                    if not len(hit):
+                        continue
+                    w = p[hit][:, None] + np.arange(n)
+                    start, size = np.full((len(hit), 2 * n - 1), len(low)), np.ones((len(hit), 2 * n - 1), np.int64)     # words and a space between
+                    start[:, ::2], size[:, ::2] = s[w], e[w] - s[w]
+                    end = np.cumsum(size.ravel())
+                    text = data[np.arange(end[-1]) + np.repeat(start.ravel() - (end - size.ravel()), size.ravel())]
+                    phrase = flat.binary_array(text, np.append(0, end[2 * n - 2::2 * n - 1])).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), n, np.int8)), pa.array(h[hit].view(np.int64)),
+                                                      pa.array([names[d] for d in doc[w[:, 0]].tolist()], pa.string()), phrase], names=["n", "h", "lang", "phrase"])
+
+    rows = docs.select("text", "lang").mapInArrow(run, "n tinyint, h bigint, lang string, phrase string")
+    same = F.when(F.min("phrase") == F.max("phrase"), F.min("phrase")).otherwise(F.raise_error(F.lit("two phrases have one hash")))
+    return chosen.join(rows.join(chosen.select("n", "h"), ["n", "h"], "left_semi").groupBy("n", "h").agg(F.min("lang").alias("lang"), same.alias("phrase")), ["n", "h"])
 
 
 def whole(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(15,0)")
 
 
-def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000, shards: int = 3) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000, shards: int = 2) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of two or three words.
 
     score is the smallest floor(1000000 * a * a / (l * r)) over the cuts of the
@@ -239,35 +321,33 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     longer one that has at least ``share`` percent of its occurrences is dropped.
     """
     d = needed(docs, "doc_id", "text", "lang").withColumn("lang", F.coalesce("lang", F.lit("und")))
-    counts = frequent(d, least, shards)
-    known = cut_lineage(texts(d, counts).groupBy("lang", "n", "h").agg(
-        F.min("phrase").alias("phrase"), F.max("phrase").alias("other"), F.first("parts").alias("parts"), F.sum("seen").alias("seen")))
-    total = known.where("n = 0").select("lang", F.col("seen").alias("n_words"))
-    same = F.when(F.col("phrase") == F.col("other"), F.col("phrase")).otherwise(F.raise_error(F.lit("two phrases have one hash")))
-    cand = cut_lineage(known.where("n > 1").join(counts.where("n > 1").select(F.col("n").alias("m"), F.col("h").alias("k"), F.col("c").alias("a")),
-                                                 (F.col("n") == F.col("m")) & (F.col("h") == F.col("k")))
-                       .select("lang", "n", "h", same.alias("phrase"), "parts", "a"))
+    dealt = deal(d, shards)
+    counts = frequent(dealt, least, shards)
+    cand = parts(dealt, counts, shards).withColumnRenamed("c", "a")
 
     def with_count(df, part, n, name):
-        c = counts.where(F.col("n") == n).select(F.col("h").alias(f"k_{name}"), F.col("c").alias(name))
-        return df.join(c, F.col("parts")[part] == F.col(f"k_{name}")).drop(f"k_{name}")
-
-    two = with_count(with_count(cand.where("n = 2"), 0, 1, "l"), 1, 1, "r")
-    longer = (cand.where("n = 3").select(F.explode(F.slice("parts", 4, 2)).alias("k"), F.col("a").alias("f"))
-              .groupBy("k").agg(F.max("f").alias("f")))
-    two = (two.join(longer, F.col("h") == F.col("k"), "left").where(F.col("f").isNull() | (whole("f") * 100 < whole("a") * share))
-           .select("lang", "phrase", "a", "l", "r", F.lit(None).cast("bigint").alias("l2"), F.lit(None).cast("bigint").alias("r2")))
+        c = counts.where(F.col("n") == n).select(F.col("h").alias("k"), F.col("c").alias(name))
+        return df.join(c, F.col(part) == F.col("k")).drop("k")
+
+    none = F.lit(None).cast("bigint")
+    two = with_count(with_count(cand.where("n = 2"), "w1", 1, "l"), "w2", 1, "r")
+    longer = (cand.where("n = 3").select(F.explode(F.array("p1", "p2")).alias("k"), F.col("a").alias("f")).groupBy("k").agg(F.max("f").alias("f")))
+    two = two.join(longer, F.col("h") == F.col("k"), "left").where(F.col("f").isNull() | (whole("f") * 100 < whole("a") * share))
     three = cand.where("n = 3")
-    for part, n, name in ((0, 1, "l"), (4, 2, "r"), (3, 2, "l2"), (2, 1, "r2")):
+    for part, n, name in (("w1", 1, "l"), ("p2", 2, "r"), ("p1", 2, "l2"), ("w3", 1, "r2")):
         three = with_count(three, part, n, name)
-    both = two.unionByName(three.select("lang", "phrase", "a", "l", "r", "l2", "r2"))
+    both = two.select("n", "h", "lh", "a", "l", "r", none.alias("l2"), none.alias("r2")).unionByName(three.select("n", "h", "lh", "a", "l", "r", "l2", "r2"))
     ratio = "cast((1000000BD * cast({a} as decimal(15,0)) * cast({a} as decimal(15,0))) div (cast({l} as decimal(15,0)) * cast({r} as decimal(15,0))) as bigint)"
     first, second = F.expr(ratio.format(a="a", l="l", r="r")), F.expr(ratio.format(a="a", l="l2", r="r2"))
     later = F.col("s2") < F.col("s1")
     scored = (both.withColumn("s1", first).withColumn("s2", second)
-              .select("lang", "phrase", "a", F.when(later, F.col("l2")).otherwise(F.col("l")).alias("l"), F.when(later, F.col("r2")).otherwise(F.col("r")).alias("r"),
+              .select("n", "h", "lh", "a", F.when(later, F.col("l2")).otherwise(F.col("l")).alias("l"), F.when(later, F.col("r2")).otherwise(F.col("r")).alias("r"),
                       F.when(later, F.col("s2")).otherwise(F.col("s1")).alias("score")))
-    order = "order by score desc, a desc, phrase"
-    part = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("rank", F.expr(f"row_number() over (partition by lang, salt {order})"))
-    best = part.where(F.col("rank") <= top).drop("salt").withColumn("rank", F.expr(f"row_number() over (partition by lang {order})").cast("bigint")).where(F.col("rank") <= top)
-    return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("n_words").alias("n"), "score")
+    # the best by score and count, all that tie with the last one included; no task ranks a whole language
+    ahead = scored.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(64))).withColumn("place", F.expr("rank() over (partition by lh, salt order by score desc, a desc)"))
+    ahead = ahead.where(F.col("place") <= top).withColumn("place", F.expr("rank() over (partition by lh order by score desc, a desc)")).where(F.col("place") <= top)
+    chosen = texts(dealt, cut_lineage(ahead.drop("salt", "place")))
+    order = F.expr("row_number() over (partition by lang order by score desc, a desc, phrase)").cast("bigint")
+    total = counts.where("n = 0").select(F.col("h").alias("k"), F.col("c").alias("total"))
+    out = chosen.join(total, F.col("lh") == F.col("k")).withColumn("rank", order).where(F.col("rank") <= top)
+    return out.select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
