@@ -55,7 +55,7 @@ def m04_regularisation_path(spark, d):
 def m05_cv_search(spark, d):
     """Seeded random search over a grid with 3 folds (M5); runs table."""
     from pyspark.ml.regression import RandomForestRegressor
-    df = regression_frame(spark, d).filter("split = 0")
+    df = regression_frame(spark, d).filter("split = 0").select("features", "y")  # the folds are cached row by row
     est = RandomForestRegressor(featuresCol="features", labelCol="y", seed=42)
     _, runs = model.cv_search(df, est, {"numTrees": [5, 10], "maxDepth": [3, 5]},
                               RegressionEvaluator(labelCol="y", metricName="rmse"), folds=3, n_iter=3)

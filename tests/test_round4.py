@@ -48,3 +48,10 @@ def test_rfe_folds_run_side_by_side(spark, monkeypatch):
     rows = catalog.QUERIES["n03_rfe_cv"](spark, SF).collect()
     assert [r["n_features"] for r in rows] == [1, 2, 3, 4, 5] and sum(r["chosen"] for r in rows) == 1
     assert len(threads) > 2
+
+
+def test_search_holds_only_what_it_reads(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(model, "cv_search", lambda df, *a, **k: (got.append(df.columns), (None, df))[1])
+    catalog.QUERIES["m05_cv_search"](spark, SF)
+    assert got == [["features", "y"]]
