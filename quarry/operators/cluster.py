@@ -66,10 +66,13 @@ def rfm(df: DataFrame, id_col: str, ts: str, amount: str, f_edges: list, r_label
 
 # ---------------------------------------------------------------- centroid assignment
 
-def nearest_centroid(vec: Column, centroids: list[list[float]]) -> Column:
-    """Index of the nearest centroid (ties -> lowest index)."""
-    dists = F.array(*[F.struct(sq_dist(vec, F.array(*[F.lit(float(x)) for x in c])).alias("d"),
-                               F.lit(i).alias("i")) for i, c in enumerate(centroids)])
+def nearest_centroid(vec: Column | list[Column], centroids: list[list[float]]) -> Column:
+    """Index of the nearest centroid (ties -> lowest index) to an array column, or to a list of coordinates."""
+    def dist(c):
+        if isinstance(vec, list):  # plain arithmetic, for generated code
+            return sum(((v - F.lit(float(x))) * (v - F.lit(float(x))) for v, x in zip(vec, c)), F.lit(0.0))
+        return sq_dist(vec, F.array(*[F.lit(float(x)) for x in c]))
+    dists = F.array(*[F.struct(dist(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids)])
     return F.array_min(dists)["i"]
 
 
@@ -238,10 +241,11 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict, s
 
     Window s covers [start, start + base_days + s * step_days]; each order
     row is tagged with the first window containing it, rows are aggregated
-    per (client, first window), and a running sum per client over windows
-    gives every window's features without re-reading the data per step.  What is
-    written is the contingency table of each window, at most k x k rows, not
-    the clients' labels.
+    per (client, first window), and a running sum per client over these few rows
+    gives the features from that window until the client's next one.  Only then
+    are rows repeated for the windows they hold in, labelled and counted, so a
+    (client, window) row is neither shuffled nor sorted.  What is written is the
+    contingency table of each window, at most k x k rows, not the clients' labels.
     Only clients of the base window are followed; windows whose end passes
     the last order date are not produced.  ``features`` maps output names to
     (row-level column, "mean" | "sum"); ``scaler`` holds (mean, std) per
@@ -263,28 +267,32 @@ def cluster_stability(orders: DataFrame, id_col: str, ts: str, features: dict, s
     for nm, (c, _) in features.items():
         aggs += [F.sum(c).alias(f"__s_{nm}"), F.count(c).alias(f"__n_{nm}")]
     part = d.groupBy(q(id_col), first.alias("__first")).agg(*aggs, F.max(q(ts)).alias("__last"))
-    base_clients = part.filter(F.col("__first") == 0).select(id_col)
-    grid = base_clients.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n_steps))))
-    g = grid.join(part.withColumnRenamed("__first", "step"), [id_col, "step"], "left")
-    w = Window.partitionBy(id_col).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    client = Window.partitionBy(id_col)
+    w = client.orderBy("__first").rowsBetween(Window.unboundedPreceding, 0)
+    known = q(id_col).isNotNull()  # orders without a client are one client without features
     cols = {}
     for nm in names:
         total = F.sum(f"__s_{nm}").over(w)
         cnt = F.sum(f"__n_{nm}").over(w)
         if features[nm][1] == "sum":
-            cols[nm] = F.when(cnt > 0, total)
+            cols[nm] = F.when(known & (cnt > 0), total)
         else:
-            cols[nm] = F.try_divide(total, cnt.cast("double"))
-    cols["__last"] = F.max("__last").over(w)
-    g = g.withColumns(cols)
-    g = g.withColumn(recency_name, F.floor(frac_days(end_of(F.col("step")), "__last")).cast("double"))
-    g = g.filter(end_of(F.col("step")) <= F.lit(max_date).cast("timestamp_ntz"))
-    feats = names + [recency_name]
-    z = F.array(*[(F.col(f) - F.lit(scaler[f][0])) / F.lit(scaler[f][1] or 1.0) for f in feats])
-    g = g.withColumn("cluster", nearest_centroid(z, centroids)).select(id_col, "step", "cluster")
-    # every client's base label beside its later ones, counted by window and label pair before anything is written
-    base = F.max(F.when(F.col("step") == 0, F.col("cluster"))).over(Window.partitionBy(id_col))
-    pairs = g.withColumn("cluster_base", base).filter("step > 0 and cluster_base is not null")
+            cols[nm] = F.when(known, F.try_divide(total, cnt.cast("double")))
+    cols["__last"] = F.when(known, F.max("__last").over(w))
+    cols["__next"] = F.coalesce(F.lead("__first").over(client.orderBy("__first")), F.lit(n_steps + 1))
+    cols["__base"] = F.min("__first").over(client) == 0
+    g = part.filter(F.col("__first") <= n_steps).withColumns(cols).filter("__base")
+
+    def label(step):
+        recency = F.floor(frac_days(end_of(step), "__last")).cast("double")
+        return nearest_centroid([((recency if f == recency_name else F.col(f)) - F.lit(scaler[f][0])) / F.lit(scaler[f][1] or 1.0)
+                                 for f in names + [recency_name]], centroids)
+
+    # every client's base label beside its rows, which then stand for the windows until the client's next row
+    base = F.max(F.when(F.col("__first") == 0, label(F.lit(0)))).over(client)
+    g = g.withColumn("cluster_base", base).withColumn("step", F.explode(F.sequence(F.col("__first"), F.col("__next") - 1)))
+    g = g.filter((F.col("step") > 0) & (end_of(F.col("step")) <= F.lit(max_date).cast("timestamp_ntz")))
+    pairs = g.select("step", "cluster_base", label(F.col("step")).alias("cluster"))
     cells = cut_lineage(pairs.groupBy("step", "cluster_base", "cluster").agg(F.count(F.lit(1)).alias("m")))
     ari = adjusted_rand(cells, "cluster_base", "cluster", by="step", weight="m")
     return ari.withColumn("end_date", end_of(F.col("step"))).select("step", "end_date", "ari", "n")

@@ -89,3 +89,31 @@ def test_neighbour_searches_write_a_vector_once_and_as_it_came(spark, written):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     assert all(exact[i, k + 1] == j for i in range(600) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3]))
+
+
+def test_stability_repeats_rows_after_every_shuffle(spark, written):
+    keep, seen = written
+    keep(cluster)
+    rows = [(c, f"2024-01-{day:02d} 00:00:00", float(day * (c or 5))) for c in (1, 2, 3, None) for day in range(1 + (c or 0), 31, 1 + (c or 6))]
+    df = spark.createDataFrame(rows, "c int, at string, x double").withColumn("at", F.to_timestamp_ntz("at"))
+    scaler, cents = {"x": (10.0, 5.0), "recency": (2.0, 3.0)}, [[-1.0, 0.0], [0.0, 0.0], [1.0, 1.0]]
+    out = cluster.cluster_stability(df, "c", "at", {"x": (F.col("x"), "mean")}, "2024-01-01 00:00:00", 9, 2, scaler, cents).collect()
+    text = plan(seen[-1])
+    assert "Join" not in text and text.index("Generate") < text.index("Window")
+
+    def label(c, end):                      # by definition, from all orders of the window
+        own = [(int(a[8:10]), x) for k, a, x in rows if k == c and c is not None and int(a[8:10]) - 1 <= end]
+        if not own:
+            return 0
+        z = [(np.mean([x for _, x in own]) - 10) / 5, (end - (max(a for a, _ in own) - 1) - 2) / 3]
+        return int(np.argmin([sum((p - q) ** 2 for p, q in zip(z, ce)) for ce in cents]))
+
+    from collections import Counter
+    pairs2 = lambda m: sum(v * (v - 1) / 2 for v in m.values())
+    steps = [s for s in range(1, 12) if 9 + 2 * s <= max(int(a[8:10]) for _, a, _ in rows) - 1]
+    assert sorted(r.step for r in out) == steps
+    for r in out:
+        ab = [(label(c, 9), label(c, 9 + 2 * r.step)) for c in (1, 2, 3, None)]
+        ij, a, b, n = pairs2(Counter(ab)), pairs2(Counter(x for x, _ in ab)), pairs2(Counter(y for _, y in ab)), 6.0
+        top = 0.5 * (a + b) - a * b / n
+        assert r.n == 4 and abs(r.ari - ((ij - a * b / n) / top if top else 1.0)) < 1e-12
