@@ -64,10 +64,18 @@ def common_terms(words: DataFrame, col: str, max_df: float) -> list[str]:
     Bounded: the rows hold (mean distinct terms) x n pairs, so at most
     (mean distinct terms) / ``max_df`` terms can be that common.
     """
+    return _common(words, _term_rows(words, col), max_df)
+
+
+def _term_rows(words: DataFrame, col: str) -> DataFrame:
+    """(term, df): the rows that hold each term of the texts or token arrays ``col``."""
     own = q(col) if dict(words.dtypes)[col].startswith("array") else tokens(q(col))
-    d = words.select(F.explode(F.array_distinct(own)).alias("term"))
+    return words.select(F.explode(F.array_distinct(own)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _common(words: DataFrame, rows: DataFrame, max_df: float) -> list[str]:
     n = words.count()
-    return sorted(r["term"] for r in d.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > n * max_df).collect())
+    return sorted(r["term"] for r in rows.filter(F.col("df") > n * max_df).collect())
 
 
 def text_classifier(df: DataFrame, text: str, label: str, kind: str = "binary", max_df: float = 0.95, max_iter: int = 50,
@@ -81,6 +89,12 @@ def text_classifier(df: DataFrame, text: str, label: str, kind: str = "binary",
     removed.  The texts are spread over the cluster and tokenised once, and the
     hashed features are written once; the fit reads these tables.
     """
+    return next(text_classifiers(df, text, label, [kind], max_df, max_iter, reg, n_features))[1]
+
+
+def text_classifiers(df: DataFrame, text: str, label: str, kinds: list[str], max_df: float = 0.95, max_iter: int = 50, reg: float = 0.0,
+                     n_features: int = 1 << 18):
+    """(kind, fitted pipeline as in ``text_classifier``) for several kinds that share one tokenised table and its term counts."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover, StringIndexer
@@ -88,19 +102,24 @@ def text_classifier(df: DataFrame, text: str, label: str, kind: str = "binary",
     source = spread(df.select(q(label), q(text)))
     words = cut_lineage(tokenizer.transform(source.filter(q(text).isNotNull())).select(q(label), "__tok"))
     indexer = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(words)
-    remover = StopWordsRemover(inputCol="__tok", outputCol="__kept", stopWords=common_terms(words, "__tok", max_df), caseSensitive=True, locale="en_US")
-    terms = words.select(F.explode("__tok").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+    seen = cut_lineage(_term_rows(words, "__tok"))  # one row a term: the common ones and their number are read off it
+    remover = StopWordsRemover(inputCol="__tok", outputCol="__kept", stopWords=_common(words, seen, max_df), caseSensitive=True, locale="en_US")
+    terms = seen.agg(F.approx_count_distinct("term")).first()[0]
     size = min(n_features, 1 << max(4, int(2 * terms).bit_length()))
-    hashing = HashingTF(inputCol="__kept", outputCol="__tf", numFeatures=size, binary=kind == "binary")
-    stages = [indexer, tokenizer, remover, hashing]
-    feats = cut_lineage(hashing.transform(remover.transform(indexer.transform(words))).select("__y", "__tf"))
-    if kind == "tfidf":
-        idf = IDF(inputCol="__tf", outputCol="__x").fit(feats)
-        stages.append(idf)
-        feats = idf.transform(feats)
-    stages.append(LogisticRegression(featuresCol="__x" if kind == "tfidf" else "__tf", labelCol="__y", family="multinomial",
-                                     maxIter=max_iter, regParam=reg).fit(feats))
-    return PipelineModel(stages)
+    tables: dict = {}
+    for kind in kinds:
+        hashing = HashingTF(inputCol="__kept", outputCol="__tf", numFeatures=size, binary=kind == "binary")
+        stages = [indexer, tokenizer, remover, hashing]
+        if (kind == "binary") not in tables:
+            tables[kind == "binary"] = cut_lineage(hashing.transform(remover.transform(indexer.transform(words))).select("__y", "__tf"))
+        feats = tables[kind == "binary"]
+        if kind == "tfidf":
+            idf = IDF(inputCol="__tf", outputCol="__x").fit(feats)
+            stages.append(idf)
+            feats = idf.transform(feats)
+        stages.append(LogisticRegression(featuresCol="__x" if kind == "tfidf" else "__tf", labelCol="__y", family="multinomial",
+                                         maxIter=max_iter, regParam=reg).fit(feats))
+        yield kind, PipelineModel(stages)
 
 
 def top_k_classes(pred: DataFrame, labels: list[str], k: int = 3, prob_col: str = "probability",

@@ -9,6 +9,7 @@ from quarry.functions import columns as fc
 from quarry.operators import cluster, sample, score, textclf
 from quarry.plans.registry import register, rnd, rounded, t
 from quarry.sources import io
+from quarry.session import cut_lineage
 from quarry.streaming import stream
 
 # ------------------------------------------------------------------ RFM (flagship)
@@ -526,9 +527,8 @@ def q08_comparison_grid(spark, d):
     train, test = split.filter("split = 0").drop("split"), split.filter("split = 1").drop("split")
     rows = []
     for field in ("head", "rest", "text"):
-        for kind in ("binary", "count", "tfidf"):
-            m = textclf.text_classifier(train, field, "lang", kind=kind, max_iter=10)
-            pred = textclf.top_k_classes(m.transform(test), m.stages[0].labels, 3)
+        for kind, m in textclf.text_classifiers(train, field, "lang", ["binary", "count", "tfidf"], max_iter=10):
+            pred = cut_lineage(textclf.top_k_classes(m.transform(test), m.stages[0].labels, 3).select("lang", "top_k"))
             for k in (1, 3):
                 r = textclf.rank_metrics(pred, "lang", "top_k", k).first()
                 rows.append((field, kind, k, float(r["hit_at_k"]), float(r["mrr_at_k"])))

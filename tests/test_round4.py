@@ -117,3 +117,12 @@ def test_stability_repeats_rows_after_every_shuffle(spark, written):
         ij, a, b, n = pairs2(Counter(ab)), pairs2(Counter(x for x, _ in ab)), pairs2(Counter(y for _, y in ab)), 6.0
         top = 0.5 * (a + b) - a * b / n
         assert r.n == 4 and abs(r.ari - ((ij - a * b / n) / top if top else 1.0)) < 1e-12
+
+
+def test_classifiers_of_one_field_share_tokens_and_terms(spark, written):
+    keep, seen = written
+    keep(textclf)
+    df = spark.createDataFrame([(t, y) for t, y in (("red apple pie", "a"), ("blue sea boat", "b")) for _ in range(8)], "text string, y string")
+    kinds = [k for k, _ in textclf.text_classifiers(df, "text", "y", ["binary", "count", "tfidf"], max_iter=3)]
+    assert kinds == ["binary", "count", "tfidf"]
+    assert sum("__tok" in t.columns for t in seen) == 1 and sum("df" in t.columns for t in seen) == 1 and sum("__tf" in t.columns for t in seen) == 2
