@@ -23,7 +23,7 @@ def doc_terms(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(doc, term, tf) for every token of two or more word characters, whole texts."""
     src = spread(df.select(q(id_col).alias("doc"), q(text).alias("__t")))
     e = src.select("doc", F.explode(tokens(F.col("__t"))).alias("term"))
-    return e.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return cut_lineage(e.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))  # read for the frequencies and for the rows
 
 
 def _doc_freq(tf: DataFrame) -> DataFrame:

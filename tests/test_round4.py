@@ -126,3 +126,11 @@ def test_classifiers_of_one_field_share_tokens_and_terms(spark, written):
     kinds = [k for k, _ in textclf.text_classifiers(df, "text", "y", ["binary", "count", "tfidf"], max_iter=3)]
     assert kinds == ["binary", "count", "tfidf"]
     assert sum("__tok" in t.columns for t in seen) == 1 and sum("df" in t.columns for t in seen) == 1 and sum("__tf" in t.columns for t in seen) == 2
+
+
+def test_texts_are_tokenised_once_for_term_weights(spark):
+    df = spark.createDataFrame([(1, "one two two"), (2, "two three")], "id int, text string")
+    for out in (textclf.tfidf(df, "id", "text"), textclf.term_features(df, "id", "text")):
+        assert "Generate" not in plan(out)
+    assert {(r.doc, r.term): r.value for r in textclf.term_features(df, "id", "text", "count", 1.0).collect()} == {
+        (1, "one"): 1, (1, "two"): 2, (2, "two"): 1, (2, "three"): 1}
