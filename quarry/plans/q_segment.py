@@ -9,7 +9,7 @@ from quarry.functions import columns as fc
 from quarry.operators import cluster, sample, score, textclf
 from quarry.plans.registry import register, rnd, rounded, t
 from quarry.sources import io
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, spread
 from quarry.streaming import stream
 
 # ------------------------------------------------------------------ RFM (flagship)
@@ -750,8 +750,11 @@ def s07_binary_tree(spark, d):
     """Recursive scan of a tree of binary files: path, length and content; label = parent folder."""
     pages = t(spark, d, "pages").withColumn("label", F.regexp_extract("url", "/(en|fr|de|es)/", 1))
     root = stream.scratch(spark, "s07")
-    # the tree: one file per page (its html and a line break) in the folder of its label
-    pages.select("label", "html").write.option("maxRecordsPerFile", 1).partitionBy("label").text(root)
+    # the tree: one file per page (its html and a line break) in a folder of its label, of which there are
+    # several, so that they are listed in parallel; the tasks put their files in place, not the driver one by one
+    pages = spread(pages).withColumn("shard", F.pmod(F.xxhash64("url"), F.lit(64)).cast("int"))
+    (pages.select("shard", "label", "html").write.option("maxRecordsPerFile", 1)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("shard", "label").text(root))
     files = io.read_binary_tree(spark, root, glob="*.txt")
     html = F.rtrim(F.decode("content", "UTF-8"), F.lit("\n"))
     return files.groupBy(F.regexp_extract("label", "label=(.*)", 1).alias("label")).agg(

@@ -134,3 +134,13 @@ def test_texts_are_tokenised_once_for_term_weights(spark):
         assert "Generate" not in plan(out)
     assert {(r.doc, r.term): r.value for r in textclf.term_features(df, "id", "text", "count", 1.0).collect()} == {
         (1, "one"): 1, (1, "two"): 2, (2, "two"): 1, (2, "three"): 1}
+
+
+def test_binary_tree_has_many_folders_of_a_label(spark, monkeypatch):
+    from quarry.sources import io
+    real, roots = io.read_binary_tree, []
+    monkeypatch.setattr(io, "read_binary_tree", lambda s, root, **k: (roots.append(root), real(s, root, **k))[1])
+    n = sum(r.n_files for r in catalog.QUERIES["s07_binary_tree"](spark, SF).collect())
+    root = roots[0].removeprefix("file:")
+    assert n == spark.read.parquet(SF + "/pages.parquet").count() == len(glob.glob(root + "/**/*.txt", recursive=True))
+    assert len(glob.glob(root + "/**/label=*", recursive=True)) > 32
