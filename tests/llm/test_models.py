@@ -1,6 +1,8 @@
 """Language mixture, maximum-entropy scores and the quality discriminant: definitions, held-out accuracy, odd inputs."""
 
 import math
+import os
+import time
 import zlib
 from collections import Counter
 
@@ -183,6 +185,44 @@ def test_score_equals_a_plain_model_and_does_not_follow_the_split(spark, make):
         assert abs(want - got[1][k][0]) < 1e-3
 
 
+def _on_disk(spark):
+    """Bytes of every shuffle and broadcast file of the session."""
+    sc = spark.sparkContext
+    blocks = sc._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    out = {(f := blocks.apply(i)).getPath(): f.length() for i in range(blocks.size())}
+    return out | {p: os.path.getsize(p) for p in (os.path.join(sc._temp_dir, x) for x in os.listdir(sc._temp_dir)) if os.path.isfile(p)}
+
+
+def test_rounds_share_tasks_and_leave_nothing_on_disk(spark, make, monkeypatch):
+    """Small splits share a task's gradient sums; sums and weights of a round go with it, whether its sums were shuffled or not."""
+    train = make([(i, prose(60, i), "en", "s") for i in range(400)]).repartition(32)
+    weights, seen = {}, []
+    monkeypatch.setattr(maxent, "ROUNDS", 4)
+    step = maxent.Model.step
+    monkeypatch.setattr(maxent.Model, "step", lambda self, sums: (seen.append(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")), step(self, sums))[1])
+    for tokens in (maxent.TASK_TOKENS, 500):
+        monkeypatch.setattr(maxent, "TASK_TOKENS", tokens)
+        seen.clear()
+        before = _on_disk(spark)
+        spark.sparkContext.setJobGroup("rounds", "rounds")
+        try:
+            weights[tokens] = maxent.fit(train)[2].weights
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(seen) == 4
+        tracker = spark.sparkContext.statusTracker()
+        tasks = [max(tracker.getStageInfo(s).numTasks for j in set(b) - set(a) for s in tracker.getJobInfo(j).stageIds) for a, b in zip(seen, seen[1:])]
+        assert all(n == 1 for n in tasks) if tokens > 500 else all(n > 1 for n in tasks)
+        for _ in range(100):                            # Spark deletes files in the background
+            left = sum(n for p, n in _on_disk(spark).items() if p not in before)
+            if left < 1 << 20:
+                break
+            time.sleep(0.1)
+        assert left < 1 << 20
+    for a, b in zip(*weights.values()):
+        assert a.any() and np.allclose(a, b, atol=1e-5)
+
+
 def test_score_beats_the_base_on_held_out_documents_and_more_so_with_more(spark):
     gain = {}
     for sf in ("sf0.01", "sf0.1"):
