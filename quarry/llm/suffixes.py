@@ -116,8 +116,13 @@ def _doc_runs(batch):
 
 # ---- shared anchors --------------------------------------------------------
 
+def anchor_keys(anchors: np.ndarray) -> np.ndarray:
+    """Anchors mixed anew: as smallest hashes they lie close to zero, and their top bits would fill the first parts and bits only."""
+    return flat.mix(anchors)
+
+
 class Shared:
-    """Which anchors may be shared, and which are very frequent: two bit tables over the top bits of the anchor."""
+    """Which anchors may be shared, and which are very frequent: two bit tables over the top bits of the anchor's key."""
 
     def __init__(self, bits: int, shared: np.ndarray, hot: np.ndarray):
         self.shift, self.shared, self.hot = np.uint64(64 - bits), shared, hot
@@ -127,7 +132,7 @@ class Shared:
         return _unpack, (64 - int(self.shift), *[pack.compress(x.tobytes()) for x in (self.shared, self.hot)])
 
     def _has(self, table, anchors):
-        at = (anchors >> self.shift).astype(np.int64)
+        at = (anchor_keys(anchors) >> self.shift).astype(np.int64)
         return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
     def has(self, anchors):
@@ -173,7 +178,7 @@ def shared_anchors(docs: DataFrame, length: int, gram: int) -> tuple[Shared, int
         for b in batches:
             for buf, off, _, _ in _doc_runs(b):
                 first, _, anchor = chunks(buf, off, length, gram)
-                held.append((anchor >> np.uint64(64 - key_bits), np.searchsorted(off, first, "right") + doc_no))
+                held.append((anchor_keys(anchor) >> np.uint64(64 - key_bits), np.searchsorted(off, first, "right") + doc_no))
                 doc_no += len(off)
                 rows += len(anchor)
                 if rows > HELD:
@@ -319,7 +324,10 @@ def shared_chunks(docs: DataFrame, shared: Shared, shards: int, length: int, gra
 def _slices(buf, start, size):
     """The bytes of all slices behind each other, and their offsets."""
     off = np.append(0, np.cumsum(size))
-    return buf[np.arange(off[-1]) + np.repeat(start - off[:-1], size)], off
+    out = np.empty(off[-1], buf.dtype)
+    for a, z in flat.spans(off, BLOCK):                              # a place takes eight times its byte
+        out[off[a]:off[z]] = buf[np.arange(off[a], off[z]) + np.repeat(start[a:z] - off[a:z], size[a:z])]
+    return out, off
 
 
 def _equal(buf, start, size, other) -> bool:
@@ -327,9 +335,13 @@ def _equal(buf, start, size, other) -> bool:
     if (size != size[other]).any():
         return False
     diff = np.flatnonzero(other != np.arange(len(other)))
-    mine, _ = _slices(buf, start[diff], size[diff])
-    theirs, _ = _slices(buf, start[other[diff]], size[diff])
-    return bool((mine == theirs).all())
+    for a, z in flat.spans(np.append(0, np.cumsum(size[diff])), BLOCK):
+        own = diff[a:z]
+        mine, _ = _slices(buf, start[own], size[own])
+        theirs, _ = _slices(buf, start[other[own]], size[own])
+        if (mine != theirs).any():
+            return False
+    return True
 
 
 # ---- difference-cover suffix sorting ---------------------------------------

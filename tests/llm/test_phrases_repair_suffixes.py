@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from heapq import heappop, heappush
@@ -312,3 +313,35 @@ def test_equal_windows_have_equal_anchors():
         assert len(per) == len(x) - 49 and (np.repeat(first, n) + np.arange(len(per)) - np.repeat(np.cumsum(n) - n, n) == np.arange(len(per))).all()
         found.append(per[at:at + 251].tolist())
     assert found[0] == found[1]
+
+
+def test_anchors_fill_parts_and_bit_tables_evenly(spark, make):  # noqa: F811
+    r = random.Random(13)
+    twice, once = ("".join(r.choices("abcdefghij ", k=500_000)) for _ in range(2))
+    shared, n_chunks = suffixes.shared_anchors(make([(1, twice, "en", "s"), (2, twice, "en", "s"), (3, once, "en", "s")]), 50, 20)
+    mine, other = (suffixes.chunks(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[2] for x in (twice, once))
+    assert n_chunks >= 2 * len(np.unique(mine)) and shared.has(mine).all() and not shared.is_hot(mine).any()
+    assert shared.has(other).mean() < 0.03                            # one anchor in a hundred passes by chance
+    per_part = np.unpackbits(shared.shared).reshape(16, -1).sum(axis=1)
+    assert per_part.max() < 1.2 * per_part.mean()
+
+
+def test_slices_and_comparison_take_little_more_than_their_bytes():
+    buf = np.tile(np.arange(97, 123, dtype=np.uint8), 20_000)
+    start = np.arange(0, len(buf) - 100, 16)
+    size = 50 + start % 31
+    tracemalloc.start()
+    try:
+        got, off = suffixes._slices(buf, start, size)
+        of_slices = tracemalloc.get_traced_memory()[1]
+        other = np.arange(len(start)) - np.arange(len(start)) % 2
+        even = size[other]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        assert suffixes._equal(buf, np.zeros(len(start), np.int64), even, other)
+        of_equal = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert got.tobytes() == b"".join(buf[a:a + n].tobytes() for a, n in zip(start.tolist(), size.tolist())) and off[-1] == len(got)
+    assert not suffixes._equal(buf, start, even, other)               # sizes agree, bytes do not
+    assert len(got) > 2_000_000 and of_slices < 8 * len(got) and of_equal < 8 * even.sum()
