@@ -122,33 +122,29 @@ def anchor_keys(anchors: np.ndarray) -> np.ndarray:
 
 
 class Shared:
-    """Which anchors may be shared, and which are very frequent: two bit tables over the top bits of the anchor's key."""
+    """Which anchors may be shared: a bit table over the top bits of their keys; and the keys, cut to ``key_bits``, of the few very frequent ones."""
 
-    def __init__(self, bits: int, shared: np.ndarray, hot: np.ndarray):
-        self.shift, self.shared, self.hot = np.uint64(64 - bits), shared, hot
+    def __init__(self, bits: int, shared: np.ndarray, key_bits: int, hot: np.ndarray):
+        self.bits, self.shared, self.key_bits, self.hot = bits, shared, key_bits, np.sort(hot)
 
     def __reduce__(self):                            # travels compressed
-        pack = zstandard.ZstdCompressor(level=1)
-        return _unpack, (64 - int(self.shift), *[pack.compress(x.tobytes()) for x in (self.shared, self.hot)])
-
-    def _has(self, table, anchors):
-        at = (anchor_keys(anchors) >> self.shift).astype(np.int64)
-        return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return _unpack, (self.bits, zstandard.ZstdCompressor(level=1).compress(self.shared.tobytes()), self.key_bits, self.hot)
 
     def has(self, anchors):
-        return self._has(self.shared, anchors)
+        at = (anchor_keys(anchors) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.shared[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
     def is_hot(self, anchors):
-        return self._has(self.hot, anchors)
+        key = anchor_keys(anchors) >> np.uint64(64 - self.key_bits)
+        return np.searchsorted(self.hot, key) < np.searchsorted(self.hot, key, "right")
 
 
-def _unpack(bits: int, shared: bytes, hot: bytes) -> Shared:
-    unpack = zstandard.ZstdDecompressor()
-    return Shared(bits, *[np.frombuffer(unpack.decompress(x), np.uint8) for x in (shared, hot)])
+def _unpack(bits: int, shared: bytes, key_bits: int, hot: np.ndarray) -> Shared:
+    return Shared(bits, np.frombuffer(zstandard.ZstdDecompressor().decompress(shared), np.uint8), key_bits, hot)
 
 
 def shared_anchors(docs: DataFrame, length: int, gram: int) -> tuple[Shared, int]:
-    """The bit tables over all documents, and how many chunks the shared anchors have in all."""
+    """The shared and the very frequent anchors of all documents, and how many chunks the shared anchors have in all."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bits = max(4, int(n_bytes // PART).bit_length())
     key_bits = part_bits + 8 + LOW
@@ -219,25 +215,24 @@ def shared_anchors(docs: DataFrame, length: int, gram: int) -> tuple[Shared, int
     bits = max(bits, part_bits + 3)
 
     def slices(batches):
-        """One part's share of the two tables."""
+        """One part's share of the bit table, and the keys of its very frequent anchors."""
         size = 1 << (bits - part_bits)
         for b in batches:
             for p, low, hot in zip(*[b.column(c).to_pylist() for c in ("part", "low", "hot")]):
-                at = (np.frombuffer(low, "<u4") >> np.uint32(key_bits - bits)).astype(np.int64)
-                both = []
-                for which in (at, at[np.unpackbits(np.frombuffer(hot, np.uint8), count=len(at)).astype(bool)]):
-                    bit = np.zeros(size, bool)
-                    bit[which] = True
-                    both.append(zstandard.ZstdCompressor(level=1).compress(np.packbits(bit).tobytes()))
+                low = np.frombuffer(low, "<u4")
+                bit = np.zeros(size, bool)
+                bit[low >> np.uint32(key_bits - bits)] = True
+                often = low[np.unpackbits(np.frombuffer(hot, np.uint8), count=len(low)).astype(bool)] | np.uint64(p << (8 + LOW))
+                both = zstandard.ZstdCompressor(level=1).compress(np.packbits(bit).tobytes()), often.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([x], pa.binary()) for x in both]], names=["part", "shared", "hot"])
 
-    shared, hot = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 3), np.uint8)
+    shared, hot = np.zeros(1 << (bits - 3), np.uint8), [np.zeros(0, np.uint64)]
     width = 1 << (bits - part_bits - 3)
-    got = kept.mapInArrow(slices, "part int, shared binary, hot binary").toArrow()         # 2 ** bits bits each at most
+    got = kept.mapInArrow(slices, "part int, shared binary, hot binary").toArrow()         # 2 ** bits bits at most, and a key for every HOT chunks
     for p, a, h in zip(*[got.column(c).to_pylist() for c in ("part", "shared", "hot")]):
         shared[p * width:(p + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(a), np.uint8)
-        hot[p * width:(p + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(h), np.uint8)
-    return Shared(bits, shared, hot), n_chunks
+        hot.append(np.frombuffer(h, "<u8"))
+    return Shared(bits, shared, key_bits, np.concatenate(hot)), n_chunks
 
 
 def _packed(out):
