@@ -345,3 +345,13 @@ def test_slices_and_comparison_take_little_more_than_their_bytes():
     assert got.tobytes() == b"".join(buf[a:a + n].tobytes() for a, n in zip(start.tolist(), size.tolist())) and off[-1] == len(got)
     assert not suffixes._equal(buf, start, even, other)               # sizes agree, bytes do not
     assert len(got) > 2_000_000 and of_slices < 8 * len(got) and of_equal < 8 * even.sum()
+
+
+def test_very_frequent_anchors_are_known_by_their_keys(spark, make, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    r = random.Random(14)
+    often, pair = ("".join(r.choices("abcdefghij ", k=3000)) for _ in range(2))
+    shared, _ = suffixes.shared_anchors(make([(k, often, "en", "s") for k in range(6)] + [(k, pair, "en", "s") for k in (7, 8)]), 50, 20)
+    a, b = (suffixes.chunks(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[2] for x in (often, pair))
+    assert shared.has(a).all() and shared.has(b).all() and shared.is_hot(a).all() and not shared.is_hot(b).any()
+    assert len(shared.hot) == len(np.unique(a))                       # a key each, no table
