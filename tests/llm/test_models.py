@@ -223,6 +223,25 @@ def test_rounds_share_tasks_and_leave_nothing_on_disk(spark, make, monkeypatch):
         assert a.any() and np.allclose(a, b, atol=1e-5)
 
 
+def test_every_round_reads_every_training_document(make, monkeypatch):
+    """A step follows the gradient over all tokens, not over a part of the documents, and equal contexts count as often as they occur."""
+    rows = [(i, prose(40 + i % 7, i // 2), "en", "s") for i in range(60)] + [(None, "a b", "en", "s"), (None, None, "en", "s")]
+    steps = []
+    step = maxent.Model.step
+    monkeypatch.setattr(maxent.Model, "step", lambda self, sums: (steps.append((self.weights, sums)), step(self, sums))[1])
+    _, vocab, model, n_all, _ = maxent.fit(make(rows).repartition(5))
+    assert len(steps) == maxent.ROUNDS
+    h, leaf, off = maxent.tokens(*_texts([r[1] for r in rows]))
+    assert len(h) == n_all
+    for weights, sums in steps:
+        assert all(s[-1].sum() == maxent.FEATURES * n_all for s in sums)
+        m = maxent.Model.__new__(maxent.Model)
+        m.rows, m.bias, m.weights = model.rows, model.bias, weights
+        want = [np.zeros((w.shape[1] + 1, m.rows)) for w in weights]
+        m.gradient(h, vocab.leaves(h, leaf), off, want)
+        assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(sums, want))
+
+
 def test_score_beats_the_base_on_held_out_documents_and_more_so_with_more(spark):
     gain = {}
     for sf in ("sf0.01", "sf0.1"):
